@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import pack
 from .substring_dedup import repeated_intervals
+from .tables import shared_folder
+from .token_files import read_shards, write_shards
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(spark: SparkSession, name: str = "word_bpe_49k.json") -> str:
+    """Where a public vocabulary file lies: in the folder of the setting spark.stratalog.tokenizers, else the installed ones."""
+    folder = spark.conf.get("spark.stratalog.tokenizers", None)
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
+    write_shards(_read(spark, sf_dir, "documents"), path, tokenizer_file(spark), end=2, base=1 << 16)
+    return read_shards(spark.read.parquet(path))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_intervals(_read(spark, sf_dir, "documents"), width=13, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), tokenizer_file(spark), end=1, capacity=4096)
+
+
 QUERIES = {
+    "op4_token_files": op4_token_files,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_bin_packing": op10_bin_packing,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
