@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
+from .jaccard_join import near_duplicates
 from .packing import pack
 from .sharding import shard_records
 from .substring_dedup import repeated_intervals
@@ -49,6 +50,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_intervals(_read(spark, sf_dir, "documents"), width=13, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_file(spark), end=1, capacity=4096)
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op4_token_files": op4_token_files,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_bin_packing": op10_bin_packing,
 }
 
