@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import decontaminate
 from .jaccard_join import near_duplicates
 from .packing import pack
+from .quality import BASE, measured
 from .sharding import shard_records
 from .substring_dedup import repeated_intervals
 from .tables import shared_folder
@@ -46,6 +47,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark.read.parquet(path))
 
 
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = measured(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base_failed = F.expr(" OR ".join(f"({r.rejects})" for r in BASE))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_intervals(_read(spark, sf_dir, "documents"), width=13, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -62,6 +69,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op4_token_files": op4_token_files,
+    "op7_quality_cascade": op7_quality_cascade,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bin_packing": op10_bin_packing,
@@ -84,6 +92,20 @@ SQL = {
         SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op7_quality_cascade": rf"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+        rep AS (SELECT doc_id, count(DISTINCT k)::BIGINT AS n_repeat FROM (
+                  SELECT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+        lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM w),
+        m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                     len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+                     coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '!')) AS n_exclaims
+              FROM w LEFT JOIN rep USING (doc_id) JOIN lines USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 35 * n_lines
+                    OR 100 * n_upper > 40 * word_chars OR 2 * n_exclaims > n_words) AS kept
+        FROM m""",
     "op8_substring_dedup": rf"""
         WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
