@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import decontaminate
 from .jaccard_join import near_duplicates
 from .packing import pack
+from .pii import KINDS, as_text, find_pii
 from .quality import BASE, measured
 from .sharding import shard_records
 from .substring_dedup import repeated_intervals
@@ -47,6 +48,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark.read.parquet(path))
 
 
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = measured(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     base_failed = F.expr(" OR ".join(f"({r.rejects})" for r in BASE))
@@ -69,6 +80,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op4_token_files": op4_token_files,
+    "op6_pii": op6_pii,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
@@ -97,7 +109,8 @@ SQL = {
         win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
         rep AS (SELECT doc_id, count(DISTINCT k)::BIGINT AS n_repeat FROM (
                   SELECT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
-        lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM w),
+        lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM w),
         m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
                      len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
                      coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '!')) AS n_exclaims
