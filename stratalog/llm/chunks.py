@@ -78,14 +78,21 @@ def unpack(blob: pa.Scalar) -> pa.Table:
 
 
 def _shrink(values: np.ndarray) -> bytes:
-    """An integer array in the narrowest type, the type's size first."""
+    """An integer array in the narrowest type, the type's size first; mostly small values as bytes, the others after mark 9."""
     top = int(values.max()) if len(values) else 0
+    if top > 255 and len(large := np.flatnonzero(values >= 255)) * 16 < len(values):
+        return b"\x09" + len(large).to_bytes(4, "little") + values[large].astype("<u8").tobytes() + np.minimum(values, 255).astype(np.uint8).tobytes()
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max)
     return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
 
 
 def _grow(blob: memoryview | bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1)
+    if blob[0] != 9:
+        return np.frombuffer(blob, f"<u{blob[0]}", offset=1)
+    n = int.from_bytes(blob[1:5], "little")
+    values = np.frombuffer(blob, np.uint8, offset=5 + 8 * n).astype(np.uint64)
+    values[values == 255] = np.frombuffer(bytes(blob[5 : 5 + 8 * n]), "<u8")
+    return values
 
 
 def _encode(keys: np.ndarray, bits: int) -> bytes:
@@ -109,15 +116,15 @@ def _decode(blob: memoryview, bucket: int, bits: int) -> np.ndarray:
 def answers(
     chunks: DataFrame,
     items: Callable[[pa.Table], tuple[np.ndarray, dict[str, np.ndarray]]],
-    answer: Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray]], tuple[np.ndarray, ...]],
+    answer: Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray]], tuple],
     sum_values: tuple[str, ...] = (),
     dictionary: str | None = None,
 ) -> DataFrame:
-    """For each chunk and bucket: the answers to the chunk's items, as a list of blobs, and `extra`, a number the bucket reports.
+    """For each chunk and bucket: the answers to the chunk's items, as a list of blobs, and `extra`, numbers the bucket reports once.
 
     items(table): the chunk's distinct hashes, sorted, and named values of the same length, none negative.
-    answer(sorted distinct hashes, index into them for each entry, values): arrays, one number for each entry, then the
-    bucket's own number. dictionary: a value that holds 64-bit ids (any sign), sent as a list of its distinct ones.
+    answer(sorted distinct hashes, index into them for each entry, values): arrays, one number for each entry, then a list
+    of the bucket's own numbers. dictionary: a value that holds 64-bit ids (any sign), sent as a list of its distinct ones.
     """
     n_entries = (chunks.agg(F.sum("n_bytes")).first()[0] or 0) // 5 + 1
     bits = min(12, max(0, int(np.ceil(np.log2(max(1, n_entries / BUCKET_ENTRIES))))))
@@ -170,13 +177,13 @@ def answers(
         edges = np.cumsum([0, *sizes])
         for k in range(len(chunk)):
             blobs = [(b"\0" + np.packbits(f[edges[k] : edges[k + 1]]).tobytes()) if f.dtype == bool else _shrink(f[edges[k] : edges[k + 1]]) for f in found]
-            yield pa.RecordBatch.from_pydict({"chunk": [chunk[k]], "bucket": [bucket], "n": [sizes[k]], "blobs": [blobs], "extra": [float(extra) if not k else 0.0]}, schema=replied)
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk[k]], "bucket": [bucket], "n": [sizes[k]], "blobs": [blobs], "extra": [[float(x) for x in extra] if not k else []]}, schema=replied)
 
     names = list(sum_values) + ([dictionary] if dictionary else [])
     sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("vals", pa.list_(pa.binary()))])
-    replied = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("blobs", pa.list_(pa.binary())), ("extra", pa.float64())])
+    replied = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("blobs", pa.list_(pa.binary())), ("extra", pa.list_(pa.float64()))])
     entries = chunks.select("chunk", "docs").mapInArrow(send, "bucket int, chunk long, keys binary, vals array<binary>")
-    return entries.groupBy("bucket").applyInArrow(reply, "chunk long, bucket int, n long, blobs array<binary>, extra double")
+    return entries.groupBy("bucket").applyInArrow(reply, "chunk long, bucket int, n long, blobs array<binary>, extra array<double>")
 
 
 def with_answers(chunks: DataFrame, replies: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def _document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
         return keys, {"n": counts}
 
     def answer(keys: np.ndarray, index: np.ndarray, values: dict[str, np.ndarray]):
-        return np.bincount(index, weights=values["n"], minlength=len(keys)).astype(np.int64)[index], 0
+        return np.bincount(index, weights=values["n"], minlength=len(keys)).astype(np.int64)[index], []
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

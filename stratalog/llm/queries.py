@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
 from .jaccard_join import near_duplicates
+from .language_model import score_texts
 from .packing import pack
 from .pii import KINDS, as_text, find_pii
 from .quality import BASE, measured
@@ -42,6 +43,10 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
     write_shards(_read(spark, sf_dir, "documents"), path, tokenizer_file(spark), end=2, base=1 << 16)
@@ -79,6 +84,7 @@ def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
+    "op3_deleted_interpolation": op3_deleted_interpolation,
     "op4_token_files": op4_token_files,
     "op6_pii": op6_pii,
     "op7_quality_cascade": op7_quality_cascade,

@@ -52,7 +52,7 @@ def repeated_intervals(docs: DataFrame, width: int = 13, id_column: str = "doc_i
     def answer(keys: np.ndarray, index: np.ndarray, values: dict[str, np.ndarray]):
         least = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(least, index, values["id"])
-        return values["id"] > least[index], 0
+        return values["id"] > least[index], []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
