@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
+from .html_text import main_text
 from .jaccard_join import near_duplicates
 from .language_model import score_texts
 from .packing import pack
@@ -53,6 +54,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark.read.parquet(path))
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_read(spark, sf_dir, "pages"))
+
+
 def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op3_deleted_interpolation": op3_deleted_interpolation,
     "op4_token_files": op4_token_files,
+    "op5_html_main_text": op5_html_main_text,
     "op6_pii": op6_pii,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_substring_dedup": op8_substring_dedup,
