@@ -1,0 +1 @@
+"""Selection verbs, samplers, graph operators and metrics over DataFrames."""

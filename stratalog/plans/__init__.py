@@ -1,0 +1 @@
+"""The history tables bound to the driver's test tables, the registered queries, and their SQL."""

@@ -1,0 +1 @@
+"""Readers of history tables and metadata, and sinks."""

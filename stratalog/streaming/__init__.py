@@ -1,0 +1 @@
+"""Empty: version-control history is read as finite tables here, and the model defines no stream operators."""
