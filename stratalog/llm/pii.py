@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import with_row_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -86,19 +86,24 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", free.alias("loose"))
 
 
-def _standing(docs: DataFrame, patterns: DataFrame, small: int = 20_000) -> DataFrame:
-    """(left, standing): how often each pattern's words stand side by side in the corpus."""
+def _standing(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(left, standing): how often each pattern's words stand side by side in the corpus. The patterns' number is bounded."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\s+"), lambda w: w != "")
     pairs = docs.select(words.alias("w")).select(F.explode(F.expr("transform(sequence(1, greatest(1, size(w) - 1)), i -> concat_ws(' ', try_element_at(w, i), try_element_at(w, i + 1)))")).alias("left"))
-    side = F.broadcast(patterns) if patterns.count() <= small else patterns
-    return pairs.join(side, "left", "left_semi").groupBy("left").agg(F.count(F.lit(1)).alias("standing"))
+    return pairs.join(F.broadcast(patterns), "left", "left_semi").groupBy("left").agg(F.count(F.lit(1)).alias("standing"))
 
 
-def learnt_patterns(docs: DataFrame, occurrences: DataFrame, rounds: int = 3, seeds: int = 3, confidence: float = 0.6) -> DataFrame:
-    """(left, kind, confidence) of the patterns that mark candidates: at least `seeds` distinct seeds, and the confidence."""
+def learnt_patterns(docs: DataFrame, occurrences: DataFrame, rounds: int = 3, seeds: int = 3, share: float = 0.005, confidence: float = 0.6) -> DataFrame:
+    """(left, kind, confidence) of the patterns that mark candidates.
+
+    Such a pattern stands before at least `seeds` distinct seeds of the kind, and before at least `share` of them, and has
+    the confidence. So at most len(KINDS) / share patterns are ever looked up in the corpus.
+    """
     spans = occurrences.select(F.explode(F.concat(F.transform("base", lambda s: F.struct(s["left"].alias("left"), s["kind"].alias("kind"), F.lower(s["value"]).alias("instance"), F.lit(True).alias("seed"))), F.transform("loose", lambda s: F.struct(s["left"].alias("left"), s["kind"].alias("kind"), F.lower(s["value"]).alias("instance"), F.lit(False).alias("seed"))))).alias("s")).select("s.*")
     edges = written(spans.where("left != ''").groupBy("left", "kind", "instance").agg(F.max("seed").alias("seed")))
-    rich = written(edges.where("seed").groupBy("left", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= seeds).select("left").distinct())
+    of_kind = edges.where("seed").groupBy("kind").agg(F.countDistinct("instance").alias("all"))
+    strong = edges.where("seed").groupBy("left", "kind").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(of_kind), "kind")
+    rich = written(strong.where((F.col("n") >= seeds) & (F.col("n") >= share * F.col("all"))).select("left").distinct())
     if rich.isEmpty():
         return edges.select("left", "kind", F.lit(1.0).alias("confidence")).limit(0)
     edges = edges.join(rich, "left")
@@ -145,7 +150,7 @@ def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """
     columns = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    source = written(docs.select(F.monotonically_increasing_id().alias("key"), F.col(text_column).alias("text"), row.alias("row")))
+    source = with_row_key(docs, "_key").select(F.col("_key").alias("key"), F.col(f"`{text_column}`").alias("text"), row.alias("row"))
     spans = find_pii(source, "key").select(F.col("doc_id").alias("of"), "spans").where(F.size("spans") > 0)
 
     def put(a: Column, s: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """df with a long for each row that stays the same whenever the row is read again, also for rows that repeat.
+
+    For rows read from Parquet files it is a hash of file and row number; other rows are written with a number first.
+    """
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+    except AnalysisException:
+        return written(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str, rows_per_block: int = 200_000) -> DataFrame:
     """Add `name`: 0, 1, 2, ... without a gap within each group, however large a group is.
 
