@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
@@ -19,17 +19,21 @@ from .tables import written
 _SPACE = r"[\x20\x09-\x0D]"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often `use` names it, and wherever the optimizer moves the whole."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def measure_words(df: DataFrame) -> DataFrame:
-    """_text (null as empty), _words, n_words and word_chars."""
+    """_words (a null text has none), n_words and word_chars."""
     if "n_words" in df.columns:
         return df
     trimmed = F.btrim(F.coalesce(F.col("_given"), F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    df = df.withColumn("_words", F.split(trimmed, _SPACE + "+"))
-    df = df.withColumn("_words", F.when(F.col("_words")[0] == "", F.array().cast("array<string>")).otherwise(F.col("_words")))
-    return df.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+    words = _let(F.split(trimmed, _SPACE + "+"), lambda w: F.when(w[0] == "", F.array().cast("array<string>")).otherwise(w))
+    return df.withColumn("_words", words).withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
 
 
-def _left(pattern: str):
+def _left(pattern: str) -> Column:
     """How many characters of the text the (negated) pattern leaves."""
     return F.length(F.regexp_replace(F.coalesce(F.col("_given"), F.lit("")), pattern, "")).cast("long")
 
@@ -47,8 +51,8 @@ def measure_lines(df: DataFrame) -> DataFrame:
     if "n_dup_lines" in df.columns:
         return df
     lines = F.filter(F.split(F.coalesce(F.col("_given"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_lines", lines)
-    return df.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
+    counts = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again")))
+    return df.withColumn("_lines", counts).withColumn("n_lines", F.col("_lines.n")).withColumn("n_dup_lines", F.col("_lines.again")).drop("_lines")
 
 
 def measure_repeats(df: DataFrame, width: int = 5) -> DataFrame:
@@ -59,20 +63,18 @@ def measure_repeats(df: DataFrame, width: int = 5) -> DataFrame:
     """
     if "n_repeat_words" in df.columns:
         return df
-    df = measure_words(df)
-    words = F.col("_words")
-    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
-    df = df.withColumn("_hashes", F.when(F.size(words) > width, hashes))
-    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
-    df = df.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    s = F.col("_sorted")
-    same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
-    df = df.withColumn("_again", F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)))
-    df = df.withColumn("_places", F.sort_array(F.transform("_again", lambda x: x["i"])))
-    p = F.col("_places")
-    gaps = F.transform(p, lambda x, k: F.least(F.lit(width), F.coalesce(F.get(p, k + 1) - x, F.lit(width))))
-    df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0)).cast("long"))
-    return df.drop("_hashes", "_sorted", "_again", "_places")
+    zero = F.lit(0).cast("long")
+    same = lambda s, x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+    of_words = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    hashes = lambda w: _let(of_words(w), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)])))
+    again = lambda s: F.filter(s, lambda x, k: same(s, x, k - 1) | same(s, x, k + 1))
+    gaps = lambda p: F.transform(p, lambda x, k: F.least(F.lit(width), F.coalesce(F.get(p, k + 1) - x, F.lit(width))))
+    words_in = lambda p: F.aggregate(gaps(p), zero, lambda a, b: a + b)
+    placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    counted = lambda h: _let(placed(h), lambda s: _let(F.sort_array(F.transform(again(s), lambda x: x["i"])), words_in))
+    repeated = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(counted(h))
+    count = _let(F.col("_words"), lambda w: F.when(F.size(w) <= width, zero).otherwise(_let(hashes(w), repeated)))
+    return measure_words(df).withColumn("n_repeat_words", count)
 
 
 class Rule(NamedTuple):

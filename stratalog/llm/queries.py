@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .decontamination import decontaminate
 from .html_text import main_text
 from .jaccard_join import near_duplicates
@@ -21,6 +22,7 @@ from .token_files import read_shards, write_shards
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
