@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.decontamination import decontaminate
-from stratalog.llm.jaccard_join import near_duplicates
+from stratalog.llm.decontamination import clean_documents
+from stratalog.llm.jaccard_join import without_near_duplicates
 from stratalog.llm.packing import pack
 from stratalog.llm.pii import redacted
 from stratalog.llm.quality import kept_documents
 from stratalog.llm.queries import tokenizer_file
 from stratalog.llm.tables import written
+from stratalog.shipping import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +26,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more), the document with the least id."""
-    found = near_duplicates(docs, width=5, percent=80)
-    copies = found.where("component_id != doc_id").select(F.col("doc_id").alias("of"))
-    return docs.join(copies, F.col("doc_id") == F.col("of"), "left_anti")
+    return without_near_duplicates(docs, width=5, percent=80)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word in a benchmark window."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("of"))
-    return docs.join(hit, F.col("doc_id") == F.col("of"), "left_anti")
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textarrays import NOT_ALPHANUMERIC, Words, covered, take_ranges, text_bytes, windows, words
 
@@ -155,19 +156,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     bench = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     n_blocks = max(1, -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    kind = dict(source.dtypes)["doc_id"]
+    schema = T.StructType([*source.schema.fields, T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())])
     state = source.withColumn("hits", F.array().cast("array<struct<start:long,end:long>>")).withColumn("items", F.array().cast("array<string>"))
     for block in range(n_blocks):
         part = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
         rows = part.collect()  # one block of the query set, of bounded size
         names = np.array([r["item"] for r in rows], object)
         index = build_index(source, pa.array([r["text"] for r in rows], pa.string()), width)
-        state = state.mapInArrow(_prober(index, names), f"doc_id {kind}, text string, hits array<struct<start:long,end:long>>, items array<string>, n_words long")
+        state = state.mapInArrow(_prober(index, names), schema)
         state = state if block == n_blocks - 1 else state.drop("n_words")
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
     return state.select("doc_id", "n_words", n_hit.alias("n_hit"), "hits", F.array_sort(F.array_distinct("items")).alias("items"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_column: str = "text") -> DataFrame:
+    """The rows without a word in a benchmark window, with their columns as they were."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id")
+    found = decontaminate(docs.select(row, F.col(f"`{text_column}`").alias("text")), benchmark, width)
+    return found.where(~F.col("contaminated")).select("doc_id.*")
+
+
 def _prober(index: list[_Index], names: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
