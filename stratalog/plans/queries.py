@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import formats, predicates, statistics
+from ..functions import composition, formats, predicates, statistics
 from ..functions.languages import display_name, language_of_name, language_of_path
 from ..operators import metrics
 from ..operators.graph import closure, trees
@@ -15,6 +15,7 @@ from ..operators.sampling import Distinct, MinRatio, Random, Stratified, Top
 from ..operators.selection import Selection, classify, products
 from ..shipping import ship
 from ..sources.history import NAMES, History
+from ..sources.layouts import commit_rows, path_rows, project_rows, snapshot_rows, tree_rows, user_rows
 from ..sources.sinks import round_trip_csv
 from ..sources.tables import materialized
 from .binding import PRELUDE, SOURCES, spark_sql
@@ -487,3 +488,117 @@ def commit_figures(h: History) -> DataFrame:
     parents = h.commit_parents.groupBy("commit_id").agg(F.count(F.lit(1)).alias("parents"))
     joined = h.commits.join(changes, "commit_id", "left").join(parents, "commit_id", "left")
     return joined.select("commit_id", statistics.length(F.col("message")).alias("message_length"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("changes", "deletions", "parents")])
+
+
+# Layouts
+
+_COUNTS = "SELECT project_id, count(DISTINCT commit_id) AS commits, count(DISTINCT author_id) AS authors, count(DISTINCT committer_id) AS committers, count(DISTINCT u) AS users FROM (SELECT *, unnest([author_id, committer_id]) AS u FROM pcc) GROUP BY project_id"
+_AGE = "SELECT project_id, max(greatest(author_time, committer_time)) - min(least(author_time, committer_time)) AS lifetime FROM pcc GROUP BY project_id"
+_NO = ", ".join(f"NULL::{t} AS {c}" for c, t in {**dict.fromkeys("is_archived is_disabled has_issues has_downloads has_wiki has_pages".split(), "BOOLEAN"), **dict.fromkeys("watchers size open_issues forks subscribers updated pushed".split(), "BIGINT"), "homepage": "VARCHAR", "description": "VARCHAR"}.items())
+
+
+@of_history(
+    "SELECT p.project_id, substore, url, (j->>'fork')::BOOLEAN AS is_fork, (j->>'stargazers_count')::BIGINT AS stars, (j->>'issues_count')::BIGINT AS issues, (j->>'buggy_issues_count')::BIGINT AS buggy_issues,"
+    " CASE WHEN (j->>'issues_count') IS NULL AND (j->>'buggy_issues_count') IS NULL THEN NULL ELSE coalesce((j->>'issues_count')::BIGINT, 0) + coalesce((j->>'buggy_issues_count')::BIGINT, 0) END AS all_issues,"
+    " CASE lower(j->>'language') WHEN 'c++' THEN 'Cpp' WHEN 'python' THEN 'Python' WHEN 'perl 6' THEN 'Perl' WHEN 'rust' THEN 'Rust' END AS language, lifetime, epoch((j->>'created_at')::TIMESTAMP)::BIGINT AS created, 'main' AS default_branch, j->'license'->>'name' AS license,"
+    f" {_NO}, heads, commits, authors, committers, users FROM projects p LEFT JOIN (SELECT project_id, json::JSON AS j FROM project_metadata) USING (project_id) LEFT JOIN ({_AGE}) USING (project_id) LEFT JOIN (SELECT project_id, count(*) AS heads FROM project_heads GROUP BY project_id) USING (project_id) LEFT JOIN ({_COUNTS}) USING (project_id)"
+)
+def project_layout(h: History) -> DataFrame:
+    return project_rows(h)
+
+
+@query()
+def project_layout_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All figures of a project in one row; each column has a query of its own with SQL."""
+    return project_rows(history(spark, sf_dir), extended=True)
+
+
+@of_history("SELECT user_id, email, coalesce(authored, 0) AS authored_commits, coalesce(committed, 0) AS committed_commits, author_experience, committer_experience, greatest(last, cl) - least(first, cf) AS experience FROM users LEFT JOIN (SELECT author_id AS user_id, max(author_time) - min(author_time) AS author_experience, min(author_time) AS first, max(author_time) AS last, count(*) AS authored FROM commits GROUP BY author_id) USING (user_id) LEFT JOIN (SELECT committer_id AS user_id, max(committer_time) - min(committer_time) AS committer_experience, min(committer_time) AS cf, max(committer_time) AS cl, count(*) AS committed FROM commits GROUP BY committer_id) USING (user_id)")
+def user_layout(h: History) -> DataFrame:
+    return user_rows(h)
+
+
+@of_history("SELECT commit_id, hash, committer_id, author_id, coalesce(parent_ids, '') AS parent_ids, coalesce(parent_count, 0) AS parent_count, author_time AS author_timestamp, committer_time AS committer_timestamp, coalesce(changed_paths, '') AS changed_paths, coalesce(changed_path_count, 0) AS changed_path_count, message, strlen(message)::BIGINT AS message_length FROM commits LEFT JOIN (SELECT commit_id, string_agg(parent_id, ' ' ORDER BY pos) AS parent_ids, count(*) AS parent_count FROM commit_parents GROUP BY commit_id) USING (commit_id) LEFT JOIN (SELECT commit_id, string_agg(path_id, ' ' ORDER BY path_id) AS changed_paths, count(*) AS changed_path_count FROM commit_changes GROUP BY commit_id) USING (commit_id)")
+def commit_layout(h: History) -> DataFrame:
+    rows = commit_rows(h, extended=True)
+    return rows.withColumns({c: F.array_join(F.col(c).cast("array<string>"), " ") for c in ("parent_ids", "changed_paths")})
+
+
+@of_history("SELECT path_id, location AS path, CASE regexp_extract(location, '(^|/)[^/]+[.]([^./]*)$', 2) WHEN 'py' THEN 'Python' WHEN 'c' THEN 'C' WHEN 'C' THEN 'Cpp' WHEN 'rs' THEN 'Rust' WHEN 'js' THEN 'JavaScript' WHEN 'zzz' THEN 'Other' END AS language FROM paths")
+def path_layout(h: History) -> DataFrame:
+    return path_rows(h)
+
+
+@of_history("SELECT snapshot_id, contents AS content FROM snapshots")
+def snapshot_layout(h: History) -> DataFrame:
+    return snapshot_rows(h)
+
+
+@of_history(f"SELECT seed AS commit_id, hash AS commit_hash, path_id, location AS path, snapshot_id FROM {_TREE} JOIN commits ON commit_id = seed JOIN paths USING (path_id)")
+def tree_layout(h: History) -> DataFrame:
+    heads = h.project_heads.select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node"))
+    reached = closure(h.commit_parents.select(F.col("commit_id").alias("a"), F.col("parent_id").alias("b")), heads)
+    return tree_rows(h, trees(reached, h.commit_changes, deletions=True).withColumnRenamed("seed", "commit_id")).drop("language")
+
+
+# Composition
+
+
+@of_history("SELECT project_id, count(*) FILTER (author_experience >= 63072000) AS experienced, count(*) AS authors FROM (SELECT DISTINCT project_id, author_id FROM pcc WHERE author_id IS NOT NULL) JOIN (SELECT author_id, max(author_time) - min(author_time) AS author_experience FROM commits GROUP BY author_id) USING (author_id) GROUP BY project_id HAVING count(*) >= 2 AND 2 * count(*) FILTER (author_experience >= 63072000) >= count(*)")
+def experienced_authors(h: History) -> DataFrame:
+    """Projects of two authors or more, at least half of whom have two years of experience."""
+    authors = metrics.user_projects(h).join(metrics.user_times(h), "user_id").groupBy("project_id").agg(F.collect_list(F.struct("user_id", "author_experience")).alias("people"))
+    chosen = composition.from_each_if(F.col("people"), lambda u: predicates.at_least(u["author_experience"], formats.duration(years=2), missing=False))
+    rows = authors.select("project_id", F.size(chosen).cast("long").alias("experienced"), F.size("people").cast("long").alias("authors"))
+    return rows.where((F.col("authors") >= 2) & (2 * F.col("experienced") >= F.col("authors")))
+
+
+@of_history("SELECT commit_id, path_id, ch.snapshot_id FROM commit_changes ch LEFT JOIN snapshots s ON s.snapshot_id = ch.snapshot_id WHERE ch.snapshot_id IS NULL OR s.snapshot_id IS NOT NULL")
+def changes_with_contents(h: History) -> DataFrame:
+    """Deletions, and changes whose snapshot has stored contents."""
+    stored = h.snapshots.select(F.col("snapshot_id").alias("stored"))
+    return h.commit_changes.join(stored, F.col("snapshot_id") == F.col("stored"), "left").where("snapshot_id IS NULL OR stored IS NOT NULL").drop("stored")
+
+
+@of_history("SELECT commit_id, a.email AS author, c.email AS committer FROM commits LEFT JOIN users a ON a.user_id = author_id LEFT JOIN users c ON c.user_id = committer_id")
+def commit_people(h: History) -> DataFrame:
+    """The author's and the committer's address."""
+    person = lambda role: h.users.select(F.col("user_id").alias(f"{role}_of"), F.col("email").alias(role))
+    rows = h.commits.join(person("author"), F.col("author_id") == F.col("author_of"), "left").join(person("committer"), F.col("committer_id") == F.col("committer_of"), "left")
+    return rows.select("commit_id", "author", "committer")
+
+
+# The published selections: groups by language, an order, and 50 of each that share at most nine tenths of their commits
+
+
+def _published(name: str, order: Callable[[History], DataFrame] | None, condition: Callable[[History], DataFrame] | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        h = history(spark, sf_dir)
+        ids = h.project_commits.groupBy("project_id").agg(F.collect_set("commit_id").alias("commit_ids"))
+        rows = h.projects.select("project_id", "url", "segment", "stars").join(ids, "project_id", "left")
+        if condition:
+            rows = rows.join(condition(h).select("project_id"), "project_id", "left_semi")
+        rows = rows.join(order(h).toDF("project_id", "figure"), "project_id", "left") if order else rows.withColumn("figure", F.col("stars"))
+        chosen = Selection.of(rows, "project_id").group_by(language=F.col("segment")).sort_by(F.col("figure")).sample(MinRatio(50, "commit_ids", 0.9, "project_id"))
+        return chosen.map_into("project_id", "url", "figure")
+
+    QUERIES[f"published_{name}"] = run
+
+
+def _each(of: str, statistic: Callable[[Column], Column]) -> Callable[[History], DataFrame]:
+    def figures(h: History) -> DataFrame:
+        paths = h.commit_changes.groupBy("commit_id").agg(F.countDistinct("path_id").alias("paths"))
+        rows = h.full_commits.join(paths, "commit_id", "left").select("project_id", (F.coalesce("paths", F.lit(0)) if of == "paths" else statistics.length(F.col("message"))).alias("v"))
+        return rows.groupBy("project_id").agg(statistic(F.col("v")).alias("figure"))
+
+    return figures
+
+
+_published("stars", None)
+_published("mean_changed_paths", _each("paths", F.avg))
+_published("median_changed_paths", _each("paths", F.median))
+_published("experienced_author", lambda h: metrics.counts(h).select("project_id", "commits"), lambda h: metrics.user_projects(h).join(metrics.user_times(h).where("experience >= 63072000"), "user_id"))
+_published("experienced_authors_ratio", lambda h: metrics.counts(h).select("project_id", F.lit(0)), experienced_authors)
+_published("mean_message_sizes", _each("message", F.avg))
+_published("median_message_sizes", _each("message", F.median))
+_published("commits", lambda h: metrics.counts(h).select("project_id", "commits"))
