@@ -95,20 +95,20 @@ def _grow(blob: memoryview | bytes) -> np.ndarray:
     return values
 
 
-def _encode(keys: np.ndarray, bits: int) -> bytes:
-    """Sorted keys that share their top `bits` bits: counts by the next bits up to 16, then the low 48 bits of each."""
+def _encode(keys: np.ndarray, bits: int, low_bytes: int) -> bytes:
+    """Sorted keys that share their top `bits` bits: counts by the next bits up to 16, then the next low_bytes bytes of each."""
     sub = ((keys >> np.uint64(64 - _TOP_BITS)) & np.uint64((1 << (_TOP_BITS - bits)) - 1)).astype(np.int64)
     counts = _shrink(np.bincount(sub, minlength=1 << (_TOP_BITS - bits)))
-    low = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6]
+    low = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 6 - low_bytes : 6]
     return len(counts).to_bytes(4, "little") + counts + low.tobytes()
 
 
-def _decode(blob: memoryview, bucket: int, bits: int) -> np.ndarray:
+def _decode(blob: memoryview, bucket: int, bits: int, low_bytes: int) -> np.ndarray:
     size = int.from_bytes(blob[:4], "little")
     counts = _grow(blob[4 : 4 + size]).astype(np.int64)
-    low = np.frombuffer(blob, np.uint8, offset=4 + size).reshape(-1, 6)
+    low = np.frombuffer(blob, np.uint8, offset=4 + size).reshape(-1, low_bytes)
     full = np.zeros((len(low), 8), np.uint8)
-    full[:, :6] = low
+    full[:, 6 - low_bytes : 6] = low
     top = np.repeat(np.arange(len(counts), dtype=np.uint64), counts) | np.uint64(bucket << (_TOP_BITS - bits))
     return full.view(np.uint64).ravel() | (top << np.uint64(64 - _TOP_BITS))
 
@@ -119,12 +119,14 @@ def answers(
     answer: Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray]], tuple],
     sum_values: tuple[str, ...] = (),
     dictionary: str | None = None,
+    low_bytes: int = 6,
 ) -> DataFrame:
     """For each chunk and bucket: the answers to the chunk's items, as a list of blobs, and `extra`, numbers the bucket reports once.
 
     items(table): the chunk's distinct hashes, sorted, and named values of the same length, none negative.
     answer(sorted distinct hashes, index into them for each entry, values): arrays, one number for each entry, then a list
     of the bucket's own numbers. dictionary: a value that holds 64-bit ids (any sign), sent as a list of its distinct ones.
+    low_bytes: with 6, all 64 bits of a hash count; with fewer, 16 bits and so many bytes, for counts that need not be exact.
     """
     n_entries = (chunks.agg(F.sum("n_bytes")).first()[0] or 0) // 5 + 1
     bits = min(12, max(0, int(np.ceil(np.log2(max(1, n_entries / BUCKET_ENTRIES))))))
@@ -149,7 +151,7 @@ def answers(
                         blobs.append(_shrink(part))
                     out["bucket"].append(b)
                     out["chunk"].append(batch.column("chunk")[k].as_py())
-                    out["keys"].append(_encode(keys[low:high], bits))
+                    out["keys"].append(_encode(keys[low:high], bits, low_bytes))
                     out["vals"].append(blobs)
                     if len(out["keys"]) >= 64:
                         yield pa.RecordBatch.from_pydict(out, schema=sent)
@@ -162,7 +164,7 @@ def answers(
         chunk, keys, values, sizes = [], [], {}, []
         for batch in batches:
             for k in range(batch.num_rows):
-                part = _decode(memoryview(batch.column("keys")[k].as_buffer()), bucket, bits)
+                part = _decode(memoryview(batch.column("keys")[k].as_buffer()), bucket, bits, low_bytes)
                 blobs = [memoryview(b.as_buffer()) for b in batch.column("vals")[k]]
                 for name in names:
                     ids = np.frombuffer(blobs.pop(0), np.int64) if name == dictionary else None

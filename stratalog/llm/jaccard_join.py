@@ -6,9 +6,10 @@ n-grams; n-grams of a single document are left out there. Candidates are joined
 by the place of the first shared n-gram, and by how many n-grams the sets have in each part between fixed pivots of the
 order of hashes (a suffix filter); what is left is verified once for each pair.
 
-Pairs within a component need no check. So for the first rounds each prefix n-gram's classes are compared only with one
-centre, drawn anew in each round; most of a large group of near copies is linked to its centre at once. Then all pairs of
-classes of different components are compared. No link between components is lost.
+Pairs within a component need no check. So each prefix n-gram's classes are first compared only with a centre, the class
+with the fewest n-grams of its own; most of a large group of near copies is linked to its centre at once. Then all pairs
+of classes of different components are compared, those of the centre's component only with the others. No link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -22,12 +23,25 @@ from pyspark.sql import functions as F
 
 from .chunks import answers, pack, read_answers, unpack, with_answers
 from .components import components
-from .tables import written
+from .tables import with_row_key, written
 from .textarrays import WHITESPACE, mix, salted, take_ranges, text_bytes, windows, words
 
 _NO_ID = -(1 << 63)
 _PARTS = 16
-_ROUNDS = 6
+#: Row keys, of 8 bytes each, that may be broadcast.
+_FEW = 2_000_000
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """The top 48 bits of sorted hashes. Within two sets of a thousand each, two n-grams share them with a chance of 4e-9."""
+    return np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(blob: pa.Buffer) -> np.ndarray:
+    low = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    full = np.zeros((len(low), 8), np.uint8)
+    full[:, 2:] = low
+    return full.view(np.uint64).ravel()
 
 
 def _sets(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +67,7 @@ def _document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     their chunk: tokens (prefix n-grams, rarest first), places, parts (n-grams by pivot), grams (sorted n-grams that
     another document has)."""
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("text"))
-    chunks = pack(source, ["id"])
+    chunks = pack(source, ["id"], chunk_bytes=3 << 20)
 
     def items(table: pa.Table):
         _, gram, _ = _sets(table, width)
@@ -95,13 +109,13 @@ def _document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     grams = gram[edges[d] : edges[d + 1]]
                     tokens = grams[rare[d] : prefix[d]].view(np.int64)
                     parts = np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=_PARTS)
-                    row = (*row[:3], tokens, np.arange(rare[d], prefix[d], dtype=np.int32), parts.astype(np.int32), np.sort(grams[rare[d] :]).tobytes())
+                    row = (*row[:3], tokens, np.arange(rare[d], prefix[d], dtype=np.int32), parts.astype(np.int32), _packed(np.sort(grams[rare[d] :])))
                 for name, value in zip(schema.names, row, strict=True):
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("parts", pa.list_(pa.int32())), ("grams", pa.binary())])
-    replies = answers(chunks, items, answer, sum_values=("n",))
+    replies = answers(chunks, items, answer, sum_values=("n",), low_bytes=4)
     return written(with_answers(chunks, replies).mapInArrow(build, "id long, n long, class long, tokens array<long>, places array<int>, parts array<int>, grams binary"))
 
 
@@ -124,7 +138,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             out = np.zeros(batch.num_rows, bool)
             total = batch.column("n_x").to_numpy() + batch.column("n_y").to_numpy()
             for k in range(batch.num_rows):
-                s, t = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("s", "t"))
+                s, t = (_unpacked(batch.column(c)[k].as_buffer()) for c in ("s", "t"))
                 shared = len(np.intersect1d(s, t, assume_unique=True))
                 out[k] = 100 * shared >= percent * (total[k] - shared)
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(out)], names=["x", "y", "linked"])
@@ -133,11 +147,19 @@ def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return tested.where("linked").select("x", "y")
 
 
-def _filtered(joined: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs of joined prefix n-grams that pass the length and positional filters."""
-    long_enough = F.expr(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    pairs = joined.where(long_enough).groupBy("x", "y", "n_x", "n_y").agg(F.min("place_x").alias("i"), F.min("place_y").alias("j"))
-    return pairs.where(F.expr("least(n_x - i, n_y - j)") >= _needed(percent)).select("x", "y", "n_x", "n_y")
+def _possible(percent: int) -> str:
+    """Different components, and the length and positional filters, for a pair that meets at an n-gram.
+
+    What two sets can share is bounded by what is left of either from the first n-gram they share. A similar pair meets at
+    that one, where the bound holds; at a later one it may fail, which only spares a repetition of the pair.
+    """
+    shared = "least(n_x - place_x, n_y - place_y)"
+    return f"label_x != label_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) and {100 + percent} * ({shared}) >= {percent} * (n_x + n_y)"
+
+
+def _distinct(joined: DataFrame) -> DataFrame:
+    """Each candidate pair once, however many n-grams it meets at."""
+    return joined.select("x", "y", "n_x", "n_y").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -151,10 +173,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     every = _document_sets(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), width, percent)
     labels = _class_labels(every, percent)
     classes = every.where("n > 0").groupBy("class").agg(F.min("id").alias("least"))
-    if labels is not None:
-        named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        least = named.groupBy("label").agg(F.min("least").alias("component"))
-        classes = named.join(least, "label").select("class", F.col("component").alias("least"))
+    named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    least = named.groupBy("label").agg(F.min("least").alias("component"))
+    classes = named.join(least, "label").select("class", F.col("component").alias("least"))
     classes = classes.withColumnRenamed("class", "of")
     out = every.where("n > 0").select("id", "n", "class").join(classes, F.col("class") == F.col("of")).drop("of")
     out = out.unionByName(every.where("n = 0").select("id", "n", "class", F.col("id").alias("least")))
@@ -162,37 +183,48 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     return out.select(given("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class", given("least").alias("component_id"))
 
 
-def _class_labels(every: DataFrame, percent: int) -> DataFrame | None:
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Of each component the row with the least id (of several, one), with its columns as they were; other rows go.
+
+    Documents without words stay: they are linked with nothing.
+    """
+    keyed = with_row_key(docs, "_key")
+    found = near_duplicates(keyed.select("_key", F.col(f"`{text_column}`").alias("text")), width, percent, "_key", "text")
+    groups = written(found.where("component_id != doc_id").select("component_id", F.col("doc_id").alias("_member")))
+    members = groups.unionByName(groups.select("component_id", F.col("component_id").alias("_member")).distinct())
+    ids = members.join(keyed.select("_key", F.col(f"`{id_column}`").alias("_id")), F.col("_member") == F.col("_key"))
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_member")).alias("first"))
+    gone = written(members.join(first.select(F.col("first._member").alias("_kept")), F.col("_member") == F.col("_kept"), "left_anti").select("_member"))
+    gone = F.broadcast(gone) if gone.count() <= _FEW else gone  # else both sides are shuffled
+    return keyed.join(gone, F.col("_key") == F.col("_member"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _class_labels(every: DataFrame, percent: int) -> DataFrame:
     """(node, label) of all classes that have a link to another class."""
     first = every.where("grams is not null").groupBy("class").agg(F.first(F.struct("n", "tokens", "places", "parts", "grams")).alias("s"))
     nodes = written(first.select("class", "s.*"))
-    flat = nodes.select("class", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("class", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
+    flat = nodes.select("class", "n", F.col("places")[0].alias("own"), F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("class", "n", "own", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
     shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("token")
     entries = written(flat.join(shared, "token"))
-    labels, links = None, None
-    for turn in range(_ROUNDS):
-        current = entries if labels is None else entries.join(labels.withColumnRenamed("node", "class"), "class", "left")
-        current = current.withColumn("label", F.col("class") if labels is None else F.coalesce("label", "class"))
-        by_label = current.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-        open_pairs = by_label.groupBy("token").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("inner"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        left = written(open_pairs)
-        work = left.agg(F.sum(F.expr("(all * all - inner) / 2")), F.sum("all")).first()
-        if not work[0]:
-            return labels
-        last = turn == _ROUNDS - 1 or work[0] <= 4 * work[1]
-        current = current.join(left.select("token"), "token")
-        x = current.select("token", F.col("class").alias("x"), F.col("n").alias("n_x"), F.col("place").alias("place_x"), F.col("label").alias("label_x"))
-        if last:
-            y = current.select("token", F.col("class").alias("y"), F.col("n").alias("n_y"), F.col("place").alias("place_y"), F.col("label").alias("label_y"))
-            joined = x.join(y, "token").where("x < y and label_x != label_y")
-        else:
-            centre = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), F.col("class").alias("y"), F.col("n").alias("n_y"), F.col("place").alias("place_y"), F.col("label").alias("label_y")))
-            y = current.groupBy("token").agg(centre.alias("c")).select("token", "c.*")
-            joined = x.join(y, "token").where("label_x != label_y")
-        pairs = _filtered(joined, percent)
-        found = written(_verify(pairs, nodes, percent))
-        links = found if links is None else links.unionByName(found)
-        labels = written(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-        if last:
-            return labels
-    return labels
+    names = ("class", "n", "place", "label")
+    x, y = ([F.col(c).alias(v if c == "class" else f"{c}_{v}") for c in names] for v in "xy")
+    single = entries.withColumn("label", F.col("class"))
+    centre = F.min(F.struct("own", F.struct(*y).alias("y"))).alias("c")
+    centres = single.groupBy("token").agg(centre).select(F.col("token").alias("of"), "c.y.*")
+    pairs = _distinct(single.select("token", *x).join(centres, F.expr(f"token = of and {_possible(percent)}")))
+    links = written(_verify(pairs, nodes, percent))
+    labels = written(_labels_of(links))
+
+    now = entries.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    now = written(now)
+    major = F.min(F.struct("own", "class", "label"))["label"].alias("major")
+    ends = now.groupBy("token").agg(major, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(F.col("token").alias("of"), "major")
+    open_entries = written(now.join(ends, F.col("token") == F.col("of")).drop("of"))
+    inner = open_entries.select(F.col("token").alias("of"), (F.col("label") == F.col("major")).alias("central"), *y)
+    outer = open_entries.where("label != major").select("token", *x)
+    pairs = _distinct(outer.join(inner, F.expr(f"token = of and (central or x < y) and {_possible(percent)}")))
+    return written(_labels_of(links.unionByName(written(_verify(pairs, nodes, percent)))))
+
+
+def _labels_of(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
