@@ -13,7 +13,10 @@ from ..functions.statistics import present
 from .history import NAMES, History
 
 #: Quotes double inside quoted texts; an empty text is quoted and so stays apart from a missing one.
-_CSV = {"header": "true", "escape": '"', "quoteAll": "false", "emptyValue": '""', "nullValue": ""}
+_CSV = {"header": "true", "escape": '"', "quoteAll": "false", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+_WRITE = _CSV | {"emptyValue": '""'}
+#: What a quoted empty text is read as, to tell it from a missing one; no text of ours has these control characters.
+_EMPTY = "\x02empty\x03"
 
 
 def flat(rows: DataFrame) -> DataFrame:
@@ -32,7 +35,7 @@ def flat(rows: DataFrame) -> DataFrame:
 
 def into_csv(rows: DataFrame, path: str, single_file: bool = False) -> None:
     """Write rows with a header, by all tasks; single_file is for small results."""
-    (flat(rows).coalesce(1) if single_file else flat(rows)).write.options(**_CSV).csv(path)
+    (flat(rows).coalesce(1) if single_file else flat(rows)).write.options(**_WRITE).csv(path)
 
 
 def round_trip_csv(rows: DataFrame) -> DataFrame:
@@ -42,8 +45,9 @@ def round_trip_csv(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     materialized(spark.range(0))
     path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/csv-{uuid.uuid4().hex}"
-    rows.write.options(**_CSV, lineSep="\r\n").csv(path)
-    return spark.read.schema(rows.schema).options(**_CSV, multiLine="true").csv(path)
+    rows.write.options(**_WRITE, lineSep="\r\n").csv(path)
+    read = spark.read.schema(rows.schema).options(**_CSV, emptyValue=_EMPTY, multiLine="true").csv(path)
+    return read.select(*[F.when(F.col(c) != _EMPTY, F.col(c)).when(F.col(c) == _EMPTY, "").alias(c) if kind == "string" else F.col(c) for c, kind in read.dtypes])
 
 
 def ids_from_csv(spark, path: str, column: str) -> DataFrame:
