@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textarrays import NOT_ALPHANUMERIC, Words, covered, take_ranges, text_bytes, windows, words
+from .tokenizing import blocks
 
 #: Bytes of benchmark texts whose index is sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
@@ -32,6 +33,13 @@ def _words(column: pa.Array | pa.ChunkedArray) -> Words:
     return words(*text_bytes(column), NOT_ALPHANUMERIC, lower=True)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about 2 MB of text, so that a worker's arrays stay small; a longer text is a part of its own."""
+    for batch in batches:
+        for low, high in blocks(text_bytes(batch.column("text"))[1]):
+            yield batch.slice(low, high - low)
+
+
 class _Windows(NamedTuple):
     """Distinct item windows by length: their words' hashes (a row each), and which items have which window."""
 
@@ -68,7 +76,7 @@ def document_frequency(docs: DataFrame, tokens: dict[int, np.ndarray]) -> dict[i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {k: np.zeros(len(v), np.int64) for k, v in tokens.items()}
-        for batch in batches:
+        for batch in _slices(batches):
             found = _words(batch.column("text"))
             doc = found.doc
             for k, known in tokens.items():
@@ -146,16 +154,10 @@ def probe(found: Words, index: list[_Index]) -> tuple[np.ndarray, np.ndarray, np
     return hit, np.concatenate(docs), np.concatenate(items)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, hits (runs of words in a benchmark window), items (ids, sorted) and contaminated.
-
-    Words are runs of letters, digits and all non-ASCII characters, A-Z in lower case. A null or empty text has none, nor
-    has an item without words any window. A null item id is the empty string; items of one id are one item. Rows that share
-    a document id are judged apart. An empty benchmark hits nothing. Other columns are ignored.
-    """
+def _probed(source: DataFrame, benchmark: DataFrame, width: int, item_column: str, item_text: str, block_bytes: int) -> DataFrame:
+    """source (doc_id, text) with hits, items and n_words."""
     bench = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     n_blocks = max(1, -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     schema = T.StructType([*source.schema.fields, T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())])
     state = source.withColumn("hits", F.array().cast("array<struct<start:long,end:long>>")).withColumn("items", F.array().cast("array<string>"))
     for block in range(n_blocks):
@@ -165,20 +167,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
         index = build_index(source, pa.array([r["text"] for r in rows], pa.string()), width)
         state = state.mapInArrow(_prober(index, names), schema)
         state = state if block == n_blocks - 1 else state.drop("n_words")
+    return state
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, hits (runs of words in a benchmark window), items (ids, sorted) and contaminated.
+
+    Words are runs of letters, digits and all non-ASCII characters, A-Z in lower case. A null or empty text has none, nor
+    has an item without words any window. A null item id is the empty string; items of one id are one item. Rows that share
+    a document id are judged apart. An empty benchmark hits nothing. Other columns are ignored.
+    """
+    state = _probed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), benchmark, width, item_column, item_text, block_bytes)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
     return state.select("doc_id", "n_words", n_hit.alias("n_hit"), "hits", F.array_sort(F.array_distinct("items")).alias("items"), (F.size("hits") > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_column: str = "text") -> DataFrame:
     """The rows without a word in a benchmark window, with their columns as they were."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id")
-    found = decontaminate(docs.select(row, F.col(f"`{text_column}`").alias("text")), benchmark, width)
-    return found.where(~F.col("contaminated")).select("doc_id.*")
+    names = [c for c in docs.columns if c != text_column]
+    others = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("doc_id")
+    found = _probed(docs.select(others, F.col(f"`{text_column}`").alias("text")), benchmark, width, "item_id", "text", BLOCK_BYTES).where(F.size("hits") == 0)
+    return found.select(*[F.col("text").alias(c) if c == text_column else F.col("doc_id").getField(f"c{names.index(c)}").alias(c) for c in docs.columns])
 
 
 def _prober(index: list[_Index], names: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = _words(batch.column("text"))
             hit, doc, item = probe(found, index)
             hits, items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
