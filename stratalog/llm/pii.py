@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import with_row_key, written
+from .tables import written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -75,7 +75,7 @@ def _spans(text: Column, kind: str, form: str, needs: str | None) -> Column:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base spans by kind, and candidate spans that touch no base span."""
+    """doc_id, base spans by kind, and candidate spans that touch no base span."""
     text = F.coalesce(F.col("text"), F.lit(""))
     passing = lambda k: lambda s: _passes(k, s["value"])
     base = F.concat(*[F.filter(_spans(text, k, _FORMS[k], _NEEDS[k]), passing(k)) for k in KINDS])
@@ -83,7 +83,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     loose = F.concat(*[F.when(F.lit(True) if k == "email" else digits, _spans(text, k, _LOOSE[k], "at" if k == "email" else None)).otherwise(F.array().cast(f"array<{_SPAN}>")) for k in KINDS])
     df = docs.select("doc_id", base.alias("base"), loose.alias("loose"))
     free = F.filter("loose", lambda c: (c["left"] != "") & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", free.alias("loose"))
+    return df.select("doc_id", "base", free.alias("loose"))
 
 
 def _standing(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -129,14 +129,13 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     found = written(_occurrences(source))
-    patterns = learnt_patterns(source, found)
-    loose = found.select("row", F.explode("loose").alias("s")).select("row", "s.*")
-    marked = loose.join(patterns, ["left", "kind"]).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("new")).withColumnRenamed("row", "of")
-    all_spans = found.join(marked, F.col("row") == F.col("of"), "left")
+    learnt = learnt_patterns(source, found).select("left", "kind").collect()  # at most len(KINDS) ** 2 / share rows
+    marks = F.array(*[F.lit(f"{r['kind']} {r['left']}") for r in learnt]).cast("array<string>")
+    new = F.filter("loose", lambda c: F.array_contains(marks, F.concat_ws(" ", c["kind"], c["left"])))
     short = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     by_kind = lambda c: F.transform(F.array_sort(F.transform(c, lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), short)
     base = F.transform("base", short)
-    return all_spans.select("doc_id", base.alias("base"), by_kind(F.concat(base, F.coalesce("new", F.array().cast("array<struct<kind:string,start:long,end:long>>")))).alias("spans"))
+    return found.select("doc_id", base.alias("base"), by_kind(F.concat(base, F.transform(new, short))).alias("spans"))
 
 
 def as_text(spans: Column) -> Column:
@@ -146,12 +145,13 @@ def as_text(spans: Column) -> Column:
 def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows with each span replaced by its kind in angle brackets; overlapping spans become one, of the first's kind.
 
-    All columns stay as they were; a null text stays null.
+    All columns stay as they were; a null text stays null. Rows travel with their spans, so no text is shuffled.
     """
     columns = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    source = with_row_key(docs, "_key").select(F.col("_key").alias("key"), F.col(f"`{text_column}`").alias("text"), row.alias("row"))
-    spans = find_pii(source, "key").select(F.col("doc_id").alias("of"), "spans").where(F.size("spans") > 0)
+    at = columns.index(text_column)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    found = find_pii(docs.select(row.alias("row"), F.col(f"`{text_column}`").alias("text")), "row")
+    rows = found.select(F.col("doc_id").alias("row"), F.col(f"doc_id.c{at}").alias("text"), "spans")
 
     def put(a: Column, s: Column) -> Column:
         tagged = F.concat(a["out"], F.substring(F.col("text"), a["pos"] + 1, s["start"] - a["pos"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
@@ -159,6 +159,5 @@ def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["kind"].alias("kind"))))
     clean = F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["pos"] + 1, F.length("text"))))
-    joined = source.join(spans, F.col("key") == F.col("of"), "left")
-    text = F.when(F.col("of").isNull(), F.col("text")).otherwise(clean)
-    return joined.select(*[(text if c == text_column else F.col("row").getField(c)).alias(c) for c in columns])
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(clean)
+    return rows.select(*[(text if k == at else F.col("row").getField(f"c{k}")).alias(c) for k, c in enumerate(columns)])
