@@ -86,24 +86,31 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "base", free.alias("loose"))
 
 
-def _standing(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(left, standing): how often each pattern's words stand side by side in the corpus. The patterns' number is bounded."""
+def _standing(docs: DataFrame, patterns: DataFrame, slots: int = 1 << 16) -> DataFrame:
+    """(left, standing): how often each pattern's words stand side by side in the corpus.
+
+    Each pattern sets one of `slots` bytes, by a hash. Words whose byte isn't set are no pattern; all others are counted
+    before they meet the patterns, so neither the patterns' number nor a frequent one weighs on a task.
+    """
+    slot = F.pmod(F.xxhash64("left"), F.lit(slots)).cast("int")
+    taken = bytearray(slots)
+    for r in patterns.select(slot.alias("slot")).distinct().collect():  # at most `slots` rows
+        taken[r["slot"]] = 1
     words = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\s+"), lambda w: w != "")
     pairs = docs.select(words.alias("w")).select(F.explode(F.expr("transform(sequence(1, greatest(1, size(w) - 1)), i -> concat_ws(' ', try_element_at(w, i), try_element_at(w, i + 1)))")).alias("left"))
-    return pairs.join(F.broadcast(patterns), "left", "left_semi").groupBy("left").agg(F.count(F.lit(1)).alias("standing"))
+    some = pairs.where(F.substring(F.lit(taken), slot + 1, F.lit(1)) == F.lit(bytearray(b"\1")))
+    return some.groupBy("left").agg(F.count(F.lit(1)).alias("standing")).join(patterns, "left", "left_semi")
 
 
-def learnt_patterns(docs: DataFrame, occurrences: DataFrame, rounds: int = 3, seeds: int = 3, share: float = 0.005, confidence: float = 0.6) -> DataFrame:
+def learnt_patterns(docs: DataFrame, occurrences: DataFrame, rounds: int = 3, seeds: int = 3, confidence: float = 0.6) -> DataFrame:
     """(left, kind, confidence) of the patterns that mark candidates.
 
-    Such a pattern stands before at least `seeds` distinct seeds of the kind, and before at least `share` of them, and has
-    the confidence. So at most len(KINDS) / share patterns are ever looked up in the corpus.
+    Such a pattern stands before at least `seeds` distinct seeds of the kind and has the confidence.
     """
     spans = occurrences.select(F.explode(F.concat(F.transform("base", lambda s: F.struct(s["left"].alias("left"), s["kind"].alias("kind"), F.lower(s["value"]).alias("instance"), F.lit(True).alias("seed"))), F.transform("loose", lambda s: F.struct(s["left"].alias("left"), s["kind"].alias("kind"), F.lower(s["value"]).alias("instance"), F.lit(False).alias("seed"))))).alias("s")).select("s.*")
     edges = written(spans.where("left != ''").groupBy("left", "kind", "instance").agg(F.max("seed").alias("seed")))
-    of_kind = edges.where("seed").groupBy("kind").agg(F.countDistinct("instance").alias("all"))
-    strong = edges.where("seed").groupBy("left", "kind").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(of_kind), "kind")
-    rich = written(strong.where((F.col("n") >= seeds) & (F.col("n") >= share * F.col("all"))).select("left").distinct())
+    strong = edges.where("seed").groupBy("left", "kind").agg(F.count(F.lit(1)).alias("n"))
+    rich = written(strong.where(F.col("n") >= seeds).select("left").distinct())
     if rich.isEmpty():
         return edges.select("left", "kind", F.lit(1.0).alias("confidence")).limit(0)
     edges = edges.join(rich, "left")
@@ -128,14 +135,15 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     gives an empty one. Other columns are ignored.
     """
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    found = written(_occurrences(source))
-    learnt = learnt_patterns(source, found).select("left", "kind").collect()  # at most len(KINDS) ** 2 / share rows
-    marks = F.array(*[F.lit(f"{r['kind']} {r['left']}") for r in learnt]).cast("array<string>")
-    new = F.filter("loose", lambda c: F.array_contains(marks, F.concat_ws(" ", c["kind"], c["left"])))
+    found = written(_occurrences(source).withColumn("key", F.monotonically_increasing_id()))
+    learnt = written(learnt_patterns(source, found).select("left", "kind"))
+    candidates = found.select("key", F.explode("loose").alias("s")).select("key", "s.left", "s.kind", "s.start", "s.end")
+    marks = written(candidates.join(learnt, ["left", "kind"]).groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("new")))
+    new = F.coalesce("new", F.array().cast("array<struct<kind:string,start:long,end:long>>"))
     short = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     by_kind = lambda c: F.transform(F.array_sort(F.transform(c, lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), short)
     base = F.transform("base", short)
-    return found.select("doc_id", base.alias("base"), by_kind(F.concat(base, F.transform(new, short))).alias("spans"))
+    return found.join(marks, "key", "left").select("doc_id", base.alias("base"), by_kind(F.concat(base, new)).alias("spans"))
 
 
 def as_text(spans: Column) -> Column:
@@ -145,7 +153,8 @@ def as_text(spans: Column) -> Column:
 def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows with each span replaced by its kind in angle brackets; overlapping spans become one, of the first's kind.
 
-    All columns stay as they were; a null text stays null. Rows travel with their spans, so no text is shuffled.
+    All columns stay as they were; a null text stays null. Rows travel with their spans; new spans join them by a
+    row number, and Spark shuffles texts for that only where the new spans are too many to broadcast.
     """
     columns = docs.columns
     at = columns.index(text_column)

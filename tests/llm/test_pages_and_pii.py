@@ -71,6 +71,16 @@ def test_contexts_reveal_other_identifiers(spark):
     assert all(found[k].spans == found[k].base and len(found[k].base) == 1 for k in range(20))
 
 
+def test_a_context_is_learnt_in_any_number_of_seeds(spark):
+    rows = [(k, f"w{k} v{k} +1 (803) 555-{1000 + k} end") for k in range(1200)]
+    rows += [(2000 + k, f"please ring bob: +1 (803) 556-{1000 + k} end") for k in range(3)] + [(3000, "please ring bob: 803-555-7777 end"), (3001, "please ring ann: 803-555-7777 end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: x for x in find_pii(docs).collect()}
+    assert len(found) == len(rows) and [tuple(s) for s in found[3000].spans] == [("phone", 17, 29)] and not found[3001].spans
+    assert all(len(found[k].spans) == 1 for k in range(1200))
+    assert {r.text for r in redacted(docs).where("doc_id >= 3000").collect()} == {"please ring bob: <PHONE> end", rows[-1][1]}
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail é a@b.cd, 1.2.3.4 end", "k"), (2, None, "k"), (2, "clean", "k")], "doc_id long, text string, key string")
     assert sorted(tuple(r) for r in redacted(docs).where("text is not null").collect()) == [(1, "mail é <EMAIL>, <IP> end", "k"), (2, "clean", "k")]
