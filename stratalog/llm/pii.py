@@ -2,9 +2,9 @@
 
 The base finds e-mail addresses, IP addresses, payment cards and phone numbers by their forms. They are the seeds of a
 bootstrap: the two words before a seed are a lexical pattern, and looser forms after any pattern are candidate instances.
-Patterns and instances form a graph. In each round a pattern's confidence in a kind is the sum of its distinct instances'
-scores in that kind over the number of times the pattern stands in the corpus (or of its instances, if more); an unseen
-instance takes the best confidence of its patterns. Patterns of enough seeds and confidence then mark their candidates.
+Patterns and instances form a graph. In each round a pattern's confidence in a kind is the sum of the scores in that kind of
+the instances that follow it, over the number of times the pattern stands in the corpus (or before an instance, if more).
+Both count every occurrence in every row, so copies weigh alike. An unseen instance takes the best confidence of its patterns. Patterns of enough seeds and confidence then mark their candidates.
 """
 
 from __future__ import annotations
@@ -108,19 +108,20 @@ def learnt_patterns(docs: DataFrame, occurrences: DataFrame, rounds: int = 3, se
     Such a pattern stands before at least `seeds` distinct seeds of the kind and has the confidence.
     """
     spans = occurrences.select(F.explode(F.concat(F.transform("base", lambda s: F.struct(s["left"].alias("left"), s["kind"].alias("kind"), F.lower(s["value"]).alias("instance"), F.lit(True).alias("seed"))), F.transform("loose", lambda s: F.struct(s["left"].alias("left"), s["kind"].alias("kind"), F.lower(s["value"]).alias("instance"), F.lit(False).alias("seed"))))).alias("s")).select("s.*")
-    edges = written(spans.where("left != ''").groupBy("left", "kind", "instance").agg(F.max("seed").alias("seed")))
+    edges = written(spans.where("left != ''").groupBy("left", "kind", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")))
     strong = edges.where("seed").groupBy("left", "kind").agg(F.count(F.lit(1)).alias("n"))
     rich = written(strong.where(F.col("n") >= seeds).select("left").distinct())
     if rich.isEmpty():
         return edges.select("left", "kind", F.lit(1.0).alias("confidence")).limit(0)
     edges = edges.join(rich, "left")
-    size = edges.groupBy("left").agg(F.countDistinct("instance").alias("instances"))
-    size = written(size.join(_standing(docs, rich), "left", "left").select("left", F.greatest("instances", F.coalesce("standing", F.lit(0))).alias("size")))
+    places = occurrences.select(F.explode(F.array_distinct(F.transform(F.concat("base", "loose"), lambda s: F.struct(s["left"].alias("left"), s["start"].alias("start"))))).alias("s"))
+    size = places.groupBy("s.left").agg(F.count(F.lit(1)).alias("places")).join(rich, "left", "left_semi")
+    size = written(size.join(_standing(docs, rich), "left", "left").select("left", F.greatest("places", F.coalesce("standing", F.lit(0))).alias("size")))
     scores = edges.where("seed").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     patterns = None
     for _ in range(rounds):
         scored = edges.join(scores, ["instance", "kind"])
-        sums = scored.groupBy("left", "kind").agg(F.sum("score").alias("sum"), F.count_if("seed").alias("seeds"))
+        sums = scored.groupBy("left", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("sum"), F.count_if("seed").alias("seeds"))
         patterns = written(sums.join(size, "left").select("left", "kind", (F.col("sum") / F.col("size")).alias("confidence"), "seeds"))
         unseen = edges.where("not seed").join(patterns.where(F.col("seeds") >= seeds), ["left", "kind"]).groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
         known = edges.where("seed").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))

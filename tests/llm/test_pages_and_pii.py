@@ -81,6 +81,13 @@ def test_a_context_is_learnt_in_any_number_of_seeds(spark):
     assert {r.text for r in redacted(docs).where("doc_id >= 3000").collect()} == {"please ring bob: <PHONE> end", rows[-1][1]}
 
 
+def test_copies_do_not_weaken_a_context(spark):
+    rows = [(k, f"so call me: +1 (803) 555-{1000 + k % 4} end") for k in range(60)] + [(100, "so call me: 803-555-7777 end")]
+    rows += [(200 + k, f"a number: +1 (803) 556-{1000 + k} end") for k in range(4)] + [(300 + k, "a number: none") for k in range(20)] + [(400, "a number: 803-555-7777 end")]
+    found = {x.doc_id: x for x in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in found[100].spans] == [("phone", 12, 24)] and not found[400].spans
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail é a@b.cd, 1.2.3.4 end", "k"), (2, None, "k"), (2, "clean", "k")], "doc_id long, text string, key string")
     assert sorted(tuple(r) for r in redacted(docs).where("text is not null").collect()) == [(1, "mail é <EMAIL>, <IP> end", "k"), (2, "clean", "k")]
