@@ -9,6 +9,8 @@ Both count every occurrence in every row, so copies weigh alike. An unseen insta
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ _FORMS = {
     "card": r"[0-9](?:[ -]?[0-9]){15,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-_NEEDS = {"email": "@", "phone": "+", "ip": ".", "card": None}
+_NEEDS = {"email": ["@"], "phone": ["+"], "ip": ["."], "card": []}
 #: Looser forms of candidates, tried only after a learnt pattern.
 _LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]++)*+",
@@ -32,6 +34,7 @@ _LOOSE = {
     "card": r"(?<![0-9A-Za-z+.-])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,14}+(?![0-9A-Za-z])",
 }
+_LOOSE_NEEDS = {"email": ["@", "[at]", "(at)"], "phone": [], "ip": [], "card": []}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _SPAN = "struct<kind:string,start:long,end:long,value:string,left:string>"
 
@@ -56,11 +59,13 @@ def _passes(kind: str, value: Column) -> Column:
     }[kind]
 
 
-def _spans(text: Column, kind: str, form: str, needs: str | None) -> Column:
-    """All matches of a form: what lies between matches gives their places."""
+def _spans(text: Column, kind: str, form: str, needs: list[str]) -> Column:
+    """All matches of a form: what lies between matches gives their places. A text with a match holds one of `needs`, if any."""
     none = F.array().cast(f"array<{_SPAN}>")
     pieces = F.zip_with(F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    tail = lambda g: F.filter(F.split(F.substring(g, -100, 100), r"\s+"), lambda w: w != "")
+    words = lambda g: F.filter(F.split(g, r"\s+"), lambda w: w != "")
+    near = lambda g: words(F.substring(g, -100, 100))
+    tail = lambda g: F.when(F.size(near(g)) > 2, near(g)).otherwise(words(g))  # of three words, the last two are whole
     two = lambda ws: F.lower(F.array_join(F.slice(ws, F.greatest(F.size(ws) - 1, F.lit(1)), 2), " "))
 
     def add(a: Column, p: Column) -> Column:
@@ -70,7 +75,9 @@ def _spans(text: Column, kind: str, form: str, needs: str | None) -> Column:
         return F.when(p["m"].isNull(), a).otherwise(F.struct(end.cast("long").alias("pos"), F.array_append(a["out"], span).alias("out")))
 
     found = F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("pos"), none.alias("out")), add, lambda a: a["out"])
-    some = text.rlike(form) if needs is None else text.contains(needs) & text.rlike(form)
+    some = text.rlike(form)
+    if needs:
+        some = reduce(Column.__or__, [text.contains(n) for n in needs]) & some
     return F.when(some, found).otherwise(none)
 
 
@@ -80,7 +87,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     passing = lambda k: lambda s: _passes(k, s["value"])
     base = F.concat(*[F.filter(_spans(text, k, _FORMS[k], _NEEDS[k]), passing(k)) for k in KINDS])
     digits = text.rlike("[0-9]")
-    loose = F.concat(*[F.when(F.lit(True) if k == "email" else digits, _spans(text, k, _LOOSE[k], "at" if k == "email" else None)).otherwise(F.array().cast(f"array<{_SPAN}>")) for k in KINDS])
+    loose = F.concat(*[F.when(F.lit(True) if k == "email" else digits, _spans(text, k, _LOOSE[k], _LOOSE_NEEDS[k])).otherwise(F.array().cast(f"array<{_SPAN}>")) for k in KINDS])
     df = docs.select("doc_id", base.alias("base"), loose.alias("loose"))
     free = F.filter("loose", lambda c: (c["left"] != "") & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return df.select("doc_id", "base", free.alias("loose"))
@@ -98,8 +105,9 @@ def _standing(docs: DataFrame, patterns: DataFrame, slots: int = 1 << 16) -> Dat
         taken[r["slot"]] = 1
     words = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\s+"), lambda w: w != "")
     pairs = docs.select(words.alias("w")).select(F.explode(F.expr("transform(sequence(1, greatest(1, size(w) - 1)), i -> concat_ws(' ', try_element_at(w, i), try_element_at(w, i + 1)))")).alias("left"))
+    # Inner joins: Spark would push a semi join below the count, onto every pair of words.
     some = pairs.where(F.substring(F.lit(taken), slot + 1, F.lit(1)) == F.lit(bytearray(b"\1")))
-    return some.groupBy("left").agg(F.count(F.lit(1)).alias("standing")).join(patterns, "left", "left_semi")
+    return some.groupBy("left").agg(F.count(F.lit(1)).alias("standing")).join(patterns, "left")
 
 
 def learnt_patterns(docs: DataFrame, occurrences: DataFrame, rounds: int = 3, seeds: int = 3, confidence: float = 0.6) -> DataFrame:
@@ -115,7 +123,7 @@ def learnt_patterns(docs: DataFrame, occurrences: DataFrame, rounds: int = 3, se
         return edges.select("left", "kind", F.lit(1.0).alias("confidence")).limit(0)
     edges = edges.join(rich, "left")
     places = occurrences.select(F.explode(F.array_distinct(F.transform(F.concat("base", "loose"), lambda s: F.struct(s["left"].alias("left"), s["start"].alias("start"))))).alias("s"))
-    size = places.groupBy("s.left").agg(F.count(F.lit(1)).alias("places")).join(rich, "left", "left_semi")
+    size = places.groupBy("s.left").agg(F.count(F.lit(1)).alias("places")).join(rich, "left")
     size = written(size.join(_standing(docs, rich), "left", "left").select("left", F.greatest("places", F.coalesce("standing", F.lit(0))).alias("size")))
     scores = edges.where("seed").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     patterns = None

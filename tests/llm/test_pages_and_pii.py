@@ -88,6 +88,19 @@ def test_copies_do_not_weaken_a_context(spark):
     assert [tuple(s) for s in found[100].spans] == [("phone", 12, 24)] and not found[400].spans
 
 
+def test_loose_forms_in_any_text_and_layout(spark):
+    wide = " " * 300
+    rows = [(k, f"so send me: bob{k}@mx.com ok") for k in range(8)] + [(100, "so send me: joe @ mx.com ok"), (101, "so send me: joe@localhost ok"), (102, "so send me: joe(at)mx.com ok")]
+    rows += [(200 + k, f"{'x' * 150} {'y' * 150}: {wide}+1 (803) 555-{1000 + k} ok") for k in range(8)] + [(300, f"{'x' * 150} {'y' * 150}: {wide}803-555-7777 ok"), (301, f"{'z' * 150} {'y' * 150}: {wide}803-555-7777 ok")]
+    found = {x.doc_id: as_tuples(x.spans) for x in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[k] for k in (100, 101, 102)] == [[("email", 12, 24)], [("email", 12, 25)], [("email", 12, 25)]]
+    assert found[300] == [("phone", 603, 615)] and not found[301]
+
+
+def as_tuples(spans):
+    return [tuple(s) for s in spans]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail é a@b.cd, 1.2.3.4 end", "k"), (2, None, "k"), (2, "clean", "k")], "doc_id long, text string, key string")
     assert sorted(tuple(r) for r in redacted(docs).where("text is not null").collect()) == [(1, "mail é <EMAIL>, <IP> end", "k"), (2, "clean", "k")]
