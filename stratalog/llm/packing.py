@@ -4,7 +4,7 @@ Only how many pieces have each length matters to a packing, so the search runs o
 the capacity, whatever the corpus's size. Each step fills a sequence around the largest length left, and as often as the
 counts allow. Fillings are enumerated depth first, longest pieces first, so the first one is the best-fit-decreasing one; a
 filling that leaves room for a piece still left is dominated and not made. The best-fit run is the incumbent. Further runs
-take another filling at one step and end when their waste can't give fewer sequences. The search ends at the lower bound.
+take another filling at one of the first steps and end when their waste can't give fewer sequences. The search ends at the lower bound.
 Spark numbers the pieces of each length, and a piece's number gives its sequence and offset.
 """
 
@@ -25,36 +25,39 @@ from .tokenizing import Encoder, blocks, with_end
 
 
 def fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int, keep: int) -> list[list[int]]:
-    """Up to `keep` undominated fillings of `room` from the lengths left (sorted), least waste first, within `nodes` nodes."""
-    found: list[tuple[int, list[int]]] = []
-    used: dict[int, int] = {}
+    """Up to `keep` undominated fillings of `room` from the lengths left (sorted), least waste first.
+
+    A node chooses how many pieces of a length to take. The first filling is always completed, whatever its pieces' number;
+    `nodes` bounds the search for others.
+    """
+    found: list[tuple[int, list[tuple[int, int]]]] = []
     budget = nodes
 
-    def deeper(room: int, high: int, chosen: list[int]) -> bool:
+    def deeper(room: int, high: int, skipped: int, chosen: list[tuple[int, int]]) -> bool:
+        """Whether the search is over. skipped: the least length of which pieces were left out."""
         nonlocal budget
         k = bisect_right(lengths, room, 0, high) - 1
-        leaf = True
-        while k >= 0 and budget > 0:
+        while k >= 0:
             size = lengths[k]
-            if used.get(size, 0) < left[size]:
-                leaf = False
+            for n in range(min(left[size], room // size), 0, -1):
+                if budget <= 0 and found:
+                    return True
                 budget -= 1
-                used[size] = used.get(size, 0) + 1
-                chosen.append(size)
-                done = deeper(room - size, k + 1, chosen)
+                chosen.append((size, n))
+                done = deeper(room - n * size, k, size if n < left[size] else skipped, chosen)
                 chosen.pop()
-                used[size] -= 1
                 if done:
                     return True
+            skipped = size
             k -= 1
-        if leaf:
+        if room < skipped:
             found.append((room, chosen.copy()))
             return room == 0
         return False
 
-    deeper(room, len(lengths), [])
+    deeper(room, len(lengths), room + 1, [])
     found.sort(key=lambda x: x[0])
-    return [f for _, f in found[:keep]] or [[]]
+    return [[size for size, n in f for _ in range(n)] for _, f in found[:keep]] or [[]]
 
 
 def search(counts: dict[int, int], capacity: int, nodes: int = 300, runs: int = 24, keep: int = 3) -> list[tuple[list[int], int]]:

@@ -245,3 +245,11 @@ def test_packing_search():
                 used[k] += times
         assert used == counts
     assert sum(n for _, n in search({6: 2, 5: 2, 4: 2, 3: 2}, 9)) == 4
+
+
+def test_packing_fills_sequences_with_short_pieces():
+    for counts, capacity in (({1: 1_000_000}, 4096), ({1: 5000, 2: 40_000, 3: 7}, 4096), ({4000: 3, 1: 100_000}, 4096)):
+        total = sum(k * n for k, n in counts.items())
+        plan = search(counts, capacity)
+        assert sum(n for _, n in plan) == -(-total // capacity)
+        assert sum(n * sum(f) for f, n in plan) == total
