@@ -144,10 +144,13 @@ class Page:
             marks[k] += len(_PUNCTUATION.findall(text))
             runs[k] += 1
         children: list[list[int]] = [[] for _ in range(n)]
-        depth, inside, above = [0] * n, [0] * n, [0] * n
+        depth, inside, above, place = [0] * n, [0] * n, [0] * n, [0] * n
+        alike: dict[tuple[int, str], int] = {}
         for k in range(1, n):
             p = self.parent[k]
+            place[k] = len(children[p])
             children[p].append(k)
+            alike[p, self.tag[k]] = alike.get((p, self.tag[k]), 0) + 1
             depth[k] = depth[p] + 1
             flag = _INHERITED.get(self.tag[k])
             inside[k] = inside[p] | (1 << flag if flag is not None else 0)
@@ -172,8 +175,8 @@ class Page:
         for k in range(n):
             p = max(0, self.parent[k])
             around = children[p] if k else [0]
-            same = sum(1 for c in around if self.tag[c] == self.tag[k])
-            at = around.index(k) if len(around) < 64 else min(63, k)
+            same = alike[p, self.tag[k]] if k else 1
+            at = place[k]
             rows[k, :20] = (
                 depth[k], log(own[k]), log(text[k]), link[k] / max(1, text[k]), text[k] / size[k], log(anchors[k]), text[k] / whole, before[k] / whole,
                 w[k] / max(1, blocks[k]), pm[k] / max(1, w[k]), len(around), at / max(1, len(around)), same, text[k] / max(1, text[p]),

@@ -1,13 +1,14 @@
 """Main text, PII and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 
 import edge
 
 import __spark_entry__
-from stratalog.llm.dom import Page
+from stratalog.llm.dom import NAMES, Page
 from stratalog.llm.html_text import _examples, _Maker, decode, extract, main_text, train
 from stratalog.llm.pii import as_text, find_pii, redacted
 from stratalog.llm.queries import QUERIES, SQL
@@ -23,6 +24,15 @@ def test_held_out_pages():
     assert exact >= 120
 
 
+def test_sibling_places_in_long_containers():
+    page = Page("<body><h1>t</h1><div>" + "".join(f"<p>{'x' * k}</p>" for k in range(1, 101)) + "</div>")
+    rows = {k: dict(zip(NAMES, row, strict=True)) for k, row in enumerate(page.features())}
+    texts = [rows[k] for k in rows if page.tag[k] == "p"]
+    assert [round(t["sibling_place"] * 100) for t in texts] == list(range(100)) and {t["same_siblings"] for t in texts} == {100}
+    assert [round(math.expm1(t["next_text"])) for t in texts[:-1]] == list(range(2, 101)) and texts[-1]["next_text"] == -1
+    assert [round(math.expm1(t["previous_text"])) for t in texts[1:]] == list(range(1, 100)) and texts[0]["previous_text"] == -1
+
+
 def ancestors(page, k):
     while (k := page.parent[k]) >= 0:
         yield k
