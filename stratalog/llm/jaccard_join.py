@@ -1,4 +1,4 @@
-"""Near-duplicate documents by the Jaccard similarity of their word n-gram sets, exactly.
+"""Near-duplicate documents by the Jaccard similarity of their word n-gram sets, exactly but for hash clashes.
 
 Equal sets form a class, and only classes are compared. Each class's n-grams are ordered rarest first, by how many
 documents have them (counted over the corpus, chunks.py). Two similar sets share one of their first n - ceil(t * n) + 1
@@ -21,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import answers, pack, read_answers, unpack, with_answers
+from .chunks import Merge, answers, pack, read_answers, summed, unpack, with_answers
 from .components import components
 from .tables import with_row_key, written
-from .textarrays import WHITESPACE, mix, salted, take_ranges, text_bytes, windows, words
+from .textarrays import WHITESPACE, freeing, mix, salted, take_ranges, text_bytes, windows, words
 
 _NO_ID = -(1 << 63)
 _PARTS = 16
-#: Row keys, of 8 bytes each, that may be broadcast.
-_FEW = 2_000_000
+#: Row keys, of 16 bytes each, that may be broadcast.
+_FEW = 1_000_000
+#: Documents of a token for each of its blocks.
+_BLOCK = 200
 
 
 def _packed(grams: np.ndarray) -> bytes:
@@ -63,19 +65,15 @@ def _sets(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per document: id, n (n-grams), class (a hash of the set), and for candidates that are the first of their class in
-    their chunk: tokens (prefix n-grams, rarest first), places, parts (n-grams by pivot), grams (sorted n-grams that
-    another document has)."""
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("text"))
-    chunks = pack(source, ["id"], chunk_bytes=3 << 20)
+    """docs: (id, text), ids of any kind. Per document: id, n (n-grams), class (a hash of the set), and for candidates that
+    are the first of their class in their chunk: tokens (prefix n-grams, rarest first), places, often (in how many documents
+    each token is), parts (n-grams by pivot), grams (sorted n-grams that another document has)."""
+    chunks = pack(docs, ["id"], chunk_bytes=3 << 20)
 
     def items(table: pa.Table):
         _, gram, _ = _sets(table, width)
         keys, counts = np.unique(gram, return_counts=True)
-        return keys, {"n": counts}
-
-    def answer(keys: np.ndarray, index: np.ndarray, values: dict[str, np.ndarray]):
-        return np.bincount(index, weights=values["n"], minlength=len(keys)).astype(np.int64)[index], []
+        return keys, {"n": counts.astype(np.uint32)}
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,26 +95,27 @@ def _document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 mine = np.flatnonzero(wanted[doc])
                 order = mine[np.lexsort((gram[mine], often[mine], doc[mine]))]
                 edges = np.searchsorted(doc[order], np.arange(len(n) + 1))
-                ids = table.column("id").to_numpy()
-                yield from _rows(ids, n, key, prefix, rare, wanted, gram[order], often[order], edges)
+                yield from _rows(table.column("id").combine_chunks(), n, key, prefix, rare, wanted, gram[order], often[order], edges)
 
     def _rows(ids, n, key, prefix, rare, wanted, gram, often, edges) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", ids.type), ("n", pa.int64()), ("class", pa.int64()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("often", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("grams", pa.binary())])
         for low in range(0, len(ids), 2000):
-            out: dict[str, list] = {name: [] for name in schema.names}
-            for d in range(low, min(low + 2000, len(ids))):
-                row = (int(ids[d]), int(n[d]), int(key[d]), None, None, None, None)
+            high = min(low + 2000, len(ids))
+            out: dict[str, list] = {name: [] for name in schema.names[3:]}
+            for d in range(low, high):
+                row = (None,) * 5
                 if wanted[d]:
-                    grams = gram[edges[d] : edges[d + 1]]
-                    tokens = grams[rare[d] : prefix[d]].view(np.int64)
+                    grams, front = gram[edges[d] : edges[d + 1]], slice(rare[d], prefix[d])
                     parts = np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=_PARTS)
-                    row = (*row[:3], tokens, np.arange(rare[d], prefix[d], dtype=np.int32), parts.astype(np.int32), _packed(np.sort(grams[rare[d] :])))
-                for name, value in zip(schema.names, row, strict=True):
+                    row = (grams[front].view(np.int64), np.arange(rare[d], prefix[d], dtype=np.int32), often[edges[d] : edges[d + 1]][front], parts.astype(np.int32), _packed(np.sort(grams[rare[d] :])))
+                for name, value in zip(out, row, strict=True):
                     out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+            columns = [pa.array(v, schema.field(name).type) for name, v in out.items()]
+            yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(n[low:high], pa.int64()), pa.array(key[low:high]), *columns], schema=schema)
 
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("parts", pa.list_(pa.int32())), ("grams", pa.binary())])
-    replies = answers(chunks, items, answer, sum_values=("n",), low_bytes=4)
-    return written(with_answers(chunks, replies).mapInArrow(build, "id long, n long, class long, tokens array<long>, places array<int>, parts array<int>, grams binary"))
+    replies = answers(chunks, items, Merge(summed, lambda mine, whole: [whole["n"]], kept_bits=48))
+    kind = docs.schema["id"].dataType.simpleString()
+    return written(with_answers(chunks, replies).mapInArrow(freeing(build), f"id {kind}, n long, class long, tokens array<long>, places array<int>, often array<long>, parts array<int>, grams binary"))
 
 
 def _needed(percent: int) -> Column:
@@ -143,7 +142,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 out[k] = 100 * shared >= percent * (total[k] - shared)
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(out)], names=["x", "y", "linked"])
 
-    tested = full.select("x", "y", "n_x", "n_y", "s", "t").mapInArrow(test, "x long, y long, linked boolean")
+    tested = full.select("x", "y", "n_x", "n_y", "s", "t").mapInArrow(freeing(test), "x long, y long, linked boolean")
     return tested.where("linked").select("x", "y")
 
 
@@ -170,61 +169,81 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     link when 100 * shared >= percent * union. A null id counts as the least one. Rows that share an id are separate
     documents. An empty table gives an empty one. Other columns are ignored.
     """
-    every = _document_sets(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), width, percent)
+    found = _groups(docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_column).alias("text")), width, percent)
+    given = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
+    return found.select(given("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class", given("least").alias("component_id"))
+
+
+def _groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, n, class, least) of docs (id, text); ids are of any kind that has an order."""
+    every = _document_sets(docs, width, percent)
     labels = _class_labels(every, percent)
     classes = every.where("n > 0").groupBy("class").agg(F.min("id").alias("least"))
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
-    classes = named.join(least, "label").select("class", F.col("component").alias("least"))
-    classes = classes.withColumnRenamed("class", "of")
+    classes = named.join(least, "label").select(F.col("class").alias("of"), F.col("component").alias("least"))
     out = every.where("n > 0").select("id", "n", "class").join(classes, F.col("class") == F.col("of")).drop("of")
-    out = out.unionByName(every.where("n = 0").select("id", "n", "class", F.col("id").alias("least")))
-    given = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return out.select(given("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class", given("least").alias("component_id"))
+    return out.unionByName(every.where("n = 0").select("id", "n", "class", F.col("id").alias("least")))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Of each component the row with the least id (of several, one), with its columns as they were; other rows go.
 
-    Documents without words stay: they are linked with nothing.
+    A null id counts as greater than all others. Documents without words, with an empty or a null text stay: they are
+    linked with nothing. Repeated rows are copies, so one of them stays. An empty table gives an empty one.
     """
     keyed = with_row_key(docs, "_key")
-    found = near_duplicates(keyed.select("_key", F.col(f"`{text_column}`").alias("text")), width, percent, "_key", "text")
-    groups = written(found.where("component_id != doc_id").select("component_id", F.col("doc_id").alias("_member")))
-    members = groups.unionByName(groups.select("component_id", F.col("component_id").alias("_member")).distinct())
+    found = _groups(keyed.select(F.col("_key").alias("id"), F.col(f"`{text_column}`").alias("text")), width, percent)
+    groups = written(found.where("least != id").select("least", F.col("id").alias("_member")))
+    members = groups.unionByName(groups.select("least", F.col("least").alias("_member")).distinct())
     ids = members.join(keyed.select("_key", F.col(f"`{id_column}`").alias("_id")), F.col("_member") == F.col("_key"))
-    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_member")).alias("first"))
+    first = ids.groupBy("least").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_member")).alias("first"))
     gone = written(members.join(first.select(F.col("first._member").alias("_kept")), F.col("_member") == F.col("_kept"), "left_anti").select("_member"))
     gone = F.broadcast(gone) if gone.count() <= _FEW else gone  # else both sides are shuffled
     return keyed.join(gone, F.col("_key") == F.col("_member"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _class_labels(every: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of all classes that have a link to another class."""
-    first = every.where("grams is not null").groupBy("class").agg(F.first(F.struct("n", "tokens", "places", "parts", "grams")).alias("s"))
+    """(node, label) of all classes that have a link to another class.
+
+    A token's classes are dealt over blocks, by how many documents have the token, so that no task holds a frequent token's.
+    """
+    first = every.where("grams is not null").groupBy("class").agg(F.first(F.struct("n", "tokens", "places", "often", "parts", "grams")).alias("s"))
     nodes = written(first.select("class", "s.*"))
-    flat = nodes.select("class", "n", F.col("places")[0].alias("own"), F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("class", "n", "own", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
-    shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("token")
-    entries = written(flat.join(shared, "token"))
+    blocks = F.expr(f"cast((often + {_BLOCK - 1}) div {_BLOCK} as int)")
+    flat = nodes.select("class", "n", F.col("places")[0].alias("own"), F.explode(F.arrays_zip("tokens", "places", "often")).alias("t")).select("class", "n", "own", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), F.col("t.often").alias("often"))
+    flat = flat.select("class", "n", "own", "token", "place", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     names = ("class", "n", "place", "label")
     x, y = ([F.col(c).alias(v if c == "class" else f"{c}_{v}") for c in names] for v in "xy")
-    single = entries.withColumn("label", F.col("class"))
-    centre = F.min(F.struct("own", F.struct(*y).alias("y"))).alias("c")
-    centres = single.groupBy("token").agg(centre).select(F.col("token").alias("of"), "c.y.*")
-    pairs = _distinct(single.select("token", *x).join(centres, F.expr(f"token = of and {_possible(percent)}")))
+    single = flat.withColumn("label", F.col("class"))
+    # Per token: its centre (the class with the fewest n-grams of its own), told to each of its blocks.
+    centre = _by_token(single, F.min(F.struct("own", F.struct(*y).alias("y"))).alias("c"), F.count(F.lit(1)).alias("holders"))
+    centre = centre.groupBy("token").agg(F.min("c").alias("c"), F.sum("holders").alias("holders"), F.first("blocks").alias("blocks")).where("holders > 1")
+    centres = centre.select(F.col("token").alias("of"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("in"), "c.y.*")
+    entries = written(single.select("token", "blocks", "block", "own", *x).join(centres, F.expr("token = of and block = in")))
+    pairs = _distinct(entries.where(_possible(percent)))
     links = written(_verify(pairs, nodes, percent))
     labels = written(_labels_of(links))
 
-    now = entries.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    now = written(now)
-    major = F.min(F.struct("own", "class", "label"))["label"].alias("major")
-    ends = now.groupBy("token").agg(major, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(F.col("token").alias("of"), "major")
-    open_entries = written(now.join(ends, F.col("token") == F.col("of")).drop("of"))
-    inner = open_entries.select(F.col("token").alias("of"), (F.col("label") == F.col("major")).alias("central"), *y)
-    outer = open_entries.where("label != major").select("token", *x)
-    pairs = _distinct(outer.join(inner, F.expr(f"token = of and (central or x < y) and {_possible(percent)}")))
+    now = entries.select("token", "blocks", "block", "own", F.col("x").alias("class"), F.col("n_x").alias("n"), F.col("place_x").alias("place"))
+    now = written(now.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")))
+    major = _by_token(now, F.min(F.struct("own", "class", "label")).alias("major"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("holders"))
+    major = major.groupBy("token").agg(F.min("major")["label"].alias("major"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("holders").alias("holders"), F.first("blocks").alias("blocks")).where("low < high")
+    sides = F.expr(f"cast((holders + {_BLOCK - 1}) div {_BLOCK} as int)").alias("sides")
+    majors = major.select(F.col("token").alias("of"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("in"), "major", sides)
+    open_entries = written(now.join(majors, F.expr("token = of and block = in")).drop("of", "in"))
+    # A token's outer rows of one side meet its inner rows of one side in one task, never all of its pairs.
+    side, all_sides = F.pmod(F.xxhash64("class"), F.col("sides")), F.explode(F.expr("sequence(0L, cast(sides - 1 as long))"))
+    inner = open_entries.select(F.col("token").alias("of"), side.alias("inner_of"), all_sides.alias("outer_of"), (F.col("label") == F.col("major")).alias("central"), *y)
+    outer = open_entries.where("label != major").select("token", side.alias("outer_side"), all_sides.alias("inner_side"), *x)
+    same = "token = of and inner_side = inner_of and outer_side = outer_of"
+    pairs = _distinct(outer.join(inner, F.expr(f"{same} and (central or x < y) and {_possible(percent)}")))
     return written(_labels_of(links.unionByName(written(_verify(pairs, nodes, percent)))))
 
 
+def _by_token(entries: DataFrame, *facts: Column) -> DataFrame:
+    return entries.groupBy("token", "block", "blocks").agg(*facts)
+
+
 def _labels_of(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))

@@ -28,14 +28,15 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """df with a long for each row that stays the same whenever the row is read again, also for rows that repeat.
+    """df with a struct for each row that stays the same whenever the row is read again, also for rows that repeat.
 
-    For rows read from Parquet files it is a hash of file and row number; other rows are written with a number first.
+    For rows read from Parquet files it is a hash of the file's name (two of a million files share one with a chance of
+    3e-8) and the row's number in it; other rows are written with a number first.
     """
     try:
-        return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+        return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
     except AnalysisException:
-        return written(df.withColumn(name, F.monotonically_increasing_id()))
+        return written(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))))
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str, rows_per_block: int = 200_000) -> DataFrame:
