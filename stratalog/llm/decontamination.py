@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textarrays import NOT_ALPHANUMERIC, Words, covered, take_ranges, text_bytes, windows, words
+from .textarrays import NOT_ALPHANUMERIC, Words, covered, freeing, take_ranges, text_bytes, windows, words
 from .tokenizing import blocks
 
 #: Bytes of benchmark texts whose index is sent to the tasks at once.
@@ -34,7 +34,7 @@ def _words(column: pa.Array | pa.ChunkedArray) -> Words:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of about 2 MB of text, so that a worker's arrays stay small; a longer text is a part of its own."""
+    """The batches in parts of about 1 MB of text, so that a worker's arrays stay small; a longer text is a part of its own."""
     for batch in batches:
         for low, high in blocks(text_bytes(batch.column("text"))[1]):
             yield batch.slice(low, high - low)
@@ -90,7 +90,7 @@ def document_frequency(docs: DataFrame, tokens: dict[int, np.ndarray]) -> dict[i
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(s[at])], names=["k", "token", "n"])
 
     out = {k: np.zeros(len(v), np.int64) for k, v in tokens.items()}
-    totals = docs.select("text").mapInArrow(count, "k int, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n"))
+    totals = docs.select("text").mapInArrow(freeing(count), "k int, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n"))
     for row in totals.collect():  # at most the shingles of one block of the benchmark
         out[row["k"]][row["token"]] = row["n"]
     return out
@@ -165,7 +165,7 @@ def _probed(source: DataFrame, benchmark: DataFrame, width: int, item_column: st
         rows = part.collect()  # one block of the query set, of bounded size
         names = np.array([r["item"] for r in rows], object)
         index = build_index(source, pa.array([r["text"] for r in rows], pa.string()), width)
-        state = state.mapInArrow(_prober(index, names), schema)
+        state = state.mapInArrow(freeing(_prober(index, names)), schema)
         state = state if block == n_blocks - 1 else state.drop("n_words")
     return state
 

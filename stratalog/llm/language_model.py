@@ -17,9 +17,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import answers, pack, read_answers, unpack, with_answers
+from .chunks import Merge, answers, pack, read_answers, summed, unpack, with_answers
 from .tables import written
-from .textarrays import WHITESPACE, mix, text_bytes, words
+from .textarrays import WHITESPACE, freeing, mix, text_bytes, words
 
 _END, _BEGIN = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x3C6EF372FE94F82B)
 _REST, _DELETED, _HELD_OUT = 0, 1, 2
@@ -79,17 +79,14 @@ def score_texts(docs: DataFrame, remainder: Column | None = None, held_out: int
 
     def items(table: pa.Table):
         keys, counts = _keys(_tokens(table))
-        return keys, {"n": counts * 3 + table.column("part")[0].as_py()}
+        part, counts = table.column("part")[0].as_py(), counts.astype(np.uint64)
+        return keys, {"train": counts * (part != _HELD_OUT), "fold": counts * (part == _DELETED)}
 
-    def answer(keys: np.ndarray, index: np.ndarray, values: dict[str, np.ndarray]):
-        part, n = values["n"] % 3, values["n"] // 3
-        total = np.bincount(index, weights=np.where(part != _HELD_OUT, n, 0), minlength=len(keys)).astype(np.int64)
-        fold = np.bincount(index, weights=np.where(part == _DELETED, n, 0), minlength=len(keys)).astype(np.int64)
+    def report(keys: np.ndarray, whole: dict[str, np.ndarray]) -> list[float]:
         even = (keys & np.uint64(1)) == 0
-        mine = part == _DELETED
-        return total[index], np.where(mine, fold[index], 0), [(even & (total > 0)).sum(), total[even].sum(), fold[even].sum()]
+        return [(even & (whole["train"] > 0)).sum(), whole["train"][even].sum(), whole["fold"][even].sum()]
 
-    replies = written(answers(chunks.drop("part"), items, answer, sum_values=("n",)))
+    replies = written(answers(chunks.drop("part"), items, Merge(summed, lambda mine, whole: [whole["train"], np.where(mine["fold"] > 0, whole["fold"], 0)], report)))
     sums = replies.where(F.size("extra") > 0).agg(*[F.sum(F.col("extra")[k]) for k in range(3)]).first()
     n_words, n_train, n_deleted = (float(x or 0) for x in sums)
     weights = _learn(with_answers(parts[_DELETED], replies.join(parts[_DELETED].select("chunk"), "chunk", "left_semi")), n_train - n_deleted, 1 / (n_words + 1), rounds)
@@ -112,7 +109,7 @@ def score_texts(docs: DataFrame, remainder: Column | None = None, held_out: int
                     add((word > 0).astype(np.int64)), pa.array(np.full(len(at), int(n_train))), add(base), add(logs),
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return with_answers(chunks, replies).mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return with_answers(chunks, replies).mapInArrow(freeing(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _learn(deleted: DataFrame, total: float, uniform: float, rounds: int) -> np.ndarray:
@@ -133,7 +130,7 @@ def _learn(deleted: DataFrame, total: float, uniform: float, rounds: int) -> np.
                 table = np.column_stack([rows[begins], counts]).T.astype(np.uint32)
                 yield pa.RecordBatch.from_pydict({"n": [len(begins)], "counts": pa.array([zstandard.compress(table.tobytes(), 1)], pa.binary())})
 
-    held = written(deleted.mapInArrow(gather, "n long, counts binary"))
+    held = written(deleted.mapInArrow(freeing(gather), "n long, counts binary"))
     weights = np.full((_BUCKETS, 3), 1 / 3)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +148,7 @@ def _learn(deleted: DataFrame, total: float, uniform: float, rounds: int) -> np.
 
     for _ in range(rounds):
         moved = 0.0
-        for row in held.mapInArrow(expect, "bucket long, a double, b double, c double").groupBy("bucket").agg(F.sum("a"), F.sum("b"), F.sum("c")).collect():  # at most 64 rows
+        for row in held.mapInArrow(freeing(expect), "bucket long, a double, b double, c double").groupBy("bucket").agg(F.sum("a"), F.sum("b"), F.sum("c")).collect():  # at most 64 rows
             new = np.array(row[1:]) + 1e-3
             new /= new.sum()
             moved = max(moved, float(np.abs(new - weights[row[0]]).max()))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import numbered, written
-from .textarrays import text_bytes
+from .textarrays import freeing, text_bytes
 from .tokenizing import Encoder, blocks, with_end
 
 
@@ -116,10 +116,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, id_co
                 at = first[doc - low] + start
                 crc = [zlib.crc32(view[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], schema=schema)
+        Encoder.close(tokenizer)
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return source.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(freeing(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -150,4 +151,4 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 4096, id
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     ranked = numbered(found, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(freeing(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

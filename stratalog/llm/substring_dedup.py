@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import answers, pack, read_answers, unpack, with_answers
-from .textarrays import WHITESPACE, covered, text_bytes, windows, words
+from .chunks import Merge, answers, pack, read_answers, unpack, with_answers
+from .textarrays import WHITESPACE, covered, freeing, text_bytes, windows, words
 
 _NO_ID = -(1 << 63)
 
@@ -45,14 +45,12 @@ def repeated_intervals(docs: DataFrame, width: int = 13, id_column: str = "doc_i
         ids = table.column("id").to_numpy()
         owner = ids[found.doc[at]] if len(at) else np.zeros(0, np.int64)
         keys, index = np.unique(hashes, return_inverse=True)
-        least = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(least, index, owner)
-        return keys, {"id": least}
+        return keys, earliest(index, len(keys), {"id": owner})
 
-    def answer(keys: np.ndarray, index: np.ndarray, values: dict[str, np.ndarray]):
-        least = np.full(len(keys), np.iinfo(np.int64).max)
+    def earliest(index: np.ndarray, n: int, values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        least = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(least, index, values["id"])
-        return values["id"] > least[index], []
+        return {"id": least}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,8 +63,7 @@ def repeated_intervals(docs: DataFrame, width: int = 13, id_column: str = "doc_i
                     keys, index = np.unique(hashes, return_inverse=True)
                     earlier = read_answers(batch.column("answers"), k)[0]
                     owner = ids[found.doc[at]]
-                    least = np.full(len(keys), np.iinfo(np.int64).max)
-                    np.minimum.at(least, index, owner)
+                    least = earliest(index, len(keys), {"id": owner})["id"]
                     gone = at[earlier[index] | (owner > least[index])]
                 removed = covered(len(found.hash), gone, width)
                 yield from _results(table, ids, found.first, removed)
@@ -93,5 +90,5 @@ def repeated_intervals(docs: DataFrame, width: int = 13, id_column: str = "doc_i
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
-    replies = answers(chunks, items, answer, dictionary="id")
-    return with_answers(chunks, replies).mapInArrow(cut, "doc_id long, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept_text string, kept_sha256 string")
+    replies = answers(chunks, items, Merge(earliest, lambda mine, whole: [mine["id"] > whole["id"]]))
+    return with_answers(chunks, replies).mapInArrow(freeing(cut), "doc_id long, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept_text string, kept_sha256 string")

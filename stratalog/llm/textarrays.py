@@ -1,20 +1,29 @@
 """Words and windows of many texts at once, as numpy arrays over Arrow string buffers.
 
-All hashes are 64-bit polynomial (Rabin-Karp) hashes taken modulo 2**64 with odd bases and a final mixer.
-Two different words or windows share a hash with a probability of about 2**-64.
+A word of at most 64 bytes is hashed eight bytes at a time, with a mixer between; a longer one by BLAKE2b. Two different
+words share their 64 bits with a chance of about 2**-64, whatever their length or structure. A window is a Rabin-Karp
+polynomial of its words' hashes modulo 2**64. Windows of at most 13 words that hold the same words in another order can lose
+9 of the 64 bits, so two windows share a hash with a chance of at most about 2**-55.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-_BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_WORD_BASE = np.uint64(0xD6E8FEB86659FD93 | 1)
-_SLICE = 1 << 20
+_BLOCK_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
+#: Bytes up to which a span is hashed block by block.
+_SHORT = 64
+#: Keeps the lowest k bytes of a block.
+_LOWEST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 #: Tables of the bytes that part words.
 WHITESPACE = np.zeros(256, bool)
@@ -25,21 +34,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-class Powers:
-    """Powers of the byte base and of its inverse, grown as longer slices come."""
+def release() -> None:
+    """Give the memory that this worker no longer uses back to the system, at the end of a task: idle workers keep theirs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
-    forward = np.ones(1, np.uint64)
-    backward = np.ones(1, np.uint64)
 
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.forward) < n:
-            size = max(n, _SLICE + 65536)
-            for name, base in (("forward", int(_BYTE_BASE)), ("backward", pow(int(_BYTE_BASE), -1, 1 << 64))):
-                powers = np.full(size, base, np.uint64)
-                powers[0] = 1
-                setattr(cls, name, np.multiply.accumulate(powers))
-        return cls.forward, cls.backward
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """run over a task's batches, and then release()."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return freed
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -95,31 +104,39 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A hash of each byte span; the spans are in order and don't overlap."""
-    out = np.empty(len(start), np.uint64)
-    k = 0
-    while k < len(start):
-        stop = max(k + 1, int(np.searchsorted(end, start[k] + _SLICE, side="right")))
-        low, high = int(start[k]), int(end[stop - 1])
-        piece = data[low:high]
-        forward, backward = Powers.upto(high - low + 1)
-        digits = (LOWER[piece] if lower else piece).astype(np.uint64)
-        digits += np.uint64(1)
-        digits *= forward[: high - low]
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(digits, out=sums[1:])
-        s, e = start[k:stop] - low, end[k:stop] - low
-        out[k:stop] = (sums[e] - sums[s]) * backward[s]
-        k = stop
-    return mix(out)
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each position on
+    size = end - start
+    out = mix(size.astype(np.uint64) + _BLOCK_FACTOR)
+    rows, at, left = None, start, size
+    for _ in range(_SHORT // 8):
+        block = eight[at]
+        block &= _LOWEST[np.minimum(left, 8)]
+        block *= _BLOCK_FACTOR
+        mixed = mix((out if rows is None else out[rows]) ^ block)
+        if rows is None:
+            out = mixed
+        else:
+            out[rows] = mixed
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        rows = more if rows is None else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > _SHORT):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray, lower: bool = False) -> Words:
     """The words of each text: the longest runs of bytes that `between` doesn't mark."""
-    inside = ~between[LOWER[data] if lower else data]
-    start, end = runs(inside, offsets)
-    return Words(hash_spans(data, start, end, lower), start, end, np.searchsorted(start, offsets))
+    if lower:
+        data = LOWER[data]
+    start, end = runs(~between[data], offsets)
+    return Words(hash_spans(data, start, end), start, end, np.searchsorted(start, offsets))
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

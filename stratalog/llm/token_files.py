@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import written
-from .textarrays import take_ranges, text_bytes
+from .textarrays import freeing, take_ranges, text_bytes
 from .tokenizing import Encoder, blocks, with_end
 
 SHARD_BYTES = 4 << 20
@@ -157,7 +157,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int, base: int
         if held:
             yield shard()
 
-    ordered.mapInArrow(shards, SHARD).write.parquet(path)
+    ordered.mapInArrow(freeing(shards), SHARD).write.parquet(path)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], mask=row["doc_ids"] == none), pa.array(edges[:-1] + columns["before"][k].as_py()), pa.array(np.diff(edges)), pa.array(crc, pa.int64())], schema=out)
 
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    return shards.join(places, ["shard", "part"]).select(*_ARROW.names, "before").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.join(places, ["shard", "part"]).select(*_ARROW.names, "before").mapInArrow(freeing(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def running_key(df: DataFrame) -> DataFrame:

@@ -45,6 +45,11 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    @classmethod
+    def close(cls, path: str) -> None:
+        """Drop this worker's encoder of the file, for the sake of its memory."""
+        cls._open.pop(path, None)
+
     def forget(self) -> None:
         self.keys, self.start, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -105,7 +110,7 @@ def with_end(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray,
     return np.insert(ids, first[1:], np.full(n, end, np.uint32)), first + np.arange(n + 1)
 
 
-def blocks(offsets: np.ndarray, size: int = 2 << 20) -> list[tuple[int, int]]:
+def blocks(offsets: np.ndarray, size: int = 1 << 20) -> list[tuple[int, int]]:
     """Ranges of texts of about `size` bytes each; a longer text is a range of its own."""
     out, low, n = [], 0, len(offsets) - 1
     while low < n:
