@@ -1,18 +1,22 @@
 """Packing of documents into as few sequences as can be found, by bin completion.
 
 Only how many pieces have each length matters to a packing, so the search runs over these counts: one for each length up to
-the capacity, whatever the corpus's size. Each step fills a sequence around the largest length left, and as often as the
-counts allow. Fillings are enumerated depth first, longest pieces first, so the first one is the best-fit-decreasing one; a
-filling that leaves room for a piece still left is dominated and not made. The best-fit run is the incumbent. Further runs
-take another filling at one of the first steps and end when their waste can't give fewer sequences. The search ends at the lower bound.
+the capacity, whatever the corpus's size. A step fills a sequence around the largest length left and says how many sequences
+take that filling. Fillings are enumerated depth first; dominated ones are dropped: a filling that leaves room for a piece
+still left, and one in which a larger piece still left could take the place of some pieces. Branch and bound runs over the
+steps: fillings of least waste first, each as often as the counts allow and then less often, back from a partial plan whose
+sequences and lower bound for the rest don't beat the incumbent. Best-fit plans are the first incumbents.
+Small tables are solved exactly. For others the effort is bounded and the result is the best incumbent: after the first
+branch, further ones start with another filling at one of the first steps, since going back changes the last steps first.
 Spark numbers the pieces of each length, and a piece's number gives its sequence and offset.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,77 +28,183 @@ from .textarrays import freeing, text_bytes
 from .tokenizing import Encoder, blocks, with_end
 
 
-def fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int, keep: int) -> list[list[int]]:
-    """Up to `keep` undominated fillings of `room` from the lengths left (sorted), least waste first.
+Filling = list[tuple[int, int]]
 
-    A node chooses how many pieces of a length to take. The first filling is always completed, whatever its pieces' number;
-    `nodes` bounds the search for others.
+
+def _dominated(chosen: Filling, room: int, left: dict[int, int], all_left: int) -> bool:
+    """Whether a piece still left could replace some pieces of the filling: one larger than them that fits, or as large as several.
+
+    Sums and lengths are bits of integers. all_left: the lengths left.
+    """
+    sums, single = 1, 0
+    for size, n in chosen:
+        single |= 1 << size
+        if left[size] == n:
+            all_left &= ~(1 << size)
+        part = 1
+        while n:
+            sums |= sums << (size * min(part, n))
+            n, part = n - min(part, n), part * 2
+    sums &= ~1
+    if all_left & sums & ~single:
+        return True
+    larger, reach = sums << 1, 1  # sums, made larger by 1 to `reach`
+    while reach < room:
+        step = min(reach, room - reach)
+        larger |= larger << step
+        reach += step
+    return bool(room and all_left & larger)
+
+
+def fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int) -> tuple[list[Filling], bool]:
+    """Undominated fillings of `room` from the lengths left (sorted), and whether these are all.
+
+    A node chooses how many pieces of a length to take. The first filling (best-fit decreasing) is always completed and comes
+    first; `nodes` bounds the search for others, which follow with least waste first.
     """
-    found: list[tuple[int, list[tuple[int, int]]]] = []
+    found: list[tuple[int, Filling]] = []
+    first: list[Filling] = []
     budget = nodes
+    all_left = 0
+    for k in lengths:
+        all_left |= 1 << k
 
-    def deeper(room: int, high: int, skipped: int, chosen: list[tuple[int, int]]) -> bool:
-        """Whether the search is over. skipped: the least length of which pieces were left out."""
+    def deeper(room: int, high: int, skipped: int, chosen: Filling) -> bool:
+        """Whether the search has been cut. skipped: the least length of which pieces were left out."""
         nonlocal budget
         k = bisect_right(lengths, room, 0, high) - 1
         while k >= 0:
             size = lengths[k]
             for n in range(min(left[size], room // size), 0, -1):
-                if budget <= 0 and found:
+                if budget <= 0 and first:
                     return True
                 budget -= 1
                 chosen.append((size, n))
-                done = deeper(room - n * size, k, size if n < left[size] else skipped, chosen)
+                cut = deeper(room - n * size, k, size if n < left[size] else skipped, chosen)
                 chosen.pop()
-                if done:
+                if cut:
                     return True
             skipped = size
             k -= 1
         if room < skipped:
-            found.append((room, chosen.copy()))
-            return room == 0
+            if not first:
+                first.append(chosen.copy())
+            if not _dominated(chosen, room, left, all_left):
+                found.append((room, chosen.copy()))
         return False
 
-    deeper(room, len(lengths), room + 1, [])
-    found.sort(key=lambda x: x[0])
-    return [[size for size, n in f for _ in range(n)] for _, f in found[:keep]] or [[]]
-
-
-def search(counts: dict[int, int], capacity: int, nodes: int = 300, runs: int = 24, keep: int = 3) -> list[tuple[list[int], int]]:
-    """Fillings, each with how many sequences take it. counts: pieces of each length, at most `capacity`."""
-    total = sum(k * n for k, n in counts.items())
-    bound = -(-total // capacity)
-    best: list[tuple[list[int], int]] | None = None
-    fewest = sum(counts.values()) + 1
-
-    def run(turn: int) -> tuple[list[tuple[list[int], int]], int] | None:
-        """One descent; at step `turn` it takes the next-best filling (-1: nowhere). None when waste rules it out."""
-        left, lengths, plan, waste, n = dict(counts), sorted(k for k in counts if counts[k]), [], 0, 0
-        while lengths:
-            largest = lengths[-1]
-            left[largest] -= 1
-            options = fillings(capacity - largest, lengths if left[largest] else lengths[:-1], left, nodes, keep)
-            left[largest] += 1
-            filling = [largest, *options[min(len(options) - 1, int(len(plan) == turn))]]
-            need = {k: filling.count(k) for k in set(filling)}
-            times = min(left[k] // c for k, c in need.items())
-            plan.append((filling, times))
-            n += times
-            waste += times * (capacity - sum(filling))
-            if waste > (fewest - 1) * capacity - total and best is not None:
-                return None
-            for k, c in need.items():
-                left[k] -= c * times
+    cut = deeper(room, len(lengths), room + 1, [])
+    others = [f for _, f in sorted(found, key=lambda x: x[0])]
+    return first + [f for f in others if f != first[0]], not cut
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: by the sum of lengths, and by how pieces over half the capacity meet shorter ones."""
+    if not counts:
+        return 0
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(counts)] = list(counts.values())
+    size = np.arange(capacity + 1)
+    many, whole = np.cumsum(n), np.cumsum(n * size)
+    half = capacity // 2
+    k = np.arange(half + 1)  # pieces shorter than k are left out; those above capacity - k stand alone
+    alone = many[-1] - many[capacity - k]
+    large = many[capacity - k] - many[half]
+    below = np.where(k > 0, whole[np.maximum(k - 1, 0)], 0)
+    free = large * capacity - (whole[capacity - k] - whole[half])
+    rest = np.maximum(0, whole[half] - below - free)
+    return max(-(-int(whole[-1]) // capacity), int((alone + large + -(-rest // capacity)).max()))
+
+
+def search(counts: dict[int, int], capacity: int, nodes: int = 300, steps: int = 400, branches: int = 2) -> list[tuple[list[int], int]]:
+    """Fillings, each with how many sequences take it. counts: pieces of each length, at most `capacity`.
+
+    nodes: of each enumeration of fillings; steps: of each branch after its first plan; branches: after the first. Tables
+    that the first branch goes through within its steps are solved exactly.
+    """
+    counts = {k: n for k, n in counts.items() if n}
+    bound = lower_bound(counts, capacity)
+    best: list[tuple[Filling, int]] = []
+    fewest = sum(counts.values()) + 1 if counts else 0
+
+    def options(left: dict[int, int], lengths: list[int], before: list[Filling], best_fit: bool) -> tuple[Iterator[tuple[Filling, int]], bool]:
+        """Fillings around the largest length, each with a number of sequences; not those taken just before."""
+        largest = lengths[-1]
+        left[largest] -= 1
+        found, every = fillings(capacity - largest, lengths if left[largest] else lengths[:-1], left, nodes)
+        left[largest] += 1
+        if not best_fit and len(found) > 1 and _sum(found[1]) > _sum(found[0]):
+            found[0], found[1] = found[1], found[0]
+        whole = []
+        for f in found:
+            f = [(largest, 1 + f[0][1]), *f[1:]] if f and f[0][0] == largest else [(largest, 1), *f]
+            if f not in before:
+                whole.append((f, min(left[k] // n for k, n in f)))
+        fewer = ((f, t) for f, most in whole for t in range(most - 1, 0, -1))
+        return chain(whole, fewer), every
+
+    def branch(turn: int, best_fit: bool = False, only_first: bool = False) -> bool:
+        """Depth-first search from the empty plan; its first plan takes the second filling at step `turn`. Whether all was searched."""
+        nonlocal best, fewest
+        left, lengths, used, rest = dict(counts), sorted(counts), 0, sum(k * n for k, n in counts.items())
+        plan: list[tuple[Filling, int]] = []
+        frames: list[Iterator[tuple[Filling, int]]] = []
+        complete, descending, budget = True, True, steps
+
+        def move(f: Filling, times: int) -> None:
+            """Take (times > 0) or give back the pieces of `times` sequences."""
+            nonlocal used, rest
+            for k, n in f:
+                had, left[k] = left[k], left[k] - n * times
                 if not left[k]:
-                    lengths.remove(k)
-        return plan, n
-
-    for turn in range(-1, runs):
-        if (found := run(turn)) and found[1] < fewest:
-            best, fewest = found
-        if fewest == bound:
-            break
-    return best or []
+                    lengths.pop(bisect_left(lengths, k))
+                elif not had:
+                    insort(lengths, k)
+                rest -= k * n * times
+            used += times
+
+        while True:
+            if not lengths:
+                if used < fewest:
+                    best, fewest = plan.copy(), used
+                descending = False
+                if only_first:
+                    return False
+            elif used + -(-rest // capacity) < fewest and (descending or used + lower_bound({k: left[k] for k in lengths}, capacity) < fewest):
+                same = [f for f, _ in plan if f[0][0] == lengths[-1]] if len(plan) < 64 else []
+                choices, every = options(left, lengths, same, best_fit)
+                complete &= every
+                if descending and len(frames) == turn:
+                    head = next(choices, None)
+                    choices = chain(islice(choices, 1), [head] if head else [], choices)
+                frames.append(choices)
+            else:
+                descending = False
+            choice = None
+            while frames and choice is None:
+                if len(plan) == len(frames):
+                    move(plan[-1][0], -plan.pop()[1])
+                if (choice := next(frames[-1], None)) is None:
+                    frames.pop()
+            if choice is None or fewest == bound:
+                return complete
+            if not descending:
+                budget -= 1
+                if budget < 0:
+                    return False
+            plan.append(choice)
+            move(*choice)
+
+    if counts:
+        branch(-1, best_fit=True, only_first=True)
+        for turn in range(-1, branches):
+            if fewest == bound or branch(turn) and turn < 0:
+                break
+    return [([k for k, n in f for _ in range(n)], times) for f, times in best]
+
+
+def _sum(f: Filling) -> int:
+    return sum(k * n for k, n in f)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

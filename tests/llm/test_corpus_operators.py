@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from stratalog.llm.decontamination import clean_documents, decontaminate
 from stratalog.llm.jaccard_join import near_duplicates, without_near_duplicates
 from stratalog.llm.language_model import score_texts
-from stratalog.llm.packing import pack, search
+from stratalog.llm.packing import lower_bound, pack, search
 from stratalog.llm.quality import RULES, kept_documents, measured
 from stratalog.llm.sharding import shard_records
 from stratalog.llm.substring_dedup import repeated_intervals
@@ -253,3 +253,36 @@ def test_packing_fills_sequences_with_short_pieces():
         plan = search(counts, capacity)
         assert sum(n for _, n in plan) == -(-total // capacity)
         assert sum(n * sum(f) for f, n in plan) == total
+
+
+def fewest_by_exhaustion(items, capacity):
+    best = [len(items)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= items[k] and rooms[j] not in rooms[:j]:
+                place(k + 1, [*rooms[:j], rooms[j] - items[k], *rooms[j + 1 :]])
+        place(k + 1, [*rooms, capacity - items[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_is_the_best_on_small_tables():
+    r = random.Random(1)
+    for _ in range(600):
+        capacity = r.choice([9, 10, 17, 30, 100])
+        items = [r.randint(1, capacity) if r.random() < 0.3 else r.randint(max(1, capacity // 6), capacity * 2 // 3) for _ in range(r.randint(0, 9))]
+        want = fewest_by_exhaustion(sorted(items, reverse=True), capacity)
+        counts = dict(collections.Counter(items))
+        assert lower_bound(counts, capacity) <= want == sum(n for _, n in search(counts, capacity)), (capacity, items)
+
+
+def test_short_documents_share_sequences(spark):
+    out = pack(spark.range(5000).selectExpr("id as doc_id", "cast(null as string) as text"), TOKENIZER)
+    assert out.select("sequence_id").distinct().count() == 2
