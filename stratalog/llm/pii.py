@@ -3,8 +3,10 @@
 The base finds e-mail addresses, IP addresses, payment cards and phone numbers by their forms. They are the seeds of a
 bootstrap: the two words before a seed are a lexical pattern, and looser forms after any pattern are candidate instances.
 Patterns and instances form a graph. In each round a pattern's confidence in a kind is the sum of the scores in that kind of
-the instances that follow it, over the number of times the pattern stands in the corpus (or before an instance, if more).
-Both count every occurrence in every row, so copies weigh alike. An unseen instance takes the best confidence of its patterns. Patterns of enough seeds and confidence then mark their candidates.
+the known instances that follow it, over the number of times the pattern stands in the corpus (or before an instance, if more).
+Both count every occurrence in every row, so copies weigh alike. Patterns of enough known instances and confidence make
+their candidates known, with the best confidence of their patterns as score; these may induce new patterns in the next
+round. The last round's patterns mark their candidates.
 """
 
 from __future__ import annotations
@@ -110,31 +112,35 @@ def _standing(docs: DataFrame, patterns: DataFrame, slots: int = 1 << 16) -> Dat
     return some.groupBy("left").agg(F.count(F.lit(1)).alias("standing")).join(patterns, "left")
 
 
-def learnt_patterns(docs: DataFrame, occurrences: DataFrame, rounds: int = 3, seeds: int = 3, confidence: float = 0.6) -> DataFrame:
+def learnt_patterns(docs: DataFrame, occurrences: DataFrame, seeds: int = 3, confidence: float = 0.6) -> DataFrame:
     """(left, kind, confidence) of the patterns that mark candidates.
 
-    Such a pattern stands before at least `seeds` distinct seeds of the kind and has the confidence.
+    Such a pattern stands before at least `seeds` distinct known instances of the kind and has the confidence. Base spans
+    are known; each round, the accepted patterns make the instances after them known, with which further patterns are
+    induced. The rounds end when they accept no new pattern: none is lost again, for scores only rise.
     """
-    spans = occurrences.select(F.explode(F.concat(F.transform("base", lambda s: F.struct(s["left"].alias("left"), s["kind"].alias("kind"), F.lower(s["value"]).alias("instance"), F.lit(True).alias("seed"))), F.transform("loose", lambda s: F.struct(s["left"].alias("left"), s["kind"].alias("kind"), F.lower(s["value"]).alias("instance"), F.lit(False).alias("seed"))))).alias("s")).select("s.*")
+    part = lambda spans, seed: F.transform(spans, lambda s: F.struct(s["left"].alias("left"), s["kind"].alias("kind"), F.lower(s["value"]).alias("instance"), F.lit(seed).alias("seed")))
+    spans = occurrences.select(F.explode(F.concat(part("base", True), part("loose", False))).alias("s")).select("s.*")
     edges = written(spans.where("left != ''").groupBy("left", "kind", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")))
-    strong = edges.where("seed").groupBy("left", "kind").agg(F.count(F.lit(1)).alias("n"))
-    rich = written(strong.where(F.col("n") >= seeds).select("left").distinct())
+    rich = written(edges.groupBy("left", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= seeds).select("left").distinct())
     if rich.isEmpty():
         return edges.select("left", "kind", F.lit(1.0).alias("confidence")).limit(0)
     edges = edges.join(rich, "left")
     places = occurrences.select(F.explode(F.array_distinct(F.transform(F.concat("base", "loose"), lambda s: F.struct(s["left"].alias("left"), s["start"].alias("start"))))).alias("s"))
     size = places.groupBy("s.left").agg(F.count(F.lit(1)).alias("places")).join(rich, "left")
-    size = written(size.join(_standing(docs, rich), "left", "left").select("left", F.greatest("places", F.coalesce("standing", F.lit(0))).alias("size")))
-    scores = edges.where("seed").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-    patterns = None
-    for _ in range(rounds):
-        scored = edges.join(scores, ["instance", "kind"])
-        sums = scored.groupBy("left", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("sum"), F.count_if("seed").alias("seeds"))
-        patterns = written(sums.join(size, "left").select("left", "kind", (F.col("sum") / F.col("size")).alias("confidence"), "seeds"))
-        unseen = edges.where("not seed").join(patterns.where(F.col("seeds") >= seeds), ["left", "kind"]).groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
-        known = edges.where("seed").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-        scores = known.unionByName(unseen.join(known, ["instance", "kind"], "left_anti"))
-    return patterns.where((F.col("seeds") >= seeds) & (F.col("confidence") >= confidence)).select("left", "kind", "confidence")
+    size = size.join(_standing(docs, rich), "left", "left").select("left", F.greatest("places", F.coalesce("standing", F.lit(0))).alias("size"))
+    graph = written(edges.join(size, "left"))
+    first = graph.where("seed").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
+    scores, before = first, 0
+    while True:
+        scored = graph.join(scores, ["instance", "kind"])
+        sums = scored.groupBy("left", "kind").agg((F.sum(F.col("score") * F.col("n")) / F.first("size")).alias("confidence"), F.count(F.lit(1)).alias("known"))
+        patterns = written(sums.where((F.col("known") >= seeds) & (F.col("confidence") >= confidence)))
+        if (now := patterns.count()) == before:
+            return patterns.select("left", "kind", "confidence")
+        before = now
+        found = graph.where("not seed").join(patterns, ["left", "kind"]).groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
+        scores = first.unionByName(found.join(first, ["instance", "kind"], "left_anti"))
 
 
 def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

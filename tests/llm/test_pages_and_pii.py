@@ -1,6 +1,6 @@
 """Main text, PII and the pipeline."""
 
-import hashlib
+import collections
 import math
 import random
 import re
@@ -107,6 +107,50 @@ def test_loose_forms_in_any_text_and_layout(spark):
     assert found[300] == [("phone", 603, 615)] and not found[301]
 
 
+def brute_patterns(rows, seeds=3, confidence=0.6):
+    """The accepted patterns for phone numbers in texts of the form `two words: number rest`, by counting in plain loops."""
+    seen = [(m.group(1).lower(), m.group(2)) for _, t in rows for m in re.finditer(r"(\S+ \S+) (\+?[0-9][0-9() -]+[0-9])", t)]
+    stands = collections.Counter(" ".join(w) for _, t in rows for w in zip(t.lower().split(), t.lower().split()[1:], strict=False))
+    score = {x: 1.0 for _, x in seen if x.startswith("+")}
+    accepted = {}
+    while True:
+        now = {}
+        for left in {p for p, _ in seen}:
+            after = [x for p, x in seen if p == left]
+            if len({x for x in after if x in score}) >= seeds and sum(score.get(x, 0) for x in after) / stands[left] >= confidence:
+                now[left] = sum(score.get(x, 0) for x in after) / stands[left]
+        if len(now) == len(accepted):
+            return now
+        accepted = now
+        for p, x in seen:
+            if p in now and not x.startswith("+"):
+                score[x] = max(score.get(x, 0), now[p])
+
+
+def test_found_identifiers_induce_new_patterns(spark):
+    rows = [(k, f"so call me: +1 (803) 555-{1000 + k} end") for k in range(12)]
+    rows += [(100 + k, f"so call me: 803-556-{1000 + k} end") for k in range(4)]  # found in round 1
+    rows += [(200 + k, f"desk fax: 803-556-{1000 + k} end") for k in range(4)] + [(300, "desk fax: 803-557-7777 end")]  # known then, so the context is learnt
+    rows += [(400 + k, f"batch no: 803-558-{1000 + k} end") for k in range(6)] + [(500 + k, f"desk lamp: 803-556-{1000 + k} end") for k in range(2)]
+    want = brute_patterns(rows)
+    assert {"call me:", "desk fax:"} <= set(want) and "batch no:" not in want and "desk lamp:" not in want
+    found = {x.doc_id: as_tuples(x.spans) for x in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        marked = "+" in t or any(f"{p} " in t for p in want)
+        assert found[d] == ([("phone", re.search(r"[+8]", t).start(), len(t) - 4)] if marked else []), t
+
+
+def test_planted_contexts_are_recalled(spark):
+    r = random.Random(11)
+    leads = [f"{r.choice(edge.WORDS)} {x}:" for x in ("phone", "hotline", "reach me", "tel", "callback")]
+    filler = lambda: " ".join(r.choices(edge.WORDS, k=15))
+    rows = [(k, f"{filler()} {leads[k % 5]} +1 (803) 555-{1000 + k} {filler()}") for k in range(60)]
+    hidden = [(1000 + k, f"{filler()} {leads[k % 5]} {r.choice(['803-555-', '(803) 555 ', '803.555.'])}{5000 + k} {filler()}") for k in range(30)]
+    clean = [(2000 + k, f"{filler()} order {r.choice(edge.WORDS)} 803-555-{7000 + k} {filler()}") for k in range(30)]
+    found = {x.doc_id: len(x.spans) for x in find_pii(spark.createDataFrame(rows + hidden + clean, "doc_id long, text string")).collect()}
+    assert sum(found[d] == 1 for d, _ in hidden) >= 0.9 * len(hidden) and not any(found[d] for d, _ in clean)
+
+
 def as_tuples(spans):
     return [tuple(s) for s in spans]
 
@@ -133,5 +177,5 @@ def test_pipeline(spark, tmp_path):
     ids = {r.doc_id for r in out}
     with_passage = {d for d, t in edge.rows_of(docs) if t and "p0 p1 p2" in t}
     assert out and with_passage and not ids & with_passage
-    assert None in ids and hashlib.sha256(repr(sorted(map(str, ids))).encode()).hexdigest()
+    assert None in ids
     assert len(corpus_pipeline.STAGES) == 5
