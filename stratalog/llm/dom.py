@@ -15,7 +15,8 @@ _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 #: HTML's element classes, as its standard lists them.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("script style textarea title noscript iframe template svg select button object math canvas audio video".split())
+#: Scripts and what stands in for them, styles, forms, and other documents; all else keeps its text.
+DROPPED = frozenset("script noscript template style title iframe svg textarea select button".split())
 _ENDS_P = BLOCKS - frozenset("body caption dd dt legend li tbody td tfoot th thead tr summary figcaption".split())
 _CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 _WALLS = {"li": {"ul", "ol", "menu", "dir"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -40,11 +41,15 @@ _INHERITED = {"nav": 0, "header": 1, "footer": 2, "aside": 3, "article": 4, "mai
 
 
 class Page:
-    """tag, parent, depth, attribute groups and label of each block element in page order; blocks: (element, text)."""
+    """tag, parent, depth and attribute groups of each block element in page order; blocks: (element, text).
 
-    __slots__ = ("tag", "parent", "groups", "label", "blocks", "links", "n_links")
+    label: for pages made for training (labelled), the value of each element's attribute data-y; else None.
+    """
 
-    def __init__(self, html: str):
+    __slots__ = ("tag", "parent", "groups", "label", "blocks", "links", "n_links", "labelled")
+
+    def __init__(self, html: str, labelled: bool = False):
+        self.labelled = labelled
         self.tag, self.parent, self.groups, self.label = ["body"], [-1], [0], [None]
         self.blocks: list[tuple[int, str]] = []
         self.links, self.n_links = [0], [0]
@@ -90,7 +95,7 @@ class Page:
                             break
                     continue
                 if name == "body":
-                    self.groups[0], self.label[0] = _groups(attributes)
+                    self.groups[0], self.label[0] = self._attributes(attributes)
                     continue
                 close_run()
                 if name in _ENDS_P:
@@ -99,7 +104,7 @@ class Page:
                     self._pop(stack, _CLOSES[name], _WALLS[name])
                 if name == "hr":
                     continue
-                groups, label = _groups(attributes) if attributes else (0, None)
+                groups, label = self._attributes(attributes)
                 self.tag.append(name)
                 self.parent.append(stack[-1])
                 self.groups.append(groups)
@@ -121,6 +126,10 @@ class Page:
                 parts.clear()
         close_run()
 
+    def _attributes(self, attributes: str) -> tuple[int, int | None]:
+        groups, label = _groups(attributes) if attributes else (0, None)
+        return groups, label if self.labelled else None
+
     def _pop(self, stack: list[int], names: set[str], walls: frozenset[str] | set[str]) -> None:
         """Close open elements down to the outermost of `names` inside the nearest wall."""
         cut = None

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
 from .dom import Page
+from .textarrays import freeing
 
 _SYLLABLES = "an be cor da el fi gra hu in jo ka lo mi ne or pe qua ri so ta un ve wi xa yo ze th st ing er on re".split()
 
@@ -147,9 +148,9 @@ def train(sample: list[str], made_pages: int = 900, seed: int = 11) -> Trees:
     """Trees from made_pages random pages and the sample's pages that mark their article."""
     maker = _Maker(seed)
     rows, labels = [], []
-    for html in [maker.page() for _ in range(made_pages)] + list(sample):
-        page = Page(html)
-        found = _examples(page) if any(x is not None for x in page.label) else _marked(page)
+    made = [Page(maker.page(), labelled=True) for _ in range(made_pages)]
+    for page in [*made, *map(Page, sample)]:
+        found = _examples(page) if page.labelled else _marked(page)
         if found is not None:
             rows.append(page.features())
             labels.append(np.array(found))
@@ -203,8 +204,8 @@ def main_text(pages: DataFrame, sample_pages: int = 200, id_column: str = "page_
     """
     source = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"))
     total = source.count()
-    share = max(1, total // (2 * sample_pages))
-    sample = source.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(share)) == 0).where(F.octet_length("html").between(1, 100_000)).select("html").limit(sample_pages)
+    share, mark = max(1, total // (2 * sample_pages)), F.xxhash64("page_id", "url")
+    sample = source.where(F.pmod(mark, F.lit(share)) == 0).where(F.octet_length("html").between(1, 100_000)).orderBy(mark, "html").select("html").limit(sample_pages)
     trees = train([r["html"] for r in sample.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,4 +216,4 @@ def main_text(pages: DataFrame, sample_pages: int = 200, id_column: str = "page_
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(source.dtypes)
-    return source.mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
+    return source.mapInArrow(freeing(run), f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")

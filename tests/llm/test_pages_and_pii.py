@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 
 import edge
 
@@ -17,7 +18,7 @@ from stratalog.llm.queries import QUERIES, SQL
 def test_held_out_pages():
     trees, maker, exact = train([], made_pages=500), _Maker(12345), 0
     for _ in range(150):
-        page = Page(maker.page())
+        page = Page(maker.page(), labelled=True)
         y, chosen = _examples(page), decode(page, trees.logits(page.features()))
         assert all(not chosen[k] or chosen[page.parent[k]] or not any(chosen[a] for a in ancestors(page, k)) for k in range(len(page.tag)))
         exact += all(bool(y[k]) == chosen[k] for k, _ in page.blocks)
@@ -38,6 +39,65 @@ def ancestors(page, k):
         yield k
 
 
+#: Pages written by hand, each with its article's text.
+WRITTEN = [
+    (
+        """<!DOCTYPE html><html><head><title>Tides | The Harbour Post</title><style>p { margin: 0 }</style></head><body>
+<header class="masthead"><a href="/">The Harbour Post</a></header>
+<nav><ul><li><a href="/n">News</a></li><li><a href="/w">Weather</a></li><li><a href="/s">Sport</a></li></ul></nav>
+<main><article class="post"><h1>Why the spring tide came early</h1>
+<p>Fishermen along the coast were caught unprepared on Tuesday, when the water rose almost an hour before the time that
+the tables had given. &ldquo;I have not seen this in thirty years,&rdquo; said one of them.</p>
+<p>The level <math><mi>h</mi></math> depends on the moon, on the wind and on the pressure of the air, and all three
+played a part this time, the harbour office wrote in its report on the next day.</p>
+<aside class="advert"><p>Buy new boots now!</p></aside>
+<h2>What comes next</h2>
+<p>New tables are due in March. Until then, boats should leave the inner basin two hours before high water at the latest.</p></article></main>
+<section id="comments"><h3>2 comments</h3><div class="comment"><p>anna: Same here in the north, we lost a net.</p></div><div class="comment"><p>bert: The tables are useless.</p></div></section>
+<footer>&copy; 2024 The Harbour Post. <a href="/imprint">Imprint</a></footer><script>track("tides");</script></body></html>""",
+        [
+            "Why the spring tide came early",
+            "Fishermen along the coast were caught unprepared on Tuesday, when the water rose almost an hour before the time that the tables had given. \u201cI have not seen this in thirty years,\u201d said one of them.",
+            "The level h depends on the moon, on the wind and on the pressure of the air, and all three played a part this time, the harbour office wrote in its report on the next day.",
+            "What comes next",
+            "New tables are due in March. Until then, boats should leave the inner basin two hours before high water at the latest.",
+        ],
+    ),
+    (
+        """<body><div id="top" class="header"><p>Garden notes</p></div><div class="menu"><ul><li><a href=/a>Home</a><li><a href=/b>Plants</a><li><a href=/c>About</a></ul></div>
+<div class="cookie-notice"><p>We use cookies to make this site better. Accept?</p></div>
+<div class="content"><h1>Moving an old rose</h1><p>Dig in late autumn, when the leaves have fallen, and keep as much of the root as you can carry in one piece.
+<p>Cut the shoots back to a hand's breadth. It looks harsh, but the plant has fewer roots to feed them with, and it will thank you in the summer.
+<ul><li>a sharp spade<li>a bucket of water<li>compost, well rotted</ul>
+<p>Water well, and then leave it alone until spring.</div>
+<div class="sidebar"><h3>Popular</h3><p><a href=/p>Ten easy shrubs</a><p><a href=/q>Slugs</a></div><div class="footer">Garden notes, since 2009</div></body>""",
+        [
+            "Moving an old rose",
+            "Dig in late autumn, when the leaves have fallen, and keep as much of the root as you can carry in one piece.",
+            "Cut the shoots back to a hand's breadth. It looks harsh, but the plant has fewer roots to feed them with, and it will thank you in the summer.",
+            "a sharp spade",
+            "a bucket of water",
+            "compost, well rotted",
+            "Water well, and then leave it alone until spring.",
+        ],
+    ),
+]
+
+
+def test_pages_written_by_hand():
+    trees = train([])
+    got = extract([html for html, _ in WRITTEN], trees)
+    assert [t.split("\n\n") for t in got] == [want for _, want in WRITTEN]
+    assert all(x is None for x in Page('<div data-y="3"><article data-y="0">x</article></div>').label)
+
+
+def test_a_page_of_many_siblings():
+    page = "<body><article>" + "".join(f"<p>Paragraph {k} of a very long article.</p>" for k in range(100_000)) + "</article></body>"
+    began = time.monotonic()
+    assert extract([page], train([], made_pages=300))[0].count("\n\n") == 99_999
+    assert time.monotonic() - began < 60
+
+
 def test_page_reading(spark):
     trees = train([], made_pages=300)
     html = '<body><nav><a href="/">Home</a></nav><article><h1>A &amp; B</h1><p>One <b>two\n\n three<br>four<p>Five &lt;6&gt;</article><script>var x="</p>";</script><footer>&copy; me</footer>'
