@@ -1,8 +1,9 @@
 """Quality rules in a short-circuit cascade, in DataFrame functions only.
 
-A rule measures some columns and rejects on them. On a bounded sample, each rule is run alone: the share it rejects and the
-time it takes order the rules by rejections for each second. The cascade applies them in that order, and a document that a
-rule rejects never reaches the next one's measures. The order changes the cost, never the verdict.
+A rule rejects on measures of a text. On a bounded sample, each rule's cost is taken from warm runs, less those of a run that
+measures nothing, and one job counts which rules reject which rows. The next rule is always the one that rejects most of the
+rows left to it for each second. The cascade asks the rules in that order, row by row: a rule that rejects a document ends
+it, and no later rule's measures are taken. The order changes the cost, never the verdict.
 """
 
 from __future__ import annotations
@@ -24,45 +25,26 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def measure_words(df: DataFrame) -> DataFrame:
-    """_words (a null text has none), n_words and word_chars."""
-    if "n_words" in df.columns:
-        return df
-    trimmed = F.btrim(F.coalesce(F.col("_given"), F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    words = _let(F.split(trimmed, _SPACE + "+"), lambda w: F.when(w[0] == "", F.array().cast("array<string>")).otherwise(w))
-    return df.withColumn("_words", words).withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+def words_of(text: Column) -> Column:
+    return _let(F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), _SPACE + "+"), lambda w: F.when(w[0] == "", F.array().cast("array<string>")).otherwise(w))
 
 
-def _left(pattern: str) -> Column:
+def _left(text: Column, pattern: str) -> Column:
     """How many characters of the text the (negated) pattern leaves."""
-    return F.length(F.regexp_replace(F.coalesce(F.col("_given"), F.lit("")), pattern, "")).cast("long")
+    return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
-def measure_symbols(df: DataFrame) -> DataFrame:
-    return df if "n_symbols" in df.columns else measure_words(df).withColumn("n_symbols", _left("[^#*$%&|<>]+"))
+def _lines(text: Column) -> Column:
+    """Lines with a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def measure_shouting(df: DataFrame) -> DataFrame:
-    return df if "n_upper" in df.columns else measure_words(df).withColumn("n_upper", _left(r"[^\p{Lu}]+")).withColumn("n_exclaims", _left("[^!]+"))
-
-
-def measure_lines(df: DataFrame) -> DataFrame:
-    """n_lines with a word, and n_dup_lines of them that equal an earlier line."""
-    if "n_dup_lines" in df.columns:
-        return df
-    lines = F.filter(F.split(F.coalesce(F.col("_given"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counts = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again")))
-    return df.withColumn("_lines", counts).withColumn("n_lines", F.col("_lines.n")).withColumn("n_dup_lines", F.col("_lines.again")).drop("_lines")
-
-
-def measure_repeats(df: DataFrame, width: int = 5) -> DataFrame:
-    """n_repeat_words: words in windows of `width` words found at least twice in the text.
+def _repeats(words: Column, width: int = 5) -> Column:
+    """Words in windows of `width` words found at least twice in the text.
 
     Windows are 64-bit hashes. Only texts in which one repeats sort them, with their places; the places of repeated windows,
     sorted, give the words covered without a word counting twice.
     """
-    if "n_repeat_words" in df.columns:
-        return df
     zero = F.lit(0).cast("long")
     same = lambda s, x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
     of_words = lambda w: F.transform(w, lambda x: F.xxhash64(x))
@@ -73,66 +55,103 @@ def measure_repeats(df: DataFrame, width: int = 5) -> DataFrame:
     placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     counted = lambda h: _let(placed(h), lambda s: _let(F.sort_array(F.transform(again(s), lambda x: x["i"])), words_in))
     repeated = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(counted(h))
-    count = _let(F.col("_words"), lambda w: F.when(F.size(w) <= width, zero).otherwise(_let(hashes(w), repeated)))
-    return measure_words(df).withColumn("n_repeat_words", count)
+    return F.when(F.size(words) <= width, zero).otherwise(_let(hashes(words), repeated))
+
+
+#: What a measure is of a text (never null) and its words.
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w).cast("long"),
+    "word_chars": lambda t, w: F.length(F.array_join(w, "")).cast("long"),
+    "n_symbols": lambda t, w: _left(t, "[^#*$%&|<>]+"),
+    "n_lines": lambda t, w: F.size(_lines(t)).cast("long"),
+    "n_dup_lines": lambda t, w: _let(_lines(t), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+    "n_repeat_words": lambda t, w: _repeats(w),
+    "n_upper": lambda t, w: _left(t, r"[^\p{Lu}]+"),
+    "n_exclaims": lambda t, w: _left(t, "[^!]+"),
+}
 
 
 class Rule(NamedTuple):
-    """A name, what adds the measures it needs, and the SQL condition on which it rejects (never null)."""
+    """A name, and the condition on which it rejects (never null), from a function that gives a measure by its name."""
 
     name: str
-    measure: Callable[[DataFrame], DataFrame]
-    rejects: str
+    rejects: Callable[[Callable[[str], Column]], Column]
 
 
 #: Rules of the base, then those of the method. Thresholds lie far from running prose.
 BASE = (
-    Rule("few_words", measure_words, "n_words < 10"),
-    Rule("repeated_words", measure_repeats, "100 * n_repeat_words > 20 * n_words"),
+    Rule("few_words", lambda m: m("n_words") < 10),
+    Rule("repeated_words", lambda m: 100 * m("n_repeat_words") > 20 * m("n_words")),
 )
 RULES = (
     *BASE,
-    Rule("symbols", measure_symbols, "10 * n_symbols > n_words"),
-    Rule("repeated_lines", measure_lines, "100 * n_dup_lines > 35 * n_lines"),
-    Rule("shouting", measure_shouting, "100 * n_upper > 40 * word_chars"),
-    Rule("exclaiming", measure_shouting, "2 * n_exclaims > n_words"),
+    Rule("symbols", lambda m: 10 * m("n_symbols") > m("n_words")),
+    Rule("repeated_lines", lambda m: 100 * m("n_dup_lines") > 35 * m("n_lines")),
+    Rule("shouting", lambda m: 100 * m("n_upper") > 40 * m("word_chars")),
+    Rule("exclaiming", lambda m: 2 * m("n_exclaims") > m("n_words")),
 )
 
 
+def _given(text: Column, words: Column, known: dict[str, Column]) -> Callable[[str], Column]:
+    return lambda name: known[name] if name in known else MEASURES[name](text, words)
+
+
+def cascade(order: list[Rule], text: Column, words: Column, known: dict[str, Column]) -> Column:
+    """The name of the first rule that rejects, or null. known: measures taken before; others are only taken for rows that reach a rule."""
+    found = F
+    for rule in order:
+        found = found.when(rule.rejects(_given(text, words, known)), F.lit(rule.name))
+    return found.otherwise(F.lit(None).cast("string")) if order else F.lit(None).cast("string")
+
+
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str = "text", sample_rows: int = 2000, seed: int = 7) -> list[Rule]:
-    """The rules by rejections for each second on a sample of about sample_rows rows; ties keep the given order."""
+    """The rules by rejections of rows left for each second, on a sample of about sample_rows rows; ties keep the given order."""
     total = docs.count()
     if not total:
         return list(rules)
-    sample = written(docs.select(F.col(text_column).alias("_given")).sample(min(1.0, sample_rows / total), seed))
-    rate = []
-    for rule in rules:
-        began = time.monotonic()
-        n = rule.measure(sample).agg(F.count_if(F.expr(rule.rejects))).first()[0]
-        rate.append(n / max(time.monotonic() - began, 1e-3))
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -rate[k])]
-
-
-def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The given rows with all measures of RULES and rejected_by, the first rule in cascade order that rejects (or null).
-
-    A null or empty text has no words and is rejected. The input must not have columns named as measures.
+    sample = written(docs.select(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text")).sample(min(1.0, sample_rows / total), seed))
+    text = F.col("text")
+    asked = lambda rule: _let(words_of(text), lambda w: rule.rejects(_given(text, w, {})))
+    rejects = [asked(r) for r in rules]
+
+    def seconds(condition: Column) -> float:
+        job, took = sample.agg(F.count_if(condition)), []
+        for _ in range(3):  # the first run compiles
+            began = time.monotonic()
+            job.first()
+            took.append(time.monotonic() - began)
+        return min(took[1:])
+
+    nothing = seconds(text.isNull())
+    cost = [max(seconds(c) - nothing, 1e-3) for c in rejects]
+    left = {r["which"]: r["n"] for r in sample.groupBy(F.concat(*[c.cast("int").cast("string") for c in rejects]).alias("which")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each set of rules
+    out: list[int] = []
+    while len(out) < len(rules):
+        rate = {k: sum(n for which, n in left.items() if which[k] == "1") / cost[k] for k in range(len(rules)) if k not in out}
+        out.append(max(rate, key=lambda k: rate[k]))
+        left = {which: n for which, n in left.items() if which[out[-1]] == "0"}
+    return [rules[k] for k in out]
+
+
+def measured(docs: DataFrame, names: tuple[str, ...], rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per document: doc_id, the named measures, and rejected_by, the first rule in cascade order that rejects (or null).
+
+    The named measures are taken of every row, all others only of rows that reach a rule. A null or empty text has no words
+    and is rejected by a rule on few words. Repeated rows are judged alike. An empty table gives an empty one. Other columns
+    are ignored.
     """
-    order = ordered_rules(docs, text_column=text_column)
-    df = docs.withColumn("_given", F.col(text_column))
-    for rule in RULES:
-        df = rule.measure(df)
-    verdict = F.coalesce(*[F.when(F.expr(r.rejects), F.lit(r.name)) for r in order])
-    return df.withColumn("rejected_by", verdict).drop("_given", "_words")
+    order = ordered_rules(docs, rules, text_column)
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    taken = lambda t, w: F.struct(*[MEASURES[n](t, w).alias(n) for n in names])
+    verdict = lambda t, w: _let(taken(t, w), lambda m: F.struct(*[m[n].alias(n) for n in names], cascade(order, t, w, {n: m[n] for n in names}).alias("rejected_by")))
+    found = docs.select(F.col(f"`{id_column}`").alias("doc_id"), _let(text, lambda t: _let(words_of(t), lambda w: verdict(t, w))).alias("m"))
+    return found.select("doc_id", *[F.col("m")[n].alias(n) for n in (*names, "rejected_by")])
 
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
-    """The rows that no rule rejects, with their columns as they were; names of own columns may be those of measures.
+    """The rows that no rule rejects, with their columns as they were, whatever their names.
 
     Null and empty texts go (no words). Repeated rows are judged alike, each kept or not. An empty table stays empty.
     """
-    columns = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text_column).alias("_given"))
-    for rule in ordered_rules(docs, rules, text_column):
-        inner = rule.measure(inner).where(~F.expr(rule.rejects))
-    return inner.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+    order = ordered_rules(docs, rules, text_column)
+    return docs.where(_let(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), lambda t: _let(words_of(t), lambda w: cascade(order, t, w, {}))).isNull())

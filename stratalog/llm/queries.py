@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -71,9 +72,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = measured(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    base_failed = F.expr(" OR ".join(f"({r.rejects})" for r in BASE))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    found = measured(_read(spark, sf_dir, "documents"), names)
+    base_failed = reduce(Column.__or__, [r.rejects(F.col) for r in BASE])
+    return found.select("doc_id", *names, base_failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,14 @@ import edge
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratalog.llm.decontamination import clean_documents, decontaminate
 from stratalog.llm.jaccard_join import near_duplicates, without_near_duplicates
 from stratalog.llm.language_model import score_texts
 from stratalog.llm.packing import lower_bound, pack, search
-from stratalog.llm.quality import RULES, kept_documents, measured
+from stratalog.llm.quality import RULES, Rule, cascade, kept_documents, measured, ordered_rules, words_of
 from stratalog.llm.sharding import shard_records
 from stratalog.llm.substring_dedup import repeated_intervals
 from stratalog.llm.token_files import compress, expand, read_shards, rule_sizes, slice_of_document, write_shards
@@ -150,11 +151,32 @@ def test_quality(spark):
         again = {i for k in range(len(w) - 4) if seen[tuple(w[k : k + 5])] > 1 for i in range(k, k + 5)}
         lines = [x for x in t.split("\n") if edge.space_words(x)]
         want.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again)))
-    out = measured(docs.select("doc_id", "text")).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    out = measured(docs, names).collect()
     assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out), key=edge.key) == sorted(want, key=edge.key)
     kept = kept_documents(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r.rejected_by is None for r in out) > 0
     assert kept_documents(edge.nothing(spark)).count() == 0 and len({r.name for r in RULES}) == len(RULES)
+    clash = docs.withColumnsRenamed({"n": "n_words", "label": "n_upper", "row": "_words", "left": "m", "token": "rejected_by"})
+    assert kept_documents(clash).count() == kept.count() and sorted(map(repr, measured(clash, names).collect())) == sorted(map(repr, out))
+
+
+def test_later_rules_see_survivors_only(spark):
+    docs = spark.createDataFrame([(k, "x" * (k % 7)) for k in range(200)] + [(900, None)], "doc_id long, text string")
+    cheap = Rule("cheap", lambda m: m("n_words") < 1)
+    picky = Rule("picky", lambda m: F.when(m("n_words") < 1, F.raise_error(F.lit("asked of a rejected row")).cast("boolean")).otherwise(m("word_chars") > 3))
+    t = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", cascade([cheap, picky], t, words_of(t), {}).alias("by")).collect()
+    assert all(r.by == ("cheap" if r.doc_id % 7 == 0 or r.doc_id == 900 else "picky" if r.doc_id % 7 > 3 else None) for r in found)
+    with pytest.raises(Exception, match="asked of a rejected row"):
+        docs.select(cascade([picky, cheap], t, words_of(t), {}).alias("by")).collect()
+
+
+def test_rules_are_ordered_by_what_they_reject(spark):
+    docs = spark.createDataFrame([(k, "a b c" if k % 2 else "A! B! C!") for k in range(400)], "doc_id long, text string")
+    none, half, same = Rule("none", lambda m: m("n_words") < 0), Rule("half", lambda m: m("n_exclaims") > 0), Rule("same", lambda m: m("n_upper") > 0)
+    names = [r.name for r in ordered_rules(docs, (none, half, same), sample_rows=400)]
+    assert names[0] in ("half", "same") and names[1] == "none"  # the third rejects none of what is left
 
 
 def test_substring_dedup(spark):
