@@ -7,12 +7,14 @@ benchmark lies; the rarest of each window is its only join token. A document's s
 window and, by the token's place, a position; those that would reach over either end of the document are dropped, and the
 rest is verified word by word.
 
-The benchmark is a query set: it is taken in blocks of bounded size, and each block's index goes to all tasks.
+The benchmark is a query set: it is taken in blocks of bounded size, and each block's index goes to all tasks. One block
+marks the rows as they pass; of several, each writes what it finds before the next one's index is made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -21,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import written
 from .textarrays import NOT_ALPHANUMERIC, Words, covered, freeing, take_ranges, text_bytes, windows, words
 from .tokenizing import blocks
 
 #: Bytes of benchmark texts whose index is sent to the tasks at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 _SHINGLE = 3
+_HITS = "array<struct<start:long,end:long>>"
 
 
 def _words(column: pa.Array | pa.ChunkedArray) -> Words:
@@ -155,19 +159,39 @@ def probe(found: Words, index: list[_Index]) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _probed(source: DataFrame, benchmark: DataFrame, width: int, item_column: str, item_text: str, block_bytes: int) -> DataFrame:
-    """source (doc_id, text) with hits, items and n_words."""
+    """source (doc_id, text) with hits, items and n_words. Hits of several blocks are kept by a row number until all are known."""
     bench = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     n_blocks = max(1, -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    schema = T.StructType([*source.schema.fields, T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())])
-    state = source.withColumn("hits", F.array().cast("array<struct<start:long,end:long>>")).withColumn("items", F.array().cast("array<string>"))
+    if n_blocks > 1:
+        return _merged(source, bench, n_blocks, width)
+    return _probed_by(source, bench, width)
+
+
+def _merged(source: DataFrame, bench: DataFrame, n_blocks: int, width: int) -> DataFrame:
+    """What all blocks find, joined to the rows; runs of hits that touch or overlap become one."""
+    keyed = written(source.select(F.struct("doc_id", F.monotonically_increasing_id().alias("key")).alias("doc_id"), "text"))
+    parts = []
     for block in range(n_blocks):
-        part = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
-        rows = part.collect()  # one block of the query set, of bounded size
-        names = np.array([r["item"] for r in rows], object)
-        index = build_index(source, pa.array([r["text"] for r in rows], pa.string()), width)
-        state = state.mapInArrow(freeing(_prober(index, names)), schema)
-        state = state if block == n_blocks - 1 else state.drop("n_words")
-    return state
+        found = _probed_by(keyed, bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block), width)
+        parts.append(written(found.where(F.size("hits") > 0).select(F.col("doc_id.key").alias("of"), "hits", "items")))
+    every = reduce(DataFrame.unionByName, parts).groupBy("of").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+    start, end, hits = F.col("runs")[0]["start"], F.col("runs")[0]["end"], F.array().cast(_HITS)
+    first = F.struct(start.alias("start"), end.alias("end"), hits.alias("out"))
+    put = lambda a: F.array_append(a["out"], F.struct(a["start"].alias("start"), a["end"].alias("end")))
+    merge = lambda a, h: F.when(h["start"] <= a["end"], F.struct(a["start"].alias("start"), F.greatest(a["end"], h["end"]).alias("end"), a["out"].alias("out"))).otherwise(F.struct(h["start"].alias("start"), h["end"].alias("end"), put(a).alias("out")))
+    every = every.select("of", F.aggregate("runs", first, merge, put).alias("hits"), "items")
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long")
+    joined = keyed.join(every, F.col("doc_id.key") == F.col("of"), "left")
+    return joined.select(F.col("doc_id.doc_id").alias("doc_id"), "text", F.coalesce("hits", F.array().cast(_HITS)).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), words.alias("n_words"))
+
+
+def _probed_by(source: DataFrame, bench: DataFrame, width: int) -> DataFrame:
+    """source with the hits of one block of items, and their items."""
+    schema = T.StructType([*source.schema.fields, T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())])
+    rows = bench.collect()  # one block of the query set, of bounded size
+    names = np.array([r["item"] for r in rows], object)
+    index = build_index(source, pa.array([r["text"] for r in rows], pa.string()), width)
+    return source.mapInArrow(freeing(_prober(index, names)), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -195,16 +219,13 @@ def _prober(index: list[_Index], names: np.ndarray):
         for batch in _slices(batches):
             found = _words(batch.column("text"))
             hit, doc, item = probe(found, index)
-            hits, items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+            hits, items = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
             for d in np.unique(doc):
-                low, high = found.first[d], found.first[d + 1]
-                mine = hit[low:high].copy()
-                for h in hits[d]:
-                    mine[h["start"] : h["end"]] = True
+                mine = hit[found.first[d] : found.first[d + 1]]
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]]))).reshape(-1, 2)
                 hits[d] = [{"start": int(a), "end": int(b)} for a, b in edges]
             for d, k in zip(doc.tolist(), item.tolist(), strict=True):
                 items[d].append(names[k])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(hits, batch.schema.field("hits").type), pa.array(items, batch.schema.field("items").type), pa.array(np.diff(found.first))], names=["doc_id", "text", "hits", "items", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string())), pa.array(np.diff(found.first))], names=["doc_id", "text", "hits", "items", "n_words"])
 
     return run
