@@ -32,6 +32,7 @@ _PARTS = 16
 _FEW = 1_000_000
 #: Documents of a token for each of its blocks.
 _BLOCK = 200
+_SALTS = 64
 
 
 def _packed(grams: np.ndarray) -> bytes:
@@ -179,9 +180,11 @@ def _groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     every = _document_sets(docs, width, percent)
     labels = _class_labels(every, percent)
     classes = every.where("n > 0").groupBy("class").agg(F.min("id").alias("least"))
-    named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = named.groupBy("label").agg(F.min("least").alias("component"))
-    classes = named.join(least, "label").select(F.col("class").alias("of"), F.col("component").alias("least"))
+    # A component's least id is told to its classes over salted keys, for one component may hold most classes.
+    linked = classes.join(labels, F.col("class") == F.col("node")).select("class", "label", "least", F.pmod(F.xxhash64("class"), F.lit(_SALTS)).alias("salt"))
+    told = linked.groupBy("label").agg(F.min("least").alias("component")).select(F.col("label").alias("part"), "component", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("part_salt"))
+    named = linked.join(told, F.expr("label = part and salt = part_salt")).select(F.col("class").alias("named"), "component")
+    classes = classes.join(named, F.col("class") == F.col("named"), "left").select(F.col("class").alias("of"), F.coalesce("component", "least").alias("least"))
     out = every.where("n > 0").select("id", "n", "class").join(classes, F.col("class") == F.col("of")).drop("of")
     return out.unionByName(every.where("n = 0").select("id", "n", "class", F.col("id").alias("least")))
 
