@@ -66,8 +66,13 @@ def end_commits(h: History) -> DataFrame:
 
 def counts(h: History) -> DataFrame:
     """Commits, authors, committers, users (either), of each project."""
-    people = h.full_commits.select("project_id", "commit_id", "author_id", "committer_id", F.explode(F.array("author_id", "committer_id")).alias("user_id"))
-    return people.groupBy("project_id").agg(F.countDistinct("commit_id").alias("commits"), F.countDistinct("author_id").alias("authors"), F.countDistinct("committer_id").alias("committers"), F.countDistinct("user_id").alias("users"))
+    commits = h.full_commits.groupBy("project_id").agg(F.count(F.lit(1)).alias("commits"))
+    role = lambda c: F.struct(F.col(c).alias("user_id"), F.lit(c == "author_id").alias("author"))
+    people = h.full_commits.select("project_id", F.explode(F.array(role("author_id"), role("committer_id"))).alias("p")).select("project_id", "p.*")
+    roles = people.where("user_id IS NOT NULL").groupBy("project_id", "user_id").agg(F.max("author").alias("author"), F.max(~F.col("author")).alias("committer"))
+    users = roles.groupBy("project_id").agg(F.count_if("author").alias("authors"), F.count_if("committer").alias("committers"), F.count(F.lit(1)).alias("users"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return commits.join(users, "project_id", "left").select("project_id", "commits", none("authors"), none("committers"), none("users"))
 
 
 def content_counts(h: History) -> DataFrame:
@@ -128,8 +133,9 @@ def developer_experience(h: History, compat: bool = False) -> DataFrame:
     """The h-index of a user's commits by 30-day months from the first one. compat: months a second longer, and one more (but
     no more than there are months)."""
     month = 2_592_001 if compat else 2_592_000
-    first = F.min("author_time").over(Window.partitionBy("author_id"))
-    months = h.commits.where("author_id IS NOT NULL AND author_time IS NOT NULL").withColumn("month", F.floor((F.col("author_time") - first) / month))
+    dated = h.commits.where("author_id IS NOT NULL AND author_time IS NOT NULL").select("author_id", "author_time")
+    first = dated.groupBy("author_id").agg(F.min("author_time").alias("first"))
+    months = dated.join(first, "author_id").withColumn("month", F.floor((F.col("author_time") - F.col("first")) / month))
     per = months.groupBy(F.col("author_id").alias("user_id"), "month").agg(F.count(F.lit(1)).alias("k"))
     index = _h_index(per, "user_id", "k", "h", 0)
     if not compat:
@@ -206,10 +212,10 @@ def originality(h: History) -> DataFrame:
 def forks(h: History) -> DataFrame:
     """(project_id, fork_id): projects that share a commit with this one and were created later (ties: larger id).
 
-    A pair is joined once for each shared commit and then made distinct; holders of one commit are its forks, so the pairs
-    are the result itself.
+    Projects that share a commit share all its ancestors, so only commits without a parent are joined.
     """
-    dated = h.project_commits.join(h.projects.select("project_id", "created"), "project_id").where("created IS NOT NULL")
+    first = h.project_commits.join(h.commit_parents.select("commit_id").distinct(), "commit_id", "left_anti")
+    dated = first.join(h.projects.select("project_id", "created"), "project_id").where("created IS NOT NULL")
     other = dated.select(F.col("project_id").alias("fork_id"), F.col("created").alias("fork_created"), F.col("commit_id").alias("of"))
     later = F.expr("commit_id = of AND (fork_created > created OR (fork_created = created AND fork_id > project_id))")
     return dated.join(other, later).select("project_id", "fork_id").distinct()
@@ -223,11 +229,11 @@ def commit_projects(h: History) -> DataFrame:
 # Trees
 
 
-def head_trees(h: History) -> DataFrame:
-    """(project_id, name, path_id, snapshot_id): the files of each head, without deleted ones."""
+def head_trees(h: History, heads: DataFrame | None = None) -> DataFrame:
+    """(project_id, name, path_id, snapshot_id): the files of each head (by default all), without deleted ones."""
     from .graph import closure, trees
 
-    heads = h.project_heads
+    heads = h.project_heads if heads is None else heads
     seeds = heads.select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node"))
     edges = h.commit_parents.select(F.col("commit_id").alias("a"), F.col("parent_id").alias("b"))
     tree = trees(closure(edges, seeds), h.commit_changes)
@@ -238,7 +244,22 @@ def snapshot_locs(h: History) -> DataFrame:
     return h.snapshots.select("snapshot_id", lines_of_code(F.col("contents")).alias("locs"))
 
 
-def project_locs(h: History, branch: str = "refs/heads/main") -> DataFrame:
-    """Line ends over the files of one head."""
-    tree = head_trees(h).where(F.col("name") == branch)
-    return tree.join(snapshot_locs(h), "snapshot_id").groupBy("project_id").agg(F.sum("locs").alias("locs"))
+def default_heads(h: History) -> DataFrame:
+    """(project_id, name, commit_id): the head of the branch that a project's metadata name as the default."""
+    branch = h.metadata.select("project_id", F.concat(F.lit("refs/heads/"), "default_branch").alias("branch"))
+    return h.project_heads.join(branch, "project_id").where("name = branch").select("project_id", "name", "commit_id")
+
+
+def default_commits(h: History) -> DataFrame:
+    """The default heads' commits, with their fields."""
+    return default_heads(h).join(h.commits, "commit_id")
+
+
+def default_trees(h: History) -> DataFrame:
+    """The files of each default head, without deleted ones."""
+    return head_trees(h, default_heads(h))
+
+
+def project_locs(h: History) -> DataFrame:
+    """Line ends over the files of the default branch's head."""
+    return default_trees(h).join(snapshot_locs(h), "snapshot_id").groupBy("project_id").agg(F.sum("locs").alias("locs"))

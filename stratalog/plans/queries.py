@@ -310,7 +310,7 @@ def project_commits(h: History) -> DataFrame:
     return h._reachable(h.project_heads)
 
 
-@of_history("SELECT * FROM (WITH RECURSIVE m AS (SELECT project_id, commit_id FROM project_heads WHERE name = 'refs/heads/main' UNION SELECT m.project_id, p.parent_id FROM m JOIN commit_parents p ON p.commit_id = m.commit_id) SELECT project_id, count(*) AS n FROM m GROUP BY project_id)")
+@of_history("SELECT * FROM (WITH RECURSIVE m AS (SELECT project_id, commit_id FROM project_heads JOIN (SELECT project_id, 'refs/heads/' || (json::JSON->>'default_branch') AS branch FROM project_metadata) USING (project_id) WHERE name = branch UNION SELECT m.project_id, p.parent_id FROM m JOIN commit_parents p ON p.commit_id = m.commit_id) SELECT project_id, count(*) AS n FROM m GROUP BY project_id)")
 def main_branch_commits(h: History) -> DataFrame:
     return h.main_branch_commits(h.metadata.select("project_id", "default_branch")).groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -338,11 +338,43 @@ def head_trees(h: History) -> DataFrame:
     return metrics.head_trees(h)
 
 
-@of_history(f"SELECT project_id, sum(length(contents) - length(replace(contents, chr(10), '')))::BIGINT AS locs FROM {_TREE} JOIN project_heads ON commit_id = seed JOIN snapshots USING (snapshot_id) WHERE name = 'refs/heads/main' GROUP BY project_id")
+@of_history(f"SELECT project_id, sum(length(contents) - length(replace(contents, chr(10), '')))::BIGINT AS locs FROM {_TREE} JOIN project_heads ON commit_id = seed JOIN snapshots USING (snapshot_id) JOIN (SELECT project_id, 'refs/heads/' || (json::JSON->>'default_branch') AS branch FROM project_metadata) USING (project_id) WHERE name = branch GROUP BY project_id")
 def project_locs(h: History) -> DataFrame:
     return metrics.project_locs(h)
 
 
+_DEFAULT = "(SELECT project_id, name, commit_id FROM project_heads JOIN (SELECT project_id, 'refs/heads/' || (json::JSON->>'default_branch') AS branch FROM project_metadata) USING (project_id) WHERE name = branch)"
+
+
+@of_history(f"SELECT project_id, name, commit_id FROM {_DEFAULT}")
+def default_heads(h: History) -> DataFrame:
+    return metrics.default_heads(h)
+
+
+@of_history(f"SELECT project_id, hash, author_id, committer_time FROM {_DEFAULT} JOIN commits USING (commit_id)")
+def default_commits(h: History) -> DataFrame:
+    return metrics.default_commits(h).select("project_id", "hash", "author_id", "committer_time")
+
+
+@of_history(f"SELECT project_id, path_id, snapshot_id FROM {_TREE} JOIN {_DEFAULT} ON commit_id = seed WHERE snapshot_id IS NOT NULL")
+def default_trees(h: History) -> DataFrame:
+    return metrics.default_trees(h).select("project_id", "path_id", "snapshot_id")
+
+
+@of_history("SELECT project_id, time, is_error FROM project_logs WHERE project_id IN (SELECT project_id FROM projects WHERE substore = 'small') AND time <= 800000000")
+def substore_logs(h: History) -> DataFrame:
+    """The logs of one substore's projects up to a time."""
+    return h.of_substores(["small"]).at(800_000_000).project_logs
+
+
+@of_history(
+    "SELECT project_id, count(*) AS commits FROM pc JOIN commits USING (commit_id) WHERE committer_time <= 800000000 AND project_id IN (SELECT project_id FROM projects WHERE substore = 'small') GROUP BY project_id"
+)
+def substore_commits_at(h: History) -> DataFrame:
+    """Commits of one substore's projects, as of a time. Here commits are never older than their parents by over seven hours."""
+    return h.of_substores(["small"]).at(800_000_000).full_commits.groupBy("project_id").agg(F.count(F.lit(1)).alias("commits"))
+
+
 @of_history("SELECT project_id, max(greatest(author_time, committer_time)) - min(least(author_time, committer_time)) AS age FROM pcc GROUP BY project_id")
 def project_age(h: History) -> DataFrame:
     return metrics.ages(h)
@@ -494,14 +526,17 @@ def commit_figures(h: History) -> DataFrame:
 
 _COUNTS = "SELECT project_id, count(DISTINCT commit_id) AS commits, count(DISTINCT author_id) AS authors, count(DISTINCT committer_id) AS committers, count(DISTINCT u) AS users FROM (SELECT *, unnest([author_id, committer_id]) AS u FROM pcc) GROUP BY project_id"
 _AGE = "SELECT project_id, max(greatest(author_time, committer_time)) - min(least(author_time, committer_time)) AS lifetime FROM pcc GROUP BY project_id"
-_NO = ", ".join(f"NULL::{t} AS {c}" for c, t in {**dict.fromkeys("is_archived is_disabled has_issues has_downloads has_wiki has_pages".split(), "BOOLEAN"), **dict.fromkeys("watchers size open_issues forks subscribers updated pushed".split(), "BIGINT"), "homepage": "VARCHAR", "description": "VARCHAR"}.items())
+_FIELDS = {"is_archived": ("archived", "BOOLEAN"), "is_disabled": ("disabled", "BOOLEAN"), **{f"has_{c}": (f"has_{c}", "BOOLEAN") for c in ("issues", "downloads", "wiki", "pages")}}
+_FIELDS |= {"watchers": ("watchers_count", "BIGINT"), "size": ("size", "BIGINT"), "open_issues": ("open_issues_count", "BIGINT"), "forks": ("forks", "BIGINT"), "subscribers": ("subscribers_count", "BIGINT")}
+_FIELDS |= {c: (c, "VARCHAR") for c in ("homepage", "description", "default_branch")}
+_METADATA = ", ".join(f"(j->>'{f}')::{t} AS {c}" for c, (f, t) in _FIELDS.items()) + ", epoch((j->>'updated_at')::TIMESTAMP)::BIGINT AS updated, epoch((j->>'pushed_at')::TIMESTAMP)::BIGINT AS pushed"
 
 
 @of_history(
     "SELECT p.project_id, substore, url, (j->>'fork')::BOOLEAN AS is_fork, (j->>'stargazers_count')::BIGINT AS stars, (j->>'issues_count')::BIGINT AS issues, (j->>'buggy_issues_count')::BIGINT AS buggy_issues,"
     " CASE WHEN (j->>'issues_count') IS NULL AND (j->>'buggy_issues_count') IS NULL THEN NULL ELSE coalesce((j->>'issues_count')::BIGINT, 0) + coalesce((j->>'buggy_issues_count')::BIGINT, 0) END AS all_issues,"
-    " CASE lower(j->>'language') WHEN 'c++' THEN 'Cpp' WHEN 'python' THEN 'Python' WHEN 'perl 6' THEN 'Perl' WHEN 'rust' THEN 'Rust' END AS language, lifetime, epoch((j->>'created_at')::TIMESTAMP)::BIGINT AS created, 'main' AS default_branch, j->'license'->>'name' AS license,"
-    f" {_NO}, heads, commits, authors, committers, users FROM projects p LEFT JOIN (SELECT project_id, json::JSON AS j FROM project_metadata) USING (project_id) LEFT JOIN ({_AGE}) USING (project_id) LEFT JOIN (SELECT project_id, count(*) AS heads FROM project_heads GROUP BY project_id) USING (project_id) LEFT JOIN ({_COUNTS}) USING (project_id)"
+    " CASE lower(j->>'language') WHEN 'c++' THEN 'Cpp' WHEN 'python' THEN 'Python' WHEN 'perl 6' THEN 'Perl' WHEN 'rust' THEN 'Rust' END AS language, lifetime, epoch((j->>'created_at')::TIMESTAMP)::BIGINT AS created, j->'license'->>'name' AS license,"
+    f" {_METADATA}, heads, commits, authors, committers, users FROM projects p LEFT JOIN (SELECT project_id, json::JSON AS j FROM project_metadata) USING (project_id) LEFT JOIN ({_AGE}) USING (project_id) LEFT JOIN (SELECT project_id, count(*) AS heads FROM project_heads GROUP BY project_id) USING (project_id) LEFT JOIN ({_COUNTS}) USING (project_id)"
 )
 def project_layout(h: History) -> DataFrame:
     return project_rows(h)

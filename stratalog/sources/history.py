@@ -27,13 +27,32 @@ class History:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, substores: list[str] | None = None, as_of: int | None = None) -> History:
-        """Tables at path/NAME.parquet; only projects of these substores, and only commits up to a time."""
-        tables = {name: spark.read.parquet(f"{path}/{name}.parquet") for name in NAMES}
+        """Tables at path/NAME.parquet; only what belongs to projects of these substores, and only what was there at a time."""
+        found = cls({name: spark.read.parquet(f"{path}/{name}.parquet") for name in NAMES})
         if substores:
-            tables["projects"] = tables["projects"].where(F.col("substore").isin(substores))
-        if as_of is not None:
-            tables["commits"] = tables["commits"].where(F.col("committer_time") <= as_of)
-        return cls(tables)
+            found = found.of_substores(substores)
+        return found if as_of is None else found.at(as_of)
+
+    def of_substores(self, substores: list[str]) -> History:
+        """The projects of these substores, with their metadata, logs and heads; so nothing reaches other projects' commits."""
+        projects = self.projects.where(F.col("substore").isin(substores))
+        mine = {name: self.tables[name].join(projects.select("project_id"), "project_id", "left_semi") for name in ("project_metadata", "project_logs", "project_heads")}
+        return History(self.tables | mine | {"projects": projects})
+
+    def at(self, time: int) -> History:
+        """Commits up to a committer time, with their parents and changes, and logs up to it. A head on a later commit stands
+        on the first kept commits that it leads to, so it may have several rows; one that leads to none is gone."""
+        commits = self.commits.where(F.col("committer_time") <= time)
+        kept = commits.select("commit_id")
+        parents, heads = self.commit_parents, self.project_heads
+        late = closure(parents.join(kept, "commit_id", "left_anti").select(F.col("commit_id").alias("a"), F.col("parent_id").alias("b")), heads.join(kept, "commit_id", "left_anti").select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node")))
+        moved = late.join(kept, F.col("node") == F.col("commit_id"), "left_semi").select("seed", "node")
+        moved = heads.join(moved, F.col("commit_id") == F.col("seed")).withColumn("commit_id", F.col("node"))
+        if "hash" in heads.columns:
+            moved = moved.drop("hash").join(commits.select("commit_id", "hash"), "commit_id")
+        heads = heads.join(kept, "commit_id", "left_semi").select(*self.project_heads.columns).unionByName(moved.select(*self.project_heads.columns))
+        kept_too = {name: self.tables[name].join(kept, "commit_id", "left_semi") for name in ("commit_parents", "commit_changes")}
+        return History(self.tables | kept_too | {"commits": commits, "project_heads": heads.distinct(), "project_logs": self.project_logs.where(F.col("time") <= time)})
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in NAMES:
