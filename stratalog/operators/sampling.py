@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialized
 
 class Sampler:
     def take(self, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -57,14 +58,29 @@ class Distinct(Sampler):
         return self.inner.take(_first(rows, [*keys, self.by], order, 1), keys, order)
 
 
+@dataclass(frozen=True)
+class DistinctRandom(Sampler):
+    """n rows drawn in the order of Random, of rows with an equal attribute only the first drawn."""
+
+    n: int
+    seed: int
+    id: str
+    by: str
+
+    def take(self, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+        drawn = [seeded(self.seed, F.col(self.id)), F.col(self.id)]
+        return _first(_first(rows, [*keys, self.by], drawn, 1), keys, drawn, self.n)
+
+
 @dataclass(frozen=True)
 class MinRatio(Sampler):
-    """The first n rows, greedily, that are not similar to a row kept before.
+    """The first n rows, greedily, that are not similar to a row kept before. inner: taken of all such rows instead, n aside.
 
     Two rows are similar when more than `ratio` of one's distinct elements are the other's too: the candidate's share, or
-    the kept row's with of="kept". Missing is similar to missing only; an empty set is similar to nothing. The walk is
-    sequential in each group by its nature. Only pairs that share an element can be similar, so Spark finds these pairs
-    and their overlaps with joins, and the walk gets the pairs of similar rows, not the elements.
+    the kept row's with of="kept". Missing is similar to missing only; an empty set is similar to nothing. The rows' ids
+    differ. The walk goes by rounds: of each group that wants more rows, the first `block` undecided ones meet each other
+    and are decided; then all others that are similar to one just kept are dropped. A round keeps at least one row of each
+    such group, and no task sees more than a block of a group or pairs other than those of a block and of kept rows.
     """
 
     n: int
@@ -72,33 +88,62 @@ class MinRatio(Sampler):
     ratio: float
     id: str
     of: str = "candidate"
+    inner: Sampler | None = None
+    block: int = 400
 
     def take(self, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        ranked = rows.withColumn("_rank", rank)
-        group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-        small = ranked.select(F.xxhash64(group.cast("string") if not keys else F.to_json(group)).alias("g"), F.col("_rank").alias("r"), F.array_distinct(self.elements).alias("e"))
-        parts = small.where(F.size("e") > 0).select("g", "r", F.size("e").alias("n"), F.explode("e").alias("x"))
-        other = parts.select(F.col("g").alias("g2"), F.col("r").alias("r2"), F.col("n").alias("n2"), F.col("x").alias("x2"))
-        overlap = parts.join(other, F.expr("g = g2 and x <=> x2 and r > r2")).groupBy("g", "r", "r2", "n", "n2").agg(F.count(F.lit(1)).alias("both"))
-        similar = overlap.where(F.col("both") / F.col("n" if self.of == "candidate" else "n2") > self.ratio).select("g", "r", "r2")
-        absent = small.where("e is null").withColumn("first", F.min("r").over(Window.partitionBy("g")))
-        similar = similar.unionByName(absent.where("r > first").select("g", "r", F.col("first").alias("r2")))
-        before = small.select("g", "r").join(similar.groupBy("g", "r").agg(F.collect_list("r2").alias("before")), ["g", "r"], "left")
-        n = self.n
+        group = F.xxhash64(F.to_json(F.struct(*[F.col(k) for k in keys]))) if keys else F.lit(0).cast("long")
+        # A missing set is a set of one element that no other has; an empty one has none.
+        elements = F.when(F.col(self.elements).isNull(), F.array(F.struct(F.lit(None).cast(rows.schema[self.elements].dataType.elementType).alias("x"), F.lit(True).alias("none"))))
+        elements = elements.otherwise(F.transform(F.array_distinct(self.elements), lambda x: F.struct(x.alias("x"), F.lit(False).alias("none"))))
+        # The order becomes a place: rows are sorted over the whole cluster, and ids of sorted rows rise.
+        placed = materialized(rows.orderBy(*order).select(F.col(self.id).alias("id"), group.alias("g"), elements.alias("e"), F.monotonically_increasing_id().alias("r")))
+        left, chosen = placed, None
+        while not left.isEmpty():
+            first = _first(left, ["g"], [F.col("r")], self.block)
+            first = materialized(first)
+            kept = first.join(self._walk(first, chosen), ["g", "r"], "left_semi")
+            kept = materialized(kept)
+            chosen = kept if chosen is None else chosen.unionByName(kept)
+            ends = first.groupBy(F.col("g").alias("of")).agg(F.max("r").alias("end"))
+            if self.inner is None:
+                full = chosen.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.n)
+                ends = ends.join(full, F.col("of") == F.col("g"), "left_anti")
+            # One row of `ends` for each group that goes on.
+            rest = left.join(ends, (F.col("g") == F.col("of")) & (F.col("r") > F.col("end"))).select("g", "r", "id", "e")
+            left = materialized(rest.join(self._similar(rest, kept).select("g", "r").distinct(), ["g", "r"], "left_anti"))
+        if chosen is None:
+            return rows.limit(0)
+        out = rows.join(chosen.select(F.col("id").alias("_kept")), F.col(self.id) == F.col("_kept"), "left_semi")
+        return out if self.inner is None else self.inner.take(out, keys, order)
+
+    def _similar(self, later: DataFrame, earlier: DataFrame) -> DataFrame:
+        """(g, r, r2): rows of `later` similar to a row of `earlier` that stands before."""
+        parts = later.select("g", "r", F.size("e").alias("n"), F.explode("e").alias("x"))
+        other = earlier.select(F.col("g").alias("g2"), F.col("r").alias("r2"), F.size("e").alias("n2"), F.explode("e").alias("x2"))
+        same = F.expr("g = g2 and r > r2 and x.none = x2.none and x.x <=> x2.x")
+        overlap = parts.join(other, same).groupBy("g", "r", "r2", "n", "n2").agg(F.count(F.lit(1)).alias("both"), F.max("x.none").alias("none"))
+        return overlap.where(F.col("none") | (F.col("both") / F.col("n" if self.of == "candidate" else "n2") > self.ratio)).select("g", "r", "r2")
+
+    def _walk(self, first: DataFrame, chosen: DataFrame | None) -> DataFrame:
+        """(g, r) of the rows of a block that are kept."""
+        similar = self._similar(first, first).groupBy("g", "r").agg(F.collect_list("r2").alias("before"))
+        had = first.select("g").distinct().withColumn("had", F.lit(0).cast("long"))
+        if chosen is not None:
+            had = had.drop("had").join(chosen.groupBy("g").agg(F.count(F.lit(1)).alias("had")), "g", "left").fillna(0, ["had"])
+        most = self.n if self.inner is None else None
 
         def walk(pdf: pd.DataFrame) -> pd.DataFrame:
             kept: set[int] = set()
-            for r, b in pdf.sort_values("r")[["r", "before"]].itertuples(index=False):
-                if len(kept) >= n:
+            room = None if most is None else most - int(pdf.had.iloc[0])
+            for r, before in pdf.sort_values("r")[["r", "before"]].itertuples(index=False):
+                if room is not None and len(kept) >= room:
                     break
-                if b is None or not any(x in kept for x in b):
+                if before is None or not any(x in kept for x in before):
                     kept.add(r)
             return pdf[pdf.r.isin(kept)][["g", "r"]]
 
-        chosen = before.groupBy("g").applyInPandas(walk, "g long, r int").withColumnRenamed("r", "_kept").withColumnRenamed("g", "_group")
-        key = F.xxhash64(group.cast("string") if not keys else F.to_json(group))
-        return ranked.withColumn("_g", key).join(chosen, F.expr("_g = _group and _rank = _kept")).drop("_g", "_group", "_kept", "_rank")
+        return first.select("g", "r").join(similar, ["g", "r"], "left").join(had, "g").groupBy("g").applyInPandas(walk, "g long, r long")
 
 
 @dataclass(frozen=True)

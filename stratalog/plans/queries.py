@@ -11,7 +11,7 @@ from ..functions import composition, formats, predicates, statistics
 from ..functions.languages import display_name, language_of_name, language_of_path
 from ..operators import metrics
 from ..operators.graph import closure, trees
-from ..operators.sampling import Distinct, MinRatio, Random, Stratified, Top
+from ..operators.sampling import Distinct, DistinctRandom, MinRatio, Random, Stratified, Top
 from ..operators.selection import Selection, classify, products
 from ..shipping import ship
 from ..sources.history import NAMES, History
@@ -180,6 +180,11 @@ def sample_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Selection.of(table(spark, sf_dir, "documents"), "doc_id").sort_by(F.col("n_chars")).sample(Distinct(Top(200), "text")).map_into("doc_id")
 
 
+@query("SELECT doc_id FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY text ORDER BY h, doc_id) AS k FROM (SELECT doc_id, text, md5('5:' || doc_id) AS h FROM documents)) WHERE k = 1 ORDER BY h, doc_id LIMIT 200")
+def sample_distinct_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Selection.of(table(spark, sf_dir, "documents"), "doc_id").sample(DistinctRandom(200, 5, "doc_id", "text")).map_into("doc_id")
+
+
 @query(
     f"SELECT stratum, c_custkey FROM (SELECT stratum, c_custkey, row_number() OVER (PARTITION BY stratum ORDER BY c_acctbal DESC, c_custkey DESC) AS r, row_number() OVER (PARTITION BY stratum ORDER BY md5('3:' || c_custkey), c_custkey) AS m"
     f" FROM (SELECT *, CASE WHEN n_orders IS NULL THEN 'NA' WHEN n_orders >= 15 THEN 'large' WHEN n_orders >= 8 THEN 'medium' ELSE 'small' END AS stratum FROM ({_CUSTOMERS}))) WHERE (stratum IN ('large', 'NA') AND r <= 20) OR (stratum = 'medium' AND m <= 30)"
@@ -191,7 +196,28 @@ def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strata.sample(Stratified("stratum", {"large": Top(20), "medium": Random(30, 3, "c_custkey"), "NA": Top(20)})).map_into("stratum", "c_custkey")
 
 
-@query()
+def _walk_sql(rows: str, parts: str, n: int, ratio: float) -> str:
+    """Tables of a greedy walk by a recursive query; the last one, walked, has each group's kept ids.
+
+    rows: (id, g, r), r being the place in the group, from 1; parts: (id, x), the distinct elements of ids that have a set.
+    """
+    return f"""cand AS MATERIALIZED ({rows}), parts AS MATERIALIZED ({parts}), sizes AS MATERIALIZED (SELECT id, count(*) AS n FROM parts GROUP BY id),
+        pairs AS (SELECT c.g, c.r, c.id, d.id AS other FROM cand c JOIN cand d ON c.g = d.g AND d.r < c.r),
+        shared AS (SELECT p.id, p.other, count(*) AS n_both FROM pairs p JOIN parts a ON a.id = p.id JOIN parts b ON b.id = p.other AND b.x = a.x GROUP BY p.id, p.other),
+        alike AS (SELECT id, other FROM shared JOIN sizes USING (id) WHERE n_both / n > {ratio} UNION ALL SELECT id, other FROM pairs WHERE id NOT IN (SELECT id FROM sizes) AND other NOT IN (SELECT id FROM sizes)),
+        asked AS MATERIALIZED (SELECT g, r, cand.id, coalesce(before, []) AS before FROM cand LEFT JOIN (SELECT id, list(other) AS before FROM alike GROUP BY id) s USING (id)),
+        walk AS (SELECT DISTINCT g, 0::BIGINT AS r, []::BIGINT[] AS kept FROM cand UNION ALL SELECT w.g, a.r, CASE WHEN len(w.kept) < {n} AND NOT list_has_any(w.kept, a.before) THEN list_append(w.kept, a.id) ELSE w.kept END FROM walk w JOIN asked a ON a.g = w.g AND a.r = w.r + 1),
+        walked AS (SELECT unnest(arg_max(kept, r)) AS id FROM walk GROUP BY g)"""
+
+
+@query(
+    "WITH RECURSIVE "
+    + _walk_sql(
+        "SELECT c_custkey AS id, c_mktsegment AS g, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey DESC) AS r FROM customer",
+        "SELECT DISTINCT o_custkey AS id, l_partkey % 40 AS x FROM orders JOIN lineitem ON o_orderkey = l_orderkey", 50, 0.5,
+    )
+    + " SELECT c_custkey, c_mktsegment AS segment FROM walked JOIN customer ON c_custkey = id"
+)
 def sample_min_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In each segment, the 50 largest accounts of which none shares more than half its parts with one kept before."""
     ship(spark)
@@ -542,10 +568,29 @@ def project_layout(h: History) -> DataFrame:
     return project_rows(h)
 
 
-@query()
-def project_layout_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All figures of a project in one row; each column has a query of its own with SQL."""
-    return project_rows(history(spark, sf_dir), extended=True)
+def _sql_of(name: str, *columns: str) -> str:
+    """The named query's SQL as a table of project_id and these columns (given as "column AS name")."""
+    return f"(SELECT project_id, {', '.join(columns)} FROM ({SQL[name].removeprefix(PRELUDE)}))"
+
+
+def _cutoff(percent: int, of: str) -> str:
+    return f"(SELECT project_id, count(*) AS \"authors_contributing_{percent}%_{of}s\" FROM ({SQL[f'authors_of_{percent}_percent_{of}s'].removeprefix(PRELUDE)}) GROUP BY project_id)"
+
+
+_EXTENDED = [
+    _sql_of("project_contents", "paths", "snapshots", "paths AS files"), _sql_of("project_originality", "unique_files", "original_files", "impact", "duplicated_code"),
+    _sql_of("major_language", "language AS major_language", "share AS major_language_ratio", "changes AS major_language_changes"),
+    f"(SELECT project_id, count(*) AS all_forks_count FROM ({SQL['project_forks'].removeprefix(PRELUDE)}) GROUP BY project_id)",
+    _sql_of("commit_gaps", "max_gap AS max_commit_delta", "mean_gap AS avg_commit_delta"), _sql_of("project_activity", "since_first AS first_commit", "since_last AS last_commit", "is_abandoned"),
+    _sql_of("project_locs", "locs"), _sql_of("update_state", "is_valid"), _sql_of("project_experience", "max_experience", "mean_experience AS project_experience"),
+    *[_cutoff(p, of) for of in ("commit", "change") for p in (95, 80, 50)],
+]
+
+
+@of_history(f"SELECT * FROM ({SQL['project_layout'].removeprefix(PRELUDE)}) " + " ".join(f"LEFT JOIN {t} USING (project_id)" for t in _EXTENDED))
+def project_layout_extended(h: History) -> DataFrame:
+    """All figures of a project in one row."""
+    return project_rows(h, extended=True)
 
 
 @of_history("SELECT user_id, email, coalesce(authored, 0) AS authored_commits, coalesce(committed, 0) AS committed_commits, author_experience, committer_experience, greatest(last, cl) - least(first, cf) AS experience FROM users LEFT JOIN (SELECT author_id AS user_id, max(author_time) - min(author_time) AS author_experience, min(author_time) AS first, max(author_time) AS last, count(*) AS authored FROM commits GROUP BY author_id) USING (user_id) LEFT JOIN (SELECT committer_id AS user_id, max(committer_time) - min(committer_time) AS committer_experience, min(committer_time) AS cf, max(committer_time) AS cl, count(*) AS committed FROM commits GROUP BY committer_id) USING (user_id)")
@@ -606,7 +651,9 @@ def commit_people(h: History) -> DataFrame:
 # The published selections: groups by language, an order, and 50 of each that share at most nine tenths of their commits
 
 
-def _published(name: str, order: Callable[[History], DataFrame] | None, condition: Callable[[History], DataFrame] | None = None) -> None:
+def _published(name: str, order: Callable[[History], DataFrame] | None, figure: str, condition: Callable[[History], DataFrame] | None = None, where: str = "true") -> None:
+    """figure: SQL of (project_id, figure); where: SQL of the condition."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         h = history(spark, sf_dir)
         ids = h.project_commits.groupBy("project_id").agg(F.collect_set("commit_id").alias("commit_ids"))
@@ -618,6 +665,9 @@ def _published(name: str, order: Callable[[History], DataFrame] | None, conditio
         return chosen.map_into("project_id", "url", "figure")
 
     QUERIES[f"published_{name}"] = run
+    ranked = f"SELECT p.project_id AS id, segment AS g, row_number() OVER (PARTITION BY segment ORDER BY figure DESC NULLS LAST, p.project_id DESC) AS r FROM projects p LEFT JOIN ({figure}) f USING (project_id) WHERE {where}"
+    walk = _walk_sql(ranked, "SELECT project_id AS id, commit_id AS x FROM pc", 50, 0.9)
+    SQL[f"published_{name}"] = f"{PRELUDE}, {walk} SELECT segment AS language, p.project_id, url, figure FROM walked JOIN projects p ON p.project_id = id LEFT JOIN ({figure}) f USING (project_id)"
 
 
 def _each(of: str, statistic: Callable[[Column], Column]) -> Callable[[History], DataFrame]:
@@ -629,11 +679,18 @@ def _each(of: str, statistic: Callable[[Column], Column]) -> Callable[[History],
     return figures
 
 
-_published("stars", None)
-_published("mean_changed_paths", _each("paths", F.avg))
-_published("median_changed_paths", _each("paths", F.median))
-_published("experienced_author", lambda h: metrics.counts(h).select("project_id", "commits"), lambda h: metrics.user_projects(h).join(metrics.user_times(h).where("experience >= 63072000"), "user_id"))
-_published("experienced_authors_ratio", lambda h: metrics.counts(h).select("project_id", F.lit(0)), experienced_authors)
-_published("mean_message_sizes", _each("message", F.avg))
-_published("median_message_sizes", _each("message", F.median))
-_published("commits", lambda h: metrics.counts(h).select("project_id", "commits"))
+_CHANGED_PATHS = "SELECT project_id, {}(coalesce(n, 0)) AS figure FROM pcc LEFT JOIN (SELECT commit_id, count(DISTINCT path_id) AS n FROM commit_changes GROUP BY commit_id) USING (commit_id) GROUP BY project_id"
+_MESSAGES = "SELECT project_id, {}(strlen(message)) AS figure FROM pcc GROUP BY project_id"
+_N_COMMITS = "SELECT project_id, count(*) AS figure FROM pcc GROUP BY project_id"
+_SENIOR = "SELECT user_id FROM (SELECT author_id AS user_id, author_time AS t FROM commits UNION ALL SELECT committer_id, committer_time FROM commits) WHERE user_id IS NOT NULL GROUP BY user_id HAVING max(t) - min(t) >= 63072000"
+_WITH_SENIOR = f"p.project_id IN (SELECT project_id FROM pcc WHERE author_id IN ({_SENIOR}))"
+_MANY_SENIORS = f"p.project_id IN (SELECT project_id FROM ({SQL['experienced_authors'].removeprefix(PRELUDE)}))"
+
+_published("stars", None, "SELECT project_id, stars AS figure FROM projects")
+_published("mean_changed_paths", _each("paths", F.avg), _CHANGED_PATHS.format("avg"))
+_published("median_changed_paths", _each("paths", F.median), _CHANGED_PATHS.format("median"))
+_published("experienced_author", lambda h: metrics.counts(h).select("project_id", "commits"), _N_COMMITS, lambda h: metrics.user_projects(h).join(metrics.user_times(h).where("experience >= 63072000"), "user_id"), _WITH_SENIOR)
+_published("experienced_authors_ratio", lambda h: metrics.counts(h).select("project_id", F.lit(0)), "SELECT DISTINCT project_id, 0 AS figure FROM pcc", experienced_authors, _MANY_SENIORS)
+_published("mean_message_sizes", _each("message", F.avg), _MESSAGES.format("avg"))
+_published("median_message_sizes", _each("message", F.median), _MESSAGES.format("median"))
+_published("commits", lambda h: metrics.counts(h).select("project_id", "commits"), _N_COMMITS)

@@ -1,5 +1,6 @@
 """Verbs, samplers, reachability, trees and metrics against hand-made cases and plain Python models."""
 
+import hashlib
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratalog.operators import metrics
 from stratalog.operators.graph import closure, trees
-from stratalog.operators.sampling import Distinct, MinRatio, Random, Stratified, Top
+from stratalog.operators.sampling import Distinct, DistinctRandom, MinRatio, Random, Stratified, Top
 from stratalog.operators.selection import Selection, classify, products
 from stratalog.sources.history import History
 from stratalog.sources.sinks import flat, into_csv, into_files, round_trip_csv
@@ -62,6 +63,19 @@ def test_min_ratio_against_a_walk(spark, of):
                 kept.append((k, s))
         want += [k for k, _ in kept]
     assert sorted(x.id for x in rows.rows.collect()) == sorted(want)
+    small = Selection.of(spark.createDataFrame(data, "id int, g string, e array<int>"), "id")
+    by_blocks = small.group_by(g=F.col("g")).sample(MinRatio(9, "e", 0.5, "id", of, block=4))
+    assert sorted(x.id for x in by_blocks.rows.collect()) == sorted(want)
+    inner = small.group_by(g=F.col("g")).sample(MinRatio(0, "e", 0.5, "id", of, inner=Top(3), block=7))
+    assert sorted(x.id for x in inner.rows.collect()) == sorted(k for g in "ab" for k in [w for w in want if data[w][1] == g][:3])
+    assert small.sample(MinRatio(2, "e", 0.5, "id", of)).rows.count() == 2 and small.filter_by(F.lit(False)).sample(MinRatio(2, "e", 0.5, "id", of)).rows.count() == 0
+
+
+def test_distinct_random(spark):
+    rows = Selection.of(spark.range(40).selectExpr("id", "cast(id % 5 as string) as g"), "id")
+    order = sorted(range(40), key=lambda k: hashlib.md5(f"9:{k}".encode()).hexdigest())
+    want = [next(k for k in order if k % 5 == g) for g in dict.fromkeys(k % 5 for k in order)][:3]
+    assert sorted(r.id for r in rows.sample(DistinctRandom(3, 9, "id", "g")).rows.collect()) == sorted(want)
 
 
 def test_diamond_dangling_and_deep(spark):
@@ -90,7 +104,7 @@ def small(spark):
     commits = [(k, "h", u, t + 5, u, t, "é" * k) for k, u, t in [(1, 1, 0), (2, 1, 100), (3, 2, 300), (4, 3, 700), (5, 1, 50)]]
     return History({
         "projects": table([(1, "u1", "generic", 20), (2, "u2", "small", 10), (3, "u3", "small", None)], "project_id long, url string, substore string, created long"),
-        "project_metadata": table([(1, '{"stargazers_count": 3, "homepage": "", "created_at": "2020-01-01T00:00:00Z", "license": {"name": "MIT"}}'), (2, "{broken")], "project_id long, json string"),
+        "project_metadata": table([(1, '{"stargazers_count": 3, "homepage": "", "created_at": "2020-01-01T00:00:00Z", "license": {"name": "MIT"}, "default_branch": "main"}'), (2, "{broken"), (3, '{"default_branch": "x"}')], "project_id long, json string"),
         "project_logs": table([(1, 5000, False), (1, 4000, True), (2, 9, True)], "project_id long, time long, is_error boolean"),
         "project_heads": table([(1, "refs/heads/main", 4, ""), (2, "refs/heads/main", 5, ""), (3, "refs/heads/x", 1, "")], "project_id long, name string, commit_id long, hash string"),
         "commits": table(commits, "commit_id long, hash string, committer_id long, committer_time long, author_id long, author_time long, message string"),
@@ -120,7 +134,10 @@ def test_project_metrics(small):
     shares = rows(metrics.contributions(small), "project_id", "author_id")
     assert [shares[1, a].percent for a in (1, 2, 3)] == [50, 75, 100]
     assert {r.author_id for r in metrics.main_contributors(small, 50).where("project_id = 1").collect()} == {1}
-    assert rows(metrics.project_locs(small), "project_id")[1].locs == 3
+    locs = rows(metrics.project_locs(small), "project_id")
+    assert (locs[1].locs, locs[3].locs) == (3, 2) and 2 not in locs
+    assert {(r.project_id, r.name, r.commit_id) for r in metrics.default_heads(small).collect()} == {(1, "refs/heads/main", 4), (3, "refs/heads/x", 1)}
+    assert {r.author_id for r in metrics.default_commits(small).collect()} == {3, 1}
     m = rows(small.metadata, "project_id")
     assert (m[1].stargazers_count, m[1].homepage, m[1].license, m[1].created) == (3, "", "MIT", 1_577_836_800) and m[2].homepage is None
 
@@ -156,3 +173,10 @@ def test_open_selects_substores(small, spark, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
     h = History.open(spark, str(tmp_path), substores=["small"], as_of=200)
     assert h.projects.count() == 2 and h.commits.count() == 3 and h.by_id("users", 2).first().email == "z@y"
+    assert set(rows(metrics.counts(h), "project_id")) == {2, 3} and {r.project_id for r in h.metadata.collect()} == {2, 3}
+    then = History.open(spark, str(tmp_path), as_of=200)
+    assert {(r.project_id, r.commit_id) for r in then.project_heads.collect()} == {(1, 2), (2, 5), (3, 1)}
+    assert {(r.project_id, r.commit_id) for r in then.full_commits.collect()} == {(1, 2), (1, 1), (2, 5), (2, 1), (3, 1)}
+    contents = rows(metrics.content_counts(then), "project_id")
+    assert (contents[1].paths, contents[2].paths, contents[3].paths) == (2, 2, 1)
+    assert rows(then.project_logs, "time").keys() == {9} and then.commit_parents.count() == 2
