@@ -15,7 +15,7 @@ import numpy as np
 from .textarrays import LOWER, hash_spans, runs, take_ranges
 
 #: Distinct pieces a worker remembers; beyond it, it starts afresh. Only speed depends on it.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 
 _SPACE, _LETTER, _DIGIT, _SIGN, _WHOLE = range(5)
 _KIND = np.full(256, _WHOLE, np.uint8)
@@ -32,12 +32,23 @@ class Encoder:
     _open: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         self.forget()
 
+    @property
+    def library(self):
+        """The library's tokenizer, loaded where a piece is unknown."""
+        if self._library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
+    def rest(self) -> None:
+        """Drop the library's tokenizer, which takes far more memory than the known pieces."""
+        self._library = None
+
     @classmethod
     def at(cls, path: str) -> Encoder:
         """This worker's encoder of the file."""
@@ -45,11 +56,6 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    @classmethod
-    def close(cls, path: str) -> None:
-        """Drop this worker's encoder of the file, for the sake of its memory."""
-        cls._open.pop(path, None)
-
     def forget(self) -> None:
         self.keys, self.start, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
