@@ -36,7 +36,17 @@ def format_duration(seconds: Column) -> Column:
     return F.when(seconds.isNotNull(), text)
 
 
+def spelt_duration(seconds: Column) -> Column:
+    """All units that aren't zero, in words and without blanks between: 2 years3 days. A year has twelve months of 30 days."""
+    parts, rest = [], seconds.cast("long")
+    for size, name in ((12 * MONTH, "years"), (MONTH, "months"), (DAY, "days"), (HOUR, "hours"), (MINUTE, "minutes"), (1, "seconds")):
+        n, rest = F.floor(rest / size).cast("long"), rest % size
+        parts.append(F.when(n == 0, "").otherwise(F.concat(n.cast("string"), F.lit(f" {name}"))))
+    return F.when(seconds == 0, "0 seconds").otherwise(F.concat(*parts))
+
+
 def percent_text(value: Column) -> Column:
+    """With a percent sign; values above 100 are kept as they are."""
     return F.concat(value.cast("string"), F.lit("%"))
 
 

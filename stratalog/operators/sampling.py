@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,15 +60,17 @@ class Distinct(Sampler):
 
 @dataclass(frozen=True)
 class DistinctRandom(Sampler):
-    """n rows drawn in the order of Random, of rows with an equal attribute only the first drawn."""
+    """n rows drawn in the order of Random; of rows with an equal attribute, or similar by a MinRatio, only the first drawn."""
 
     n: int
     seed: int
     id: str
-    by: str
+    by: str | MinRatio
 
     def take(self, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
         drawn = [seeded(self.seed, F.col(self.id)), F.col(self.id)]
+        if isinstance(self.by, MinRatio):
+            return replace(self.by, n=self.n, of="kept", inner=None).take(rows, keys, drawn)
         return _first(_first(rows, [*keys, self.by], drawn, 1), keys, drawn, self.n)
 
 

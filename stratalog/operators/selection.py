@@ -68,9 +68,22 @@ class Selection:
         return self.rows.withColumn(name, F.row_number().over(Window.partitionBy(*self.keys).orderBy(*self.ordering())))
 
 
-def left_only(rows: DataFrame, pair: str) -> DataFrame:
-    """The first side of a pair column (struct), its fields as columns."""
-    return rows.select(F.col(pair)[rows.schema[pair].dataType.names[0]].alias(pair))
+def side(rows: DataFrame, pairs: str, at: int) -> Column:
+    """One side of pairs (0 or 1): of a struct, of each struct in a list, or the keys or values of a map."""
+    kind = rows.schema[pairs].dataType
+    if kind.typeName() == "map":
+        return (F.map_keys, F.map_values)[at](pairs)
+    if kind.typeName() == "array":
+        return F.transform(pairs, lambda p: p[kind.elementType.names[at]])
+    return F.col(pairs)[kind.names[at]]
+
+
+def dropped(rows: DataFrame, tuples: str, at: int) -> Column:
+    """A struct, or each struct in a list, without its field at a place."""
+    kind = rows.schema[tuples].dataType
+    if kind.typeName() == "array":
+        return F.transform(tuples, lambda t: t.dropFields(kind.elementType.names[at]))
+    return F.col(tuples).dropFields(kind.names[at])
 
 
 def products(rows: DataFrame, *collections: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -94,4 +107,6 @@ def classify(value: Column, thresholds: list[tuple[str, float]], default: str, i
     return column.otherwise(F.lit(default))
 
 
-Classifier = Callable[[Column], Column]
+def classify_by(name: Callable[[Column], Column], value: Column) -> Column:
+    """The name that a function gives the value; NA where it gives none."""
+    return F.coalesce(name(value), F.lit("NA"))

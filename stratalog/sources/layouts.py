@@ -24,6 +24,11 @@ PROJECT_EXTENDED = (
 ).split()
 USER = "user_id email authored_commits committed_commits author_experience committer_experience experience".split()
 COMMIT = "commit_id hash committer_id author_id parent_ids parent_count author_timestamp committer_timestamp changed_paths changed_path_count".split()
+CHANGE = ["path_id", "snapshot_id"]
+METADATA_ROW = (
+    "project_id is_fork is_archived is_disabled star_gazers watchers size open_issues forks subscribers license description homepage language "
+    "has_issues has_downloads has_wiki has_pages created updated pushed master"
+).split()
 COMMIT_EXTENDED = ["message", "message_length"]
 
 
@@ -83,6 +88,15 @@ def snapshot_rows(h: History) -> DataFrame:
     return h.snapshots.select("snapshot_id", F.expr("make_valid_utf8(cast(contents AS string))").alias("content"))
 
 
+def change_rows(h: History) -> DataFrame:
+    return h.commit_changes.select(*CHANGE)
+
+
+def metadata_rows(h: History) -> DataFrame:
+    names = {"fork": "is_fork", "archived": "is_archived", "disabled": "is_disabled", "stargazers_count": "star_gazers", "watchers_count": "watchers", "open_issues_count": "open_issues", "subscribers_count": "subscribers", "default_branch": "master"}
+    return h.metadata.withColumnsRenamed(names).withColumn("language", language_of_name(F.col("language"))).select(*METADATA_ROW)
+
+
 def head_rows(h: History) -> DataFrame:
     return h.project_heads.join(h.commits.select("commit_id", "hash"), "commit_id", "left").select("name", "commit_id", "hash")
 

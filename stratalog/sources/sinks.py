@@ -1,4 +1,4 @@
-"""Sinks: CSV, relational exports and one file for each snapshot."""
+"""Sinks: CSV, relational exports, and files of snapshots, changes and trees."""
 
 from __future__ import annotations
 
@@ -33,9 +33,10 @@ def flat(rows: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
-def into_csv(rows: DataFrame, path: str, single_file: bool = False) -> None:
-    """Write rows with a header, by all tasks; single_file is for small results."""
-    (flat(rows).coalesce(1) if single_file else flat(rows)).write.options(**_WRITE).csv(path)
+def into_csv(rows: DataFrame, path: str, single_file: bool = False, headers: list[str] | None = None) -> None:
+    """Write rows with a header, by all tasks: the columns' names, or the given ones. single_file is for small results."""
+    rows = flat(rows).toDF(*headers) if headers else flat(rows)
+    (rows.coalesce(1) if single_file else rows).write.options(**_WRITE).csv(path)
 
 
 def round_trip_csv(rows: DataFrame) -> DataFrame:
@@ -56,26 +57,57 @@ def ids_from_csv(spark, path: str, column: str) -> DataFrame:
 
 
 def dump(h: History, path: str) -> None:
-    """All tables as CSV, snapshots' contents apart."""
+    """Every entity and mapping once, as CSV, and snapshots' contents as files in the folder blobs."""
     for name in NAMES:
         if name != "snapshots":
-            into_csv(h.tables[name], f"{path}/{name}")
+            into_csv(h.tables[name].distinct(), f"{path}/{name}")
+    into_files(h.snapshots, f"{path}/blobs").count()
 
 
-def into_files(snapshots: DataFrame, folder: str) -> DataFrame:
-    """One file for each snapshot id in a folder that all tasks can write; returns the ids skipped for lack of contents."""
+def _files(rows: DataFrame, folder: str) -> DataFrame:
+    """Write rows (key, name, contents) as files in a folder that all tasks can write, such as a mounted one. Returns the
+    keys of rows skipped: those without a name or contents, and those whose name leads out of the folder."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pathlib import Path
 
-        Path(folder).mkdir(parents=True, exist_ok=True)
+        top = Path(folder)
+        top.mkdir(parents=True, exist_ok=True)
         for batch in batches:
             skipped = []
-            for id, contents in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if contents is None:
-                    skipped.append(id)
+            for k, (name, contents) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if name is None or contents is None or name.startswith("/") or ".." in name.split("/"):
+                    skipped.append(k)
                 else:
-                    Path(folder, str(id)).write_bytes(contents)
-            yield pa.RecordBatch.from_arrays([pa.array(skipped, pa.int64())], names=["snapshot_id"])
+                    (top / name).parent.mkdir(parents=True, exist_ok=True)
+                    (top / name).write_bytes(contents)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(skipped, pa.int64()))], names=["key"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.select("key", "name", F.col("contents").cast("binary")).mapInArrow(write, f"key {kind}")
+
+
+def into_files(snapshots: DataFrame, folder: str) -> DataFrame:
+    """One file for each snapshot id; returns the ids skipped for lack of contents."""
+    return _files(snapshots.select(F.col("snapshot_id").alias("key"), F.col("snapshot_id").cast("string").alias("name"), "contents"), folder).withColumnRenamed("key", "snapshot_id")
+
+
+def _with_files(h: History, rows: DataFrame) -> DataFrame:
+    """rows (path_id, snapshot_id, ...) with location and contents, missing where there are none."""
+    return rows.join(h.paths, "path_id", "left").join(h.snapshots, "snapshot_id", "left")
+
+
+def changes_into_files(h: History, changes: DataFrame, folder: str) -> DataFrame:
+    """Each change's contents at its path, of several changes of a path one. Returns (path_id, snapshot_id) of those skipped,
+    as deletions are."""
+    last = changes.groupBy("path_id").agg(F.max("snapshot_id").alias("snapshot_id"))
+    rows = _with_files(h, last).select(F.struct("path_id", "snapshot_id").alias("key"), F.col("location").alias("name"), "contents")
+    return _files(rows, folder).select("key.*")
+
 
-    return snapshots.select("snapshot_id", F.col("contents").cast("binary")).mapInArrow(write, "snapshot_id long")
+def tree_into_files(h: History, tree: DataFrame, folder: str) -> DataFrame:
+    """tree: (commit_id, path_id, snapshot_id). Each file at its path in a folder named by the commit's hash. Returns the
+    rows skipped."""
+    rows = _with_files(h, tree).join(h.commits.select("commit_id", "hash"), "commit_id", "left")
+    rows = rows.select(F.struct("commit_id", "path_id", "snapshot_id").alias("key"), F.concat("hash", F.lit("/"), "location").alias("name"), "contents")
+    return _files(rows, folder).select("key.*")

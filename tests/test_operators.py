@@ -11,7 +11,7 @@ from stratalog.operators.graph import closure, trees
 from stratalog.operators.sampling import Distinct, DistinctRandom, MinRatio, Random, Stratified, Top
 from stratalog.operators.selection import Selection, classify, products
 from stratalog.sources.history import History
-from stratalog.sources.sinks import flat, into_csv, into_files, round_trip_csv
+from stratalog.sources.sinks import changes_into_files, dump, flat, into_csv, into_files, round_trip_csv, tree_into_files
 
 
 def test_ties_turn_around(spark):
@@ -166,6 +166,17 @@ def test_sinks(spark, tmp_path):
     into_csv(nested, str(tmp_path / "csv"), single_file=True)
     files = spark.createDataFrame([(1, "a"), (2, None)], "snapshot_id long, contents string")
     assert [r[0] for r in into_files(files, str(tmp_path / "files")).collect()] == [2] and (tmp_path / "files/1").read_text() == "a"
+    into_csv(df, str(tmp_path / "named"), single_file=True, headers=["number", "what"])
+    assert next((tmp_path / "named").glob("*.csv")).read_text().startswith("number,what\n")
+
+
+def test_files_of_changes_and_trees(small, tmp_path):
+    skipped = changes_into_files(small, small.commit_changes, str(tmp_path / "changes")).collect()
+    assert [tuple(r) for r in skipped] == [(2, 8)] and (tmp_path / "changes/a.py").read_text() == "1\n2\n" and (tmp_path / "changes/d.py").read_text() == "\n"
+    tree = small.commit_changes.where("commit_id in (1, 3)")
+    assert [r.path_id for r in tree_into_files(small, tree, str(tmp_path / "trees")).collect()] == [2] and (tmp_path / "trees/h/a.py").exists()
+    dump(small, str(tmp_path / "dump"))
+    assert (tmp_path / "dump/blobs/9").read_text() == "\n" and (tmp_path / "dump/commit_changes").is_dir()
 
 
 def test_open_selects_substores(small, spark, tmp_path):
