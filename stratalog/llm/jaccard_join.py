@@ -32,7 +32,8 @@ _PARTS = 16
 _FEW = 1_000_000
 #: Documents of a token for each of its blocks.
 _BLOCK = 200
-_SALTS = 64
+_SALTS = 16
+_CLASS_BLOCK = 1000
 
 
 def _packed(grams: np.ndarray) -> bytes:
@@ -66,9 +67,10 @@ def _sets(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """docs: (id, text), ids of any kind. Per document: id, n (n-grams), class (a hash of the set), and for candidates that
-    are the first of their class in their chunk: tokens (prefix n-grams, rarest first), places, often (in how many documents
-    each token is), parts (n-grams by pivot), grams (sorted n-grams that another document has)."""
+    """docs: (id, text), ids of any kind. Per document: id, n (n-grams), class (a hash of the set), most (in how many
+    documents its rarest n-gram is), and for candidates that are the first of their class in their chunk: tokens (prefix
+    n-grams, rarest first), places, often (in how many documents each token is), parts (n-grams by pivot), grams (sorted
+    n-grams that another document has)."""
     chunks = pack(docs, ["id"], chunk_bytes=3 << 20)
 
     def items(table: pa.Table):
@@ -90,19 +92,21 @@ def _document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 rare = np.bincount(doc[often == 1], minlength=len(n))
                 prefix = n - (percent * n + 99) // 100 + 1
                 wanted = (n > 0) & (rare < prefix)
+                most = np.full(len(n), np.iinfo(np.int64).max)
+                np.minimum.at(most, doc, often)
                 firsts = np.zeros(len(n), bool)
                 firsts[np.unique(np.where(wanted, key, 0), return_index=True)[1]] = True
                 wanted &= firsts | (key == 0)
                 mine = np.flatnonzero(wanted[doc])
                 order = mine[np.lexsort((gram[mine], often[mine], doc[mine]))]
                 edges = np.searchsorted(doc[order], np.arange(len(n) + 1))
-                yield from _rows(table.column("id").combine_chunks(), n, key, prefix, rare, wanted, gram[order], often[order], edges)
+                yield from _rows(table.column("id").combine_chunks(), n, key, most, prefix, rare, wanted, gram[order], often[order], edges)
 
-    def _rows(ids, n, key, prefix, rare, wanted, gram, often, edges) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", ids.type), ("n", pa.int64()), ("class", pa.int64()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("often", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("grams", pa.binary())])
+    def _rows(ids, n, key, most, prefix, rare, wanted, gram, often, edges) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", ids.type), ("n", pa.int64()), ("class", pa.int64()), ("most", pa.int64()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("often", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("grams", pa.binary())])
         for low in range(0, len(ids), 2000):
             high = min(low + 2000, len(ids))
-            out: dict[str, list] = {name: [] for name in schema.names[3:]}
+            out: dict[str, list] = {name: [] for name in schema.names[4:]}
             for d in range(low, high):
                 row = (None,) * 5
                 if wanted[d]:
@@ -112,11 +116,11 @@ def _document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 for name, value in zip(out, row, strict=True):
                     out[name].append(value)
             columns = [pa.array(v, schema.field(name).type) for name, v in out.items()]
-            yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(n[low:high], pa.int64()), pa.array(key[low:high]), *columns], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(n[low:high], pa.int64()), pa.array(key[low:high]), pa.array(most[low:high]), *columns], schema=schema)
 
     replies = answers(chunks, items, Merge(summed, lambda mine, whole: [whole["n"]], kept_bits=48))
     kind = docs.schema["id"].dataType.simpleString()
-    return written(with_answers(chunks, replies).mapInArrow(freeing(build), f"id {kind}, n long, class long, tokens array<long>, places array<int>, often array<long>, parts array<int>, grams binary"))
+    return written(with_answers(chunks, replies).mapInArrow(freeing(build), f"id {kind}, n long, class long, most long, tokens array<long>, places array<int>, often array<long>, parts array<int>, grams binary"))
 
 
 def _needed(percent: int) -> Column:
@@ -179,13 +183,16 @@ def _groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, n, class, least) of docs (id, text); ids are of any kind that has an order."""
     every = _document_sets(docs, width, percent)
     labels = _class_labels(every, percent)
-    classes = every.where("n > 0").groupBy("class").agg(F.min("id").alias("least"))
+    classes = every.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.first("most").alias("most"))
     # A component's least id is told to its classes over salted keys, for one component may hold most classes.
     linked = classes.join(labels, F.col("class") == F.col("node")).select("class", "label", "least", F.pmod(F.xxhash64("class"), F.lit(_SALTS)).alias("salt"))
     told = linked.groupBy("label").agg(F.min("least").alias("component")).select(F.col("label").alias("part"), "component", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("part_salt"))
-    named = linked.join(told, F.expr("label = part and salt = part_salt")).select(F.col("class").alias("named"), "component")
-    classes = classes.join(named, F.col("class") == F.col("named"), "left").select(F.col("class").alias("of"), F.coalesce("component", "least").alias("least"))
-    out = every.where("n > 0").select("id", "n", "class").join(classes, F.col("class") == F.col("of")).drop("of")
+    named = linked.join(told.hint("merge"), F.expr("label = part and salt = part_salt")).select(F.col("class").alias("named"), "component")
+    # A class has at most as many documents as its rarest n-gram. Those of a large class are dealt over blocks.
+    blocks = F.expr(f"(most + {_CLASS_BLOCK - 1}) div {_CLASS_BLOCK}")
+    classes = classes.join(named, F.col("class") == F.col("named"), "left").select(F.col("class").alias("of"), F.coalesce("component", "least").alias("least"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("in"))
+    rows = every.where("n > 0").select("id", "n", "class", F.pmod(F.xxhash64("id"), blocks).alias("block"))
+    out = rows.join(classes.hint("merge"), F.expr("class = of and block = in")).select("id", "n", "class", "least")
     return out.unionByName(every.where("n = 0").select("id", "n", "class", F.col("id").alias("least")))
 
 
@@ -223,7 +230,7 @@ def _class_labels(every: DataFrame, percent: int) -> DataFrame:
     centre = _by_token(single, F.min(F.struct("own", F.struct(*y).alias("y"))).alias("c"), F.count(F.lit(1)).alias("holders"))
     centre = centre.groupBy("token").agg(F.min("c").alias("c"), F.sum("holders").alias("holders"), F.first("blocks").alias("blocks")).where("holders > 1")
     centres = centre.select(F.col("token").alias("of"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("in"), "c.y.*")
-    entries = written(single.select("token", "blocks", "block", "own", *x).join(centres, F.expr("token = of and block = in")))
+    entries = written(single.select("token", "blocks", "block", "own", *x).join(centres.hint("merge"), F.expr("token = of and block = in")))
     pairs = _distinct(entries.where(_possible(percent)))
     links = written(_verify(pairs, nodes, percent))
     labels = written(_labels_of(links))
@@ -234,13 +241,13 @@ def _class_labels(every: DataFrame, percent: int) -> DataFrame:
     major = major.groupBy("token").agg(F.min("major")["label"].alias("major"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("holders").alias("holders"), F.first("blocks").alias("blocks")).where("low < high")
     sides = F.expr(f"cast((holders + {_BLOCK - 1}) div {_BLOCK} as int)").alias("sides")
     majors = major.select(F.col("token").alias("of"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("in"), "major", sides)
-    open_entries = written(now.join(majors, F.expr("token = of and block = in")).drop("of", "in"))
+    open_entries = written(now.join(majors.hint("merge"), F.expr("token = of and block = in")).drop("of", "in"))
     # A token's outer rows of one side meet its inner rows of one side in one task, never all of its pairs.
     side, all_sides = F.pmod(F.xxhash64("class"), F.col("sides")), F.explode(F.expr("sequence(0L, cast(sides - 1 as long))"))
     inner = open_entries.select(F.col("token").alias("of"), side.alias("inner_of"), all_sides.alias("outer_of"), (F.col("label") == F.col("major")).alias("central"), *y)
     outer = open_entries.where("label != major").select("token", side.alias("outer_side"), all_sides.alias("inner_side"), *x)
     same = "token = of and inner_side = inner_of and outer_side = outer_of"
-    pairs = _distinct(outer.join(inner, F.expr(f"{same} and (central or x < y) and {_possible(percent)}")))
+    pairs = _distinct(outer.join(inner.hint("merge"), F.expr(f"{same} and (central or x < y) and {_possible(percent)}")))
     return written(_labels_of(links.unionByName(written(_verify(pairs, nodes, percent)))))
 
 

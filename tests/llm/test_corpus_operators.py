@@ -82,6 +82,54 @@ def test_language_model(spark):
     assert score_texts(edge.nothing(spark)).count() == 0
 
 
+def brute_scores(rows, rounds=15):
+    """Scores by plain counting: estimates of the pair, the word and any word, mixed by weights learnt on the deleted fold."""
+    fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7
+    tokens = [(fold(d), list(zip(["<begin>", *w], [*w, "<end>"], strict=True))) for d, t in rows for w in [edge.space_words(t, True)]]
+
+    def counted(folds):
+        word, context, pair = collections.Counter(), collections.Counter(), collections.Counter()
+        for f, pairs in tokens:
+            if f in folds:
+                word.update(w for _, w in pairs)
+                context["<begin>"] += 1
+                pair.update(pairs)
+        for w, n in word.items():
+            context[w] = n
+        return word, context, pair
+
+    whole, rest = counted({0, 1, 3, 4, 5, 6}), counted({0, 1, 3, 4, 5})
+    uniform = 1 / (len(whole[0]) + 1)
+
+    def shares(counts, c, w):
+        word, context, pair = counts
+        return (pair[c, w] / max(context[c], 1), word[w] / max(sum(word.values()), 1), uniform), int(math.log2(context[c] + 1))
+
+    weights = collections.defaultdict(lambda: [1 / 3] * 3)
+    held = [shares(rest, c, w) for f, pairs in tokens if f == 6 for c, w in pairs]
+    for _ in range(rounds):
+        sums = collections.defaultdict(lambda: [1e-3] * 3)
+        for estimates, bucket in held:
+            mixed = [a * b for a, b in zip(estimates, weights[bucket], strict=True)]
+            sums[bucket] = [s + m / sum(mixed) for s, m in zip(sums[bucket], mixed, strict=True)]
+        new = {b: [x / sum(v) for x in v] for b, v in sums.items()}
+        moved = max((abs(x - y) for b, v in new.items() for x, y in zip(v, weights[b], strict=True)), default=0)
+        weights.update(new)
+        if moved < 1e-4:
+            break
+    out = []
+    for (d, _), (_, pairs) in zip(rows, tokens, strict=True):
+        found = [shares(whole, c, w) for c, w in pairs]
+        out.append((d, round(sum(math.log10(sum(a * b for a, b in zip(e, weights[k], strict=True))) for e, k in found), 5)))
+    return out
+
+
+def test_language_model_scores(spark):
+    docs = edge.documents(spark).where("length(text) < 3000 or text is null")
+    got = [(r.doc_id, round(r.score, 5)) for r in score_texts(docs).collect()]
+    assert sorted(got, key=edge.key) == sorted(brute_scores(edge.rows_of(docs)), key=edge.key)
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark):
     r = random.Random(3)
     follow = {w: r.choices(edge.WORDS, k=3) for w in edge.WORDS}

@@ -1,4 +1,4 @@
-"""Main text, PII and the pipeline."""
+"""Main text and PII."""
 
 import collections
 import math
@@ -224,18 +224,3 @@ def test_redaction(spark):
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert [n for n in QUERIES if re.match(r"op\d+_", n)] == list(QUERIES) and len(QUERIES) == 10 and set(SQL) <= set(QUERIES) and set(QUERIES) <= set(names)
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    docs = edge.documents(spark).select("doc_id", "text", "label", "row", "n")
-    docs = docs.selectExpr("doc_id", "text", "label as lang", "row as source", "n as n_chars")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, " ".join(f"p{k}" for k in range(12)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r.doc_id for r in out}
-    with_passage = {d for d, t in edge.rows_of(docs) if t and "p0 p1 p2" in t}
-    assert out and with_passage and not ids & with_passage
-    assert None in ids
-    assert len(corpus_pipeline.STAGES) == 5

@@ -78,4 +78,5 @@ def test_hot_tokens_are_dealt_over_blocks(spark, monkeypatch):
     docs = edge.documents(spark)
     want = rows(near_duplicates(docs, 2, 50), "doc_id", "n_shingles", "component_id")
     monkeypatch.setattr(jaccard_join, "_BLOCK", 1)
+    monkeypatch.setattr(jaccard_join, "_CLASS_BLOCK", 1)
     assert rows(near_duplicates(docs, 2, 50), "doc_id", "n_shingles", "component_id") == want
