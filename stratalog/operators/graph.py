@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialized
+from ..sources.tables import materialized, shared_path
 
 
 def closure(edges: DataFrame, seeds: DataFrame, stride: int = 32) -> DataFrame:
     """(seed, node, depth): every node reachable along edges (a, b) from the seeds (seed, node), with its least distance.
 
     Edges are first doubled up to hops of `stride` edges, so a history of depth d takes log2(stride) + d / stride rounds.
-    Each round joins only the nodes at a multiple of the stride, keeps the least distance of each node, and writes a table.
+    Each round joins only the nodes at a multiple of the stride; the nodes it finds anew have their least distance, and are
+    appended to a table.
     """
     hops = edges.select("a", "b").distinct().withColumn("d", F.lit(1))
     reach = 1
@@ -25,14 +26,20 @@ def closure(edges: DataFrame, seeds: DataFrame, stride: int = 32) -> DataFrame:
             hops = grown
             break
         hops = grown
-    found = materialized(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
+    path = shared_path(edges.sparkSession)
+    schema = "seed long, node long, depth int"
+    layer = materialized(seeds.selectExpr("cast(seed as long) as seed", "cast(node as long) as node", "0 as depth").distinct())
+    layer.write.parquet(path)
     at = 0
     while True:
-        front = found.where(F.col("depth") == at)
-        if at and front.isEmpty():
+        found = edges.sparkSession.read.schema(schema).parquet(path)
+        front = layer.where(F.col("depth") == at)
+        if front.isEmpty():
             return found
         ahead = front.join(hops, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node"), (F.col("depth") + F.col("d")).alias("depth"))
-        found = materialized(found.unionByName(ahead).groupBy("seed", "node").agg(F.min("depth").alias("depth")))
+        ahead = ahead.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
+        layer = materialized(ahead.join(found.select("seed", "node"), ["seed", "node"], "left_anti"))
+        layer.write.mode("append").parquet(path)
         at += reach
 
 

@@ -333,7 +333,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @of_history("SELECT project_id, commit_id FROM pc")
 def project_commits(h: History) -> DataFrame:
-    return h._reachable(h.project_heads)
+    return h.project_commits
 
 
 @of_history("SELECT * FROM (WITH RECURSIVE m AS (SELECT project_id, commit_id FROM project_heads JOIN (SELECT project_id, 'refs/heads/' || (json::JSON->>'default_branch') AS branch FROM project_metadata) USING (project_id) WHERE name = branch UNION SELECT m.project_id, p.parent_id FROM m JOIN commit_parents p ON p.commit_id = m.commit_id) SELECT project_id, count(*) AS n FROM m GROUP BY project_id)")

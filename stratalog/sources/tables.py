@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir (a temporary folder only where that is unset, as in tests)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path under spark.checkpoint.dir (a temporary folder only where that is unset, as in tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="stratalog-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/history-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/history-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
