@@ -30,17 +30,17 @@ SHARD = "shard int, part int, base int, n_tokens long, doc_ids binary, doc_token
 _ARROW = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("base", pa.int32()), ("n_tokens", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "doc_tokens", "doc_symbols", "left", "right", "rule_tokens", "symbols"))])
 
 
-def compress(ids: np.ndarray, first: np.ndarray, base: int, least: int = 24, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: np.ndarray, base: int, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, the first symbol of each document, and the rules' left and right symbols.
 
-    Stops when no pair comes `least` times or after `rounds` rounds; both only trade size for time.
+    Stops when no pair comes `least` times, which trades size for time.
     """
     symbols = ids.astype(np.uint32)
     heads = np.zeros(len(ids) + 1, bool)
     heads[first] = True
     left, right = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     n_rules = 0
-    for _ in range(rounds):
+    while True:
         if len(symbols) < 2:
             break
         pair = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
@@ -53,7 +53,10 @@ def compress(ids: np.ndarray, first: np.ndarray, base: int, least: int = 24, rou
         if not len(some):
             break
         distinct, index, n = np.unique(pair[some], return_inverse=True, return_counts=True)
-        keep = n >= often
+        if n.max() < often and often > least:  # pairs that share a count were taken for a frequent one
+            some = np.flatnonzero(counts[bucket] >= least)
+            distinct, index, n = np.unique(pair[some], return_inverse=True, return_counts=True)
+        keep = n >= max(least, min(often, int(n.max()) // 4))
         some, index = some[keep[index]], (np.cumsum(keep) - 1)[index[keep[index]]]
         distinct = distinct[keep]
         if not len(some):
