@@ -56,8 +56,8 @@ def _dominated(chosen: Filling, room: int, left: dict[int, int], all_left: int)
     return bool(room and all_left & larger)
 
 
-def fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int) -> tuple[list[Filling], bool]:
-    """Undominated fillings of `room` from the lengths left (sorted), and whether these are all.
+def fillings(room: int, lengths: list[int], left: dict[int, int], all_left: int, nodes: int) -> tuple[list[Filling], bool]:
+    """Undominated fillings of `room` from the lengths left (sorted, and as bits), and whether these are all.
 
     A node chooses how many pieces of a length to take. The first filling (best-fit decreasing) is always completed and comes
     first; `nodes` bounds the search for others, which follow with least waste first.
@@ -65,9 +65,6 @@ def fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int) ->
     found: list[tuple[int, Filling]] = []
     first: list[Filling] = []
     budget = nodes
-    all_left = 0
-    for k in lengths:
-        all_left |= 1 << k
 
     def deeper(room: int, high: int, skipped: int, chosen: Filling) -> bool:
         """Whether the search has been cut. skipped: the least length of which pieces were left out."""
@@ -127,13 +124,13 @@ def search(counts: dict[int, int], capacity: int, nodes: int = 300, steps: int =
     best: list[tuple[Filling, int]] = []
     fewest = sum(counts.values()) + 1 if counts else 0
 
-    def options(left: dict[int, int], lengths: list[int], before: list[Filling], best_fit: bool) -> tuple[Iterator[tuple[Filling, int]], bool]:
-        """Fillings around the largest length, each with a number of sequences; not those taken just before."""
+    def options(left: dict[int, int], lengths: list[int], all_left: int, before: list[Filling], best_fit: bool) -> tuple[Iterator[tuple[Filling, int]], bool]:
+        """Fillings around the largest length (for best_fit the first only), each with a number of sequences; not those in `before`."""
         largest = lengths[-1]
         left[largest] -= 1
-        found, every = fillings(capacity - largest, lengths if left[largest] else lengths[:-1], left, nodes)
+        found, every = fillings(capacity - largest, lengths if left[largest] else lengths[:-1], left, all_left if left[largest] else all_left ^ 1 << largest, 0 if best_fit else nodes)
         left[largest] += 1
-        if not best_fit and len(found) > 1 and _sum(found[1]) > _sum(found[0]):
+        if len(found) > 1 and _sum(found[1]) > _sum(found[0]):
             found[0], found[1] = found[1], found[0]
         whole = []
         for f in found:
@@ -143,23 +140,28 @@ def search(counts: dict[int, int], capacity: int, nodes: int = 300, steps: int =
         fewer = ((f, t) for f, most in whole for t in range(most - 1, 0, -1))
         return chain(whole, fewer), every
 
-    def branch(turn: int, best_fit: bool = False, only_first: bool = False) -> bool:
-        """Depth-first search from the empty plan; its first plan takes the second filling at step `turn`. Whether all was searched."""
+    def branch(turn: int, best_fit: bool = False) -> bool:
+        """Depth-first search from the empty plan; its first plan takes the second filling at step `turn`, and ends a best-fit one.
+
+        Returns whether all was searched.
+        """
         nonlocal best, fewest
-        left, lengths, used, rest = dict(counts), sorted(counts), 0, sum(k * n for k, n in counts.items())
+        left, lengths, all_left, used, rest = dict(counts), sorted(counts), sum(1 << k for k in counts), 0, sum(k * n for k, n in counts.items())
         plan: list[tuple[Filling, int]] = []
         frames: list[Iterator[tuple[Filling, int]]] = []
         complete, descending, budget = True, True, steps
 
         def move(f: Filling, times: int) -> None:
             """Take (times > 0) or give back the pieces of `times` sequences."""
-            nonlocal used, rest
+            nonlocal used, rest, all_left
             for k, n in f:
                 had, left[k] = left[k], left[k] - n * times
                 if not left[k]:
                     lengths.pop(bisect_left(lengths, k))
+                    all_left ^= 1 << k
                 elif not had:
                     insort(lengths, k)
+                    all_left ^= 1 << k
                 rest -= k * n * times
             used += times
 
@@ -168,11 +170,11 @@ def search(counts: dict[int, int], capacity: int, nodes: int = 300, steps: int =
                 if used < fewest:
                     best, fewest = plan.copy(), used
                 descending = False
-                if only_first:
+                if best_fit:
                     return False
             elif used + -(-rest // capacity) < fewest and (descending or used + lower_bound({k: left[k] for k in lengths}, capacity) < fewest):
                 same = [f for f, _ in plan if f[0][0] == lengths[-1]] if len(plan) < 64 else []
-                choices, every = options(left, lengths, same, best_fit)
+                choices, every = options(left, lengths, all_left, same, best_fit)
                 complete &= every
                 if descending and len(frames) == turn:
                     head = next(choices, None)
@@ -196,7 +198,7 @@ def search(counts: dict[int, int], capacity: int, nodes: int = 300, steps: int =
             move(*choice)
 
     if counts:
-        branch(-1, best_fit=True, only_first=True)
+        branch(-1, best_fit=True)
         for turn in range(-1, branches):
             if fewest == bound or branch(turn) and turn < 0:
                 break
