@@ -15,7 +15,9 @@ import numpy as np
 from .textarrays import LOWER, hash_spans, runs, take_ranges
 
 #: Distinct pieces a worker remembers; beyond it, it starts afresh. Only speed depends on it.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
+#: Those it keeps at rest.
+AT_REST = 600_000
 
 _SPACE, _LETTER, _DIGIT, _SIGN, _WHOLE = range(5)
 _KIND = np.full(256, _WHOLE, np.uint8)
@@ -46,8 +48,10 @@ class Encoder:
         return self._library
 
     def rest(self) -> None:
-        """Drop the library's tokenizer, which takes far more memory than the known pieces."""
+        """Drop the library's tokenizer, which takes far more memory than the known pieces, and these where they are many."""
         self._library = None
+        if len(self.keys) > AT_REST:
+            self.forget()
 
     @classmethod
     def at(cls, path: str) -> Encoder:
