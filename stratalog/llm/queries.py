@@ -14,6 +14,7 @@ from .html_text import main_text
 from .jaccard_join import near_duplicates
 from .language_model import score_texts
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .pii import KINDS, as_text, find_pii
 from .quality import BASE, measured
 from .sharding import shard_records
@@ -90,6 +91,25 @@ def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_file(spark), end=1, capacity=4096)
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the texts (by the checksum h of the id) repeats p of its words from word a on, to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    ws, n, a, p, g = (F.col(c) for c in ("ws", "n", "a", "p", "g"))
+    split = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), split.alias("ws")).withColumn("n", F.size("ws"))
+    docs = docs.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn("p", (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice(ws, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return docs.select("doc_id", F.when(n > 0, F.array_join(F.concat(F.slice(ws, F.lit(1), a), repeated), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_repeats(_read(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent.alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
@@ -101,6 +121,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bin_packing": op10_bin_packing,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
