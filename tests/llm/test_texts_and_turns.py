@@ -1,14 +1,18 @@
 """Periodic runs, conversations and languages against brute force, on tables of awkward cases and on empty ones."""
 
 import hashlib
+import heapq
 import random
+import re
 import zlib
 
 import edge
-import pytest
+from pyspark.sql import functions as F
 
+
+from stratalog.llm.conversations import repair_conversations, repaired_turns
 from stratalog.llm.periodic_runs import find_runs, periodic_runs
-from stratalog.llm.queries import op12_periodic_runs
+from stratalog.llm.queries import damaged_turns, op12_periodic_runs, op13_conversation_repair
 
 
 def plain_runs(words, least=24, times=3):
@@ -86,3 +90,104 @@ def test_long_texts_are_dealt_by_lags(spark):
     one, many = (sorted((tuple(x) for x in periodic_runs(docs, long_bytes=size).collect()), key=edge.key) for size in (1 << 20, 100))
     assert one == many and any(x[2] for x in one)
     assert periodic_runs(edge.nothing(spark)).count() == 0
+
+
+def cheapest(turns, found):
+    """(cost, letters, repaired turns) by searching all edits in the order of cost and letters."""
+    heap, seen = [(0, "", 0, "", ())], set()
+    while heap:
+        cost, letters, at, roles, left = heapq.heappop(heap)
+        if at == len(turns) and re.fullmatch("(s?(ua)+)?", roles):
+            return cost, letters, left
+        if (at, roles[-2:]) in seen or not re.fullmatch("s?(ua)*u?", roles):
+            continue
+        seen.add((at, roles[-2:]))
+        for role in ("user", "assistant"):
+            heapq.heappush(heap, (cost + 5, letters + "I", at, roles + role[0], (*left, (role, ""))))
+        if at < len(turns):
+            role, text = turns[at]
+            heapq.heappush(heap, (cost + 2, letters + "D", at + 1, roles, left))
+            if found[at] in ("", "truncated"):
+                more = cost + 5 * (found[at] == "truncated")
+                heapq.heappush(heap, (more, letters + "K", at + 1, roles + (role[:1] or "x"), (*left, (role, text))))
+                for new in ("user", "assistant"):
+                    heapq.heappush(heap, (more + 1, letters + "R", at + 1, roles + new[0], (*left, (new, text))))
+
+
+def conversation(rows):
+    """The contract's figures for (turn, role, text) in order."""
+    turns, found, seen = [r[1:] for r in rows], [], set()
+    for role, text in turns:
+        bare = text.strip(" \t\n\x0b\x0c\r")
+        found.append("blank" if not bare else "duplicate" if (role, text) in seen else "" if bare[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    cost, letters, left = cheapest(turns, found)
+    known = {r[0] for r in rows if r[0] is not None}
+    gaps = max(known) - min(known) + 1 - len(known) if known else 0
+    bad = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+    text = "\n".join(f"{role}:{text}" for role, text in left)
+    return (gaps, *(found.count(x) for x in ("blank", "duplicate", "truncated")), bad, cost, letters, hashlib.sha256(text.encode()).hexdigest()), left
+
+
+def talks(seed=5):
+    """Rows of awkward conversations; numbers may be null, repeated or far apart."""
+    r = random.Random(seed)
+    texts = ["One.", "Two!", "Three?", "four", "five ", "", " \t", "Six. \n", None, "\u00e9t\u00e9\u3002", "long " * 3000 + "end."]
+    rows = []
+    for conv in [*range(60), None]:
+        number = 0
+        for _ in range(r.choice([1, 2, 3, 5, 8, 13])):
+            number += r.choice([1, 1, 1, 2, 40])
+            rows.append((conv, r.choice([number, number, number, None]), r.choice(["system", "user", "assistant", "user", "assistant", "tool", "", None]), r.choice(texts) if r.random() < 0.5 else f"Text {r.randrange(99)}.", 1, "x"))
+    rows += [rows[3], rows[3], (900, 1, "user", "Hello.", 1, "x"), (901, None, None, None, 1, "x")]
+    return rows
+
+
+TALKS = "conv_id long, turn long, role string, text string, there int, digest string"
+
+
+def by_conversation(rows):
+    out = {}
+    for conv, turn, role, text in rows:
+        out.setdefault(conv, []).append((turn, " " if role is None else role, " " if text is None else text))
+    return {c: sorted(x, key=lambda t: (t[0] is not None, t[0], t[1].encode(), t[2].encode())) for c, x in out.items()}
+
+
+def test_repair_of_conversations(spark):
+    rows = talks()
+    df = spark.createDataFrame(rows, TALKS)
+    want = {c: conversation(x) for c, x in by_conversation([x[:4] for x in rows]).items()}
+    for limit in ({}, {"max_rows": 3}, {"max_bytes": 30, "max_rows": 100}):  # as a whole, in pieces, all of them in one piece
+        got = {x[0]: tuple(x[1:]) for x in repair_conversations(df, **limit).collect()}
+        assert {c: x[0] for c, x in want.items()} == got
+        left = {}
+        for x in repaired_turns(df, **limit).orderBy("turn").collect():
+            left.setdefault(x.conv_id, []).append((x.turn, x.role, x.text))
+        assert left == {c: [(k, *t) for k, t in enumerate(x[1])] for c, x in want.items() if x[1]}
+    assert repair_conversations(spark.createDataFrame([], TALKS)).count() == repaired_turns(spark.createDataFrame([], TALKS)).count() == 0
+
+
+def test_a_long_conversation_in_pieces_is_repaired_as_in_one(spark):
+    r = random.Random(9)
+    rows = [(1, k, r.choice(["user", "assistant"]), r.choice(["Same.", f"T{k}.", f"t{k}", ""])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole, pieces = (repair_conversations(df, max_rows=n).collect() for n in (5000, 64))
+    assert [tuple(x) for x in whole] == [tuple(x) for x in pieces]
+
+
+def test_conversations_damaged_and_repaired(spark, tmp_path):
+    rows = talks(8)
+    spark.createDataFrame(rows, TALKS).write.parquet(f"{tmp_path}/conversations.parquet")
+    left, ids = [], {x[0] for x in rows}
+    for conv, turn, role, text, *_ in rows:
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        role, text = "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        left += [(conv, turn, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    by = by_conversation(left)
+    nothing = (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())
+    got = {x[0]: tuple(x[1:]) for x in op13_conversation_repair(spark, str(tmp_path)).collect()}
+    assert got == {c: conversation(by[c])[0] if c in by else nothing for c in ids}
+    dropped = damaged_turns(spark.createDataFrame(rows, TALKS)).where("NOT there").select("conv_id").subtract(damaged_turns(spark.createDataFrame(rows, TALKS)).where("there").select("conv_id"))
+    assert all(got[x.conv_id] == nothing for x in dropped.collect())
+    assert [tuple(x)[1:] for x in repair_conversations(damaged_turns(spark.createDataFrame(rows, TALKS)).withColumn("there", F.lit(False)), F.col("there"), max_rows=2).collect()] == [nothing] * len(ids)
