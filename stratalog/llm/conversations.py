@@ -221,7 +221,8 @@ def repair_conversations(rows: DataFrame, there: Column | None = None, max_rows:
     """Per conversation of rows (conv_id, turn, role, text): conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit
     (the edits' letters) and repaired_sha256 (of the repaired turns as role:text, joined by newlines).
 
-    Turns are taken by number, null ones first (ties: by role, then text). A null role or text is one space, so that turn is
+    Turns are taken by number, null ones first (ties: by role, then text; in pieces by the text's first 1000 characters, then its
+    hash). A null role or text is one space, so that turn is
     blank; a null conv_id is one conversation of its own. gaps counts the numbers missing between the least and the greatest
     (null ones don't count). there: rows for which it is false are only known for their conv_id; a conversation without any
     other has zeros, an empty audit and the hash of the empty text. Conversations of more than max_rows turns or
@@ -280,9 +281,9 @@ class _Pieces(NamedTuple):
 
 def _in_pieces(found: _Rows, piece_rows: int) -> _Pieces:
     keyed = with_row_key(written(found.large), "key")
-    order = ["conv", F.asc_nulls_first("turn"), "role", "digest", "key"]
+    order = ["conv", F.asc_nulls_first("turn"), "role", "head", "digest", "key"]  # the bounds of ranges are driver data, so no whole texts
     digest = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)
-    dealt = written(keyed.withColumn("digest", digest).repartitionByRange(*order).sortWithinPartitions(*order).drop("key"))
+    dealt = written(keyed.withColumns({"digest": digest, "head": F.substring("text", 1, 1000)}).repartitionByRange(*order).sortWithinPartitions(*order).drop("key", "head"))
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
     placed = dealt.select("*", part.alias("part"), F.col("_metadata.row_index").alias("row")).withColumn("piece", F.floor(F.col("row") / piece_rows))
     last = F.substring(F.rtrim(F.regexp_replace("text", r"[\x20\x09-\x0D]+$", "")), -1, 1)

@@ -9,7 +9,6 @@ import zlib
 import edge
 from pyspark.sql import functions as F
 
-
 from stratalog.llm.conversations import repair_conversations, repaired_turns
 from stratalog.llm.periodic_runs import find_runs, periodic_runs
 from stratalog.llm.queries import damaged_turns, op12_periodic_runs, op13_conversation_repair
