@@ -13,6 +13,7 @@ from .conversations import repair_conversations
 from .decontamination import decontaminate
 from .html_text import main_text
 from .jaccard_join import near_duplicates
+from .language_id import identify_languages
 from .language_model import score_texts
 from .packing import pack
 from .periodic_runs import periodic_runs
@@ -92,6 +93,11 @@ def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_file(spark), end=1, capacity=4096)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    return identify_languages(_read(spark, sf_dir, "documents"), learn=fold != 2)
+
+
 def planted_repeats(docs: DataFrame) -> DataFrame:
     """doc_id and text, where a tenth of the texts (by the checksum h of the id) repeats p of its words from word a on, to its end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -135,6 +141,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bin_packing": op10_bin_packing,
+    "op11_language_id": op11_language_id,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_conversation_repair": op13_conversation_repair,
 }

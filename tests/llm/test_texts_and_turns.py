@@ -7,11 +7,13 @@ import re
 import zlib
 
 import edge
+import numpy as np
 from pyspark.sql import functions as F
 
 from stratalog.llm.conversations import repair_conversations, repaired_turns
+from stratalog.llm.language_id import distinct, fit, grams, identify_languages, kernel, scores
 from stratalog.llm.periodic_runs import find_runs, periodic_runs
-from stratalog.llm.queries import damaged_turns, op12_periodic_runs, op13_conversation_repair
+from stratalog.llm.queries import damaged_turns, op11_language_id, op12_periodic_runs, op13_conversation_repair
 
 
 def plain_runs(words, least=24, times=3):
@@ -190,3 +192,53 @@ def test_conversations_damaged_and_repaired(spark, tmp_path):
     dropped = damaged_turns(spark.createDataFrame(rows, TALKS)).where("NOT there").select("conv_id").subtract(damaged_turns(spark.createDataFrame(rows, TALKS)).where("there").select("conv_id"))
     assert all(got[x.conv_id] == nothing for x in dropped.collect())
     assert [tuple(x)[1:] for x in repair_conversations(damaged_turns(spark.createDataFrame(rows, TALKS)).withColumn("there", F.lit(False)), F.col("there"), max_rows=2).collect()] == [nothing] * len(ids)
+
+
+SYLLABLES = {"en": "the ing th er ed of and", "de": "sch ein ung der keit \u00fc ver", "fr": "eau ou que \u00e9 ment la", "ru": "\u043f\u0440 \u043e\u0441\u0442 \u043d\u0430 \u0441\u0442 \u043e\u0432"}
+
+
+def prose(r, lang, n):
+    return " ".join("".join(r.choices(SYLLABLES[lang].split(), k=r.choice([1, 2, 3]))) for _ in range(n)).capitalize() + "."
+
+
+def test_string_kernel():
+    r = random.Random(2)
+    text = " Ab, 1-ab!\u00c9 "
+    plain = " ab ab\u00e9 "
+    want = {plain[i : i + n] for n in (1, 2, 3, 4) for i in range(len(plain) - n + 1)}
+    slots = np.zeros(1 << 18, np.int32)
+    found = distinct(grams(text), slots)
+    assert len(found) == len(set(found)) == len(want) and set(found) == set(grams(text))
+    sets = [np.unique(grams(prose(r, lang, 30))) for lang in ("en", "de", "fr") * 12]
+    labels = ["en", "de", "fr"] * 12
+    whole = kernel(sets, sets)
+    assert all(abs(whole[i, j] - len(np.intersect1d(sets[i], sets[j])) / np.sqrt(len(sets[i]) * len(sets[j]))) < 1e-6 for i in range(36) for j in range(36))
+    # With every text a landmark, Nystr\u00f6m's map is exact: the same as kernel ridge regression with a free constant.
+    model = fit(sets, labels, 12, ridge=1e-2)
+    new = [np.unique(grams(prose(r, lang, 8))) for lang in ("en", "de", "fr") * 3]
+    n, target = len(sets), np.where(np.array(labels)[:, None] == np.array(["de", "en", "fr"]), 1.0, -1.0)
+    system = np.block([[whole + 1e-2 * n * np.eye(n), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+    dual = np.linalg.solve(system, np.vstack([target, np.zeros((1, 3))]))
+    assert np.allclose(scores(model, new), kernel(new, sets) @ dual[:-1] + dual[-1], atol=1e-3)
+
+
+def test_languages_of_documents(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(k, prose(r, lang, r.choice([2, 9, 40, 400])), lang) for k, lang in enumerate(r.choices(list(SYLLABLES), weights=[8, 1, 1, 1], k=800))]
+    odd = [(None, "the of the", "en"), (2001, None, "en"), (2002, "", "de"), (2003, " 12 \u00bd !?", "fr"), (2004, rows[0][1] * 2000, rows[0][2]), (2005, "Sche keit ung", None), (2005, "Sche keit ung", "de")]
+    df = spark.createDataFrame([(*x, 1, "s") for x in rows + odd], "doc_id long, text string, lang string, learn int, n_chars string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op11_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows + odd) and all(0 <= x.score <= 1 for x in got)
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in got if x.doc_id is not None)
+    true = {k: lang for k, _, lang in rows}
+    hit = [x.lang_pred == true[x.doc_id] for x in got if x.doc_id in true and x.held_out]
+    assert len(hit) > 150 and sum(hit) >= 0.98 * len(hit)
+    assert {x.lang_pred for x in got if x.doc_id in (2001, 2002, 2003)} == {"und"} and {x.lang_pred for x in got if x.doc_id == 2005} == {"de"}
+    none = identify_languages(df, F.lit(False)).collect()
+    assert {x.lang_pred for x in none} == {"und"} and all(x.held_out for x in none)
+    other = df.withColumn("lang", F.when(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), "xx").otherwise(F.col("lang")))
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 != 2
+    key = lambda x: (str(x.doc_id), x.lang_pred, x.score)
+    assert sorted(map(key, identify_languages(other, fold).collect())) == sorted(map(key, got))
+    assert identify_languages(df.where("false"), F.lit(True)).count() == 0
