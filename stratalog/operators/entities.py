@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.history import History
-from .graph import closure
+from .graph import reach
 
 
 def _pairs(rows: DataFrame, owner: str, id: str, name: str) -> DataFrame:
@@ -46,8 +46,15 @@ def user_commits(h: History, role: str) -> DataFrame:
 
 def preceding_commits(h: History, commits: DataFrame) -> DataFrame:
     """(of, commit_id): the ancestors of commits (commit_id), each with itself."""
-    edges = h.commit_parents.select(F.col("commit_id").alias("a"), F.col("parent_id").alias("b"))
-    return closure(edges, commits.select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node"))).select(F.col("seed").alias("of"), F.col("node").alias("commit_id"))
+    return h.reachable(commits.select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node"))).select(F.col("seed").alias("of"), F.col("node").alias("commit_id"))
+
+
+def preceding_counts(h: History, commits: DataFrame) -> DataFrame:
+    """(of, preceding): how many ancestors commits (commit_id) have, with themselves. No ancestor is listed for it."""
+    reached = reach(h.chains, commits.select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node")))
+    ends = h.chains.nodes.groupBy(F.col("chain").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    joined = reached.join(ends, F.col("chain") == F.col("c"), "left")
+    return joined.groupBy(F.col("seed").alias("of")).agg(F.sum(F.coalesce(F.col("n") - F.col("start"), F.lit(1))).alias("preceding"))
 
 
 def head_commits(h: History) -> DataFrame:

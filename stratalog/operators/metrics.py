@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.languages import language_of_path, ordinal
 from ..functions.statistics import lines_of_code
 from ..sources.history import History
+from .graph import trees
 
 _PAST = (Window.unboundedPreceding, Window.currentRow)
 
@@ -229,14 +230,17 @@ def commit_projects(h: History) -> DataFrame:
 # Trees
 
 
+def commit_trees(h: History, commits: DataFrame, deletions: bool = False) -> DataFrame:
+    """(commit_id, path_id, snapshot_id): the files as of each of the commits, found once for all heads that stand on it."""
+    seeds = commits.select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node")).distinct()
+    times = h.commits.select(F.col("commit_id").alias("node"), F.col("committer_time").alias("time"))
+    return trees(h.chains, seeds, h.commit_changes, times, deletions).withColumnRenamed("seed", "commit_id")
+
+
 def head_trees(h: History, heads: DataFrame | None = None) -> DataFrame:
     """(project_id, name, path_id, snapshot_id): the files of each head (by default all), without deleted ones."""
-    from .graph import closure, trees
-
     heads = h.project_heads if heads is None else heads
-    seeds = heads.select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node"))
-    edges = h.commit_parents.select(F.col("commit_id").alias("a"), F.col("parent_id").alias("b"))
-    tree = trees(closure(edges, seeds), h.commit_changes)
+    tree = commit_trees(h, heads).withColumnRenamed("commit_id", "seed")
     return heads.select("project_id", "name", "commit_id").join(tree, F.col("commit_id") == F.col("seed")).select("project_id", "name", "path_id", "snapshot_id")
 
 

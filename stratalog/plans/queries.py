@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import composition, formats, predicates, statistics
 from ..functions.languages import display_name, language_of_name, language_of_path
-from ..operators import metrics
-from ..operators.graph import closure, trees
+from ..operators import entities, metrics
 from ..operators.sampling import Distinct, DistinctRandom, MinRatio, Random, Stratified, Top
 from ..operators.selection import Selection, classify, products
 from ..shipping import ship
@@ -23,7 +22,7 @@ from .binding import PRELUDE, SOURCES, spark_sql
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-_opened: dict[tuple[str, str], History] = {}
+_opened: dict[tuple, History] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> History:
-    """The history bound to the tables in sf_dir, written once for each application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The history bound to the tables in sf_dir, written once for each application and state of their files."""
+    key = (spark.sparkContext.applicationId, *(f for name in SOURCES for f in _files(spark, f"{sf_dir}/{name}.parquet")))
     if key not in _opened:
         ship(spark)
         for name in SOURCES:
@@ -43,6 +42,13 @@ def history(spark: SparkSession, sf_dir: str) -> History:
     return _opened[key]
 
 
+def _files(spark: SparkSession, path: str) -> list[tuple]:
+    """Path, length and time of change of the files of a table, as its store lists them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in store.listStatus(folder)]
+
+
 def query(sql: str | None = None, prelude: bool = False):
     """Register a query under its function's name, with its SQL."""
 
@@ -344,19 +350,22 @@ def main_branch_commits(h: History) -> DataFrame:
 @of_history("SELECT * FROM (WITH RECURSIVE a AS (SELECT commit_id AS seed, commit_id AS node FROM project_heads UNION SELECT a.seed, p.parent_id FROM a JOIN commit_parents p ON p.commit_id = a.node) SELECT seed AS commit_id, count(*) AS preceding FROM a GROUP BY seed)")
 def preceding_commits(h: History) -> DataFrame:
     """Of each head's commit: its ancestors with itself."""
-    heads = h.project_heads.select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node"))
-    return closure(h.commit_parents.select(F.col("commit_id").alias("a"), F.col("parent_id").alias("b")), heads).groupBy(F.col("seed").alias("commit_id")).agg(F.count(F.lit(1)).alias("preceding"))
+    return entities.preceding_counts(h, h.project_heads).withColumnRenamed("of", "commit_id")
 
 
-_TREE = "(WITH RECURSIVE a AS (SELECT DISTINCT commit_id AS seed, commit_id AS node, 0 AS depth FROM project_heads UNION SELECT a.seed, p.parent_id, a.depth + 1 FROM a JOIN commit_parents p ON p.commit_id = a.node), d AS (SELECT seed, node, min(depth) AS depth FROM a GROUP BY seed, node), t AS (SELECT seed, path_id, snapshot_id, row_number() OVER (PARTITION BY seed, path_id ORDER BY depth, commit_id) AS k FROM d JOIN commit_changes ON commit_id = node) SELECT seed, path_id, snapshot_id FROM t WHERE k = 1)"
+#: Of the changes of a path that a head reaches, one without a change that descends from it: of several the one whose ancestors
+#: go to the latest time, then the one with the greatest id.
+_TREE = """(WITH RECURSIVE a AS (SELECT DISTINCT commit_id AS seed, commit_id AS node FROM (SELECT commit_id FROM project_heads UNION SELECT commit_id FROM commit_changes) UNION SELECT a.seed, p.parent_id FROM a JOIN commit_parents p ON p.commit_id = a.node),
+    d AS (SELECT a.seed AS node, max(committer_time) AS latest FROM a JOIN commits c ON c.commit_id = a.node GROUP BY a.seed),
+    k AS (SELECT a.seed, path_id, a.node, snapshot_id FROM a JOIN commit_changes ON commit_id = a.node WHERE a.seed IN (SELECT commit_id FROM project_heads)),
+    lost AS (SELECT DISTINCT x.seed, x.path_id, x.node FROM k x JOIN k y ON x.seed = y.seed AND x.path_id = y.path_id AND x.node <> y.node JOIN a ON a.seed = y.node AND a.node = x.node)
+    SELECT seed, path_id, snapshot_id FROM k ANTI JOIN lost USING (seed, path_id, node) LEFT JOIN d USING (node) QUALIFY row_number() OVER (PARTITION BY seed, path_id ORDER BY latest DESC NULLS LAST, node DESC) = 1)"""
 
 
 @of_history(f"SELECT seed AS commit_id, path_id, snapshot_id FROM {_TREE}")
 def commit_trees(h: History) -> DataFrame:
     """The tree of each head's commit, with deletions."""
-    heads = h.project_heads.select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node"))
-    reached = closure(h.commit_parents.select(F.col("commit_id").alias("a"), F.col("parent_id").alias("b")), heads)
-    return trees(reached, h.commit_changes, deletions=True).select(F.col("seed").alias("commit_id"), "path_id", "snapshot_id")
+    return metrics.commit_trees(h, h.project_heads, deletions=True)
 
 
 @of_history(f"SELECT project_id, name, path_id, snapshot_id FROM {_TREE} JOIN project_heads ON commit_id = seed WHERE snapshot_id IS NOT NULL")
@@ -616,9 +625,7 @@ def snapshot_layout(h: History) -> DataFrame:
 
 @of_history(f"SELECT seed AS commit_id, hash AS commit_hash, path_id, location AS path, snapshot_id FROM {_TREE} JOIN commits ON commit_id = seed JOIN paths USING (path_id)")
 def tree_layout(h: History) -> DataFrame:
-    heads = h.project_heads.select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node"))
-    reached = closure(h.commit_parents.select(F.col("commit_id").alias("a"), F.col("parent_id").alias("b")), heads)
-    return tree_rows(h, trees(reached, h.commit_changes, deletions=True).withColumnRenamed("seed", "commit_id")).drop("language")
+    return tree_rows(h, metrics.commit_trees(h, h.project_heads, deletions=True)).drop("language")
 
 
 # Composition

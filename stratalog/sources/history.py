@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import closure
+from ..operators.graph import Chains, chains, closure, expand, reach
 
 NAMES = ("projects", "project_metadata", "project_logs", "project_heads", "commits", "commit_parents", "commit_changes", "paths", "users", "snapshots")
 
@@ -19,6 +19,10 @@ METADATA = (
 )
 
 
+def _edges(parents: DataFrame) -> DataFrame:
+    return parents.select(F.col("commit_id").alias("a"), F.col("parent_id").alias("b"), "pos")
+
+
 class History:
     """Tables of a version-control history. Nothing is read before it is used."""
 
@@ -45,7 +49,7 @@ class History:
         commits = self.commits.where(F.col("committer_time") <= time)
         kept = commits.select("commit_id")
         parents, heads = self.commit_parents, self.project_heads
-        late = closure(parents.join(kept, "commit_id", "left_anti").select(F.col("commit_id").alias("a"), F.col("parent_id").alias("b")), heads.join(kept, "commit_id", "left_anti").select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node")))
+        late = closure(_edges(parents.join(kept, "commit_id", "left_anti")), heads.join(kept, "commit_id", "left_anti").select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node")))
         moved = late.join(kept, F.col("node") == F.col("commit_id"), "left_semi").select("seed", "node")
         moved = heads.join(moved, F.col("commit_id") == F.col("seed")).withColumn("commit_id", F.col("node"))
         if "hash" in heads.columns:
@@ -81,10 +85,18 @@ class History:
         """As project_commits, from the head refs/heads/<branch> only. branch: (project_id, default_branch)."""
         return self._reachable(self.project_heads.join(branch, "project_id").where(F.col("name") == F.concat(F.lit("refs/heads/"), "default_branch")))
 
+    @cached_property
+    def chains(self) -> Chains:
+        """The chains of the commit graph, found once for all that is asked of it."""
+        return chains(_edges(self.commit_parents))
+
+    def reachable(self, seeds: DataFrame) -> DataFrame:
+        """(seed, node): the commits that the seeds (seed, node) reach, themselves included, each once."""
+        return expand(self.chains, reach(self.chains, seeds))
+
     def _reachable(self, heads: DataFrame) -> DataFrame:
         seeds = heads.select(F.col("project_id").alias("seed"), F.col("commit_id").alias("node")).distinct()
-        edges = self.commit_parents.select(F.col("commit_id").alias("a"), F.col("parent_id").alias("b"))
-        return closure(edges, seeds).select(F.col("seed").alias("project_id"), F.col("node").alias("commit_id"))
+        return self.reachable(seeds).select(F.col("seed").alias("project_id"), F.col("node").alias("commit_id"))
 
     @cached_property
     def full_commits(self) -> DataFrame:

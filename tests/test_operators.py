@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.operators import metrics
-from stratalog.operators.graph import closure, trees
+from stratalog.operators.blocks import Blocks
+from stratalog.operators.graph import chains, closure, latest_times, trees
 from stratalog.operators.sampling import Distinct, DistinctRandom, MinRatio, Random, Stratified, Top
 from stratalog.operators.selection import Selection, classify, products
 from stratalog.sources.history import History
 from stratalog.sources.sinks import changes_into_files, dump, flat, into_csv, into_files, round_trip_csv, tree_into_files
+from stratalog.sources.tables import materialized
 
 
 def test_ties_turn_around(spark):
@@ -80,22 +82,124 @@ def test_distinct_random(spark):
 
 def test_diamond_dangling_and_deep(spark):
     edges = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 99)] + [(k, k + 1) for k in range(1000, 1150)]
-    found = closure(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(1, 1), (7, 1000)], "seed long, node long"), stride=8)
-    out = {(r.seed, r.node): r.depth for r in found.collect()}
-    assert {n: d for (s, n), d in out.items() if s == 1} == {1: 0, 2: 1, 3: 1, 4: 2, 5: 3, 99: 4}
-    assert {n: d for (s, n), d in out.items() if s == 7} == {k: k - 1000 for k in range(1000, 1151)}
+    found = closure(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(1, 1), (7, 1000), (8, 12345)], "seed long, node long")).collect()
+    assert sorted(r.node for r in found if r.seed == 1) == [1, 2, 3, 4, 5, 99]
+    assert sorted(r.node for r in found if r.seed == 7) == list(range(1000, 1151))
+    assert [r.node for r in found if r.seed == 8] == [12345]
 
 
 def test_cycle_ends(spark):
     found = closure(spark.createDataFrame([(1, 2), (2, 1)], "a long, b long"), spark.createDataFrame([(1, 1)], "seed long, node long"))
-    assert sorted((r.node, r.depth) for r in found.collect()) == [(1, 0), (2, 1)]
+    assert sorted(r.node for r in found.collect()) == [1, 2]
+    edges = [(1, 2), (2, 3), (3, 1), (9, 1), (3, 50), (50, 51), (60, 9)]
+    found = closure(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(1, 60), (2, 3), (3, 51)], "seed long, node long"))
+    assert sorted((r.seed, r.node) for r in found.collect()) == [(1, n) for n in (1, 2, 3, 9, 50, 51, 60)] + [(2, n) for n in (1, 2, 3, 50, 51)] + [(3, 51)]
 
 
 def test_tree_deletes(spark):
-    reached = spark.createDataFrame([(3, 3, 0), (3, 2, 1), (3, 1, 2)], "seed long, node long, depth int")
+    graph, heads = chains(spark.createDataFrame([(3, 2), (2, 1)], "a long, b long")), spark.createDataFrame([(3, 3)], "seed long, node long")
     changes = spark.createDataFrame([(1, 10, 100), (2, 10, 101), (3, 10, None), (1, 11, 102)], "commit_id long, path_id long, snapshot_id long")
-    assert [(r.path_id, r.snapshot_id) for r in trees(reached, changes).collect()] == [(11, 102)]
-    assert sorted((r.path_id, r.snapshot_id) for r in trees(reached, changes, deletions=True).collect() if r.snapshot_id is None) == [(10, None)]
+    assert [(r.path_id, r.snapshot_id) for r in trees(graph, heads, changes).collect()] == [(11, 102)]
+    assert sorted((r.path_id, r.snapshot_id) for r in trees(graph, heads, changes, deletions=True).collect() if r.snapshot_id is None) == [(10, None)]
+
+
+def ancestors(edges):
+    up = {}
+    for a, b, *_ in edges:
+        up.setdefault(a, set()).add(b)
+        up.setdefault(b, set())
+    out = {}
+    for n in sorted(up):  # parents have smaller ids in these tests
+        out[n] = {n}.union(*(out[p] for p in up[n]))
+    return out
+
+
+def tree_of(head, known, changes, times):
+    """Paths with the last change by ancestry; of several the one with the latest ancestor, then the greatest id."""
+    tree = {}
+    for path in {p for _, p, _ in changes}:
+        mine = [(c, s) for c, p, s in changes if p == path and c in known[head]]
+        last = [(max((times[a] for a in known[c] if times.get(a) is not None), default=-1), c, s) for c, s in mine if not any(c != d and c in known[d] for d, _ in mine)]
+        if last:
+            tree[path] = max(last)[2]
+    return tree
+
+
+def test_reach_and_trees_of_random_histories(spark):
+    r = random.Random(3)
+    for trial in range(2):
+        edges, n = [], 120
+        for c in range(2, n + 1):
+            parents = {max(1, c - r.choice([1, 1, 1, 2, 5, 30]))} | ({r.randrange(max(1, c - 40), c)} if r.random() < 0.3 else set())
+            edges += [(c, p, k) for k, p in enumerate(r.sample(sorted(parents), len(parents))) if r.random() < 0.98]
+        edges += [(500, 499, 0)]
+        known = ancestors(edges) | {777: {777}}
+        times = {c: None if r.random() < 0.1 else r.choice([c, c, c + 3, 999, 5]) for c in known}
+        changes = [(c, r.randrange(12), None if r.random() < 0.2 else 1000 + c) for c in sorted(known) for _ in range(r.choice([0, 1, 2]))]
+        changes = list({(c, p): (c, p, s) for c, p, s in changes}.values())
+        heads = [*r.sample(sorted(known), 25), 777, 500]
+        frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+        graph = chains(frame(edges, "a long, b long, pos int"))
+        seeds = frame([(h, h) for h in sorted(set(heads))], "seed long, node long")
+        found = closure(frame(edges, "a long, b long, pos int"), seeds)
+        assert sorted((x.seed, x.node) for x in found.collect()) == sorted((h, c) for h in set(heads) for c in known[h])
+        made, timed = frame(changes, "commit_id long, path_id long, snapshot_id long"), frame(list(times.items()), "node long, time long")
+        got = {}
+        for x in trees(graph, seeds, made, timed, deletions=True).collect():
+            got.setdefault(x.seed, {})[x.path_id] = x.snapshot_id
+        assert got == {h: t for h in set(heads) if (t := tree_of(h, known, changes, times))}
+        points = graph.locate(frame([(c,) for c in known], "node long"), "node")
+        late = {x.node: x.latest for x in latest_times(graph, timed, points).collect()}
+        assert late == {c: max((times[a] for a in known[c] if times[a] is not None), default=None) for c in known}
+        if trial == 0:
+            got = {(x.seed, x.path_id): x.snapshot_id for x in trees(graph, seeds, made, deletions=True).collect()}
+            assert got == {(h, p): s for h in set(heads) for p, s in tree_of(h, known, changes, {}).items()}
+
+
+def test_the_last_writer_wins_on_branches_of_unequal_length(spark):
+    # 1 <- 2 <- 3 <- 4 <- 9 (merge) and 1 <- 8 <- 9: the old change stands on the short branch, the new one far down the long one.
+    edges = [(2, 1, 0), (3, 2, 0), (4, 3, 0), (5, 4, 0), (8, 1, 0), (9, 8, 0), (9, 5, 1), (10, 9, 0)]
+    changes = [(1, 1, 11), (2, 1, 21), (8, 2, 82), (2, 2, 22), (1, 3, 13), (8, 3, None), (2, 4, 24), (8, 4, 84), (9, 4, 94)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    graph = chains(frame(edges, "a long, b long, pos int"))
+    for late, want in ((2, 22), (8, 82)):
+        times = frame([(c, 100 if c == late else c) for c in (1, 2, 3, 4, 5, 8, 9, 10)], "node long, time long")
+        tree = trees(graph, frame([(10, 10)], "seed long, node long"), frame(changes, "commit_id long, path_id long, snapshot_id long"), times, deletions=True)
+        assert {x.path_id: x.snapshot_id for x in tree.collect()} == {1: 21, 2: want, 3: None, 4: 94}
+
+
+def test_a_deep_history_takes_few_rounds(spark, monkeypatch):
+    from stratalog.operators import graph as module
+
+    rounds = []
+    monkeypatch.setattr(module, "materialized", lambda df: rounds.append(1) or materialized(df))
+    n = 200_000
+    main = spark.range(2, n + 1).selectExpr("id AS a", "id - 1 AS b", "0 AS pos")
+    # Every thousandth commit has a side branch of three commits that is merged ten commits later.
+    side = spark.range(1, n // 1000).selectExpr("id * 1000 AS at", "1000000 + id * 10 AS s").selectExpr("inline(array(named_struct('a', s, 'b', at, 'pos', 0), named_struct('a', s + 1, 'b', s, 'pos', 0), named_struct('a', s + 2, 'b', s + 1, 'pos', 0), named_struct('a', at + 10, 'b', s + 2, 'pos', 1)))")
+    edges = main.unionByName(side)
+    found = closure(edges, spark.createDataFrame([(1, n), (2, 150_000), (3, 1_000_012)], "seed long, node long"))
+    counts = {x.seed: x["count"] for x in found.groupBy("seed").count().collect()}
+    assert counts == {1: n + 3 * (n // 1000 - 1), 2: 150_000 + 3 * 149, 3: 1003} and len(rounds) < 30
+
+
+def test_running_figures_over_blocks(spark):
+    r = random.Random(1)
+    rows = [(r.choice([None, "big", "big", "big", f"g{k % 40}"]), k // 3, r.choice([None, r.randrange(99)])) for k in range(900)]
+    df = spark.createDataFrame([(g, o, k, v) for k, (g, o, v) in enumerate(rows)], "g string, o long, k long, v long")
+    blocks = Blocks(df, ["g"], ["o", "k"], blocks=16)
+    assert blocks.rows.where("g = 'big'").select("_block").distinct().count() > 4
+    total, last, want = {}, {}, {}
+    for k, (g, _, v) in enumerate(rows):
+        before = last.get(g)
+        total[g] = total.get(g) if v is None else (total.get(g) or 0) + v
+        want[k] = (total[g], before)
+        last[g] = v
+    got = {x.k: x.sum for x in blocks.running("sum", F.col("v")).collect()}
+    lag = {x.k: x.lag for x in blocks.previous("lag", F.col("v")).collect()}
+    assert {k: (got[k], lag[k]) for k in got} == want
+    peers = {x.k: x.top for x in Blocks(df, ["g"], ["o"], blocks=16).running("top", F.col("v"), "max", "range").collect()}
+    assert peers == {k: max((v for g, o, v in rows if g == rows[k][0] and o <= rows[k][1] and v is not None), default=None) for k in range(900)}
 
 
 @pytest.fixture(scope="module")
