@@ -15,12 +15,17 @@ _PAST = (Window.unboundedPreceding, Window.currentRow)
 
 
 class Blocks:
-    """df in blocks by group and order. Columns named _block, _first and the like are its own."""
+    """df in blocks by group and order. Columns that begin with an underscore are its own.
 
-    def __init__(self, df: DataFrame, group: list[str], order: list[str | Column], blocks: int | None = None):
+    keep: the columns (group among them) that are kept, if the order needs others; rows then have their order in _row.
+    """
+
+    def __init__(self, df: DataFrame, group: list[str], order: list[str | Column], keep: list[str] | None = None, blocks: int | None = None):
         self.group, self.order = group, order
         by = [*group, *order]
         dealt = df.repartitionByRange(blocks, *by) if blocks else df.repartitionByRange(*by)
+        if keep:
+            dealt, self.order = dealt.sortWithinPartitions(*by).select(*keep, F.monotonically_increasing_id().alias("_row")), ["_row"]
         rows = materialized(dealt)
         part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
         self.rows = rows.select("*", part.alias("_block"))

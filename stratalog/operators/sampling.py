@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialized
+from .blocks import Blocks
+
 
 class Sampler:
     def take(self, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -80,9 +81,12 @@ class MinRatio(Sampler):
 
     Two rows are similar when more than `ratio` of one's distinct elements are the other's too: the candidate's share, or
     the kept row's with of="kept". Missing is similar to missing only; an empty set is similar to nothing. The rows' ids
-    differ. The walk goes by rounds: of each group that wants more rows, the first `block` undecided ones meet each other
-    and are decided; then all others that are similar to one just kept are dropped. A round keeps at least one row of each
-    such group, and no task sees more than a block of a group or pairs other than those of a block and of kept rows.
+    differ.
+
+    Of rows with equal sets only the first is looked at. Rows are decided from the top, in stretches of which each is twice as
+    long as the one before, until the groups have n rows: those similar to a row kept from an earlier stretch drop out, then
+    those without an earlier similar row are kept and what is similar to them drops out, in rounds. Similar rows
+    are found by a join of one's rarest elements, as many as it takes to be sure of a common one, with all of the other's.
     """
 
     n: int
@@ -91,61 +95,74 @@ class MinRatio(Sampler):
     id: str
     of: str = "candidate"
     inner: Sampler | None = None
-    block: int = 400
+    block: int = 512
 
     def take(self, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-        group = F.xxhash64(F.to_json(F.struct(*[F.col(k) for k in keys]))) if keys else F.lit(0).cast("long")
-        # A missing set is a set of one element that no other has; an empty one has none.
-        elements = F.when(F.col(self.elements).isNull(), F.array(F.struct(F.lit(None).cast(rows.schema[self.elements].dataType.elementType).alias("x"), F.lit(True).alias("none"))))
-        elements = elements.otherwise(F.transform(F.array_distinct(self.elements), lambda x: F.struct(x.alias("x"), F.lit(False).alias("none"))))
-        # The order becomes a place: rows are sorted over the whole cluster, and ids of sorted rows rise.
-        placed = materialized(rows.orderBy(*order).select(F.col(self.id).alias("id"), group.alias("g"), elements.alias("e"), F.monotonically_increasing_id().alias("r")))
-        left, chosen = placed, None
-        while not left.isEmpty():
-            first = _first(left, ["g"], [F.col("r")], self.block)
-            first = materialized(first)
-            kept = first.join(self._walk(first, chosen), ["g", "r"], "left_semi")
-            kept = materialized(kept)
-            chosen = kept if chosen is None else chosen.unionByName(kept)
-            ends = first.groupBy(F.col("g").alias("of")).agg(F.max("r").alias("end"))
-            if self.inner is None:
-                full = chosen.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.n)
-                ends = ends.join(full, F.col("of") == F.col("g"), "left_anti")
-            # One row of `ends` for each group that goes on.
-            rest = left.join(ends, (F.col("g") == F.col("of")) & (F.col("r") > F.col("end"))).select("g", "r", "id", "e")
-            left = materialized(rest.join(self._similar(rest, kept).select("g", "r").distinct(), ["g", "r"], "left_anti"))
+        firsts = self._placed(rows, keys, order)
+        last = firsts.agg(F.max("k")).first()[0]
+        chosen, low, size = None, 0, self.block
+        while last is not None and low <= last:
+            part = firsts.where((F.col("k") >= low) & (F.col("k") < low + size))
+            rest = firsts.where(F.col("k") >= low + size).select("g").distinct()
+            if chosen is not None:
+                if self.inner is None:
+                    full = chosen.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.n)
+                    part, rest = part.join(full, "g", "left_anti"), rest.join(full, "g", "left_anti")
+                part = part.join(self._similar(part, chosen).select("g", "k").distinct(), ["g", "k"], "left_anti")
+            kept = self._first_of_similar(materialized(part))
+            chosen = kept if chosen is None else materialized(chosen.unionByName(kept))
+            low, size = low + size, 2 * size
+            if self.inner is None and rest.join(chosen.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.n), "g", "left_anti").isEmpty():
+                break
         if chosen is None:
             return rows.limit(0)
+        if self.inner is None:
+            chosen = _first(chosen, ["g"], [F.col("k")], self.n)
         out = rows.join(chosen.select(F.col("id").alias("_kept")), F.col(self.id) == F.col("_kept"), "left_semi")
         return out if self.inner is None else self.inner.take(out, keys, order)
 
+    def _placed(self, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+        """(g, k, id, e): group, place in it, id and sorted set of the first row with each set; of empty ones all rows."""
+        group = F.to_json(F.struct(*[F.col(k) for k in keys])) if keys else F.lit("")
+        plain = rows.withColumns({"_g": group, "_e": F.array_sort(F.array_distinct(self.elements)), "_id": F.col(self.id)})
+        placed = Blocks(plain, ["_g"], order, keep=["_g", "_e", "_id"]).running("k", F.lit(1))
+        placed = placed.select(F.col("_g").alias("g"), F.col("_e").alias("e"), F.col("_id").alias("id"), (F.col("k") - 1).alias("k"))
+        alone = F.when((F.size("e") == 0) | (F.col("e").isNotNull() & F.lit(self.ratio >= 1)), F.col("k"))
+        firsts = placed.groupBy("g", "e", alone.alias("alone")).agg(F.min(F.struct("k", "id")).alias("first"))
+        return materialized(firsts.select("g", "first.k", "first.id", "e"))
+
     def _similar(self, later: DataFrame, earlier: DataFrame) -> DataFrame:
-        """(g, r, r2): rows of `later` similar to a row of `earlier` that stands before."""
-        parts = later.select("g", "r", F.size("e").alias("n"), F.explode("e").alias("x"))
-        other = earlier.select(F.col("g").alias("g2"), F.col("r").alias("r2"), F.size("e").alias("n2"), F.explode("e").alias("x2"))
-        same = F.expr("g = g2 and r > r2 and x.none = x2.none and x.x <=> x2.x")
-        overlap = parts.join(other, same).groupBy("g", "r", "r2", "n", "n2").agg(F.count(F.lit(1)).alias("both"), F.max("x.none").alias("none"))
-        return overlap.where(F.col("none") | (F.col("both") / F.col("n" if self.of == "candidate" else "n2") > self.ratio)).select("g", "r", "r2")
-
-    def _walk(self, first: DataFrame, chosen: DataFrame | None) -> DataFrame:
-        """(g, r) of the rows of a block that are kept."""
-        similar = self._similar(first, first).groupBy("g", "r").agg(F.collect_list("r2").alias("before"))
-        had = first.select("g").distinct().withColumn("had", F.lit(0).cast("long"))
-        if chosen is not None:
-            had = had.drop("had").join(chosen.groupBy("g").agg(F.count(F.lit(1)).alias("had")), "g", "left").fillna(0, ["had"])
-        most = self.n if self.inner is None else None
-
-        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-            kept: set[int] = set()
-            room = None if most is None else most - int(pdf.had.iloc[0])
-            for r, before in pdf.sort_values("r")[["r", "before"]].itertuples(index=False):
-                if room is not None and len(kept) >= room:
-                    break
-                if before is None or not any(x in kept for x in before):
-                    kept.add(r)
-            return pdf[pdf.r.isin(kept)][["g", "r"]]
-
-        return first.select("g", "r").join(similar, ["g", "r"], "left").join(had, "g").groupBy("g").applyInPandas(walk, "g long, r long")
+        """(g, k, k2): rows of `later` similar to a row of `earlier` with a smaller place."""
+        sets = [side.where(F.size("e") > 0).select("g", "k", F.size("e").alias("n"), F.explode("e").alias("x")) for side in (later, earlier)]
+        common = sets[0].select("x").unionByName(sets[1].select("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+        rarest = Window.partitionBy("g", "k").orderBy("c", "x")
+        ranked = [side.join(common, "x").withColumn("p", F.row_number().over(rarest)) for side in sets]
+        mine, other = ranked[0], ranked[1].select(*[F.col(c).alias(f"{c}2") for c in ("g", "k", "n", "x", "p")])
+        whose, others = ("", "2") if self.of == "candidate" else ("2", "")
+        # An overlap of `least` elements leaves least - 1 behind the first common one, in both sets.
+        least = F.greatest(F.lit(1), F.floor(F.lit(self.ratio) * F.col(f"n{whose}")))
+        sure = (F.col(f"n{whose}") - F.col(f"p{whose}") + 1 >= least) & (F.col(f"n{others}") - F.col(f"p{others}") + 1 >= least)
+        pairs = mine.join(other, (F.col("x") == F.col("x2")) & (F.col("g") == F.col("g2")) & (F.col("k") > F.col("k2")) & sure).select("g", "k", "k2").distinct()
+        first = later.select("g", "k", F.col("e").alias("a"))
+        second = earlier.select(F.col("g").alias("g2"), F.col("k").alias("k2"), F.col("e").alias("b"))
+        both = pairs.join(first, ["g", "k"]).join(second.withColumnRenamed("g2", "g"), ["g", "k2"])
+        share = F.size(F.array_intersect("a", "b")) / F.size("a" if self.of == "candidate" else "b")
+        return both.where(share > self.ratio).select("g", "k", "k2")
+
+    def _first_of_similar(self, part: DataFrame) -> DataFrame:
+        """The rows of a stretch that a greedy walk keeps."""
+        edges = materialized(self._similar(part, part))
+        late = edges.select("g", "k").distinct()
+        kept, left = part.join(late, ["g", "k"], "left_anti"), materialized(late)
+        new = kept
+        while not left.isEmpty():
+            new = new.select("g", F.col("k").alias("k2"))
+            left = materialized(left.join(edges.join(new, ["g", "k2"], "left_semi").select("g", "k").distinct(), ["g", "k"], "left_anti"))
+            edges = materialized(edges.join(left, ["g", "k"], "left_semi").join(left.withColumnRenamed("k", "k2"), ["g", "k2"], "left_semi"))
+            new = materialized(part.join(left.join(edges, ["g", "k"], "left_anti"), ["g", "k"], "left_semi"))
+            kept = kept.unionByName(new)
+            left = left.join(new, ["g", "k"], "left_anti")
+        return materialized(kept)
 
 
 @dataclass(frozen=True)

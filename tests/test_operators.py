@@ -73,6 +73,26 @@ def test_min_ratio_against_a_walk(spark, of):
     assert small.sample(MinRatio(2, "e", 0.5, "id", of)).rows.count() == 2 and small.filter_by(F.lit(False)).sample(MinRatio(2, "e", 0.5, "id", of)).rows.count() == 0
 
 
+def test_min_ratio_decides_many_rows_in_few_stretches(spark):
+    r = random.Random(6)
+    families = [r.sample(range(4000), 30) for _ in range(150)]
+    data = []
+    for k in range(6000):
+        base = r.choice(families[: 1 + r.choice([0, 0, 149])])  # one family has more than half of the rows
+        data.append((k, [*r.sample(base, r.choice([25, 29, 30])), *r.sample(range(4000, 9000), r.choice([0, 1, 6]))], None))
+    df = spark.createDataFrame([(k, e) for k, e, _ in data], "id int, e array<int>")
+    for of in ("candidate", "kept"):
+        kept = []
+        for k, e, _ in data:
+            x = set(e)
+            if not any(len(x & o) / len(x if of == "candidate" else o) > 0.8 for _, o in kept):
+                kept.append((k, x))
+        got = Selection.of(df, "id").sample(MinRatio(0, "e", 0.8, "id", of, inner=Top(10**6), block=100)).rows.collect()
+        assert sorted(x.id for x in got) == [k for k, _ in kept]
+        few = Selection.of(df, "id").sample(MinRatio(40, "e", 0.8, "id", of, block=20)).rows.collect()
+        assert sorted(x.id for x in few) == [k for k, _ in kept][:40]
+
+
 def test_distinct_random(spark):
     rows = Selection.of(spark.range(40).selectExpr("id", "cast(id % 5 as string) as g"), "id")
     order = sorted(range(40), key=lambda k: hashlib.md5(f"9:{k}".encode()).hexdigest())
