@@ -18,6 +18,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .tables import written
 from .textarrays import freeing, release
@@ -295,6 +297,24 @@ def with_answers(chunks: DataFrame, replies: DataFrame) -> DataFrame:
     return chunks.join(whole, F.col("chunk") == F.col("of"), "left").select("chunk", "docs", "answers")
 
 
+def each_with_answers(chunks: DataFrame, replies: DataFrame, run: Callable[[pa.Table, list[np.ndarray]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """run(documents, answers) of each chunk, one chunk at a time in a task: neither side is gathered in rows of many chunks."""
+    given = to_arrow_schema(_parse_datatype_string(schema))
+
+    def one(mine: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.sort_by("bucket")
+        parts: list[list[np.ndarray]] = []
+        for blobs, n in zip(told.column("blobs").to_pylist(), told.column("n").to_pylist(), strict=True):
+            parts = parts or [[] for _ in blobs]
+            for part, blob in zip(parts, blobs, strict=True):
+                part.append(_read(memoryview(blob), n))
+        out = pa.Table.from_batches(run(unpack(mine.column("docs")[0]), [np.concatenate(p) for p in parts])).cast(given)
+        release()
+        return out
+
+    return chunks.select("chunk", "docs").groupBy("chunk").cogroup(replies.select("chunk", "bucket", "n", "blobs").groupBy("chunk")).applyInArrow(one, schema)
+
+
 def _read(blob: memoryview, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(blob, np.uint8, offset=1), count=n).astype(bool) if blob[0] == 0 else _grow(blob)
 

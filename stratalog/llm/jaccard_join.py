@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Merge, answers, pack, read_answers, summed, unpack, with_answers
+from .chunks import Merge, answers, each_with_answers, pack, summed, unpack
 from .components import components
 from .tables import with_row_key, written
 from .textarrays import WHITESPACE, freeing, mix, salted, take_ranges, text_bytes, windows, words
@@ -78,29 +78,27 @@ def _document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
         keys, counts = np.unique(gram, return_counts=True)
         return keys, {"n": counts.astype(np.uint32)}
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                table = unpack(batch.column("docs")[k])
-                doc, gram, n = _sets(table, width)
-                known = read_answers(batch.column("answers"), k)
-                _, index = np.unique(gram, return_inverse=True)
-                often = known[0][index].astype(np.int64) if known else np.zeros(0, np.int64)
-                total = np.zeros(len(n), np.uint64)
-                np.add.at(total, doc, salted(gram, 7))
-                key = mix(total + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
-                rare = np.bincount(doc[often == 1], minlength=len(n))
-                prefix = n - (percent * n + 99) // 100 + 1
-                wanted = (n > 0) & (rare < prefix)
-                most = np.full(len(n), np.iinfo(np.int64).max)
-                np.minimum.at(most, doc, often)
-                firsts = np.zeros(len(n), bool)
-                firsts[np.unique(np.where(wanted, key, 0), return_index=True)[1]] = True
-                wanted &= firsts | (key == 0)
-                mine = np.flatnonzero(wanted[doc])
-                order = mine[np.lexsort((gram[mine], often[mine], doc[mine]))]
-                edges = np.searchsorted(doc[order], np.arange(len(n) + 1))
-                yield from _rows(table.column("id").combine_chunks(), n, key, most, prefix, rare, wanted, gram[order], often[order], edges)
+    def build(table: pa.Table, known: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, gram, n = _sets(table, width)
+        _, index = np.unique(gram, return_inverse=True)
+        often = known[0][index].astype(np.int64) if known else np.zeros(0, np.int64)
+        del index
+        total = np.zeros(len(n), np.uint64)
+        np.add.at(total, doc, salted(gram, 7))
+        key = mix(total + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+        rare = np.bincount(doc[often == 1], minlength=len(n))
+        prefix = n - (percent * n + 99) // 100 + 1
+        wanted = (n > 0) & (rare < prefix)
+        most = np.full(len(n), np.iinfo(np.int64).max)
+        np.minimum.at(most, doc, often)
+        firsts = np.zeros(len(n), bool)
+        firsts[np.unique(np.where(wanted, key, 0), return_index=True)[1]] = True
+        wanted &= firsts | (key == 0)
+        mine = np.flatnonzero(wanted[doc])
+        doc, gram, often = doc[mine], gram[mine], often[mine]
+        order = np.lexsort((gram, often, doc))
+        edges = np.searchsorted(doc[order], np.arange(len(n) + 1))
+        yield from _rows(table.column("id").combine_chunks(), n, key, most, prefix, rare, wanted, gram[order], often[order], edges)
 
     def _rows(ids, n, key, most, prefix, rare, wanted, gram, often, edges) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", ids.type), ("n", pa.int64()), ("class", pa.int64()), ("most", pa.int64()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("often", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("grams", pa.binary())])
@@ -120,7 +118,7 @@ def _document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     replies = answers(chunks, items, Merge(summed, lambda mine, whole: [whole["n"]], kept_bits=48))
     kind = docs.schema["id"].dataType.simpleString()
-    return written(with_answers(chunks, replies).mapInArrow(freeing(build), f"id {kind}, n long, class long, most long, tokens array<long>, places array<int>, often array<long>, parts array<int>, grams binary"))
+    return written(each_with_answers(chunks, replies, build, f"id {kind}, n long, class long, most long, tokens array<long>, places array<int>, often array<long>, parts array<int>, grams binary"))
 
 
 def _needed(percent: int) -> Column:
