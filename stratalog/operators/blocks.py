@@ -46,11 +46,18 @@ class Blocks:
 
     def running(self, name: str, value: Column, kind: str = "sum", frame: str = "rows") -> DataFrame:
         """rows with `name`: the sum or the maximum of value up to this row of its group. frame="range": with all its peers."""
+        return self.runnings({name: value}, kind, frame)
+
+    def runnings(self, values: dict[str, Column], kind: str = "sum", frame: str = "rows") -> DataFrame:
+        """As running, for several values."""
         f = {"sum": F.sum, "max": F.max}[kind]
         over = self.window.rowsBetween(*_PAST) if frame == "rows" else self.window.rangeBetween(*_PAST)
-        rows = self._with_earlier(self.rows.withColumn(name, f(value).over(over)), f(value), lambda w: f("_figure").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_before")
-        whole = F.coalesce(F.col(name) + F.col("_before"), name, "_before") if kind == "sum" else F.greatest(name, "_before")
-        return rows.withColumn(name, whole).drop("_before", "_block")
+        figures = F.struct(*[f(value).alias(name) for name, value in values.items()])
+        before = lambda w: F.struct(*[f(F.col("_figure")[name]).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(name) for name in values])
+        rows = self._with_earlier(self.rows.withColumns({name: f(value).over(over) for name, value in values.items()}), figures, before, "_before")
+        earlier = lambda name: F.col("_before")[name]
+        whole = {name: F.coalesce(F.col(name) + earlier(name), name, earlier(name)) if kind == "sum" else F.greatest(name, earlier(name)) for name in values}
+        return rows.withColumns(whole).drop("_before", "_block")
 
     def previous(self, name: str, value: Column) -> DataFrame:
         """rows with `name`: value in the row before in its group, null in the first."""
@@ -59,3 +66,34 @@ class Blocks:
         last = F.max_by(packed, F.struct(*[c if isinstance(c, Column) else F.col(c) for c in self.order]))
         rows = self._with_earlier(rows, last, lambda w: F.lag("_figure").over(w), "_before")
         return rows.withColumn(name, F.coalesce("_lag", "_before")["v"]).drop("_lag", "_before", "_block")
+
+
+def order_statistics(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, n, low, high): how many values each group has, and its middle value or two middle ones, exactly.
+
+    Equal values are counted before they meet, and the counts are summed in the order of the values; no group is gathered.
+    Null values don't count; a group of nothing else has no row.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    summed = Blocks(counts, group, ["_v"]).running("_up_to", F.col("_c"))
+    whole = summed.groupBy(*group).agg(F.max("_up_to").alias("n")).select(*[F.col(c).alias(f"_of_{c}") for c in group], "n")
+    same = F.lit(True)
+    for c in group:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    at = lambda rank: F.max(F.when((F.col("_up_to") - F.col("_c") < rank) & (F.col("_up_to") >= rank), F.col("_v")))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    return summed.join(whole, same).groupBy(*group).agg(F.first("n").alias("n"), at(low).alias("low"), at(high).alias("high"))
+
+
+def join_frequent(rows: DataFrame, facts: DataFrame, key: str, often: str, most: int = 100_000) -> DataFrame:
+    """rows joined to facts, which have one row for each key and, as `often`, how many of rows have it at most.
+
+    Keys that more than one in `most` of all rows have are at most that many: their facts are broadcast, so their rows stay where they
+    are. All others are joined over their keys.
+    """
+    total = facts.agg(F.sum(often)).first()[0] or 0
+    frequent = F.col(often) > max(10_000, total // most)
+    hot = facts.where(frequent).withColumnRenamed(key, "_hot")
+    found = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot")).drop("_hot")
+    rest = rows.join(F.broadcast(hot.select("_hot")), F.col(key) == F.col("_hot"), "left_anti").join(facts.where(~frequent), key)
+    return found.select(*rest.columns).unionByName(rest)

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.languages import language_of_path, ordinal
 from ..functions.statistics import lines_of_code
 from ..sources.history import History
+from ..sources.tables import materialized
+from .blocks import Blocks, join_frequent
 from .graph import trees
 
-_PAST = (Window.unboundedPreceding, Window.currentRow)
-
 
 def _span(low: list[str], high: list[str] | None = None) -> Column:
     high = high or low
@@ -34,8 +34,8 @@ def ages(h: History) -> DataFrame:
 
 def commit_gaps(h: History, compat: bool = False) -> DataFrame:
     """Largest and mean gap between successive committer times; the mean is rounded, 0 for a single commit."""
-    w = Window.partitionBy("project_id").orderBy("committer_time")
-    gaps = h.full_commits.where("committer_time IS NOT NULL").withColumn("gap", F.col("committer_time") - F.lag("committer_time").over(w))
+    times = h.full_commits.where("committer_time IS NOT NULL").select("project_id", "committer_time")
+    gaps = Blocks(times, ["project_id"], ["committer_time"]).previous("before", F.col("committer_time")).withColumn("gap", F.col("committer_time") - F.col("before"))
     last, n = F.max("committer_time"), F.count(F.lit(1))
     mean = F.when(n > 2, F.round(F.try_divide(last, n - 1))).otherwise(last) if compat else F.coalesce(F.round(F.try_divide(last - F.min("committer_time"), n - 1)), F.lit(0))
     return gaps.groupBy("project_id").agg(F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap"), mean.cast("long").alias("mean_gap"))
@@ -93,9 +93,9 @@ def contributions(h: History, of: str = "commits") -> DataFrame:
     if of == "changes":
         rows = rows.join(h.commit_changes.select("commit_id"), "commit_id")
     n = rows.groupBy("project_id", "author_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("project_id").orderBy(F.desc("n"), "author_id")
-    running, whole = F.sum("n").over(w.rowsBetween(*_PAST)), F.sum("n").over(Window.partitionBy("project_id"))
-    return n.select("project_id", "author_id", "n", F.row_number().over(w).alias("place"), F.floor(100 * running / whole).cast("long").alias("percent"), running.alias("running"), whole.alias("whole"))
+    summed = Blocks(n, ["project_id"], [F.desc("n"), "author_id"]).runnings({"running": F.col("n"), "place": F.lit(1)})
+    whole = rows.groupBy("project_id").agg(F.count(F.lit(1)).alias("whole"))
+    return summed.join(whole, "project_id").select("project_id", "author_id", "n", "place", F.floor(100 * F.col("running") / F.col("whole")).cast("long").alias("percent"), "running", "whole")
 
 
 def main_contributors(h: History, percent: int, of: str = "commits") -> DataFrame:
@@ -117,9 +117,14 @@ def user_times(h: History) -> DataFrame:
 
 
 def _h_index(counts: DataFrame, by: str, value: str, name: str, offset: int) -> DataFrame:
-    """The number of ranks k (from 1) whose value is at least k - offset."""
-    w = Window.partitionBy(by).orderBy(F.desc(value))
-    return counts.withColumn("_k", F.row_number().over(w)).groupBy(by).agg(F.count_if(F.col(value) >= F.col("_k") - offset).alias(name))
+    """The greatest k such that k values are at least k - offset.
+
+    Values are counted first. A group has no more different values than the root of twice its sum, so a list of them is small.
+    """
+    each = counts.groupBy(by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("v", "c")), asc=False).alias("falling"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"))
+    step = lambda a, x: F.struct((a["n"] + x["c"]).alias("n"), F.greatest(a["k"], F.least(x["v"] + offset, a["n"] + x["c"])).alias("k"))
+    return each.select(by, F.aggregate("falling", start, step)["k"].alias(name))
 
 
 def h_indices(h: History, compat: bool = False) -> DataFrame:
@@ -201,25 +206,48 @@ def snapshot_origins(h: History) -> DataFrame:
 def originality(h: History) -> DataFrame:
     """Per project, over its distinct snapshots with contents: unique (in no other project), original (first here, copied
     elsewhere), impact (holders of those first here), and the percentage that another project had first, rounded down."""
-    stored = h.snapshots.select("snapshot_id")
-    mine = h.full_changes.where("snapshot_id IS NOT NULL").select("project_id", "snapshot_id").distinct().join(stored, "snapshot_id", "left_semi")
+    origins = materialized(snapshot_origins(h).join(h.snapshots.select("snapshot_id"), "snapshot_id", "left_semi"))
+    mine = h.full_changes.where("snapshot_id IS NOT NULL").select("project_id", "snapshot_id").distinct()
     here = F.col("original") == F.col("project_id")
-    return mine.join(snapshot_origins(h), "snapshot_id").groupBy("project_id").agg(
+    return join_frequent(mine, origins, "snapshot_id", "copies").groupBy("project_id").agg(
         F.count_if(F.col("copies") == 1).alias("unique_files"), F.count_if(here & (F.col("copies") > 1)).alias("original_files"),
         F.sum(F.when(here, F.col("copies")).otherwise(0)).alias("impact"), F.floor(100 * F.count_if(~here) / F.count(F.lit(1))).cast("long").alias("duplicated_code"),
     )
 
 
-def forks(h: History) -> DataFrame:
-    """(project_id, fork_id): projects that share a commit with this one and were created later (ties: larger id).
+def fork_families(h: History) -> DataFrame:
+    """(root_id, project_id, place, members): for each commit without a parent the projects that have it, by creation (ties: id),
+    from 1. The forks of a project are those after it in its families; this table has a row for each, not for each pair.
 
-    Projects that share a commit share all its ancestors, so only commits without a parent are joined.
+    Projects that share a commit share all its ancestors, so those of a family, and only they, share commits. Projects without a
+    time of creation are in none.
     """
-    first = h.project_commits.join(h.commit_parents.select("commit_id").distinct(), "commit_id", "left_anti")
+    first = h.project_commits.join(h.commit_parents.select("commit_id").distinct(), "commit_id", "left_anti").withColumnRenamed("commit_id", "root_id")
     dated = first.join(h.projects.select("project_id", "created"), "project_id").where("created IS NOT NULL")
-    other = dated.select(F.col("project_id").alias("fork_id"), F.col("created").alias("fork_created"), F.col("commit_id").alias("of"))
-    later = F.expr("commit_id = of AND (fork_created > created OR (fork_created = created AND fork_id > project_id))")
-    return dated.join(other, later).select("project_id", "fork_id").distinct()
+    placed = Blocks(dated, ["root_id"], ["created", "project_id"]).running("place", F.lit(1))
+    members = placed.groupBy(F.col("root_id").alias("of")).agg(F.count(F.lit(1)).alias("members"))
+    return placed.join(members, F.col("root_id") == F.col("of")).select("root_id", "project_id", "place", "members")
+
+
+def fork_counts(h: History) -> DataFrame:
+    """(project_id, forks): how many forks each project has. Only those of projects of several families are listed for it."""
+    families = materialized(fork_families(h))
+    several = families.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("project_id")
+    one = families.join(several, "project_id", "left_anti").select("project_id", (F.col("members") - F.col("place")).alias("forks"))
+    listed = several.join(_forks_in(families, families.join(several, "project_id", "left_semi")).groupBy("project_id").agg(F.count(F.lit(1)).alias("forks")), "project_id", "left")
+    return one.unionByName(listed.select("project_id", F.coalesce("forks", F.lit(0)).cast("long").alias("forks")))
+
+
+def forks(h: History, of: DataFrame | None = None) -> DataFrame:
+    """(project_id, fork_id): projects that share a commit with this one and were created later (ties: larger id). of:
+    (project_id), the only projects whose forks are listed. All of them are as many as pairs in the families."""
+    families = materialized(fork_families(h))
+    return _forks_in(families, families if of is None else families.join(of.select("project_id").distinct(), "project_id", "left_semi"))
+
+
+def _forks_in(families: DataFrame, mine: DataFrame) -> DataFrame:
+    other = families.select(F.col("root_id").alias("of"), F.col("project_id").alias("fork_id"), F.col("place").alias("later"))
+    return mine.join(other, F.expr("root_id = of AND later > place")).select("project_id", "fork_id").distinct()
 
 
 def commit_projects(h: History) -> DataFrame:

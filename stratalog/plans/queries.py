@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import composition, formats, predicates, statistics
 from ..functions.languages import display_name, language_of_name, language_of_path
 from ..operators import entities, metrics
+from ..operators.blocks import order_statistics
 from ..operators.sampling import Distinct, DistinctRandom, MinRatio, Random, Stratified, Top
 from ..operators.selection import Selection, classify, products
 from ..shipping import ship
@@ -544,6 +545,25 @@ def project_forks(h: History) -> DataFrame:
     return metrics.forks(h)
 
 
+_FAMILIES = "(SELECT commit_id AS root_id, project_id, row_number() OVER (PARTITION BY commit_id ORDER BY created, project_id) AS place, count(*) OVER (PARTITION BY commit_id) AS members FROM pc JOIN projects USING (project_id) WHERE created IS NOT NULL AND commit_id NOT IN (SELECT commit_id FROM commit_parents))"
+
+
+@of_history(f"SELECT root_id, project_id, place, members FROM {_FAMILIES}")
+def fork_families(h: History) -> DataFrame:
+    return metrics.fork_families(h)
+
+
+@of_history(f"SELECT a.project_id, count(DISTINCT b.project_id) AS forks FROM {_FAMILIES} a LEFT JOIN {_FAMILIES} b ON a.root_id = b.root_id AND b.place > a.place GROUP BY a.project_id")
+def fork_counts(h: History) -> DataFrame:
+    return metrics.fork_counts(h)
+
+
+@of_history("SELECT project_id, count(*) AS n, sort[(len(sort) + 1) // 2]::BIGINT AS low, sort[len(sort) // 2 + 1]::BIGINT AS high FROM (SELECT project_id, list(strlen(message) * (commit_id % 11) ORDER BY strlen(message) * (commit_id % 11)) AS sort FROM pcc GROUP BY project_id) GROUP BY project_id, sort".replace("count(*) AS n", "len(sort)::BIGINT AS n"))
+def project_medians(h: History) -> DataFrame:
+    """How many figures of commits each project has, and the middle ones."""
+    return order_statistics(h.full_commits.select("project_id", (statistics.length(F.col("message")) * (F.col("commit_id") % 11)).alias("v")), ["project_id"], "v")
+
+
 @of_history("SELECT commit_id, count(*) AS projects FROM pc GROUP BY commit_id")
 def commit_projects(h: History) -> DataFrame:
     return metrics.commit_projects(h)
@@ -677,11 +697,19 @@ def _published(name: str, order: Callable[[History], DataFrame] | None, figure:
     SQL[f"published_{name}"] = f"{PRELUDE}, {walk} SELECT segment AS language, p.project_id, url, figure FROM walked JOIN projects p ON p.project_id = id LEFT JOIN ({figure}) f USING (project_id)"
 
 
-def _each(of: str, statistic: Callable[[Column], Column]) -> Callable[[History], DataFrame]:
+def _mean(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("project_id").agg(F.avg("v").alias("figure"))
+
+
+def _median(rows: DataFrame) -> DataFrame:
+    return order_statistics(rows, ["project_id"], "v").select("project_id", ((F.col("low") + F.col("high")) / 2).alias("figure"))
+
+
+def _each(of: str, statistic: Callable[[DataFrame], DataFrame]) -> Callable[[History], DataFrame]:
     def figures(h: History) -> DataFrame:
         paths = h.commit_changes.groupBy("commit_id").agg(F.countDistinct("path_id").alias("paths"))
         rows = h.full_commits.join(paths, "commit_id", "left").select("project_id", (F.coalesce("paths", F.lit(0)) if of == "paths" else statistics.length(F.col("message"))).alias("v"))
-        return rows.groupBy("project_id").agg(statistic(F.col("v")).alias("figure"))
+        return statistic(rows)
 
     return figures
 
@@ -694,10 +722,10 @@ _WITH_SENIOR = f"p.project_id IN (SELECT project_id FROM pcc WHERE author_id IN
 _MANY_SENIORS = f"p.project_id IN (SELECT project_id FROM ({SQL['experienced_authors'].removeprefix(PRELUDE)}))"
 
 _published("stars", None, "SELECT project_id, stars AS figure FROM projects")
-_published("mean_changed_paths", _each("paths", F.avg), _CHANGED_PATHS.format("avg"))
-_published("median_changed_paths", _each("paths", F.median), _CHANGED_PATHS.format("median"))
+_published("mean_changed_paths", _each("paths", _mean), _CHANGED_PATHS.format("avg"))
+_published("median_changed_paths", _each("paths", _median), _CHANGED_PATHS.format("median"))
 _published("experienced_author", lambda h: metrics.counts(h).select("project_id", "commits"), _N_COMMITS, lambda h: metrics.user_projects(h).join(metrics.user_times(h).where("experience >= 63072000"), "user_id"), _WITH_SENIOR)
 _published("experienced_authors_ratio", lambda h: metrics.counts(h).select("project_id", F.lit(0)), "SELECT DISTINCT project_id, 0 AS figure FROM pcc", experienced_authors, _MANY_SENIORS)
-_published("mean_message_sizes", _each("message", F.avg), _MESSAGES.format("avg"))
-_published("median_message_sizes", _each("message", F.median), _MESSAGES.format("median"))
+_published("mean_message_sizes", _each("message", _mean), _MESSAGES.format("avg"))
+_published("median_message_sizes", _each("message", _median), _MESSAGES.format("median"))
 _published("commits", lambda h: metrics.counts(h).select("project_id", "commits"), _N_COMMITS)

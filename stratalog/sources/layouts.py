@@ -57,7 +57,7 @@ def project_rows(h: History, extended: bool = False) -> DataFrame:
     content = metrics.content_counts(h).withColumn("files", F.col("paths"))
     cutoffs = [_size(metrics.main_contributors(h, p, of), "project_id", f"authors_contributing_{p}%_{of}") for of in ("commits", "changes") for p in (95, 80, 50)]
     rows = _with(
-        rows, "project_id", content, metrics.originality(h), major, _size(metrics.forks(h), "project_id", "all_forks_count"), gaps, active, metrics.project_locs(h),
+        rows, "project_id", content, metrics.originality(h), major, metrics.fork_counts(h).where("forks > 0").withColumnRenamed("forks", "all_forks_count"), gaps, active, metrics.project_locs(h),
         metrics.update_state(h).select("project_id", "is_valid"), experience, *cutoffs,
     )
     return rows.select(*PROJECT, *[F.col(f"`{c}`") for c in PROJECT_EXTENDED])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.operators import metrics
-from stratalog.operators.blocks import Blocks
+from stratalog.operators.blocks import Blocks, join_frequent, order_statistics
 from stratalog.operators.graph import chains, closure, latest_times, trees
 from stratalog.operators.sampling import Distinct, DistinctRandom, MinRatio, Random, Stratified, Top
 from stratalog.operators.selection import Selection, classify, products
@@ -222,6 +222,35 @@ def test_running_figures_over_blocks(spark):
     assert peers == {k: max((v for g, o, v in rows if g == rows[k][0] and o <= rows[k][1] and v is not None), default=None) for k in range(900)}
 
 
+def test_order_statistics(spark):
+    r = random.Random(4)
+    rows = [(r.choice("abbbbbb"), r.choice([None, *range(12)])) for _ in range(700)] + [("none", None), (None, 5), ("one", 3), ("two", 1), ("two", 8)]
+    got = {x.g: (x.n, x.low, x.high) for x in order_statistics(spark.createDataFrame(rows, "g string, v long"), ["g"], "v").collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        if v:
+            want[g] = (len(v), v[(len(v) - 1) // 2], v[len(v) // 2])
+    assert got == want
+
+
+def test_join_of_frequent_keys(spark):
+    rows = spark.range(60_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 5000 END AS key")
+    facts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("key <> 11")
+    got = join_frequent(rows, facts, "key", "n")
+    assert sorted(map(tuple, got.select("id", "n").collect())) == sorted(map(tuple, rows.join(facts, "key").select("id", "n").collect()))
+
+
+def test_h_index_by_counts(spark):
+    r = random.Random(8)
+    rows = [(u, r.choice([1, 1, 2, 3, 5, 9, 40])) for u in range(12) for _ in range(r.choice([1, 4, 30]))]
+    for offset in (0, 1):
+        got = {x.u: x.h for x in metrics._h_index(spark.createDataFrame(rows, "u long, v long"), "u", "v", "h", offset).collect()}
+        for u, h in got.items():
+            v = sorted((x for w, x in rows if w == u), reverse=True)
+            assert h == sum(x >= k - offset for k, x in enumerate(v, 1))
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     table = lambda rows, schema: spark.createDataFrame(rows, schema)
