@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.statistics import present
+from .files import write_files
 from .history import NAMES, History
 
 #: Quotes double inside quoted texts; an empty text is quoted and so stays apart from a missing one.
@@ -61,35 +60,12 @@ def dump(h: History, path: str) -> None:
     for name in NAMES:
         if name != "snapshots":
             into_csv(h.tables[name].distinct(), f"{path}/{name}")
-    into_files(h.snapshots, f"{path}/blobs").count()
-
-
-def _files(rows: DataFrame, folder: str) -> DataFrame:
-    """Write rows (key, name, contents) as files in a folder that all tasks can write, such as a mounted one. Returns the
-    keys of rows skipped: those without a name or contents, and those whose name leads out of the folder."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pathlib import Path
-
-        top = Path(folder)
-        top.mkdir(parents=True, exist_ok=True)
-        for batch in batches:
-            skipped = []
-            for k, (name, contents) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if name is None or contents is None or name.startswith("/") or ".." in name.split("/"):
-                    skipped.append(k)
-                else:
-                    (top / name).parent.mkdir(parents=True, exist_ok=True)
-                    (top / name).write_bytes(contents)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(skipped, pa.int64()))], names=["key"])
-
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "name", F.col("contents").cast("binary")).mapInArrow(write, f"key {kind}")
+    into_files(h.snapshots, f"{path}/blobs")
 
 
 def into_files(snapshots: DataFrame, folder: str) -> DataFrame:
     """One file for each snapshot id; returns the ids skipped for lack of contents."""
-    return _files(snapshots.select(F.col("snapshot_id").alias("key"), F.col("snapshot_id").cast("string").alias("name"), "contents"), folder).withColumnRenamed("key", "snapshot_id")
+    return write_files(snapshots.select("snapshot_id", F.col("snapshot_id").cast("string").alias("name"), "contents"), ["snapshot_id"], folder)
 
 
 def _with_files(h: History, rows: DataFrame) -> DataFrame:
@@ -101,13 +77,11 @@ def changes_into_files(h: History, changes: DataFrame, folder: str) -> DataFrame
     """Each change's contents at its path, of several changes of a path one. Returns (path_id, snapshot_id) of those skipped,
     as deletions are."""
     last = changes.groupBy("path_id").agg(F.max("snapshot_id").alias("snapshot_id"))
-    rows = _with_files(h, last).select(F.struct("path_id", "snapshot_id").alias("key"), F.col("location").alias("name"), "contents")
-    return _files(rows, folder).select("key.*")
+    return write_files(_with_files(h, last).withColumnRenamed("location", "name"), ["path_id", "snapshot_id"], folder)
 
 
 def tree_into_files(h: History, tree: DataFrame, folder: str) -> DataFrame:
     """tree: (commit_id, path_id, snapshot_id). Each file at its path in a folder named by the commit's hash. Returns the
     rows skipped."""
     rows = _with_files(h, tree).join(h.commits.select("commit_id", "hash"), "commit_id", "left")
-    rows = rows.select(F.struct("commit_id", "path_id", "snapshot_id").alias("key"), F.concat("hash", F.lit("/"), "location").alias("name"), "contents")
-    return _files(rows, folder).select("key.*")
+    return write_files(rows.withColumn("name", F.concat("hash", F.lit("/"), "location")), ["commit_id", "path_id", "snapshot_id"], folder)

@@ -11,6 +11,7 @@ from stratalog.operators.blocks import Blocks, join_frequent, order_statistics
 from stratalog.operators.graph import chains, closure, latest_times, trees
 from stratalog.operators.sampling import Distinct, DistinctRandom, MinRatio, Random, Stratified, Top
 from stratalog.operators.selection import Selection, classify, products
+from stratalog.sources.files import write_files
 from stratalog.sources.history import History
 from stratalog.sources.sinks import changes_into_files, dump, flat, into_csv, into_files, round_trip_csv, tree_into_files
 from stratalog.sources.tables import materialized
@@ -332,6 +333,22 @@ def test_files_of_changes_and_trees(small, tmp_path):
     assert (tmp_path / "dump/blobs/9").read_text() == "\n" and (tmp_path / "dump/commit_changes").is_dir()
 
 
+def test_a_failed_job_leaves_no_file(spark, tmp_path):
+    good = [(k, f"d{k % 3}/f{k}", f"text {k}".encode()) for k in range(200)]
+    bad = [(900, "../out", b"x"), (901, None, b"x"), (902, "no", None), (903, "/abs", b"x")]
+    schema = "id long, name string, contents binary"
+    skipped = write_files(spark.createDataFrame(good + bad, schema).repartition(5), ["id"], str(tmp_path / "a"))
+    assert sorted(r.id for r in skipped.collect()) == [900, 901, 902, 903] == sorted(r.id for r in spark.read.json(f"file://{tmp_path}/a/_skipped").collect())
+    files = {str(f.relative_to(tmp_path / "a")): f.read_bytes() for f in (tmp_path / "a").glob("d*/*")}
+    assert files == {n: c for _, n, c in good} and not list((tmp_path / "a/_attempts").iterdir()) and not (tmp_path / "out").exists()
+    torn = spark.createDataFrame([*good[:150], (950, "n" * 300, b"x"), *good[150:]], schema).repartition(3)  # a name that no file can have
+    with pytest.raises(Exception, match="too long"):
+        write_files(torn, ["id"], str(tmp_path / "b"))
+    assert not [f for f in (tmp_path / "b").rglob("*") if f.is_file()]
+    write_files(spark.createDataFrame(good, schema), ["id"], str(tmp_path / "b"))
+    assert len(list((tmp_path / "b").glob("d*/*"))) == 200
+
+
 def test_open_selects_substores(small, spark, tmp_path):
     for name, df in small.tables.items():
         df.write.parquet(f"{tmp_path}/{name}.parquet")
