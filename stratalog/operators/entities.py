@@ -36,6 +36,11 @@ def project_snapshots(h: History) -> DataFrame:
     return _pairs(h.full_changes, "project_id", "snapshot_id", "snapshot_id")
 
 
+def tree_snapshots(tree: DataFrame, owner: str) -> DataFrame:
+    """(owner, snapshot_id): the different snapshots in a tree of (owner, path_id, snapshot_id), deletions aside."""
+    return _pairs(tree, owner, "snapshot_id", "snapshot_id")
+
+
 # Of users, heads and commits
 
 
@@ -69,6 +74,12 @@ def commit_parents(h: History) -> DataFrame:
     return h.commit_parents.join(parents, F.col("parent_id") == F.col("parent_commit_id")).drop("parent_commit_id")
 
 
+def with_contents(h: History, rows: DataFrame) -> DataFrame:
+    """rows (snapshot_id, ...) with has_contents: whether the snapshot's contents are stored; missing for a deletion."""
+    stored = h.snapshots.where(F.col("contents").isNotNull()).select(F.col("snapshot_id").alias("_stored")).distinct()
+    return rows.join(stored, F.col("snapshot_id") == F.col("_stored"), "left").withColumn("has_contents", F.when(F.col("snapshot_id").isNotNull(), F.col("_stored").isNotNull())).drop("_stored")
+
+
 # Behind ids
 
 

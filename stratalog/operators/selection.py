@@ -2,13 +2,14 @@
 
 A Selection is a DataFrame with an order (columns that break all ties) and, if grouped, key columns. A verb only edits
 these; nothing runs until the DataFrame is used. Rows of a group stay rows that carry the key, so groups are as large as
-they like, and a group left without rows is gone.
+they like; the keys found when rows are grouped are a frame beside them, so a group left without rows is still a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ class Selection:
     rows: DataFrame
     order: tuple[tuple[str, bool], ...]
     keys: tuple[str, ...] = ()
+    groups: DataFrame | None = None
 
     @classmethod
     def of(cls, rows: DataFrame, *ids: str) -> Selection:
@@ -43,14 +45,29 @@ class Selection:
         rows = self.rows
         for name, value in keys.items():
             rows = rows.withColumn(name, value)
-        return replace(self, rows=rows, keys=tuple(keys))
+        return replace(self, rows=rows, keys=tuple(keys), groups=rows.select(*keys).distinct())
+
+    def per_group(self, **figures: Column) -> DataFrame:
+        """The keys of all groups, also of those whose rows are all filtered out, with aggregates over their rows: for a group
+        without rows, counts are 0 and other aggregates null."""
+        if self.groups is None:
+            raise ValueError("rows must be grouped")
+        marked = self.rows.withColumn("_row", F.lit(True))
+        keys = self.groups.select(*[F.col(k).alias(f"_key_{k}") for k in self.keys])
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in self.keys])
+        names = [F.col(f"_key_{k}").alias(k) for k in self.keys]
+        rows = marked.groupBy(*self.keys).agg(*[value.alias(name) for name, value in figures.items()], F.count("_row").alias("_n"))
+        # What the aggregates give over no rows at all.
+        nothing = marked.limit(0).agg(*[value.alias(f"_none_{name}") for name, value in figures.items()])
+        joined = keys.join(rows, same, "left").join(F.broadcast(nothing), F.lit(True))
+        return joined.select(*names, *[F.when(F.col("_n").isNull(), F.col(f"_none_{f}")).otherwise(F.col(f)).alias(f) for f in figures])
 
     def sample(self, sampler: Sampler) -> Selection:
         """What the sampler takes of all rows, or of each group, in the order."""
         return replace(self, rows=sampler.take(self.rows, list(self.keys), self.ordering()))
 
     def ungroup(self) -> Selection:
-        return replace(self, keys=())
+        return replace(self, keys=(), groups=None)
 
     def map_into(self, *columns: Column) -> DataFrame:
         """The columns (after the keys, if grouped)."""

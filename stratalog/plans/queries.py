@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,9 @@ from ..operators.selection import Selection, classify, products
 from ..shipping import ship
 from ..sources.history import NAMES, History
 from ..sources.layouts import commit_rows, path_rows, project_rows, snapshot_rows, tree_rows, user_rows
-from ..sources.sinks import round_trip_csv
-from ..sources.tables import materialized
+from ..sources.sinks import ids_from_csv, into_csv, round_trip_csv
+from ..sources.stores import ById, merged, write_by_id
+from ..sources.tables import materialized, shared_path
 from .binding import PRELUDE, SOURCES, spark_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -558,7 +561,7 @@ def fork_counts(h: History) -> DataFrame:
     return metrics.fork_counts(h)
 
 
-@of_history("SELECT project_id, count(*) AS n, sort[(len(sort) + 1) // 2]::BIGINT AS low, sort[len(sort) // 2 + 1]::BIGINT AS high FROM (SELECT project_id, list(strlen(message) * (commit_id % 11) ORDER BY strlen(message) * (commit_id % 11)) AS sort FROM pcc GROUP BY project_id) GROUP BY project_id, sort".replace("count(*) AS n", "len(sort)::BIGINT AS n"))
+@of_history("SELECT project_id, len(v)::BIGINT AS n, v[(len(v) + 1) // 2]::BIGINT AS low, v[len(v) // 2 + 1]::BIGINT AS high FROM (SELECT project_id, list(strlen(message) * (commit_id % 11) ORDER BY strlen(message) * (commit_id % 11)) AS v FROM pcc GROUP BY project_id)")
 def project_medians(h: History) -> DataFrame:
     """How many figures of commits each project has, and the middle ones."""
     return order_statistics(h.full_commits.select("project_id", (statistics.length(F.col("message")) * (F.col("commit_id") % 11)).alias("v")), ["project_id"], "v")
@@ -648,6 +651,86 @@ def tree_layout(h: History) -> DataFrame:
     return tree_rows(h, metrics.commit_trees(h, h.project_heads, deletions=True)).drop("language")
 
 
+# Stores, lookups, groups without rows, and what snapshots hold
+
+
+def _renumbered(h: History, shift: int) -> History:
+    """The same store with other numbers: those of this one mean other entities there."""
+    columns = ("project_id", "commit_id", "parent_id", "author_id", "committer_id", "user_id", "path_id", "snapshot_id")
+    return History({name: df.withColumns({c: F.col(c) * 2 + shift for c in columns if c in df.columns}) for name, df in h.tables.items()})
+
+
+@of_history("SELECT url, count(DISTINCT pcc.commit_id) AS commits, count(DISTINCT email) AS authors, count(DISTINCT location) AS paths FROM projects LEFT JOIN pcc USING (project_id) LEFT JOIN users ON user_id = author_id LEFT JOIN commit_changes ch ON ch.commit_id = pcc.commit_id LEFT JOIN paths USING (path_id) GROUP BY url")
+def merged_stores(h: History) -> DataFrame:
+    """Two substores kept as separate stores, whose numbers clash, merged again: figures of each project by names, not numbers."""
+    one, other = h.of_substores(["small"]), _renumbered(h.of_substores(["generic"]), 1)
+    m = merged([one, other])
+    rows = m.projects.select("project_id", "url").join(m.full_commits.select("project_id", "commit_id", "author_id"), "project_id", "left").join(m.commit_changes.select("commit_id", "path_id"), "commit_id", "left")
+    return rows.groupBy("url").agg(F.count_distinct("commit_id").alias("commits"), F.count_distinct("author_id").alias("authors"), F.count_distinct("path_id").alias("paths"))
+
+
+@of_history("SELECT 'project' AS kind, url AS what FROM projects WHERE project_id = 17 UNION ALL SELECT 'commit', hash FROM commits WHERE commit_id = 33 UNION ALL SELECT 'user', email FROM users WHERE user_id = 5 UNION ALL SELECT 'path', location FROM paths WHERE path_id = 1000000000 UNION ALL SELECT 'path', location FROM paths WHERE path_id = 40 UNION ALL SELECT 'hash', message FROM commits WHERE hash = md5('33')")
+def point_lookups(h: History) -> DataFrame:
+    """Single entities from the tables written by id."""
+    spark = h.projects.sparkSession
+    path = shared_path(spark)
+    write_by_id(h, path, ids_per_block=500)
+    found = ById.at_path(spark, path, ids_per_block=500)
+    parts = [found.by_id(table, id).select(F.lit(table[:-1]).alias("kind"), F.col(c).alias("what")) for table, id, c in (("projects", 17, "url"), ("commits", 33, "hash"), ("users", 5, "email"), ("paths", 10**9, "location"), ("paths", 40, "location"))]
+    parts.append(found.by_hash(hashlib.md5(b"33").hexdigest()).select(F.lit("hash").alias("kind"), F.col("message").alias("what")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"SELECT segment, count(c_custkey) FILTER (n_orders >= 24) AS projects, max(n_orders) FILTER (n_orders >= 24) AS most FROM (SELECT *, c_mktsegment || '-' || c_nationkey AS segment FROM ({_CUSTOMERS})) GROUP BY segment")
+def groups_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each language and nation, how many projects have 24 commits or more; most groups are left without any, and stay."""
+    grouped = _customers(spark, sf_dir).group_by(segment=F.concat_ws("-", "c_mktsegment", "c_nationkey")).filter_by(predicates.at_least(F.col("n_orders"), 24, missing=False))
+    return grouped.per_group(projects=F.count(F.lit(1)), most=F.max("n_orders"))
+
+
+@of_history("SELECT commit_id, path_id, CASE WHEN ch.snapshot_id IS NOT NULL THEN s.contents IS NOT NULL END AS has_contents FROM commit_changes ch LEFT JOIN snapshots s ON s.snapshot_id = ch.snapshot_id")
+def changes_have_contents(h: History) -> DataFrame:
+    return entities.with_contents(h, h.commit_changes).select("commit_id", "path_id", "has_contents")
+
+
+@of_history("SELECT snapshot_id, strlen(contents)::BIGINT AS bytes, md5(contents) AS hash FROM snapshots")
+def snapshot_bytes(h: History) -> DataFrame:
+    """Contents as bytes."""
+    b = F.col("contents").cast("binary")
+    return h.snapshots.select("snapshot_id", F.octet_length(b).cast("long").alias("bytes"), F.md5(b).alias("hash"))
+
+
+@of_history(f"SELECT DISTINCT seed AS commit_id, snapshot_id FROM {_TREE} WHERE snapshot_id IS NOT NULL")
+def tree_snapshots(h: History) -> DataFrame:
+    """The different snapshots of each head's tree."""
+    return entities.tree_snapshots(metrics.commit_trees(h, h.project_heads), "commit_id")
+
+
+@of_history("SELECT seed AS commit_id, path_id, md5(contents) AS contents FROM " + _TREE + " JOIN snapshots USING (snapshot_id)")
+def tree_snapshots_with_data(h: History) -> DataFrame:
+    """The files of each head's tree with their contents."""
+    return entities.snapshots_of(h, metrics.commit_trees(h, h.project_heads)).select("commit_id", "path_id", F.md5("contents").alias("contents"))
+
+
+@of_history("SELECT project_id, name, h.commit_id, message FROM (SELECT project_id, name, a.node AS commit_id FROM project_heads p JOIN (WITH RECURSIVE a AS (SELECT DISTINCT commit_id AS seed, commit_id AS node FROM project_heads UNION SELECT a.seed, q.parent_id FROM a JOIN commit_parents q ON q.commit_id = a.node) SELECT seed, node FROM a) a ON a.seed = p.commit_id) h JOIN commits c ON c.commit_id = h.commit_id")
+def head_commits_with_data(h: History) -> DataFrame:
+    """The commits that each head reaches, with their messages."""
+    return entities.commits_of(h, entities.head_commits(h)).select("project_id", "name", "commit_id", "message")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_acctbal > 0")
+def ids_read_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of one selection written as CSV, read again, and kept of another."""
+    path = shared_path(spark)
+    into_csv(table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select("c_custkey", "c_name"), path)
+    return table(spark, sf_dir, "customer").where("c_acctbal > 0").join(ids_from_csv(spark, path, "c_custkey"), "c_custkey", "left_semi").select("c_custkey")
+
+
+@query(f"SELECT c_custkey, CASE WHEN n_orders IS NULL THEN 'NA' WHEN n_orders > 15 THEN 'large' WHEN n_orders > 8 THEN 'medium' ELSE 'small' END AS stratum FROM ({_CUSTOMERS})")
+def exclusive_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customers(spark, sf_dir).rows.select("c_custkey", classify(F.col("n_orders"), [("large", 15), ("medium", 8)], "small", inclusive=False).alias("stratum"))
+
+
 # Composition
 
 
