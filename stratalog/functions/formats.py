@@ -8,15 +8,17 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PATTERNS = {"naive": "yyyy-MM-dd HH:mm:ss", "rfc2822": "EEE, d MMM yyyy HH:mm:ss xx", "rfc3339": "yyyy-MM-dd'T'HH:mm:ssxxx"}
-
 MINUTE, HOUR, DAY, WEEK, MONTH, YEAR = 60, 3600, 86_400, 604_800, 2_592_000, 31_536_000
 _UNITS = [(YEAR, "yr"), (MONTH, "mt"), (WEEK, "wk"), (DAY, "d"), (HOUR, "hr"), (MINUTE, "min"), (1, "sec")]
 
 
 def format_date(kind: str, seconds: Column) -> Column:
-    """kind: naive, rfc2822 or rfc3339. The session's time zone must be UTC."""
-    return F.date_format(F.timestamp_seconds(seconds), _PATTERNS[kind])
+    """kind: naive, rfc2822 or rfc3339; in UTC, whatever the session's time zone."""
+    day, second = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / DAY).cast("int")), F.pmod(seconds.cast("long"), F.lit(DAY))
+    two = lambda n: F.lpad(n.cast("long").cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(F.floor(second / HOUR)), two(F.floor(second % HOUR / MINUTE)), two(second % MINUTE))
+    date, between, zone = {"naive": (day.cast("string"), " ", ""), "rfc2822": (F.date_format(day, "EEE, d MMM yyyy"), " ", " +0000"), "rfc3339": (day.cast("string"), "T", "+00:00")}[kind]
+    return F.when(seconds.isNotNull(), F.concat(date, F.lit(between), clock, F.lit(zone)))
 
 
 def format_duration(seconds: Column) -> Column:

@@ -26,7 +26,7 @@ SOURCES = "customer orders lineitem part supplier documents".split()
 
 
 def spark_sql(name: str) -> str:
-    return re.sub(r"EPOCH\((\w+)\)", r"unix_seconds(CAST(\1 AS TIMESTAMP))", TABLES[name])
+    return re.sub(r"EPOCH\((\w+)\)", r"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', \1)", TABLES[name])
 
 
 def duckdb_sql(name: str) -> str:

@@ -282,8 +282,7 @@ def text_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS naive, strftime(o_orderdate, '%a, ') || day(o_orderdate) || strftime(o_orderdate, ' %b %Y %H:%M:%S +0000') AS rfc2822, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS rfc3339 FROM orders")
 def format_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    t = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    t = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', o_orderdate)")
     return table(spark, sf_dir, "orders").select("o_orderkey", *[formats.format_date(k, t).alias(k) for k in ("naive", "rfc2822", "rfc3339")])
 
 
@@ -309,7 +308,7 @@ def format_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    times = table(spark, sf_dir, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
+    times = table(spark, sf_dir, "events").select("user_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("ts"))
     gap = F.coalesce(F.col("ts") - F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts")), F.lit(0))
     return times.withColumn("gap", gap).groupBy("user_id").agg((F.max("ts") - F.min("ts")).alias("experience"), F.max("gap").alias("max_gap"))
 
