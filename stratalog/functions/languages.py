@@ -6,26 +6,121 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The languages in their order, their spellings, their file extensions (case-sensitive) and display names.
-LANGUAGES = (
-    "ASM ASP ActionScript C Cpp CSharp CoffeeScript Lisp Cobol CSS Clojure D Eiffel Elixir Elm Erlang FSharp Fortran Go Groovy HTML Haskell "
-    "Java JavaScript Julia Kotlin Lua ObjectiveC OCaml PHP Pascal Python Perl R Racket Ruby Rust Scala SQL Scheme Swift TypeScript VisualBasic Other"
-).split()
+LANGUAGES = [
+    "ASM",
+    "ASP",
+    "ActionScript",
+    "C",
+    "Cpp",
+    "CSharp",
+    "CoffeeScript",
+    "Lisp",
+    "Cobol",
+    "CSS",
+    "Clojure",
+    "D",
+    "Eiffel",
+    "Elixir",
+    "Elm",
+    "Erlang",
+    "FSharp",
+    "Fortran",
+    "Go",
+    "Groovy",
+    "HTML",
+    "Haskell",
+    "Java",
+    "JavaScript",
+    "Julia",
+    "Kotlin",
+    "Lua",
+    "ObjectiveC",
+    "OCaml",
+    "PHP",
+    "Pascal",
+    "Python",
+    "Perl",
+    "R",
+    "Racket",
+    "Ruby",
+    "Rust",
+    "Scala",
+    "SQL",
+    "Scheme",
+    "Swift",
+    "TypeScript",
+    "VisualBasic",
+    "Other",
+]
 SPELLINGS = {
-    "ASM": ["asm", "assembly"], "ASP": ["asp", "classic asp"], "Cpp": ["c++"], "CSharp": ["c#"], "Lisp": ["common lisp", "lisp"], "FSharp": ["f#"],
-    "ObjectiveC": ["objective-c", "objective c", "objectivec"], "Perl": ["perl", "perl 6", "perl6"], "SQL": ["sql", "sqlpl"], "VisualBasic": ["visual basic", "visual basic .net"],
-}
+    "ASM": ["asm", "assembly"],
+    "ASP": ["asp", "classic asp"],
+    "Cpp": ["c++"],
+    "CSharp": ["c#"],
+    "Lisp": ["common lisp", "lisp"],
+    "FSharp": ["f#"],
+    "ObjectiveC": ["objective-c", "objective c", "objectivec"],
+    "Perl": ["perl", "perl 6", "perl6"],
+    "SQL": ["sql", "sqlpl"],
+    "VisualBasic": ["visual basic", "visual basic .net"],
+}
 EXTENSIONS = {
-    "C": "c h", "Cpp": "C cc cpp cxx c++ hpp", "ObjectiveC": "m mm M", "Go": "go", "Java": "java", "CoffeeScript": "coffee litcoffee", "JavaScript": "js mjs", "TypeScript": "ts tsx",
-    "Ruby": "rb", "Rust": "rs", "Python": "py pyi pyc pyd pyo pyw pyz", "Perl": "plx pl pm xs t pod", "Clojure": "clj cljs cljc edn", "Erlang": "erl hrl", "Haskell": "hs lhs",
-    "Scala": "scala sc", "R": "r rscript", "PHP": "php phtml php3 php4 php5 php7 phps php-s pht phar", "VisualBasic": "vb", "Swift": "swift", "Scheme": "scm ss sls sps sld",
-    "Racket": "rkt", "SQL": "sql pls pks", "Pascal": "pp pas inc", "OCaml": "ml mli", "Lua": "lua", "Kotlin": "kt kts", "Julia": "jl", "HTML": "html htm", "Groovy": "groovy gvy gy gsh",
-    "Fortran": "f90 for f", "FSharp": "fs fsi", "Elm": "elm", "Elixir": "ex exs", "Eiffel": "e", "D": "d", "CSS": "css", "Cobol": "cbl cob cpy", "Lisp": "lisp lsp l cl fasl",
-    "CSharp": "cs", "ActionScript": "as swf", "ASP": "asp", "ASM": "asm s",
-}
-DISPLAY = {"Cpp": "C++", "CSharp": "C#", "ObjectiveC": "Objective-C", "ASM": "Assembly", "Lisp": "LISP", "FSharp": "F#", "VisualBasic": "Visual Basic"}
+    "C": ["c", "h"],
+    "Cpp": ["C", "cc", "cpp", "cxx", "c++", "hpp"],
+    "ObjectiveC": ["m", "mm", "M"],
+    "Go": ["go"],
+    "Java": ["java"],
+    "CoffeeScript": ["coffee", "litcoffee"],
+    "JavaScript": ["js", "mjs"],
+    "TypeScript": ["ts", "tsx"],
+    "Ruby": ["rb"],
+    "Rust": ["rs"],
+    "Python": ["py", "pyi", "pyc", "pyd", "pyo", "pyw", "pyz"],
+    "Perl": ["plx", "pl", "pm", "xs", "t", "pod"],
+    "Clojure": ["clj", "cljs", "cljc", "edn"],
+    "Erlang": ["erl", "hrl"],
+    "Haskell": ["hs", "lhs"],
+    "Scala": ["scala", "sc"],
+    "R": ["r", "rscript"],
+    "PHP": ["php", "phtml", "php3", "php4", "php5", "php7", "phps", "php-s", "pht", "phar"],
+    "VisualBasic": ["vb"],
+    "Swift": ["swift"],
+    "Scheme": ["scm", "ss", "sls", "sps", "sld"],
+    "Racket": ["rkt"],
+    "SQL": ["sql", "pls", "pks"],
+    "Pascal": ["pp", "pas", "inc"],
+    "OCaml": ["ml", "mli"],
+    "Lua": ["lua"],
+    "Kotlin": ["kt", "kts"],
+    "Julia": ["jl"],
+    "HTML": ["html", "htm"],
+    "Groovy": ["groovy", "gvy", "gy", "gsh"],
+    "Fortran": ["f90", "for", "f"],
+    "FSharp": ["fs", "fsi"],
+    "Elm": ["elm"],
+    "Elixir": ["ex", "exs"],
+    "Eiffel": ["e"],
+    "D": ["d"],
+    "CSS": ["css"],
+    "Cobol": ["cbl", "cob", "cpy"],
+    "Lisp": ["lisp", "lsp", "l", "cl", "fasl"],
+    "CSharp": ["cs"],
+    "ActionScript": ["as", "swf"],
+    "ASP": ["asp"],
+    "ASM": ["asm", "s"],
+}
+DISPLAY = {
+    "Cpp": "C++",
+    "CSharp": "C#",
+    "ObjectiveC": "Objective-C",
+    "ASM": "Assembly",
+    "Lisp": "LISP",
+    "FSharp": "F#",
+    "VisualBasic": "Visual Basic",
+}
 
 _BY_NAME = {s: k for k in LANGUAGES if k != "Other" for s in SPELLINGS.get(k, [k.lower()])}
-_BY_EXTENSION = {e: k for k, es in EXTENSIONS.items() for e in es.split()}
+_BY_EXTENSION = {e: k for k, es in EXTENSIONS.items() for e in es}
 
 
 def _map(entries: dict[str, object]) -> Column:

@@ -492,6 +492,16 @@ def user_h_indices_from_zero(h: History) -> DataFrame:
     return metrics.h_indices(h, compat=True)
 
 
+@of_history(f"SELECT user_id, least(h.developer_experience + 1, months) AS developer_experience FROM ({_DEV.replace('2592000', '2592001')}) h JOIN (SELECT user_id, count(DISTINCT (author_time - first) // 2592001) AS months FROM (SELECT author_id AS user_id, author_time, min(author_time) OVER (PARTITION BY author_id) AS first FROM commits WHERE author_id IS NOT NULL) GROUP BY user_id) USING (user_id)")
+def developer_experience_compat(h: History) -> DataFrame:
+    return metrics.developer_experience(h, compat=True)
+
+
+@of_history("SELECT project_id, coalesce(max(gap), 0) AS max_gap, (CASE WHEN count(*) > 2 THEN round(max(committer_time) / (count(*) - 1)) ELSE max(committer_time) END)::BIGINT AS mean_gap FROM (SELECT project_id, committer_time, committer_time - lag(committer_time) OVER (PARTITION BY project_id ORDER BY committer_time) AS gap FROM pcc WHERE committer_time IS NOT NULL) GROUP BY project_id")
+def commit_gaps_compat(h: History) -> DataFrame:
+    return metrics.commit_gaps(h, compat=True)
+
+
 @of_history(_DEV)
 def developer_experience(h: History) -> DataFrame:
     return metrics.developer_experience(h)

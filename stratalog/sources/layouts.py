@@ -13,23 +13,122 @@ from ..operators import metrics
 from .history import History
 
 # The columns of the layouts, in their order.
-PROJECT = (
-    "project_id substore url is_fork is_archived is_disabled stars watchers size open_issues buggy_issues all_issues issues forks subscribers language lifetime "
-    "has_issues has_downloads has_wiki has_pages created updated pushed default_branch license homepage description heads commits authors committers users"
-).split()
-PROJECT_EXTENDED = (
-    "paths snapshots unique_files original_files impact files major_language major_language_ratio major_language_changes all_forks_count max_commit_delta avg_commit_delta "
-    "first_commit last_commit is_abandoned locs duplicated_code is_valid max_experience project_experience authors_contributing_95%_commits authors_contributing_80%_commits "
-    "authors_contributing_50%_commits authors_contributing_95%_changes authors_contributing_80%_changes authors_contributing_50%_changes"
-).split()
-USER = "user_id email authored_commits committed_commits author_experience committer_experience experience".split()
-COMMIT = "commit_id hash committer_id author_id parent_ids parent_count author_timestamp committer_timestamp changed_paths changed_path_count".split()
-CHANGE = ["path_id", "snapshot_id"]
-METADATA_ROW = (
-    "project_id is_fork is_archived is_disabled star_gazers watchers size open_issues forks subscribers license description homepage language "
-    "has_issues has_downloads has_wiki has_pages created updated pushed master"
-).split()
-COMMIT_EXTENDED = ["message", "message_length"]
+PROJECT = [
+    "project_id",
+    "substore",
+    "url",
+    "is_fork",
+    "is_archived",
+    "is_disabled",
+    "stars",
+    "watchers",
+    "size",
+    "open_issues",
+    "buggy_issues",
+    "all_issues",
+    "issues",
+    "forks",
+    "subscribers",
+    "language",
+    "lifetime",
+    "has_issues",
+    "has_downloads",
+    "has_wiki",
+    "has_pages",
+    "created",
+    "updated",
+    "pushed",
+    "default_branch",
+    "license",
+    "homepage",
+    "description",
+    "heads",
+    "commits",
+    "authors",
+    "committers",
+    "users",
+]
+PROJECT_EXTENDED = [
+    "paths",
+    "snapshots",
+    "unique_files",
+    "original_files",
+    "impact",
+    "files",
+    "major_language",
+    "major_language_ratio",
+    "major_language_changes",
+    "all_forks_count",
+    "max_commit_delta",
+    "avg_commit_delta",
+    "first_commit",
+    "last_commit",
+    "is_abandoned",
+    "locs",
+    "duplicated_code",
+    "is_valid",
+    "max_experience",
+    "project_experience",
+    "authors_contributing_95%_commits",
+    "authors_contributing_80%_commits",
+    "authors_contributing_50%_commits",
+    "authors_contributing_95%_changes",
+    "authors_contributing_80%_changes",
+    "authors_contributing_50%_changes",
+]
+USER = [
+    "user_id",
+    "email",
+    "authored_commits",
+    "committed_commits",
+    "author_experience",
+    "committer_experience",
+    "experience",
+]
+COMMIT = [
+    "commit_id",
+    "hash",
+    "committer_id",
+    "author_id",
+    "parent_ids",
+    "parent_count",
+    "author_timestamp",
+    "committer_timestamp",
+    "changed_paths",
+    "changed_path_count",
+]
+CHANGE = [
+    "path_id",
+    "snapshot_id",
+]
+METADATA_ROW = [
+    "project_id",
+    "is_fork",
+    "is_archived",
+    "is_disabled",
+    "star_gazers",
+    "watchers",
+    "size",
+    "open_issues",
+    "forks",
+    "subscribers",
+    "license",
+    "description",
+    "homepage",
+    "language",
+    "has_issues",
+    "has_downloads",
+    "has_wiki",
+    "has_pages",
+    "created",
+    "updated",
+    "pushed",
+    "master",
+]
+COMMIT_EXTENDED = [
+    "message",
+    "message_length",
+]
 
 
 def _with(rows: DataFrame, key: str, *others: DataFrame) -> DataFrame:

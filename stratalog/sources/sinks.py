@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.statistics import present
 from .files import write_files
 from .history import NAMES, History
+from .tables import shared_path
 
 #: Quotes double inside quoted texts; an empty text is quoted and so stays apart from a missing one.
 _CSV = {"header": "true", "escape": '"', "quoteAll": "false", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -40,11 +39,7 @@ def into_csv(rows: DataFrame, path: str, single_file: bool = False, headers: lis
 
 def round_trip_csv(rows: DataFrame) -> DataFrame:
     """Rows written as CSV to the shared folder, and read with their types."""
-    from .tables import materialized
-
-    spark = rows.sparkSession
-    materialized(spark.range(0))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/csv-{uuid.uuid4().hex}"
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession)
     rows.write.options(**_WRITE, lineSep="\r\n").csv(path)
     read = spark.read.schema(rows.schema).options(**_CSV, emptyValue=_EMPTY, multiLine="true").csv(path)
     return read.select(*[F.when(F.col(c) != _EMPTY, F.col(c)).when(F.col(c) == _EMPTY, "").alias(c) if kind == "string" else F.col(c) for c, kind in read.dtypes])

@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The application's folder in spark.checkpoint.dir, gone when the driver ends. Where that is unset, a session on one machine,
+    as in tests, gets a temporary one; on a cluster, where each machine would write to its own, that is an error."""
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="stratalog-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    folder = f"{top.rstrip('/')}/stratalog-{context.applicationId}"
+    if getattr(context, "_stratalog_folder", None) != folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        context._stratalog_folder = folder
+    return folder
+
+
 def shared_path(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir (a temporary folder only where that is unset, as in tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="stratalog-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/history-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame) -> DataFrame:

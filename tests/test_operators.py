@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ from stratalog.operators.selection import Selection, classify, products
 from stratalog.sources.files import write_files
 from stratalog.sources.history import History
 from stratalog.sources.sinks import changes_into_files, dump, flat, into_csv, into_files, round_trip_csv, tree_into_files
+from stratalog.sources.stores import ById, merged, write_by_id
 from stratalog.sources.tables import materialized
+from stratalog.sources.timing import Timings
 
 
 def test_ties_turn_around(spark):
@@ -349,6 +352,65 @@ def test_a_failed_job_leaves_no_file(spark, tmp_path):
     assert len(list((tmp_path / "b").glob("d*/*"))) == 200
 
 
+def test_timings(spark, tmp_path):
+    timings = Timings()
+    timings.step("ten", spark.range(10), lambda df: df.write.parquet(f"{tmp_path}/ten"))
+    timings.step("none", spark.range(0), lambda df: df.write.parquet(f"{tmp_path}/none"))
+    timings.into_csv(spark, f"{tmp_path}/times")
+    read = spark.read.option("header", True).csv(f"{tmp_path}/times").collect()
+    assert [(r.step, r.rows) for r in read] == [("ten", "10"), ("none", "0")] and all(float(r.seconds) > 0 for r in read)
+
+
+def test_stores_are_merged_by_content(small, spark):
+    far = History({name: df.withColumns({c: F.col(c) + 2 for c in ("project_id", "commit_id", "parent_id", "author_id", "committer_id", "user_id", "path_id", "snapshot_id") if c in df.columns}) for name, df in small.tables.items()})
+    far.tables["projects"] = far.tables["projects"].withColumn("url", F.when(F.col("url") == "u3", "u9").otherwise(F.col("url")))
+    for h in (small, far):  # commits are told apart by their hashes
+        h.tables["commits"] = h.tables["commits"].withColumn("hash", F.concat(F.lit("h"), (F.col("author_time") * 7).cast("string")))
+    both = merged([small, far])
+    assert sorted(r.url for r in both.projects.collect()) == ["u1", "u2", "u3", "u9"]
+    for name in ("commits", "users", "paths", "commit_parents", "commit_changes", "snapshots"):
+        assert both.tables[name].count() == small.tables[name].count() and both.tables[name].columns == small.tables[name].columns
+    alone = rows(metrics.counts(small).join(small.projects, "project_id"), "url")
+    found = rows(metrics.counts(both).join(both.projects, "project_id"), "url")
+    for url, like in (("u1", "u1"), ("u2", "u2"), ("u3", "u3"), ("u9", "u3")):
+        assert [found[url][c] for c in ("commits", "authors", "committers", "users")] == [alone[like][c] for c in ("commits", "authors", "committers", "users")]
+
+
+def test_an_id_is_found_in_one_row_group(spark, tmp_path):
+    n = 60_000
+    tables = {name: spark.range(5).withColumnRenamed("id", f"{name[:-1]}_id") for name in ("projects", "users", "paths", "snapshots")}
+    tables |= {name: spark.range(3) for name in ("project_metadata", "project_logs", "project_heads", "commit_parents", "commit_changes")}
+    tables["commits"] = spark.range(n).selectExpr("id AS commit_id", "md5(cast(id AS string)) AS hash", "repeat(sha2(cast(id AS string), 256), 20) AS message")
+    write_by_id(History(tables), str(tmp_path), ids_per_block=20_000)
+    h = ById.at_path(spark, str(tmp_path), ids_per_block=20_000)
+
+    def scanned(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        nodes = [plan]
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName().startswith("Scan parquet"):
+                return node.metrics().apply("numOutputRows").value(), node.metrics().apply("numFiles").value()
+            nodes += [node.children().apply(k) for k in range(node.children().size())]
+
+    assert h.by_id("commits", 33_333).first().hash == hashlib.md5(b"33333").hexdigest()
+    rows_read, files = scanned(h.by_id("commits", 33_333).select("message"))
+    groups = [g.row_group(k) for f in (tmp_path / "commits.parquet/id_block=1").glob("*.parquet") for g in [pq.ParquetFile(f).metadata] for k in range(g.num_row_groups)]
+    assert [g.num_rows for g in groups if g.column(0).statistics.min <= 33_333 <= g.column(0).statistics.max] == [rows_read] and len(groups) > 1 and rows_read < 20_000
+    assert files == len(list((tmp_path / "commits.parquet/id_block=1").glob("*.parquet")))
+    assert h.by_id("commits", n + 5).count() == 0 and h.by_hash(hashlib.md5(b"77").hexdigest()).first().commit_id == 77
+    assert h.commits.columns == ["commit_id", "hash", "message"] and h.commits.count() == n
+
+
+def test_groups_without_rows_stay(spark):
+    rows = Selection.of(spark.createDataFrame([(1, "a", 5), (2, "a", 9), (3, "b", 1), (4, None, 1)], "id int, g string, v int"), "id")
+    kept = rows.group_by(g=F.col("g")).filter_by(F.col("v") > 4)
+    assert {(r.g, r.n, r.top) for r in kept.per_group(n=F.count(F.lit(1)), top=F.max("v")).collect()} == {("a", 2, 9), ("b", 0, None), (None, 0, None)}
+    with pytest.raises(ValueError, match="grouped"):
+        rows.per_group(n=F.count(F.lit(1)))
+
+
 def test_open_selects_substores(small, spark, tmp_path):
     for name, df in small.tables.items():
         df.write.parquet(f"{tmp_path}/{name}.parquet")
