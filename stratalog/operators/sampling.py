@@ -108,8 +108,8 @@ class MinRatio(Sampler):
                 if self.inner is None:
                     full = chosen.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.n)
                     part, rest = part.join(full, "g", "left_anti"), rest.join(full, "g", "left_anti")
-                part = part.join(self._similar(part, chosen).select("g", "k").distinct(), ["g", "k"], "left_anti")
-            kept = self._first_of_similar(materialized(part))
+                part = materialized(part.join(self._similar(part, chosen).select("g", "k").distinct(), ["g", "k"], "left_anti"))
+            kept = self._first_of_similar(part)
             chosen = kept if chosen is None else materialized(chosen.unionByName(kept))
             low, size = low + size, 2 * size
             if self.inner is None and rest.join(chosen.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.n), "g", "left_anti").isEmpty():
@@ -152,9 +152,8 @@ class MinRatio(Sampler):
     def _first_of_similar(self, part: DataFrame) -> DataFrame:
         """The rows of a stretch that a greedy walk keeps."""
         edges = materialized(self._similar(part, part))
-        late = edges.select("g", "k").distinct()
-        kept, left = part.join(late, ["g", "k"], "left_anti"), materialized(late)
-        new = kept
+        left = edges.select("g", "k").distinct()
+        kept = new = part.join(left, ["g", "k"], "left_anti")
         while not left.isEmpty():
             new = new.select("g", F.col("k").alias("k2"))
             left = materialized(left.join(edges.join(new, ["g", "k2"], "left_semi").select("g", "k").distinct(), ["g", "k"], "left_anti"))

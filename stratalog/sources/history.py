@@ -41,7 +41,10 @@ class History:
         """The projects of these substores, with their metadata, logs and heads; so nothing reaches other projects' commits."""
         projects = self.projects.where(F.col("substore").isin(substores))
         mine = {name: self.tables[name].join(projects.select("project_id"), "project_id", "left_semi") for name in ("project_metadata", "project_logs", "project_heads")}
-        return History(self.tables | mine | {"projects": projects})
+        found = History(self.tables | mine | {"projects": projects})
+        if "chains" in self.__dict__:  # the commits are the same
+            found.__dict__["chains"] = self.chains
+        return found
 
     def at(self, time: int) -> History:
         """Commits up to a committer time, with their parents and changes, and logs up to it. A head on a later commit stands

@@ -11,7 +11,7 @@ from stratalog.operators import metrics
 from stratalog.operators.blocks import Blocks, join_frequent, order_statistics
 from stratalog.operators.graph import chains, closure, latest_times, trees
 from stratalog.operators.sampling import Distinct, DistinctRandom, MinRatio, Random, Stratified, Top
-from stratalog.operators.selection import Selection, classify, products
+from stratalog.operators.selection import Selection, classify, dropped, products, side
 from stratalog.sources.files import write_files
 from stratalog.sources.history import History
 from stratalog.sources.sinks import changes_into_files, dump, flat, into_csv, into_files, round_trip_csv, tree_into_files
@@ -85,16 +85,16 @@ def test_min_ratio_decides_many_rows_in_few_stretches(spark):
         base = r.choice(families[: 1 + r.choice([0, 0, 149])])  # one family has more than half of the rows
         data.append((k, [*r.sample(base, r.choice([25, 29, 30])), *r.sample(range(4000, 9000), r.choice([0, 1, 6]))], None))
     df = spark.createDataFrame([(k, e) for k, e, _ in data], "id int, e array<int>")
-    for of in ("candidate", "kept"):
+    for of, block in (("candidate", 100), ("kept", 700)):
         kept = []
         for k, e, _ in data:
             x = set(e)
             if not any(len(x & o) / len(x if of == "candidate" else o) > 0.8 for _, o in kept):
                 kept.append((k, x))
-        got = Selection.of(df, "id").sample(MinRatio(0, "e", 0.8, "id", of, inner=Top(10**6), block=100)).rows.collect()
+        got = Selection.of(df, "id").sample(MinRatio(0, "e", 0.8, "id", of, inner=Top(10**6), block=block)).rows.collect()
         assert sorted(x.id for x in got) == [k for k, _ in kept]
-        few = Selection.of(df, "id").sample(MinRatio(40, "e", 0.8, "id", of, block=20)).rows.collect()
-        assert sorted(x.id for x in few) == [k for k, _ in kept][:40]
+    few = Selection.of(df, "id").sample(MinRatio(40, "e", 0.8, "id", "kept", block=20)).rows.collect()
+    assert sorted(x.id for x in few) == [k for k, _ in kept][:40]
 
 
 def test_distinct_random(spark):
@@ -403,6 +403,15 @@ def test_an_id_is_found_in_one_row_group(spark, tmp_path):
     assert h.commits.columns == ["commit_id", "hash", "message"] and h.commits.count() == n
 
 
+def test_sides_of_maps_and_lists(spark):
+    rows = spark.createDataFrame([({"a": 1, "b": None}, [(1, "x"), (2, "y")], (5, "z")), (None, None, None)], "m map<string, int>, l array<struct<n: int, s: string>>, p struct<n: int, s: string>")
+    got = rows.select(*[side(rows, c, at).alias(f"{c}{at}") for c in "mlp" for at in (0, 1)], dropped(rows, "l", 0).alias("rest"), dropped(rows, "p", 1).alias("other")).collect()
+    first = got[0]
+    assert sorted(first.m0) == ["a", "b"] and dict(zip(first.m0, first.m1)) == {"a": 1, "b": None}
+    assert (first.l0, first.l1, first.p0, first.p1) == ([1, 2], ["x", "y"], 5, "z") and [tuple(r) for r in first.rest] == [("x",), ("y",)] and tuple(first.other) == (5,)
+    assert all(x is None for x in got[1])
+
+
 def test_groups_without_rows_stay(spark):
     rows = Selection.of(spark.createDataFrame([(1, "a", 5), (2, "a", 9), (3, "b", 1), (4, None, 1)], "id int, g string, v int"), "id")
     kept = rows.group_by(g=F.col("g")).filter_by(F.col("v") > 4)
