@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from html import unescape
 
 import numpy as np
@@ -58,6 +59,7 @@ class Page:
     def _read(self, html: str) -> None:
         stack, parts, in_link, at, n = [0], [], False, 0, len(html)
         search = _TAG.search
+        open_at: dict[str, list[int]] = {}
 
         def close_run() -> None:
             if parts:
@@ -88,20 +90,18 @@ class Page:
                 if end:
                     if name == "body":
                         continue
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == name:
-                            close_run()
-                            del stack[k:]
-                            break
+                    if open_at.get(name):
+                        close_run()
+                        self._close(stack, open_at, open_at[name][-1])
                     continue
                 if name == "body":
                     self.groups[0], self.label[0] = self._attributes(attributes)
                     continue
                 close_run()
                 if name in _ENDS_P:
-                    self._pop(stack, {"p"}, _P_WALLS)
+                    self._pop(stack, open_at, {"p"}, _P_WALLS)
                 if name in _CLOSES:
-                    self._pop(stack, _CLOSES[name], _WALLS[name])
+                    self._pop(stack, open_at, _CLOSES[name], _WALLS[name])
                 if name == "hr":
                     continue
                 groups, label = self._attributes(attributes)
@@ -111,6 +111,7 @@ class Page:
                 self.label.append(label)
                 self.links.append(0)
                 self.n_links.append(0)
+                open_at.setdefault(name, []).append(len(stack))
                 stack.append(len(self.tag) - 1)
             elif name in DROPPED:
                 if not end and not attributes.endswith("/"):
@@ -130,17 +131,20 @@ class Page:
         groups, label = _groups(attributes) if attributes else (0, None)
         return groups, label if self.labelled else None
 
-    def _pop(self, stack: list[int], names: set[str], walls: frozenset[str] | set[str]) -> None:
-        """Close open elements down to the outermost of `names` inside the nearest wall."""
-        cut = None
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in names:
-                cut = k
-            elif tag in walls:
-                break
-        if cut is not None:
-            del stack[cut:]
+    def _close(self, stack: list[int], open_at: dict[str, list[int]], cut: int) -> None:
+        """Close the open elements from place `cut` on."""
+        while len(stack) > cut:
+            open_at[self.tag[stack.pop()]].pop()
+
+    def _pop(self, stack: list[int], open_at: dict[str, list[int]], names: set[str], walls: frozenset[str] | set[str]) -> None:
+        """Close open elements down to the outermost of `names` inside the nearest wall. A name is no wall to itself.
+
+        open_at: the places of the open elements of each name, so the depth does not count.
+        """
+        wall = max((open_at[w][-1] for w in walls if w not in names and open_at.get(w)), default=0)
+        cuts = [places[k] for name in names if (places := open_at.get(name)) and (k := bisect_right(places, wall)) < len(places)]
+        if cuts:
+            self._close(stack, open_at, min(cuts))
 
     def features(self) -> np.ndarray:
         """A row for each element; see NAMES for the columns."""

@@ -18,7 +18,7 @@ from stratalog.llm.decontamination import clean_documents, decontaminate
 from stratalog.llm.jaccard_join import near_duplicates, without_near_duplicates
 from stratalog.llm.language_model import score_texts
 from stratalog.llm.packing import lower_bound, pack, search
-from stratalog.llm.quality import RULES, Rule, cascade, kept_documents, measured, ordered_rules, words_of
+from stratalog.llm.quality import RULES, Rule, cascade, kept_documents, measured, needed, ordered_rules, words_of
 from stratalog.llm.sharding import shard_records
 from stratalog.llm.substring_dedup import repeated_intervals
 from stratalog.llm.token_files import compress, expand, read_shards, rule_sizes, slice_of_document, write_shards
@@ -223,6 +223,11 @@ def test_later_rules_see_survivors_only(spark):
 def test_rules_are_ordered_by_what_they_reject(spark):
     docs = spark.createDataFrame([(k, "a b c" if k % 2 else "A! B! C!") for k in range(400)], "doc_id long, text string")
     none, half, same = Rule("none", lambda m: m("n_words") < 0), Rule("half", lambda m: m("n_exclaims") > 0), Rule("same", lambda m: m("n_upper") > 0)
+    slow = Rule("slow", lambda m: m("n_repeat_words") > 9**9)
+    assert needed(slow) == {"n_repeat_words"} and needed(half) == {"n_exclaims"}
+    # What every row has costs nothing: so its rule comes first; a slow one that rejects nothing comes last.
+    assert [r.name for r in ordered_rules(docs, (slow, same, half), sample_rows=400, known=("n_upper",))][0] == "same"
+    assert [r.name for r in ordered_rules(docs, (slow, half), sample_rows=400)] == ["half", "slow"]
     names = [r.name for r in ordered_rules(docs, (none, half, same), sample_rows=400)]
     assert names[0] in ("half", "same") and names[1] == "none"  # the third rejects none of what is left
 

@@ -25,6 +25,40 @@ def test_held_out_pages():
     assert exact >= 120
 
 
+class _Scanning(Page):
+    """Closes elements by going through all that are open."""
+
+    def _pop(self, stack, open_at, names, walls):
+        cut = None
+        for k in range(len(stack) - 1, 0, -1):
+            if self.tag[stack[k]] in names:
+                cut = k
+            elif self.tag[stack[k]] in walls:
+                break
+        if cut is not None:
+            self._close(stack, open_at, cut)
+
+
+def test_elements_are_closed_as_by_going_through_the_open_ones():
+    r = random.Random(12)
+    names = "p div ul li dl dt dd table tr td tbody h1 section option form blockquote".split()
+    for _ in range(300):
+        soup = "".join(r.choice(["<{}>", "<{}>", "</{}>", "x<{}>"]).format(r.choice(names)) for _ in range(r.choice([5, 40, 120])))
+        fast, slow = Page(soup), _Scanning(soup)
+        assert (fast.tag, fast.parent, fast.blocks) == (slow.tag, slow.parent, slow.blocks)
+
+
+def test_deep_pages_take_time_in_proportion():
+    def seconds(n):
+        began = time.monotonic()
+        page = Page("<div>" * n + "<p>text" * 50 + "</div>" * n)
+        page.features()
+        return time.monotonic() - began, len(page.tag)
+
+    (few, _), (many, n) = seconds(10_000), seconds(100_000)
+    assert n == 100_051 and many < 30 * few + 1
+
+
 def test_sibling_places_in_long_containers():
     page = Page("<body><h1>t</h1><div>" + "".join(f"<p>{'x' * k}</p>" for k in range(1, 101)) + "</div>")
     rows = {k: dict(zip(NAMES, row, strict=True)) for k, row in enumerate(page.features())}
