@@ -63,13 +63,14 @@ def _shares(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: floa
     return estimates, np.floor(np.log2(context + 1.0)).astype(np.int64)
 
 
-def score_texts(docs: DataFrame, remainder: Column | None = None, held_out: int = 2, deleted: int = 6, folds: int = 7, id_column: str = "doc_id", text_column: str = "text", rounds: int = 15) -> DataFrame:
+def score_texts(docs: DataFrame, remainder: Column | None = None, held_out: int = 2, deleted: int = 6, folds: int = 7, id_column: str = "doc_id", text_column: str = "text", rounds: int = 1000) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (Laplace unigram) and score, as log10.
 
     remainder: each document's fold; by default the CRC-32 of the id's text modulo `folds`. Documents of fold `held_out`
     teach nothing; those of fold `deleted` also serve the weights. A null text is empty: its one token is the end. A null id
     counts as an empty text. Rows of one id are scored apart. Where no document is in the deleted fold, the weights are
-    equal. An empty table gives an empty one. Other columns are ignored.
+    equal. An empty table gives an empty one. Other columns are ignored. Weights are learnt until none moves by 1e-4; should `rounds`
+    not do, that is an error.
     """
     fold = F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % folds if remainder is None else remainder
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), fold.alias("fold"))
@@ -154,5 +155,5 @@ def _learn(deleted: DataFrame, total: float, uniform: float, rounds: int) -> np.
             moved = max(moved, float(np.abs(new - weights[row[0]]).max()))
             weights[row[0]] = new
         if moved < 1e-4:
-            break
-    return weights
+            return weights
+    raise RuntimeError(f"the weights still move after {rounds} rounds")

@@ -82,7 +82,7 @@ def test_language_model(spark):
     assert score_texts(edge.nothing(spark)).count() == 0
 
 
-def brute_scores(rows, rounds=15):
+def brute_scores(rows, rounds=1000):
     """Scores by plain counting: estimates of the pair, the word and any word, mixed by weights learnt on the deleted fold."""
     fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7
     tokens = [(fold(d), list(zip(["<begin>", *w], [*w, "<end>"], strict=True))) for d, t in rows for w in [edge.space_words(t, True)]]
