@@ -57,10 +57,11 @@ class Selection:
         same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in self.keys])
         names = [F.col(f"_key_{k}").alias(k) for k in self.keys]
         rows = marked.groupBy(*self.keys).agg(*[value.alias(name) for name, value in figures.items()], F.count("_row").alias("_n"))
-        # What the aggregates give over no rows at all.
-        nothing = marked.limit(0).agg(*[value.alias(f"_none_{name}") for name, value in figures.items()])
-        joined = keys.join(rows, same, "left").join(F.broadcast(nothing), F.lit(True))
-        return joined.select(*names, *[F.when(F.col("_n").isNull(), F.col(f"_none_{f}")).otherwise(F.col(f)).alias(f) for f in figures])
+        # What the aggregates give over no rows at all; the optimizer knows it without a job.
+        nothing = marked.limit(0).agg(*[value.alias(name) for name, value in figures.items()])
+        none = nothing.first()
+        given = {f: F.lit(none[f]).cast(nothing.schema[f].dataType) for f in figures}
+        return keys.join(rows, same, "left").select(*names, *[F.when(F.col("_n").isNull(), given[f]).otherwise(F.col(f)).alias(f) for f in figures])
 
     def sample(self, sampler: Sampler) -> Selection:
         """What the sampler takes of all rows, or of each group, in the order."""

@@ -416,6 +416,8 @@ def test_groups_without_rows_stay(spark):
     rows = Selection.of(spark.createDataFrame([(1, "a", 5), (2, "a", 9), (3, "b", 1), (4, None, 1)], "id int, g string, v int"), "id")
     kept = rows.group_by(g=F.col("g")).filter_by(F.col("v") > 4)
     assert {(r.g, r.n, r.top) for r in kept.per_group(n=F.count(F.lit(1)), top=F.max("v")).collect()} == {("a", 2, 9), ("b", 0, None), (None, 0, None)}
+    lists = {r.g: r.ids for r in kept.per_group(ids=F.sort_array(F.collect_list("id"))).collect()}
+    assert lists == {"a": [1, 2], "b": [], None: []}
     with pytest.raises(ValueError, match="grouped"):
         rows.per_group(n=F.count(F.lit(1)))
 
