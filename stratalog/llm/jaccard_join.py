@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Merge, answers, each_with_answers, pack, summed, unpack
+from .chunks import Merge, answers, each_with_answers, pack, summed
 from .components import components
 from .tables import with_row_key, written
 from .textarrays import WHITESPACE, freeing, mix, salted, take_ranges, text_bytes, windows, words

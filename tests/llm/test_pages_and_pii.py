@@ -257,4 +257,4 @@ def test_redaction(spark):
 
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    assert [n for n in QUERIES if re.match(r"op\d+_", n)] == list(QUERIES) and len(QUERIES) == 10 and set(SQL) <= set(QUERIES) and set(QUERIES) <= set(names)
+    assert [n for n in QUERIES if re.match(r"op\d+_", n)] == list(QUERIES) and len(QUERIES) == 13 and set(SQL) <= set(QUERIES) and set(QUERIES) <= set(names)
