@@ -434,3 +434,20 @@ def test_open_selects_substores(small, spark, tmp_path):
     contents = rows(metrics.content_counts(then), "project_id")
     assert (contents[1].paths, contents[2].paths, contents[3].paths) == (2, 2, 1)
     assert rows(then.project_logs, "time").keys() == {9} and then.commit_parents.count() == 2
+
+
+def test_history_makes_only_the_tables_a_query_needs(spark):
+    from stratalog.plans import queries
+    from stratalog.sources.tables import shared_folder
+
+    def folders() -> set:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+        return {f.getPath().getName() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)}
+
+    queries._opened.clear()
+    before = folders()
+    for name in ("update_state", "snapshot_layout", "snapshot_bytes", "substore_logs"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert folders() == before
+    assert queries.QUERIES["default_heads"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(folders() - before) == 1
