@@ -6,6 +6,7 @@ if their content is: commits by hash, users by address, paths by location, proje
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.blocks import Blocks
 from .history import NAMES, History
-from .tables import materialized
+from .tables import Lazy, materialized
 
 #: Of each kind of entity: its table, its id, and what tells it from others.
 _ENTITIES = {
@@ -86,7 +87,7 @@ _BLOCK = "id_block"
 
 def write_by_id(h: History, path: str, ids_per_block: int = 1_000_000) -> None:
     """All tables at path/NAME.parquet, those of entities in folders of `ids_per_block` ids each, sorted by id, in small row groups with
-    Bloom filters of id and hash."""
+    Bloom filters of id and hash, as large as a folder's ids need."""
     keyed = {name: key for name, key, _ in _ENTITIES.values()}
     for name in NAMES:
         rows = h.tables[name]
@@ -95,20 +96,23 @@ def write_by_id(h: History, path: str, ids_per_block: int = 1_000_000) -> None:
             continue
         key = keyed[name]
         blocked = rows.withColumn(_BLOCK, F.floor(F.col(key) / ids_per_block)).repartitionByRange(key).sortWithinPartitions(_BLOCK, key)
-        out = blocked.write.partitionBy(_BLOCK).option("parquet.block.size", 8 << 20).option(f"parquet.bloom.filter.enabled#{key}", "true")
-        (out.option("parquet.bloom.filter.enabled#hash", "true") if "hash" in rows.columns else out).parquet(f"{path}/{name}.parquet")
+        out = blocked.write.partitionBy(_BLOCK).option("parquet.block.size", 8 << 20)
+        for column in (key, "hash"):
+            if column in rows.columns:  # without a number, a filter takes a megabyte in each file, however few ids are in it
+                out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", ids_per_block)
+        out.parquet(f"{path}/{name}.parquet")
 
 
 class ById(History):
     """A history that write_by_id has written: by_id reads one folder, of it the row groups that can hold the id."""
 
-    def __init__(self, tables: dict[str, DataFrame], ids_per_block: int = 1_000_000):
+    def __init__(self, tables: Mapping[str, DataFrame], ids_per_block: int = 1_000_000):
         self.blocked, self.ids_per_block = tables, ids_per_block
-        super().__init__({name: df.drop(_BLOCK) for name, df in tables.items()})
+        super().__init__(Lazy({name: lambda name=name: tables[name].drop(_BLOCK) for name in tables}))
 
     @classmethod
     def at_path(cls, spark: SparkSession, path: str, ids_per_block: int = 1_000_000) -> ById:
-        return cls({name: spark.read.parquet(f"{path}/{name}.parquet") for name in NAMES}, ids_per_block)
+        return cls(Lazy({name: lambda name=name: spark.read.parquet(f"{path}/{name}.parquet") for name in NAMES}), ids_per_block)
 
     def by_id(self, table: str, id: int) -> DataFrame:
         rows: DataFrame = self.blocked[table]

@@ -451,3 +451,10 @@ def test_history_makes_only_the_tables_a_query_needs(spark):
     assert folders() == before
     assert queries.QUERIES["default_heads"](spark, "/root/testdata/sf0.001").count() > 0
     assert len(folders() - before) == 1
+
+
+def test_files_by_id_are_as_small_as_their_rows(small, tmp_path):
+    write_by_id(small, str(tmp_path), ids_per_block=2)
+    sizes = [f.stat().st_size for f in tmp_path.glob("*.parquet/id_block=*/*.parquet")]
+    assert len(sizes) > 5 and max(sizes) < 20_000
+    assert ById.at_path(small.projects.sparkSession, str(tmp_path), ids_per_block=2).by_id("users", 2).first().email == small.by_id("users", 2).first().email
