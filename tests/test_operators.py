@@ -458,3 +458,15 @@ def test_files_by_id_are_as_small_as_their_rows(small, tmp_path):
     sizes = [f.stat().st_size for f in tmp_path.glob("*.parquet/id_block=*/*.parquet")]
     assert len(sizes) > 5 and max(sizes) < 20_000
     assert ById.at_path(small.projects.sparkSession, str(tmp_path), ids_per_block=2).by_id("users", 2).first().email == small.by_id("users", 2).first().email
+
+
+def test_fork_families_list_no_commits_but_roots(spark):
+    parents = spark.createDataFrame([(2, 0, 1), (3, 0, 2), (4, 0, 2), (6, 0, 6), (7, 0, 8), (8, 0, 7), (9, 0, 7), (9, 1, 3)], "commit_id long, pos int, parent_id long")
+    heads = spark.createDataFrame([(1, "a", 3), (1, "b", 4), (2, "a", 4), (3, "a", 5), (4, "a", 6), (5, "a", 9), (6, "a", 5)], "project_id long, name string, commit_id long")
+    projects = spark.createDataFrame([(p, 10 - p) for p in range(1, 7)], "project_id long, created long")
+    h = History({"commit_parents": parents, "project_heads": heads, "projects": projects})
+    found = {(r.root_id, r.project_id, r.place, r.members) for r in metrics.fork_families(h).collect()}
+    assert "project_commits" not in vars(h)
+    assert found == {(1, 5, 1, 3), (1, 2, 2, 3), (1, 1, 3, 3), (5, 6, 1, 2), (5, 3, 2, 2)}
+    listed = h.project_commits.join(parents, "commit_id", "left_anti").collect()
+    assert {(r.commit_id, r.project_id) for r in listed} == {(root, project) for root, project, *_ in found}
