@@ -55,7 +55,7 @@ def project_snapshot_ids(h: History) -> DataFrame:
 
 @of_history(f"SELECT project_id, snapshot_id, {_CONTENTS} AS contents FROM ({_PROJECT_SNAPSHOTS}) JOIN snapshots USING (snapshot_id)")
 def project_snapshots(h: History) -> DataFrame:
-    return entities.snapshots_of(h, entities.project_snapshots(h)).select("project_id", "snapshot_id", F.md5("contents").alias("contents"))
+    return entities.snapshots_of(h, entities.project_snapshots(h), contents=F.md5("contents")).select("project_id", "snapshot_id", "contents")
 
 
 @of_history("SELECT DISTINCT author_id AS user_id, commit_id, message FROM commits WHERE author_id IS NOT NULL")
@@ -93,7 +93,7 @@ def commit_paths(h: History) -> DataFrame:
 
 @of_history(f"SELECT commit_id, path_id, {_CONTENTS} AS contents FROM commit_changes JOIN snapshots USING (snapshot_id)")
 def commit_snapshots(h: History) -> DataFrame:
-    return entities.snapshots_of(h, h.commit_changes).select("commit_id", "path_id", F.md5("contents").alias("contents"))
+    return entities.snapshots_of(h, h.commit_changes, contents=F.md5("contents")).select("commit_id", "path_id", "contents")
 
 
 @of_history(f"SELECT project_id, name, author_id, message FROM {_DEFAULT} JOIN commits USING (commit_id)")
