@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.operators import metrics
+from stratalog.operators import entities, metrics
 from stratalog.operators.blocks import Blocks, join_frequent, order_statistics
 from stratalog.operators.graph import chains, closure, latest_times, trees
 from stratalog.operators.sampling import Distinct, DistinctRandom, MinRatio, Random, Stratified, Top
@@ -470,3 +470,8 @@ def test_fork_families_list_no_commits_but_roots(spark):
     assert found == {(1, 5, 1, 3), (1, 2, 2, 3), (1, 1, 3, 3), (5, 6, 1, 2), (5, 3, 2, 2)}
     listed = h.project_commits.join(parents, "commit_id", "left_anti").collect()
     assert {(r.commit_id, r.project_id) for r in listed} == {(root, project) for root, project, *_ in found}
+
+
+def test_figures_of_snapshots_come_without_their_contents(small):
+    found = entities.snapshots_of(small, small.commit_changes, size=F.length("contents"))
+    assert "contents" not in found.columns and {(r.commit_id, r.size) for r in found.collect()} == {(1, 4), (4, 1), (5, 1)}
