@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.blocks import Blocks
@@ -30,56 +30,71 @@ _REFERENCES = {
     "commits": {"commit_id": "commit", "committer_id": "user", "author_id": "user"}, "commit_parents": {"commit_id": "commit", "parent_id": "commit"},
     "commit_changes": {"commit_id": "commit", "path_id": "path", "snapshot_id": "snapshot"}, "paths": {"path_id": "path"}, "users": {"user_id": "user"}, "snapshots": {"snapshot_id": "snapshot"},
 }
-#: What is one row in the result, if several stores have it.
-_ONE = {name: [key] for name, key, _ in _ENTITIES.values()} | {"project_metadata": ["project_id"], "commit_parents": ["commit_id", "pos"], "commit_changes": ["commit_id", "path_id"]}
+#: What is one row in the result, if several stores have it; and of entities their id.
+_ONE = {"project_metadata": ["project_id"], "commit_parents": ["commit_id", "pos"], "commit_changes": ["commit_id", "path_id"]}
 
 
-def _referred(h: History, kind: str) -> DataFrame:
-    """(old): all ids of a kind that any table of a store names."""
-    columns = [h.tables[name].select(F.col(c).cast("long").alias("old")) for name, refs in _REFERENCES.items() for c, k in refs.items() if k == kind]
-    return reduce(DataFrame.unionByName, columns).where("old IS NOT NULL").distinct()
+def _referred(h: History, kind: str) -> list[DataFrame]:
+    """(old): the ids of a kind that the tables of a store name, those of the kind's own table aside."""
+    return [h.tables[name].select(F.col(c).cast("long").alias("old")) for name, refs in _REFERENCES.items() for c, k in refs.items() if k == kind and name != _ENTITIES[kind][0]]
 
 
 def entity_ids(stores: list[History], kind: str) -> DataFrame:
-    """(store, old, id): a number for each entity of a kind, without gaps from 1, the same for the same content in all stores.
+    """(store, old, id, first): a number for each entity of a kind, without gaps from 1, the same for the same content in all stores;
+    `first` where it is named first, by store and then by number.
 
     Numbers follow the content. An id whose entity is in no table, or has no content to go by, is an entity of its own.
     """
     name, key, content = _ENTITIES[kind]
     parts = []
     for k, h in enumerate(stores):
-        known = h.tables[name].groupBy(F.col(key).cast("long").alias("of")).agg(F.min(content()).alias("content"))
+        known = h.tables[name].select(F.col(key).cast("long").alias("old"), content().alias("content"))
+        named = [ids.withColumn("content", F.lit(None).cast("string")) for ids in _referred(h, kind)]
+        each = reduce(DataFrame.unionByName, named, known).where("old IS NOT NULL").groupBy("old").agg(F.min("content").alias("content"))
         own = F.struct(F.lit(k).alias("store"), F.col("old").alias("old"))
-        joined = _referred(h, kind).join(known, F.col("old") == F.col("of"), "left")
-        parts.append(joined.select(F.lit(k).alias("store"), "old", F.struct(F.col("content").isNull().alias("none"), "content", F.when(F.col("content").isNull(), own).alias("own")).alias("same")))
-    every = materialized(reduce(DataFrame.unionByName, parts))
-    # Numbers of several blocks of the sorted contents: the whole is one group, however many entities there are.
-    numbered = Blocks(every.select("same").distinct().withColumn("all", F.lit(0)), ["all"], ["same"]).running("id", F.lit(1)).select(F.col("same").alias("content"), "id")
-    return materialized(every.join(numbered, F.col("same").eqNullSafe(F.col("content"))).select("store", "old", "id"))
+        parts.append(each.select(F.lit(k).alias("store"), "old", F.struct(F.col("content").isNull().alias("none"), "content", F.when(F.col("content").isNull(), own).alias("own")).alias("same")))
+    # Sorted over the cluster once, with their contents; what is summed then are marks of the first of each, in the order they have got.
+    every = reduce(DataFrame.unionByName, parts).repartitionByRange("same")
+    marked = every.withColumn("first", F.row_number().over(Window.partitionBy("same").orderBy("store", "old")) == 1)
+    placed = marked.select(F.lit(0).alias("all"), "store", "old", "first", F.monotonically_increasing_id().alias("_row"))
+    return materialized(Blocks.sorted(placed, ["all"]).running("id", F.col("first").cast("long")).select("store", "old", "id", "first"))
 
 
 def merged(stores: list[History]) -> History:
-    """One history of several stores. Of an entity that several have, the row of the first store counts; a project's logs and
-    heads are those of all stores, each once. Columns that a store lacks are null."""
-    ids = {kind: entity_ids(stores, kind) for kind in _ENTITIES}
-    tables = {}
-    for name in NAMES:
-        parts = []
-        for k, h in enumerate(stores):
-            rows = h.tables[name]
-            for column, kind in _REFERENCES[name].items():
-                new = ids[kind].where(F.col("store") == k).select(F.col("old").alias("_old"), F.col("id").alias("_id"))
-                rows = rows.join(new, F.col(column) == F.col("_old"), "left").withColumn(column, F.col("_id")).drop("_old", "_id")
-            parts.append(rows.withColumn("_store", F.lit(k)))
-        whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        if name in _ONE:
-            rest = [c for c in whole.columns if c not in (*_ONE[name], "_store")]
-            first = whole.groupBy(*_ONE[name]).agg(F.min_by(F.struct(*rest), F.struct("_store", *[F.col(c).cast("string") for c in rest])).alias("_first")) if rest else whole.select(*_ONE[name]).distinct()
-            whole = first.select(*_ONE[name], *[F.col("_first")[c].alias(c) for c in rest])
-        else:
-            whole = whole.drop("_store").distinct()
-        tables[name] = materialized(whole.select(*[c for c in stores[0].tables[name].columns]))
-    return History(tables)
+    """One history of several stores. Of an entity that several have, the row of the first store counts (of several ids there, the
+    least one's); a project's logs and heads are those of all stores, each once. Columns that a store lacks are null.
+
+    Tables are made when they are first asked for. The graph's are written; the others are plans, so that only the columns
+    that someone reads move.
+    """
+    ids = Lazy({kind: lambda kind=kind: entity_ids(stores, kind) for kind in _ENTITIES})
+    make = lambda name: lambda: materialized(_merged_table(stores, ids, name)) if name in ("project_heads", "commit_parents") else _merged_table(stores, ids, name)
+    return History(Lazy({name: make(name) for name in NAMES}))
+
+
+def _merged_table(stores: list[History], ids: Mapping[str, DataFrame], name: str) -> DataFrame:
+    keyed = {table: key for table, key, _ in _ENTITIES.values()}
+    parts = []
+    for k, h in enumerate(stores):
+        rows = h.tables[name]
+        for column, kind in _REFERENCES[name].items():
+            new = ids[kind].where(F.col("store") == k).select(F.col("old").alias("_old"), F.col("id").alias("_id"), F.col("first").alias("_first"))
+            rows = rows.join(new, F.col(column) == F.col("_old"), "left")
+            if keyed.get(name) == column:  # one row for each entity: that of the id named first. Rows of an id are together here
+                rest = [c for c in rows.columns if c not in (column, "_old", "_id", "_first")]
+                rows = rows.where("_first OR _id IS NULL").groupBy(column, "_id").agg(*([F.min(F.struct(*rest)).alias("_row")] if rest else [])).select("_id", *[F.col("_row")[c].alias(c) for c in rest]).withColumnRenamed("_id", column)
+            else:
+                rows = rows.withColumn(column, F.col("_id")).drop("_old", "_id", "_first")
+        parts.append(rows.withColumn("_store", F.lit(k)))
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    columns = stores[0].tables[name].columns
+    if name in keyed:
+        return whole.select(*columns)
+    if name not in _ONE:
+        return whole.select(*columns).distinct()
+    rest = [c for c in whole.columns if c not in (*_ONE[name], "_store")]
+    first = whole.groupBy(*_ONE[name]).agg(F.min(F.struct("_store", *rest)).alias("_first"))
+    return first.select(*[c if c in _ONE[name] else F.col("_first")[c].alias(c) for c in columns])
 
 
 _BLOCK = "id_block"

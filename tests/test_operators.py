@@ -15,7 +15,7 @@ from stratalog.operators.selection import Selection, classify, dropped, products
 from stratalog.sources.files import write_files
 from stratalog.sources.history import History
 from stratalog.sources.sinks import changes_into_files, dump, flat, into_csv, into_files, round_trip_csv, tree_into_files
-from stratalog.sources.stores import ById, merged, write_by_id
+from stratalog.sources.stores import ById, entity_ids, merged, write_by_id
 from stratalog.sources.tables import materialized
 from stratalog.sources.timing import Timings
 
@@ -376,6 +376,32 @@ def test_stores_are_merged_by_content(small, spark):
         assert [found[url][c] for c in ("commits", "authors", "committers", "users")] == [alone[like][c] for c in ("commits", "authors", "committers", "users")]
 
 
+def test_merging_makes_only_the_tables_that_are_asked_for(small, spark):
+    asked = []
+
+    class Asked(dict):
+        def __getitem__(self, name):
+            asked.append(name)
+            return super().__getitem__(name)
+
+    far = {name: df.withColumns({c: F.col(c) + 2 for c in ("path_id",) if c in df.columns}) for name, df in small.tables.items()}
+    both = merged([History(Asked(small.tables)), History(Asked(far))])
+    assert sorted(r.location for r in both.paths.collect()) == sorted(r.location for r in small.paths.collect())
+    assert set(asked) == {"paths", "commit_changes"}
+
+
+def test_entities_are_numbered_without_gaps_and_named_first_once(small, spark):
+    twice = small.users.withColumn("user_id", F.col("user_id") + 100).unionByName(small.users)
+    other = History({**small.tables, "users": twice})
+    found = entity_ids([other, small], "user").collect()
+    n = max(r.id for r in found)
+    assert {r.id for r in found} == set(range(1, n + 1)) and sum(r.first for r in found) == n
+    assert all(r.first == ((r.store, r.old) == min((o.store, o.old) for o in found if o.id == r.id)) for r in found)
+    emails = {r.user_id: r.email for r in twice.collect()}
+    by_id = sorted({(r.id, emails[r.old]) for r in found if r.old in emails})
+    assert len(by_id) == small.users.count() and [e for _, e in by_id] == sorted(e for _, e in by_id)
+
+
 def test_an_id_is_found_in_one_row_group(spark, tmp_path):
     n = 60_000
     tables = {name: spark.range(5).withColumnRenamed("id", f"{name[:-1]}_id") for name in ("projects", "users", "paths", "snapshots")}
