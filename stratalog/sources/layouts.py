@@ -200,7 +200,9 @@ def head_rows(h: History) -> DataFrame:
     return h.project_heads.join(h.commits.select("commit_id", "hash"), "commit_id", "left").select("name", "commit_id", "hash")
 
 
-def tree_rows(h: History, tree: DataFrame) -> DataFrame:
-    """tree: (commit_id, path_id, snapshot_id). With the commit's hash and the path's location and language."""
-    rows = _with(tree, "commit_id", h.commits.select("commit_id", F.col("hash").alias("commit_hash")))
+def tree_rows(h: History, commits: DataFrame, deletions: bool = False) -> DataFrame:
+    """The files as of each of the commits (commit_id), with the commit's hash and the path's location and language."""
+    hashes = commits.select("commit_id").distinct().join(h.commits.select(F.col("commit_id").alias("of"), F.col("hash").alias("commit_hash")), F.col("commit_id") == F.col("of"), "left")
+    seeds = hashes.select(F.col("commit_id").alias("seed"), F.col("commit_id").alias("node"), "commit_hash")  # hashes join the few commits, not the trees
+    rows = metrics.trees_of(h, seeds, deletions).withColumnRenamed("seed", "commit_id")
     return _with(rows, "path_id", path_rows(h)).select("commit_id", "commit_hash", "path_id", "path", "language", "snapshot_id")

@@ -16,7 +16,7 @@ from stratalog.sources.files import write_files
 from stratalog.sources.history import History
 from stratalog.sources.sinks import changes_into_files, dump, flat, into_csv, into_files, round_trip_csv, tree_into_files
 from stratalog.sources.stores import ById, entity_ids, merged, write_by_id
-from stratalog.sources.tables import materialized
+from stratalog.sources.tables import Lazy, materialized
 from stratalog.sources.timing import Timings
 
 
@@ -501,3 +501,26 @@ def test_fork_families_list_no_commits_but_roots(spark):
 def test_figures_of_snapshots_come_without_their_contents(small):
     found = entities.snapshots_of(small, small.commit_changes, size=F.length("contents"))
     assert "contents" not in found.columns and {(r.commit_id, r.size) for r in found.collect()} == {(1, 4), (4, 1), (5, 1)}
+
+
+def test_trees_of_heads_move_once_and_read_no_times(spark, monkeypatch):
+    """Seeds on one chain take their trees with all of their columns from the stretches, as they meet; commits aren't needed."""
+    from stratalog.operators import graph
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    edges = [(k, k - 1, 0) for k in range(2, 41)]
+    changes = [(k, k % p, 100 * k + p if k % 3 else None) for k in range(1, 41) for p in (2, 7, 40)]
+    changes = list({(c, p): (c, p, s) for c, p, s in changes}.values())
+    heads = [(1, "main", 40), (1, "dev", 38), (2, "fork", 40), (3, "old", 9), (4, "root", 1), (5, "gone", 900)]
+    made = []
+
+    def commits():
+        made.append("commits")
+        return frame([(k, k) for k in range(1, 41)], "commit_id long, committer_time long")
+
+    monkeypatch.setattr(graph, "_of_several", lambda *_: pytest.fail("gathered"))
+    plain = {"commit_parents": lambda: frame(edges, "commit_id long, parent_id long, pos int"), "commit_changes": lambda: frame(changes, "commit_id long, path_id long, snapshot_id long"), "project_heads": lambda: frame(heads, "project_id long, name string, commit_id long")}
+    h = History(Lazy(plain | {"commits": commits}))
+    last = lambda c: {p: s for k, p, s in sorted(changes, key=lambda x: x[0]) if k <= c}
+    got = sorted((r.project_id, r.name, r.path_id, r.snapshot_id) for r in metrics.head_trees(h).collect())
+    assert got == sorted((i, n, p, s) for i, n, c in heads if c <= 40 for p, s in last(c).items() if s is not None) and not made
