@@ -6,6 +6,7 @@ if their content is: commits by hash, users by address, paths by location, proje
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Mapping
 from functools import reduce
 
@@ -60,41 +61,60 @@ def entity_ids(stores: list[History], kind: str) -> DataFrame:
     return materialized(Blocks.sorted(placed, ["all"]).running("id", F.col("first").cast("long")).select("store", "old", "id", "first"))
 
 
-def merged(stores: list[History]) -> History:
+class Merged(History):
+    """What merged() gives."""
+
+    def __init__(self, stores: list[History]):
+        self.stores, self.ids = stores, Lazy({kind: lambda kind=kind: entity_ids(stores, kind) for kind in _ENTITIES})
+        make = lambda name: lambda: materialized(self.columns(name)) if name in ("project_heads", "commit_parents") else self.columns(name)
+        super().__init__(Lazy({name: make(name) for name in NAMES}))
+
+    def columns(self, name: str, *columns: str) -> DataFrame:
+        """A table with only these columns (by default all); what the others refer to is neither numbered nor joined."""
+        return _merged_table(self.stores, self.ids, name, list(columns))
+
+
+def merged(stores: list[History]) -> Merged:
     """One history of several stores. Of an entity that several have, the row of the first store counts (of several ids there, the
     least one's); a project's logs and heads are those of all stores, each once. Columns that a store lacks are null.
 
     Tables are made when they are first asked for. The graph's are written; the others are plans, so that only the columns
     that someone reads move.
     """
-    ids = Lazy({kind: lambda kind=kind: entity_ids(stores, kind) for kind in _ENTITIES})
-    make = lambda name: lambda: materialized(_merged_table(stores, ids, name)) if name in ("project_heads", "commit_parents") else _merged_table(stores, ids, name)
-    return History(Lazy({name: make(name) for name in NAMES}))
+    return Merged(stores)
 
 
-def _merged_table(stores: list[History], ids: Mapping[str, DataFrame], name: str) -> DataFrame:
+def _merged_table(stores: list[History], ids: Mapping[str, DataFrame], name: str, columns: list[str]) -> DataFrame:
     keyed = {table: key for table, key, _ in _ENTITIES.values()}
+    if not (columns and (name in keyed or name in _ONE)):  # rows that count once as a whole are needed whole
+        asked, columns = columns, stores[0].tables[name].columns
+    else:
+        asked, columns = columns, list(dict.fromkeys([*([keyed[name]] if name in keyed else _ONE[name]), *columns]))
+        stores = [History(ChainMap({name: h.tables[name].select(*[c for c in h.tables[name].columns if c in columns])}, h.tables)) for h in stores]
     parts = []
     for k, h in enumerate(stores):
         rows = h.tables[name]
         for column, kind in _REFERENCES[name].items():
+            if column not in columns:
+                continue
             new = ids[kind].where(F.col("store") == k).select(F.col("old").alias("_old"), F.col("id").alias("_id"), F.col("first").alias("_first"))
             rows = rows.join(new, F.col(column) == F.col("_old"), "left")
             if keyed.get(name) == column:  # one row for each entity: that of the id named first. Rows of an id are together here
                 rest = [c for c in rows.columns if c not in (column, "_old", "_id", "_first")]
-                rows = rows.where("_first OR _id IS NULL").groupBy(column, "_id").agg(*([F.min(F.struct(*rest)).alias("_row")] if rest else [])).select("_id", *[F.col("_row")[c].alias(c) for c in rest]).withColumnRenamed("_id", column)
+                rows = rows.where("_first OR _id IS NULL").groupBy(column, "_id").agg(F.min(F.struct(*rest) if rest else F.lit(None)).alias("_row")).select("_id", *[F.col("_row")[c].alias(c) for c in rest]).withColumnRenamed("_id", column)
             else:
                 rows = rows.withColumn(column, F.col("_id")).drop("_old", "_id", "_first")
         parts.append(rows.withColumn("_store", F.lit(k)))
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    columns = stores[0].tables[name].columns
     if name in keyed:
-        return whole.select(*columns)
+        return whole.select(*(asked or columns))
     if name not in _ONE:
-        return whole.select(*columns).distinct()
+        return whole.select(*columns).distinct().select(*(asked or columns))
     rest = [c for c in whole.columns if c not in (*_ONE[name], "_store")]
-    first = whole.groupBy(*_ONE[name]).agg(F.min(F.struct("_store", *rest)).alias("_first"))
-    return first.select(*[c if c in _ONE[name] else F.col("_first")[c].alias(c) for c in columns])
+    # Dealt by the first of the columns, by which these tables are joined: they move once.
+    rows = whole.repartition(_ONE[name][0]).groupBy(*_ONE[name])
+    first = rows.agg(F.min(F.struct("_store", *rest)).alias("_first")) if rest else rows.agg(F.min("_store").alias("_first"))
+    return first.select(*[c if c in _ONE[name] else F.col("_first")[c].alias(c) for c in asked or columns])
 
 
 _BLOCK = "id_block"

@@ -524,3 +524,14 @@ def test_trees_of_heads_move_once_and_read_no_times(spark, monkeypatch):
     last = lambda c: {p: s for k, p, s in sorted(changes, key=lambda x: x[0]) if k <= c}
     got = sorted((r.project_id, r.name, r.path_id, r.snapshot_id) for r in metrics.head_trees(h).collect())
     assert got == sorted((i, n, p, s) for i, n, c in heads if c <= 40 for p, s in last(c).items() if s is not None) and not made
+
+
+def test_columns_of_merged_stores_number_only_what_they_name(small, spark):
+    m = merged([small, small.of_substores(["small"])])
+    changes = m.columns("commit_changes", "commit_id", "path_id")
+    commits = m.columns("commits", "commit_id", "author_id")
+    assert sorted(m.ids.made) == ["commit", "path", "user"] and not m.tables.made
+    whole = merged([small, small.of_substores(["small"])])
+    bag = lambda df: sorted(map(str, df.collect()))
+    assert bag(changes) == bag(whole.commit_changes.select("commit_id", "path_id"))
+    assert bag(commits) == bag(whole.commits.select("commit_id", "author_id"))
