@@ -16,7 +16,7 @@ from stratalog.sources.files import write_files
 from stratalog.sources.history import History
 from stratalog.sources.sinks import changes_into_files, dump, flat, into_csv, into_files, round_trip_csv, tree_into_files
 from stratalog.sources.stores import ById, entity_ids, merged, write_by_id
-from stratalog.sources.tables import Lazy, materialized
+from stratalog.sources.tables import Lazy, distinct_of, materialized
 from stratalog.sources.timing import Timings
 
 
@@ -535,3 +535,9 @@ def test_columns_of_merged_stores_number_only_what_they_name(small, spark):
     bag = lambda df: sorted(map(str, df.collect()))
     assert bag(changes) == bag(whole.commit_changes.select("commit_id", "path_id"))
     assert bag(commits) == bag(whole.commits.select("commit_id", "author_id"))
+
+
+def test_distinct_pairs_take_more_tasks_the_more_rows_there_are(spark):
+    rows = spark.range(9000).select((F.col("id") % 30).alias("project_id"), (F.col("id") % 700).alias("path_id"))
+    found = distinct_of(rows, rows, most=500)
+    assert found.rdd.getNumPartitions() == 19 and found.count() == len({(k % 30, k % 700) for k in range(9000)})
