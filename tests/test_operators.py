@@ -541,3 +541,22 @@ def test_distinct_pairs_take_more_tasks_the_more_rows_there_are(spark):
     rows = spark.range(9000).select((F.col("id") % 30).alias("project_id"), (F.col("id") % 700).alias("path_id"))
     found = distinct_of(rows, rows, most=500)
     assert found.rdd.getNumPartitions() == 19 and found.count() == len({(k % 30, k % 700) for k in range(9000)})
+
+
+def test_blocks_leave_rows_where_they_are(spark):
+    """What other blocks hold comes to the rows, also where no table counts as small; and so do the sums of whole groups."""
+    values = [(None if g == 3 else g, k, k % 5) for g, n in ((1, 400), (2, 1), (3, 90), (4, 7)) for k in range(n)]
+    df = spark.createDataFrame(values, "g long, k long, v long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = Blocks(df, ["g"], ["k"], blocks=16).runnings({"up_to": F.col("v"), "place": F.lit(1)}, wholes={"whole": F.col("v")})
+        assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+        got = sorted((-1 if r.g is None else r.g, r.k, r.up_to, r.place, r.whole) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    expected = []
+    for g in sorted({x[0] for x in values}, key=lambda x: -1 if x is None else x):
+        mine = [v for h, _, v in sorted(values, key=lambda x: x[1]) if h == g]
+        expected += [(-1 if g is None else g, k, sum(mine[: k + 1]), k + 1, sum(mine)) for k in range(len(mine))]
+    assert got == expected
