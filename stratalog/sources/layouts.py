@@ -11,6 +11,7 @@ from ..functions.languages import language_of_name, language_of_path
 from ..functions.statistics import length
 from ..operators import metrics
 from .history import History
+from .tables import materialized
 
 # The columns of the layouts, in their order.
 PROJECT = [
@@ -139,27 +140,36 @@ def _size(rows: DataFrame, key: str, name: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
+def _in_steps(rows: DataFrame, key: str, *others: DataFrame, step: int = 6) -> DataFrame:
+    """As _with. Each of the others is written before it is joined, and so are the rows after every few joins: so no task makes several
+    figures, or sorts for many joins, at once."""
+    for at in range(0, len(others), step):
+        rows = materialized(_with(rows, key, *map(materialized, others[at : at + step])))
+    return rows
+
+
 def project_rows(h: History, extended: bool = False) -> DataFrame:
     renamed = {"fork": "is_fork", "archived": "is_archived", "disabled": "is_disabled", "stargazers_count": "stars", "watchers_count": "watchers", "open_issues_count": "open_issues", "buggy_issues_count": "buggy_issues", "issues_count": "issues", "subscribers_count": "subscribers"}
     m = h.metadata.withColumnsRenamed(renamed).withColumn("language", language_of_name(F.col("language")))
     some = F.col("issues").isNotNull() | F.col("buggy_issues").isNotNull()
     m = m.withColumn("all_issues", F.when(some, F.coalesce("issues", F.lit(0)) + F.coalesce("buggy_issues", F.lit(0))))
-    rows = _with(
-        h.projects.select("project_id", "substore", "url"), "project_id", m, metrics.ages(h).withColumnRenamed("age", "lifetime"), _size(h.project_heads, "project_id", "heads"), metrics.counts(h)
-    )
+    counts = materialized(metrics.counts(h)) if extended else metrics.counts(h)
+    plain = _with(h.projects.select("project_id", "substore", "url"), "project_id", m, metrics.ages(h).withColumnRenamed("age", "lifetime"), _size(h.project_heads, "project_id", "heads"), counts)
     if not extended:
-        return rows.select(*PROJECT)
-    gaps = metrics.commit_gaps(h).withColumnsRenamed({"max_gap": "max_commit_delta", "mean_gap": "avg_commit_delta"})
-    active = metrics.activity(h).withColumnsRenamed({"since_first": "first_commit", "since_last": "last_commit"})
-    experience = metrics.project_experience(h).select("project_id", "max_experience", F.col("mean_experience").alias("project_experience"))
+        return plain.select(*PROJECT)
+    # What several figures are taken from is made once.
+    held, gaps = materialized(metrics.holdings(h)), materialized(metrics.commit_gaps(h))
+    active = metrics.activity(h, gaps).withColumnsRenamed({"since_first": "first_commit", "since_last": "last_commit"})
+    gaps = gaps.withColumnsRenamed({"max_gap": "max_commit_delta", "mean_gap": "avg_commit_delta"})
+    experience = metrics.project_experience(h, counts).select("project_id", "max_experience", F.col("mean_experience").alias("project_experience"))
     major = metrics.major_language(h).withColumnsRenamed({"language": "major_language", "share": "major_language_ratio", "changes": "major_language_changes"})
-    content = metrics.content_counts(h).withColumn("files", F.col("paths"))
-    cutoffs = [_size(metrics.main_contributors(h, p, of), "project_id", f"authors_contributing_{p}%_{of}") for of in ("commits", "changes") for p in (95, 80, 50)]
-    rows = _with(
-        rows, "project_id", content, metrics.originality(h), major, metrics.fork_counts(h).where("forks > 0").withColumnRenamed("forks", "all_forks_count"), gaps, active, metrics.project_locs(h),
+    content = metrics.content_counts(h, held).withColumn("files", F.col("paths"))
+    cutoffs = [metrics.main_contributor_counts(h, (95, 80, 50), of) for of in ("commits", "changes")]
+    figures = _in_steps(
+        h.projects.select("project_id").distinct(), "project_id", content, metrics.originality(h, held), major, metrics.fork_counts(h).where("forks > 0").withColumnRenamed("forks", "all_forks_count"), gaps, active, metrics.project_locs(h),
         metrics.update_state(h).select("project_id", "is_valid"), experience, *cutoffs,
     )
-    return rows.select(*PROJECT, *[F.col(f"`{c}`") for c in PROJECT_EXTENDED])
+    return _with(plain, "project_id", figures).select(*PROJECT, *[F.col(f"`{c}`") for c in PROJECT_EXTENDED])
 
 
 def user_rows(h: History) -> DataFrame:

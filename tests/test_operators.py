@@ -560,3 +560,14 @@ def test_blocks_leave_rows_where_they_are(spark):
         mine = [v for h, _, v in sorted(values, key=lambda x: x[1]) if h == g]
         expected += [(-1 if g is None else g, k, sum(mine[: k + 1]), k + 1, sum(mine)) for k in range(len(mine))]
     assert got == expected
+
+
+def test_extended_rows_make_shared_figures_once(small, monkeypatch):
+    from stratalog.sources import layouts
+
+    made = []
+    for name in ("contributions", "counts", "commit_gaps", "holdings"):
+        plain = getattr(metrics, name)
+        monkeypatch.setattr(metrics, name, lambda *a, plain=plain, name=name, **k: made.append(name) or plain(*a, **k))
+    layouts.project_rows(small, extended=True)
+    assert sorted(made) == ["commit_gaps", "contributions", "contributions", "counts", "holdings"]
