@@ -571,3 +571,13 @@ def test_extended_rows_make_shared_figures_once(small, monkeypatch):
         monkeypatch.setattr(metrics, name, lambda *a, plain=plain, name=name, **k: made.append(name) or plain(*a, **k))
     layouts.project_rows(small, extended=True)
     assert sorted(made) == ["commit_gaps", "contributions", "contributions", "counts", "holdings"]
+
+
+def test_changes_of_trees_are_moved_without_the_commit(spark):
+    """A commit is found again by its place; so it isn't carried with every change."""
+    edges = spark.createDataFrame([(3, 1), (3, 2), (2, 1)], "a long, b long")
+    changes = spark.createDataFrame([(1, 7, 70), (2, 7, 71), (3, 8, 80)], "commit_id long, path_id long, snapshot_id long")
+    found = trees(chains(edges), spark.createDataFrame([(3, 3)], "seed long, node long"), changes)
+    moved = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x or "Window [" in x]
+    assert moved and not any("commit_id" in x for x in moved)
+    assert sorted((r.path_id, r.snapshot_id) for r in found.collect()) == [(7, 71), (8, 80)]
